@@ -154,8 +154,9 @@ def samples_of(values: DataFrame, value: str, n: int = 5, count: str = "n") -> D
 
 
 def report(findings: DataFrame, *metrics: str) -> DataFrame:
-    """Flat view of findings with the named metrics as columns."""
+    """Flat view of findings with the named metrics as columns; counts as doubles, like the metrics."""
     return findings.select(
-        "check_id", "severity", "staging_column", "affected", "total", "pct",
+        "check_id", "severity", "staging_column",
+        *[F.col(c).cast("double").alias(c) for c in ("affected", "total", "pct")],
         *[F.col("metrics").getItem(m).alias(m) for m in metrics],
     )

@@ -7,12 +7,18 @@ scorers only ever see candidate pairs; see ``operators.fuzzy``.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
 from .text import as_col
 
+# The scorers travel with the task, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _positions(text: str) -> dict[str, int]:
     masks: dict[str, int] = {}

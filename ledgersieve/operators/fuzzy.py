@@ -66,7 +66,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     def signed(df: DataFrame, name: str) -> DataFrame:
         return df.select(
             "scope", F.col("text").alias(name), F.col("match").alias(f"{name}_match"),
-            F.length("match").alias(f"{name}_len"), F.posexplode(_grams(F.col("match"), size)).alias("at", "gram"),
+            F.length("match").alias(f"{name}_len"), F.explode(_grams(F.col("match"), size)).alias("gram"),
         )
 
     grams_left, grams_right = signed(left, "l"), signed(right, "r")
@@ -82,14 +82,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
             ).alias("grams")
         )
         kept = F.slice("grams", F.lit(1), _prefix_length(F.col(f"{name}_len"), threshold, size))
-        return ranked.select(
-            "scope", name, f"{name}_match", f"{name}_len", F.explode(kept)["gram"].alias("gram")
-        )
+        first = F.transform(kept, lambda g: g["gram"])
+        return ranked.select("scope", name, f"{name}_match", f"{name}_len", F.explode(first).alias("gram"))
 
     signed_left, signed_right = _spread(prefix(grams_left, "l"), prefix(grams_right, "r"), ["scope", "gram"])
-    total = F.col("l_len") + F.col("r_len")
-    close = 200.0 * F.least("l_len", "r_len") >= threshold * total
-    distance = F.floor((100.0 - threshold) / 100.0 * total + 1e-9).cast("int")
+    close = 200.0 * F.least("l_len", "r_len") >= threshold * (F.col("l_len") + F.col("r_len"))
     pairs = (
         signed_left.join(signed_right, ["scope", "gram", "salt"])
         .where(close)

@@ -252,7 +252,7 @@ def date_formats(spark, folder) -> DataFrame:
 
 
 @query("single_null_merge", """WITH m AS (SELECT count(*) AS t, count(*) FILTER (o_orderkey = 0) AS one, count(*) FILTER (o_orderpriority = '5-LOW') AS many FROM orders)
- SELECT 'BillLocationName' AS staging_column, 'CRITICAL' AS severity, CAST(3 AS BIGINT) AS merged_columns, one AS missing FROM m WHERE one = 1
+ SELECT 'BillLocationName' AS staging_column, 'CRITICAL' AS severity, CAST(3 AS DOUBLE) AS merged_columns, one AS missing FROM m WHERE one = 1
  UNION ALL SELECT 'PatientGender', 'CRITICAL', NULL, many FROM m WHERE many > 1""")
 def single_null_merge(spark, folder) -> DataFrame:
     first = F.col("o_orderkey") == 0
@@ -262,7 +262,7 @@ def single_null_merge(spark, folder) -> DataFrame:
     )
     ctx = Context(columns=_meta("PatientCity", "BillLocationName", "BillPracticeName", "PatientGender"))
     rows = conformance.merge_single_nulls(conformance.judged(prof.profile(df, ctx))).where(F.col("severity").isNotNull())
-    return rows.select("staging_column", "severity", "merged_columns", "missing")
+    return rows.select("staging_column", "severity", F.col("merged_columns").cast("double").alias("merged_columns"), "missing")
 
 
 def _id_sql(column: str, source: str, expression: str) -> str:

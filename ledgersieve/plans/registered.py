@@ -34,7 +34,7 @@ def row(
     cells = [
         f"'{check}' AS check_id", f"({severity}) AS severity",
         f"CAST({'NULL' if column is None else column if column.startswith('(') else repr(column)} AS VARCHAR) AS staging_column",
-        f"CAST({affected or 'NULL'} AS BIGINT) AS affected", f"CAST({total or 'NULL'} AS BIGINT) AS total",
+        f"CAST({affected or 'NULL'} AS DOUBLE) AS affected", f"CAST({total or 'NULL'} AS DOUBLE) AS total",
         f"CAST({pct} AS DOUBLE) AS pct",
     ]
     cells += [f"CAST({value} AS DOUBLE) AS {name}" for name, value in metrics.items()]
