@@ -61,6 +61,8 @@ def charges(spark: SparkSession, folder: str, org: bool = True) -> DataFrame:
             F.when(F.col("c_acctbal") < 0, "").otherwise(text("c_nationkey")).alias("BillDepartmentId"),
             F.when(F.col("c_acctbal") < 1000, "").otherwise(F.col("n_name")).alias("BillDepartmentName"),
             F.col("c_mktsegment").alias("BillLocationName"),
+            F.lpad(text("o_custkey"), 10, "1").alias("RenderingProviderNpi"),
+            F.col("c_name").alias("RenderingProviderFullName"),
             F.when(F.col("c_mktsegment") == "BUILDING", " ").otherwise(F.col("c_name")).alias("RenderingProviderFirstName"),
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "").otherwise("x").alias("PatientRace"),
         ]
@@ -75,6 +77,7 @@ CHARGES = """charges AS (SELECT CAST(o_orderkey AS VARCHAR) AS ChargeId, CAST(o_
  o_orderstatus AS TransactionType, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE '' END AS PatientGender,
  CASE WHEN c_acctbal < 0 THEN '' ELSE CAST(c_nationkey AS VARCHAR) END AS BillDepartmentId,
  CASE WHEN c_acctbal < 1000 THEN '' ELSE n_name END AS BillDepartmentName, c_mktsegment AS BillLocationName,
+ lpad(CAST(o_custkey AS VARCHAR), 10, '1') AS RenderingProviderNpi, c_name AS RenderingProviderFullName,
  CASE WHEN c_mktsegment = 'BUILDING' THEN ' ' ELSE c_name END AS RenderingProviderFirstName,
  CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN '' ELSE 'x' END AS PatientRace
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
@@ -110,6 +113,23 @@ TRANSACTIONS = f"""transactions AS (SELECT CASE WHEN l_tax = 0.08 THEN 'X' || l_
  'Supplier ' || l_suppkey || CASE WHEN l_tax = 0.08 THEN ' Jr' ELSE '' END AS RenderingProviderFullName,
  CAST(50000 + l_suppkey AS VARCHAR) AS CptCode, l_tax AS rvu FROM lineitem)"""
 
+
+
+def centered_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Transactions with the supplier's nation as department."""
+    price, discount = cents("l_extendedprice"), F.col("l_discount").cast("decimal(4,2)")
+    return table(spark, folder, "lineitem").join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
+        text("s_nationkey").alias("BillDepartmentId"),
+        F.lpad(text("l_suppkey"), 10, "1").alias("RenderingProviderNpi"),
+        text(-(price * (1 - discount))).alias("PaymentOriginal"),
+        text(-(price * discount)).alias("AdjustmentOriginal"),
+    )
+
+
+CENTERED = """centered AS (SELECT CAST(s_nationkey AS VARCHAR) AS dept, lpad(CAST(l_suppkey AS VARCHAR), 10, '1') AS npi,
+ -(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS paid,
+ -(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(l_discount AS DECIMAL(4,2))) AS adjusted FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+
 # Scheduling: one row per event.
 EVENT_STATUS = {"signup": "Scheduled", "error": "No Show", "click": "Arrived", "view": "Canceled by patient", "purchase": "completed"}
 EVENT_TYPE = {"signup": "New Patient", "error": "Follow-up", "click": "Return Visit", "view": "Consult", "purchase": "Est Pt"}
@@ -133,7 +153,7 @@ def scheduling(spark: SparkSession, folder: str) -> DataFrame:
             F.when(value < 3, F.col("ts") - F.expr("INTERVAL 1 HOUR")).when(value > 200, F.col("ts") + F.expr("INTERVAL 13 HOURS"))
             .otherwise(F.col("ts") + F.expr("INTERVAL 1 HOUR")), stamp,
         ).alias("CheckOutDate"),
-        F.concat(F.lit("NATION_"), text(k)).alias("BillLocNameOrig"),
+        F.when(k < 25, F.concat(F.lit("NATION_"), text(k))).when(k < 60, "Annex").otherwise("").alias("BillLocNameOrig"),
         F.lpad(text(k), 10, "1").alias("ApptProvNPI"),
         F.date_format("ts", "HH:mm").alias("ApptTime"),
     )
@@ -146,7 +166,7 @@ SCHEDULING = f"""scheduling AS (SELECT event_id, date_trunc('second', ts) AS app
  CASE WHEN event_type = 'view' AND value >= 30 THEN 'y' ELSE '' END AS CancelReason,
  CASE WHEN value > 120 THEN date_trunc('second', ts) + INTERVAL 1 DAY ELSE date_trunc('second', ts) - INTERVAL 7 DAY END AS created,
  CASE WHEN value < 3 THEN -1 WHEN value > 200 THEN 13 ELSE 1 END AS stay_hours,
- 'NATION_' || CAST(props->>'$.k' AS INTEGER) AS BillLocNameOrig, lpad(CAST(CAST(props->>'$.k' AS INTEGER) AS VARCHAR), 10, '1') AS ApptProvNPI,
+ CASE WHEN CAST(props->>'$.k' AS INTEGER) < 25 THEN 'NATION_' || CAST(props->>'$.k' AS INTEGER) WHEN CAST(props->>'$.k' AS INTEGER) < 60 THEN 'Annex' ELSE '' END AS BillLocNameOrig, lpad(CAST(CAST(props->>'$.k' AS INTEGER) AS VARCHAR), 10, '1') AS ApptProvNPI,
  hour(ts) AS hr FROM events)"""
 
 # Payroll: one row per order line, the supplier is the employee.

@@ -339,10 +339,11 @@ def checkin_order(spark, folder) -> DataFrame:
 
 @query("scheduling_ids", found(
     f"""{b.SCHEDULING}, p AS (SELECT ApptProvNPI AS v, count(*) AS n FROM scheduling GROUP BY 1), m AS (SELECT count(*) AS t, count(DISTINCT PatIdOrig) AS ids,
- (SELECT count(*) FROM p) AS provs, (SELECT max(n) FROM p) AS top, count(DISTINCT BillLocNameOrig) AS places FROM scheduling)""",
+ (SELECT count(*) FROM p) AS provs, (SELECT max(n) FROM p) AS top, count(DISTINCT BillLocNameOrig) FILTER (BillLocNameOrig <> '') AS places,
+ count(*) FILTER (BillLocNameOrig <> '') AS named FROM scheduling)""",
     row("S5", when("t > 0", "INFO"), "PatIdOrig", None, "t"),
     row("S6", when("provs > 0", "INFO"), "ApptProvNPI", "provs", "t", pct("top", "t")),
-    row("S6", "'INFO'", "BillLocNameOrig", "places", "t", "0.0"),
+    row("S6", "'INFO'", "BillLocNameOrig", "places", "named", "0.0"),
 ))
 def scheduling_ids(spark, folder) -> DataFrame:
     return _run(b.scheduling(spark, folder), SCHED, ["S5", "S6"])
