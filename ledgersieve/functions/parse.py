@@ -12,8 +12,8 @@ AMOUNT_TYPE = "decimal(20,4)"
 def number(c: Column | str) -> Column:
     """Text to double.  Java's ``1d``/``1f`` spellings are refused and NaN counts as absent."""
     text = strip(c)
-    parsed = F.when(~F.lower(F.right(text, F.lit(1))).isin("d", "f"), text.try_cast("double"))
-    return F.when(~F.isnan(parsed), parsed)
+    parsed = F.when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text.try_cast("double"))
+    return F.nanvl(parsed, F.lit(None).cast("double"))
 
 
 def amount(c: Column | str) -> Column:

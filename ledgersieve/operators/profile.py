@@ -76,71 +76,67 @@ def charge_scope(df: DataFrame, ctx: Context, fallback: str = "all") -> Column:
 def _metrics(meta: ColumnMeta, scope: Column, ctx: Context) -> list[Column]:
     c, kind = F.col(f"`{meta.staging}`"), meta.sql_type.lower()
     text, filled = strip(c), ~missing(c)
-    bare = F.replace(text, F.lit(","), F.lit(""))
-    none = F.lit(None).cast("bigint")
-
-    def count(condition: Column, applies: bool = True) -> Column:
-        return F.count_if(condition) if applies else none
-
-    dates, times = is_date(kind), kind == "time"
-    shape, when = date_shape(c), moment(c).cast("date")
-    value, numeric = number(c), is_numeric(kind)
-    integer, decimal = kind in _INTEGERS, kind in _DECIMALS
-    sized = kind in ("varchar", "nvarchar", "char") and bool(meta.max_length)
-    domain = rules.DOMAIN_COLUMNS.get(meta.staging)
-    pattern = rules.DOMAIN_PATTERNS[domain][0] if domain else ""
-
-    bad = F.lit(False)
-    if dates:
-        bad = filled & shape.isNull()
-    elif times:
-        bad = filled & ~text.rlike(rules.TIME_SHAPE)
-    elif integer:
-        bad = filled & ~text.rlike(rules.INTEGER_SHAPE)
-    elif decimal:
-        bad = filled & ~bare.rlike(rules.DECIMAL_SHAPE)
-    off_domain = filled & ~text.rlike(pattern) if domain else F.lit(False)
-    wrong = bad | off_domain
-    whole_digits = F.length(F.split_part(F.ltrim(bare, F.lit("-")), F.lit("."), F.lit(1)))
-    room = (meta.precision or 0) - (meta.scale or 0)
-    window = ctx.window if ctx.window and meta.staging == rules.FILTER_DATE.get(ctx.source) else None
-
-    columns = {
+    out: dict[str, Column] = {
         "rows": F.count("*"),
         "scoped_rows": F.count_if(scope),
         "nulls": F.count_if(scope & c.isNull()),
         "missing": F.count_if(scope & missing(c)),
         "filled": F.count_if(filled),
-        "bad_type": count(bad, dates or times or integer or decimal),
-        "digit_overflow": count(filled & (whole_digits > room), decimal and bool(meta.precision) and meta.scale is not None),
-        "int32_overflow": count((value > 2147483647) | (value < -2147483648), kind in ("int", "integer")),
-        "longest": F.max(F.length(c)).cast("bigint") if sized else none,
-        "too_long": count(F.length(c) > (meta.max_length or 0), sized),
-        "off_domain": count(off_domain, bool(domain)),
-        "example_low": F.min(F.when(wrong, text)) if dates or times or integer or decimal or domain else F.lit(None).cast("string"),
-        "example_high": F.max(F.when(wrong, text)) if dates or times or integer or decimal or domain else F.lit(None).cast("string"),
         "placeholders": F.count_if(F.lower(text).isin(rules.PLACEHOLDERS)),
-        "mojibake": count(c.rlike(rules.MOJIBAKE), is_text(kind)),
-        "control": count(c.rlike(rules.CONTROL), is_text(kind)),
-        "dates": count(when.isNotNull(), dates),
-        "dates_impossible": count((when < "1900-01-01") | (when > "2099-12-31"), dates),
-        "dates_epoch": count(when == "1970-01-01", dates),
-        "dates_far_future": count(
-            when > F.add_months(F.to_date(F.lit(f"{ctx.test_month or '2099-12'}-01")), 132), dates and bool(ctx.test_month)
-        ),
-        "dates_outside": count((when < F.lit(window[0])) | (when > F.lit(window[1])), bool(window)) if window else none,
-        "first_date": F.min(when) if dates else F.lit(None).cast("date"),
-        "last_date": F.max(when) if dates else F.lit(None).cast("date"),
-        "numbers": count(value.isNotNull(), numeric),
-        "zeros": count(value == 0, numeric),
-        "negatives": count(value < 0, numeric),
-        "smallest": F.min(value) if numeric else F.lit(None).cast("double"),
-        "largest": F.max(value) if numeric else F.lit(None).cast("double"),
-        "mean": F.avg(value) if numeric else F.lit(None).cast("double"),
-        "deviation": F.stddev_samp(value) if numeric else F.lit(None).cast("double"),
-        "shapes": F.array(*[F.count_if(shape == label) for label, _, _ in DATE_SHAPES]) if dates
-        else F.lit(None).cast("array<bigint>"),
     }
+    bad = None
+    if is_date(kind):
+        shape, when = date_shape(c), moment(c).cast("date")
+        bad = filled & shape.isNull()
+        out |= {
+            "dates": F.count(when),
+            "dates_impossible": F.count_if((when < "1900-01-01") | (when > "2099-12-31")),
+            "dates_epoch": F.count_if(when == "1970-01-01"),
+            "first_date": F.min(when),
+            "last_date": F.max(when),
+            "shapes": F.array(*[F.count_if(shape == label) for label, _, _ in DATE_SHAPES]),
+        }
+        if ctx.test_month:
+            far = F.add_months(F.to_date(F.lit(f"{ctx.test_month}-01")), 132)
+            out["dates_far_future"] = F.count_if(when > far)
+        if ctx.window and meta.staging == rules.FILTER_DATE.get(ctx.source):
+            out["dates_outside"] = F.count_if((when < F.lit(ctx.window[0])) | (when > F.lit(ctx.window[1])))
+    elif kind == "time":
+        bad = filled & ~text.rlike(rules.TIME_SHAPE)
+    elif kind in _INTEGERS:
+        bad = filled & ~text.rlike(rules.INTEGER_SHAPE)
+    elif kind in _DECIMALS:
+        bare = F.replace(text, F.lit(","), F.lit(""))
+        bad = filled & ~bare.rlike(rules.DECIMAL_SHAPE)
+        if meta.precision and meta.scale is not None:
+            whole = F.length(F.split_part(F.ltrim(bare, F.lit("-")), F.lit("."), F.lit(1)))
+            out["digit_overflow"] = F.count_if(filled & (whole > meta.precision - meta.scale))
+    if bad is not None:
+        out["bad_type"] = F.count_if(bad)
+    if is_numeric(kind):
+        value = number(c)
+        out |= {
+            "numbers": F.count(value),
+            "zeros": F.count_if(value == 0),
+            "negatives": F.count_if(value < 0),
+            "smallest": F.min(value),
+            "largest": F.max(value),
+            "mean": F.avg(value),
+            "deviation": F.stddev_samp(value),
+        }
+        if kind in ("int", "integer"):
+            out["int32_overflow"] = F.count_if((value > 2147483647) | (value < -2147483648))
+    if kind in ("varchar", "nvarchar", "char") and meta.max_length:
+        out |= {"longest": F.max(F.length(c)), "too_long": F.count_if(F.length(c) > meta.max_length)}
+    if is_text(kind):
+        out |= {"mojibake": F.count_if(c.rlike(rules.MOJIBAKE)), "control": F.count_if(c.rlike(rules.CONTROL))}
+    domain = rules.DOMAIN_COLUMNS.get(meta.staging)
+    if domain:
+        off = filled & ~text.rlike(rules.DOMAIN_PATTERNS[domain][0])
+        out["off_domain"] = F.count_if(off)
+        bad = off if bad is None else bad | off
+    if bad is not None:
+        out |= {"example_low": F.min(F.when(bad, text)), "example_high": F.max(F.when(bad, text))}
     fixed = {
         "staging_column": meta.staging,
         "sql_type": kind,
@@ -150,12 +146,26 @@ def _metrics(meta: ColumnMeta, scope: Column, ctx: Context) -> list[Column]:
         "scale": meta.scale,
         "domain": domain,
     }
-    types = {"max_length": "int", "precision": "int", "scale": "int"}
-    return [F.lit(v).cast(types.get(k, "string")).alias(k) for k, v in fixed.items()] + [
-        e.alias(k) for k, e in columns.items()
+    named = [F.lit(v).cast("int" if k in ("max_length", "precision", "scale") else "string").alias(k) for k, v in fixed.items()]
+    return named + [
+        (out[k] if k in out else F.lit(None)).cast(kind_).alias(k) for k, kind_ in METRIC_TYPES.items()
     ]
 
 
+# Every column of a file gives all of these; null where the type has no such metric.
+METRIC_TYPES = dict.fromkeys(
+    [
+        "rows", "scoped_rows", "nulls", "missing", "filled", "bad_type", "digit_overflow", "int32_overflow", "longest", "too_long",
+        "off_domain", "placeholders", "mojibake", "control", "dates", "dates_impossible", "dates_epoch", "dates_far_future",
+        "dates_outside", "numbers", "zeros", "negatives",
+    ],
+    "bigint",
+) | {
+    "example_low": "string", "example_high": "string", "first_date": "date", "last_date": "date", "smallest": "double",
+    "largest": "double", "mean": "double", "deviation": "double", "shapes": "array<bigint>",
+}
+
+
 def mapped(df: DataFrame, ctx: Context) -> list[ColumnMeta]:
     return [m for m in ctx.columns if m.staging in df.columns]
 
@@ -189,7 +199,7 @@ def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
         (F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)
     )
     return (
-        counts.join(quartiles, "staging_column")
+        counts.join(F.broadcast(quartiles), "staging_column")  # one row per column of the file
         .groupBy("staging_column")
         .agg(
             F.sum("n").alias("numbers"),

@@ -10,19 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-
-
 def _bucket(value: Column) -> Column:
     """Order-preserving: by sign, then by 16 steps per power of two."""
+    value = value.cast("double")
     step = F.floor(F.log2(F.abs(value)) * 16) + 20000
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * step).cast("int")
+    return F.coalesce(F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * step).cast("int"), F.lit(0))
+
+
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, value, bucket, n``.  Filtered here on every key, so that all uses share one shuffle."""
+    known = F.col(value).isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    return df.where(known).withColumn("bucket", _bucket(F.col(value))).groupBy(*keys, value, "bucket").agg(
+        F.count("*").alias("n")
+    )
 
 
 def from_counts(counts: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per key with a column per named probability, plus ``total``."""
-    counts = counts.withColumn("bucket", _bucket(F.col(value).cast("double")))
     in_order = Window.partitionBy(*keys).orderBy("bucket")
     buckets = (
         counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
