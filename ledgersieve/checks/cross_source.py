@@ -6,6 +6,8 @@ the two sources are never joined to each other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
@@ -483,12 +485,12 @@ def unmatched_departments(payroll: DataFrame, ledger: DataFrame, k: int = 20) ->
     return lost.select("dept", "name", "rows").orderBy(F.desc("rows"), "dept").limit(k)
 
 
-def cross_findings(tables: dict[str, DataFrame], contexts: dict[str, Context]) -> list[DataFrame]:
-    """Findings of every check whose two sources are there."""
+def cross_checks(tables: dict[str, DataFrame], contexts: dict[str, Context]) -> list[Callable[[], DataFrame]]:
+    """One function per check whose two sources are there."""
     if not eligible(list(tables)):
         return []
     billing_source = next((s for s in ("billing_combined", "billing_charges") if s in tables), None)
-    out: list[DataFrame] = []
+    out: list[Callable[[], DataFrame]] = []
     if billing_source:
         billing, ctx = tables[billing_source], contexts[billing_source]
         charges = transactions = None
@@ -497,21 +499,21 @@ def cross_findings(tables: dict[str, DataFrame], contexts: dict[str, Context]) -
         elif "billing_transactions" in tables:
             charges, transactions = billing, tables["billing_transactions"]
         if charges is not None:
-            out += [transaction_match_rate(charges, transactions, ctx), payment_balance(charges, transactions, ctx)]
+            out += [lambda: transaction_match_rate(charges, transactions, ctx), lambda: payment_balance(charges, transactions, ctx)]
         if "gl" in tables:
-            out.append(org_match(billing, tables["gl"], ctx))
+            out.append(lambda: org_match(billing, tables["gl"], ctx))
         if "payroll" in tables:
-            out.append(provider_match(billing, tables["payroll"], ctx))
+            out.append(lambda: provider_match(billing, tables["payroll"], ctx))
         if "scheduling" in tables:
             scheduling = tables["scheduling"]
             out += [
-                billing_scheduling_places(billing, scheduling, ctx), npi_coverage(billing, scheduling, ctx),
-                patient_coverage(billing, scheduling, ctx),
+                lambda: billing_scheduling_places(billing, scheduling, ctx), lambda: npi_coverage(billing, scheduling, ctx),
+                lambda: patient_coverage(billing, scheduling, ctx),
             ]
     if "payroll" in tables and "gl" in tables:
-        out.append(payroll_ledger_departments(tables["payroll"], tables["gl"], contexts["payroll"]))
+        out.append(lambda: payroll_ledger_departments(tables["payroll"], tables["gl"], contexts["payroll"]))
     if "scheduling" in tables and "gl" in tables:
-        out.append(scheduling_ledger_places(tables["scheduling"], tables["gl"], contexts["scheduling"]))
+        out.append(lambda: scheduling_ledger_places(tables["scheduling"], tables["gl"], contexts["scheduling"]))
     return out
 
 

@@ -73,16 +73,21 @@ def skipped(df: DataFrame, ctx: Context, checks: list[Check]) -> DataFrame:
     return emit(df.sparkSession.range(1), ctx, rows)
 
 
-def run_checks(df: DataFrame, ctx: Context, ids: list[str] | None = None) -> DataFrame:
-    """Findings of every check registered for the source, or of the named ones."""
+def check_runs(df: DataFrame, ctx: Context, ids: list[str] | None = None) -> list[Callable[[], DataFrame]]:
+    """What to run for the source, or for the named checks: one function per job."""
     chosen = [c for c in REGISTRY.values() if ctx.source in c.sources and (ids is None or c.id in ids)]
     ready = [c for c in chosen if c.applies(df)]
-    parts = []
+    runs: list[Callable[[], DataFrame]] = []
     by_row = [c for c in ready if c.by_row]
     if by_row:
-        parts.append(run_row_checks(df, ctx, by_row))
-    parts += [c.run(df, ctx) for c in ready if not c.by_row]
+        runs.append(lambda: run_row_checks(df, ctx, by_row))
+    runs += [lambda c=c: c.run(df, ctx) for c in ready if not c.by_row]
     absent = [c for c in chosen if not c.applies(df)]
     if absent:
-        parts.append(skipped(df, ctx, absent))
-    return union(parts)
+        runs.append(lambda: skipped(df, ctx, absent))
+    return runs
+
+
+def run_checks(df: DataFrame, ctx: Context, ids: list[str] | None = None) -> DataFrame:
+    """Findings of every check registered for the source, or of the named ones, as one plan."""
+    return union([run() for run in check_runs(df, ctx, ids)])

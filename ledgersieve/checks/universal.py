@@ -147,17 +147,14 @@ def encoding_findings(profile: DataFrame, ctx: Context) -> DataFrame:
     )])
 
 
-def universal_findings(df: DataFrame, ctx: Context, profile: DataFrame | None = None) -> DataFrame:
-    profile = prof.profile(df, ctx) if profile is None else profile
-    parts = [
-        missing_values(profile, ctx),
-        duplicate_rows(df, ctx),
-        date_findings(profile, ctx),
-        placeholder_findings(df, ctx),
-        encoding_findings(profile, ctx),
-    ]
+def profile_findings(profile: DataFrame, ctx: Context) -> DataFrame:
+    """Missing values, dates and encoding, all from the column profile."""
+    return union([missing_values(profile, ctx), date_findings(profile, ctx), encoding_findings(profile, ctx)])
+
+
+def universal_findings(df: DataFrame, ctx: Context) -> DataFrame:
+    """All universal checks of a table as one plan."""
+    parts = [profile_findings(prof.profile(df, ctx), ctx), duplicate_rows(df, ctx), placeholder_findings(df, ctx)]
     if any(prof.is_numeric(m.sql_type.lower()) for m in prof.mapped(df, ctx)):
         parts.append(numeric_outliers(df, ctx))
     return union(parts)
-
-

@@ -1,11 +1,17 @@
 """The whole review of one submission in one session: files to findings to verdict.
 
-Everything is a lazy DataFrame.  What comes to the driver is metadata only: one
-row per file and one per header.
+What comes to the driver is metadata only: one row per file and one per header.
+Each check's findings are written to the shared work folder as they are ready,
+several checks at a time, so no plan holds more than one check and a lost executor
+costs one check at most.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
@@ -15,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import rules, templates
 from ..checks import conformance, cross_source, universal
 from ..checks.billing import charge_transaction_linkage
-from ..checks.registry import run_checks
+from ..checks.registry import check_runs
 from ..context import ColumnMeta, Context, TransactionTypes
-from ..findings import union
+from ..findings import SCHEMA
 from ..functions.formula import apply_transforms
 from ..functions.text import header_key
 from ..operators import catalog, frequency, issues as iss, months as mon, profile as prof, rollups
@@ -100,6 +106,28 @@ def _settled(metadata: DataFrame) -> DataFrame:
     return metadata.sparkSession.createDataFrame(metadata.collect(), metadata.schema)
 
 
+THREADS = 8  # jobs submitted at a time; Spark shares the executors among them
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster names for checkpoints; a temporary one only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/review-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="review-")
+
+
+def store(spark: SparkSession, builders: list[Callable[[], DataFrame]], folder: str) -> DataFrame:
+    """Build and write every part, then read them back as one table."""
+    def write(numbered: tuple[int, Callable[[], DataFrame]]) -> str:
+        i, build = numbered
+        path = f"{folder}/{i:04d}"
+        build().coalesce(1).write.mode("overwrite").parquet(path)
+        return path
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        paths = list(pool.map(write, enumerate(builders)))
+    return spark.read.schema(", ".join(f"{c} {t}" for c, t in SCHEMA.items())).parquet(*paths)
+
+
 def _column_meta(rows) -> tuple[ColumnMeta, ...]:
     metas, seen = [], set()
     for r in rows:
@@ -150,7 +178,7 @@ def review(
     """Read, map and check every file of a submission.
 
     ``window`` is the expected date range, if one was agreed; ``cache`` keeps the
-    renamed tables and profiles for the jobs that read them again.
+    renamed tables for the jobs that read them again.
     """
     files = extracts.read_submission(spark, directory)
     infos = [info for info, _ in files.values()]
@@ -192,24 +220,37 @@ def review(
         agreed = mon.consensus(months).first()
         test_month = agreed.test_month if agreed else None
     coverage = _settled(catalog.schema_coverage(sources, column_map))
-    parts = [mon.alignment_finding(months, per_file[0][0].for_file(test_month=test_month))]
+    builders: list[Callable[[], DataFrame]] = [
+        lambda: mon.alignment_finding(months, per_file[0][0].for_file(test_month=test_month))
+    ]
     for ctx, df in per_file:
         ctx = ctx.for_file(test_month=test_month)
         contexts[ctx.source] = ctx
-        profile = prof.profile(df, ctx)
-        if cache:
-            profile = profile.persist()
-            cached.append(profile)
-        parts.append(catalog.coverage_findings(coverage, ctx))
-        parts.append(conformance.datatype_findings(profile, ctx))
-        parts.append(universal.universal_findings(df, ctx, profile))
-        if ctx.source in rules.LOGICAL_KEYS:
-            parts.append(universal.logical_key_duplicates(df, ctx))
-        parts.append(run_checks(df, ctx))
+        builders += _file_checks(df, ctx, coverage)
     if {"billing_charges", "billing_transactions"} <= set(tables):
-        parts.append(charge_transaction_linkage(tables["billing_charges"], tables["billing_transactions"], contexts["billing_transactions"]))
-    parts += cross_source.cross_findings(tables, contexts)
+        builders.append(lambda: charge_transaction_linkage(
+            tables["billing_charges"], tables["billing_transactions"], contexts["billing_transactions"]
+        ))
+    builders += cross_source.cross_checks(tables, contexts)
+    findings = store(spark, builders, work_folder(spark))
     return Review(
         client, round_, inventory, sources, column_map, catalog.billing_format(sources), months, coverage,
-        catalog.unrecognised(column_map, refs.structure), union(parts), tables, contexts, cached,
+        catalog.unrecognised(column_map, refs.structure), findings, tables, contexts, cached,
     )
+
+
+def _file_checks(df: DataFrame, ctx: Context, coverage: DataFrame) -> list[Callable[[], DataFrame]]:
+    """The checks of one file: coverage, the three groups that read values, and its source's own."""
+    def by_value() -> DataFrame:
+        profile = prof.profile(df, ctx)
+        return conformance.datatype_findings(profile, ctx).unionByName(universal.profile_findings(profile, ctx))
+
+    builders = [
+        lambda: catalog.coverage_findings(coverage, ctx), by_value,
+        lambda: universal.duplicate_rows(df, ctx), lambda: universal.placeholder_findings(df, ctx),
+    ]
+    if any(prof.is_numeric(m.sql_type.lower()) for m in prof.mapped(df, ctx)):
+        builders.append(lambda: universal.numeric_outliers(df, ctx))
+    if ctx.source in rules.LOGICAL_KEYS:
+        builders.append(lambda: universal.logical_key_duplicates(df, ctx))
+    return builders + check_runs(df, ctx)

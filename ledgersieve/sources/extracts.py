@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -154,11 +155,10 @@ def read_extract(
 
 def read_submission(spark: SparkSession, directory: str, only: list[str] | None = None) -> dict[str, tuple[ExtractFile, DataFrame | None]]:
     """Every file of a submission, or the named ones."""
-    return {
-        name: read_extract(spark, path, name, folder)
-        for name, path, folder in list_files(spark, directory)
-        if only is None or name in only
-    }
+    wanted = [f for f in list_files(spark, directory) if only is None or f[0] in only]
+    with ThreadPoolExecutor(8) as pool:  # one short job per file
+        read = list(pool.map(lambda f: read_extract(spark, f[1], f[0], f[2]), wanted))
+    return {info.name: (info, rows) for info, rows in read}
 
 
 def files_table(spark: SparkSession, files: list[ExtractFile], client: str, round_: str) -> DataFrame:

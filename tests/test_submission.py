@@ -100,7 +100,7 @@ def folders(tmp_path_factory):
 @pytest.fixture(scope="module")
 def result(spark, folders):
     found = review(spark, folders[0], References.read(spark, folders[1]), "acme", "v1")
-    found.findings = found.findings.persist()
+
     return found
 
 
