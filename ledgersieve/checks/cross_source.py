@@ -331,11 +331,11 @@ def patient_coverage(billing: DataFrame, scheduling: DataFrame, ctx: Context) ->
     rows = billing.where(charge_scope(billing, ctx))
     ids = keys.presence(rows, key("PatientId"), scheduling, key("PatIdOrig"))
     zero = F.col("key").rlike(r"^0\d+")
-    flags = ids.agg(
+    flags = ids.agg(F.struct(
         F.coalesce(F.bool_or(zero & (F.col("left_rows") > 0)), F.lit(False)).alias("l"),
         F.coalesce(F.bool_or(zero & (F.col("right_rows") > 0)), F.lit(False)).alias("r"),
-    )
-    marked = ids.withColumns({"lz": flags.select("l").scalar(), "rz": flags.select("r").scalar()})
+    ))
+    marked = ids.withColumn("flags", flags.scalar()).withColumns({"lz": F.col("flags.l"), "rz": F.col("flags.r")})
     bare = strip_zeros("key")
     sides = F.array(
         F.struct(
@@ -354,7 +354,7 @@ def patient_coverage(billing: DataFrame, scheduling: DataFrame, ctx: Context) ->
         F.sum("left_rows").alias("left_rows"), F.sum("right_rows").alias("right_rows"), F.bool_or("stripped").alias("stripped"),
         F.lit(0).cast("decimal(20,4)").alias("left_amount"),
     )
-    m = keys.overlap(again).withColumn("stripped", flags.select(F.col("l") != F.col("r")).scalar())
+    m = keys.overlap(again, F.bool_or("stripped").alias("stripped"))
     return _coverage(m, ctx, "C3c", "Patient IDs", 30, 65, "PatientId", F.col("stripped"))
 
 
@@ -438,13 +438,14 @@ def department_match(payroll: DataFrame, ledger: DataFrame, offset: bool = True)
     marked = departments.join(direct, "dept", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
     if not offset:
         return marked.withColumnRenamed("direct", "matched")
+    # Worth a search only if ids are longer than center numbers and few match as they are.
     need = marked.agg(
         (F.avg(F.length("dept")) > F.coalesce(centers.where(F.col("kind") == "number").agg(F.avg(F.length("key"))).scalar(), F.lit(1e9)) + 1)
         & (F.avg(F.col("direct").cast("double")) < rules.OFFSET_SHARE)
     ).scalar()
-    best = extraction_offset(departments, centers)
-    start = F.when(need, best.select("start").scalar())
-    size = F.when(need, best.select("size").scalar())
+    best = extraction_offset(departments, centers).where(need).select(F.struct("start", "size")).scalar()
+    departments, marked = departments.withColumn("at", best), marked.withColumn("at", best)
+    start, size = F.col("at.start"), F.col("at.size")
     cut = F.when(F.length("dept") >= start + size, norm.substr((start + 1).cast("int"), size.cast("int")))
     by_cut = _hits(departments.where(start.isNotNull()), centers, [("number", cut), ("bare", strip_zeros(cut))])
     return marked.join(by_cut.withColumn("cut_hit", F.lit(True)), "dept", "left").select(

@@ -42,8 +42,8 @@ def _right() -> Column:
     return F.col("right_rows") > 0
 
 
-def overlap(keys: DataFrame) -> DataFrame:
-    """One row: distinct keys per side, shared keys, rows behind them, coverage both ways."""
+def overlap(keys: DataFrame, *more: Column) -> DataFrame:
+    """One row: distinct keys per side, shared keys, rows behind them, coverage both ways, and ``more`` aggregates."""
     both = _left() & _right()
     return keys.agg(
         F.count_if(_left()).alias("left_keys"),
@@ -57,6 +57,7 @@ def overlap(keys: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(both, F.col("right_rows"))), F.lit(0)).alias("right_rows_matched"),
         F.sum(F.when(_left(), F.col("left_amount"))).alias("left_amount"),
         F.sum(F.when(_left() & ~_right(), F.col("left_amount"))).alias("left_amount_unmatched"),
+        *more,
     ).withColumns({
         "left_coverage": percent(F.col("shared_keys"), F.col("left_keys")),
         "right_coverage": percent(F.col("shared_keys"), F.col("right_keys")),

@@ -1,4 +1,4 @@
-"""Column profile of a whole table: one scan, one aggregate, one row per column.
+"""Column profile of a whole table: one scan, one small shuffle, one row per column.
 
 Every rule about single values (missing, malformed, too long, out of domain,
 placeholder, garbled, impossible date) reads this table instead of the data.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
 from ..context import ColumnMeta, Context
-from ..functions.parse import DATE_SHAPES, date_shape, moment, number
+from ..functions.parse import DATE_SHAPES, date_shape, moment_of, number
 from ..functions.text import missing, strip
 from . import quantiles as q
 
@@ -73,48 +73,138 @@ def charge_scope(df: DataFrame, ctx: Context, fallback: str = "all") -> Column:
     return F.lit(True)
 
 
-def _metrics(meta: ColumnMeta, scope: Column, ctx: Context) -> list[Column]:
-    c, kind = F.col(f"`{meta.staging}`"), meta.sql_type.lower()
-    text, filled = strip(c), ~missing(c)
-    out: dict[str, Column] = {
+# What holds for a column's type, as bits of one small number.
+DATE, TIME, WHOLE, DECIMAL, NUMERIC, TEXT, INT32, WINDOWED, SIZED, DOMAIN = (1 << i for i in range(10))
+_DOMAINS = list(rules.DOMAIN_PATTERNS)
+
+
+def _flags(meta: ColumnMeta, ctx: Context) -> int:
+    kind = meta.sql_type.lower()
+    tests = {
+        DATE: is_date(kind),
+        TIME: kind == "time",
+        WHOLE: kind in _INTEGERS,
+        DECIMAL: kind in _DECIMALS,
+        NUMERIC: is_numeric(kind),
+        TEXT: is_text(kind),
+        INT32: kind in ("int", "integer"),
+        WINDOWED: bool(ctx.window) and meta.staging == rules.FILTER_DATE.get(ctx.source),
+        SIZED: kind in ("varchar", "nvarchar", "char") and bool(meta.max_length),
+        DOMAIN: meta.staging in rules.DOMAIN_COLUMNS,
+    }
+    return sum(bit for bit, holds in tests.items() if holds)
+
+
+def _per_column(values: list, kind: str) -> Column:
+    """The i-th of a constant list."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("i"))
+
+
+def _cells(df: DataFrame, metas: list[ColumnMeta], ctx: Context) -> DataFrame:
+    """One row per cell, with what is parsed from it once: text, date, number, shape."""
+    charge = charge_scope(df, ctx, fallback="none")
+    cells = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.col(f"`{m.staging}`").cast("string").alias("v"),
+            (charge if m.staging in rules.CHARGE_ONLY_COLUMNS else F.lit(True)).alias("scope"),
+        )
+        for i, m in enumerate(metas)
+    ])
+    used = {bit for m in metas for bit in (DATE, NUMERIC) if _flags(m, ctx) & bit}
+    rows = df.select(F.inline(cells)).withColumns({
+        "flags": _per_column([_flags(m, ctx) for m in metas], "int"), "t": strip("v"),
+    }).withColumn("filled", F.coalesce(F.col("t") != "", F.lit(False)))
+    none = F.lit(None)
+    rows = rows.withColumn("shape", F.when(_has(DATE), date_shape("t")) if DATE in used else none.cast("string"))
+    return rows.withColumns({
+        "day": moment_of(F.col("t"), F.col("shape")).cast("date") if DATE in used else none.cast("date"),
+        "number": F.when(_has(NUMERIC), number("t")) if NUMERIC in used else none.cast("double"),
+    })
+
+
+def _has(bit: int) -> Column:
+    return F.col("flags").bitwiseAND(F.lit(bit)) != 0
+
+
+def _used(metas: list[ColumnMeta], ctx: Context) -> int:
+    used = 0
+    for m in metas:
+        used |= _flags(m, ctx)
+    return used
+
+
+def _wrong(metas: list[ColumnMeta], ctx: Context) -> tuple[Column, Column]:
+    """Cells that do not have the shape of their type, and cells outside their domain."""
+    used, t, filled = _used(metas, ctx), F.col("t"), F.col("filled")
+    bad = F.lit(False)
+    if used & DATE:
+        bad |= _has(DATE) & filled & F.col("shape").isNull()
+    if used & TIME:
+        bad |= _has(TIME) & filled & ~t.rlike(rules.TIME_SHAPE)
+    if used & WHOLE:
+        bad |= _has(WHOLE) & filled & ~t.rlike(rules.INTEGER_SHAPE)
+    if used & DECIMAL:
+        bad |= _has(DECIMAL) & filled & ~_bare(t).rlike(rules.DECIMAL_SHAPE)
+    off = F.lit(False)
+    if used & DOMAIN:
+        names = [rules.DOMAIN_COLUMNS.get(m.staging) for m in metas]
+        domain = _per_column([_DOMAINS.index(n) if n else None for n in names], "int")
+        for code, name in enumerate(_DOMAINS):
+            if name in names:
+                off |= (domain == code) & filled & ~t.rlike(rules.DOMAIN_PATTERNS[name][0])
+        off = _has(DOMAIN) & off
+    return bad, off
+
+
+def _bare(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit(""))
+
+
+def _metrics(metas: list[ColumnMeta], ctx: Context) -> dict[str, Column]:
+    """Aggregates over the cells of a column; only those some column of the file needs.
+
+    All buffers are numbers, so Spark folds them in a hash table: a minimum of texts
+    would make it sort every cell.
+    """
+    used = _used(metas, ctx)
+    v, t, filled, day, value = (F.col(c) for c in ("v", "t", "filled", "day", "number"))
+    bad, off = _wrong(metas, ctx)
+    out = {
         "rows": F.count("*"),
-        "scoped_rows": F.count_if(scope),
-        "nulls": F.count_if(scope & c.isNull()),
-        "missing": F.count_if(scope & missing(c)),
+        "scoped_rows": F.count_if("scope"),
+        "nulls": F.count_if(F.col("scope") & v.isNull()),
+        "missing": F.count_if(F.col("scope") & ~filled),
         "filled": F.count_if(filled),
-        "placeholders": F.count_if(F.lower(text).isin(rules.PLACEHOLDERS)),
+        "bad_type": F.count_if(bad),
+        "off_domain": F.count_if(off),
+        "placeholders": F.count_if(F.lower(t).isin(rules.PLACEHOLDERS)),
     }
-    bad = None
-    if is_date(kind):
-        shape, when = date_shape(c), moment(c).cast("date")
-        bad = filled & shape.isNull()
+    if used & DECIMAL:
+        whole = F.length(F.split_part(F.ltrim(_bare(t), F.lit("-")), F.lit("."), F.lit(1)))
+        room = _per_column([m.precision - m.scale if m.precision and m.scale is not None else None for m in metas], "int")
+        out["digit_overflow"] = F.count_if(_has(DECIMAL) & filled & (whole > room))
+    if used & SIZED:
+        limit = _per_column([m.max_length for m in metas], "int")
+        out["longest"] = F.max(F.when(_has(SIZED), F.length(v)))
+        out["too_long"] = F.count_if(_has(SIZED) & (F.length(v) > limit))
+    if used & TEXT:
+        # Every trace of a wrong character set is outside ASCII, so plain text is not searched.
+        out["mojibake"] = F.count_if(_has(TEXT) & (F.octet_length(v) > F.length(v)) & v.rlike(rules.MOJIBAKE))
+        out["control"] = F.count_if(_has(TEXT) & v.rlike(rules.CONTROL))
+    if used & DATE:
         out |= {
-            "dates": F.count(when),
-            "dates_impossible": F.count_if((when < "1900-01-01") | (when > "2099-12-31")),
-            "dates_epoch": F.count_if(when == "1970-01-01"),
-            "first_date": F.min(when),
-            "last_date": F.max(when),
-            "shapes": F.array(*[F.count_if(shape == label) for label, _, _ in DATE_SHAPES]),
+            "dates": F.count(day),
+            "dates_impossible": F.count_if((day < "1900-01-01") | (day > "2099-12-31")),
+            "dates_epoch": F.count_if(day == "1970-01-01"),
+            "first_date": F.min(day),
+            "last_date": F.max(day),
+            "shapes": F.array(*[F.count_if(F.col("shape") == label) for label, _, _ in DATE_SHAPES]),
         }
         if ctx.test_month:
-            far = F.add_months(F.to_date(F.lit(f"{ctx.test_month}-01")), 132)
-            out["dates_far_future"] = F.count_if(when > far)
-        if ctx.window and meta.staging == rules.FILTER_DATE.get(ctx.source):
-            out["dates_outside"] = F.count_if((when < F.lit(ctx.window[0])) | (when > F.lit(ctx.window[1])))
-    elif kind == "time":
-        bad = filled & ~text.rlike(rules.TIME_SHAPE)
-    elif kind in _INTEGERS:
-        bad = filled & ~text.rlike(rules.INTEGER_SHAPE)
-    elif kind in _DECIMALS:
-        bare = F.replace(text, F.lit(","), F.lit(""))
-        bad = filled & ~bare.rlike(rules.DECIMAL_SHAPE)
-        if meta.precision and meta.scale is not None:
-            whole = F.length(F.split_part(F.ltrim(bare, F.lit("-")), F.lit("."), F.lit(1)))
-            out["digit_overflow"] = F.count_if(filled & (whole > meta.precision - meta.scale))
-    if bad is not None:
-        out["bad_type"] = F.count_if(bad)
-    if is_numeric(kind):
-        value = number(c)
+            out["dates_far_future"] = F.count_if(day > F.add_months(F.to_date(F.lit(f"{ctx.test_month}-01")), 132))
+        if ctx.window:
+            out["dates_outside"] = F.count_if(_has(WINDOWED) & ((day < F.lit(ctx.window[0])) | (day > F.lit(ctx.window[1]))))
+    if used & NUMERIC:
         out |= {
             "numbers": F.count(value),
             "zeros": F.count_if(value == 0),
@@ -123,35 +213,18 @@ def _metrics(meta: ColumnMeta, scope: Column, ctx: Context) -> list[Column]:
             "largest": F.max(value),
             "mean": F.avg(value),
             "deviation": F.stddev_samp(value),
+            "int32_overflow": F.count_if(_has(INT32) & ((value > 2147483647) | (value < -2147483648))),
         }
-        if kind in ("int", "integer"):
-            out["int32_overflow"] = F.count_if((value > 2147483647) | (value < -2147483648))
-    if kind in ("varchar", "nvarchar", "char") and meta.max_length:
-        out |= {"longest": F.max(F.length(c)), "too_long": F.count_if(F.length(c) > meta.max_length)}
-    if is_text(kind):
-        out |= {"mojibake": F.count_if(c.rlike(rules.MOJIBAKE)), "control": F.count_if(c.rlike(rules.CONTROL))}
-    domain = rules.DOMAIN_COLUMNS.get(meta.staging)
-    if domain:
-        off = filled & ~text.rlike(rules.DOMAIN_PATTERNS[domain][0])
-        out["off_domain"] = F.count_if(off)
-        bad = off if bad is None else bad | off
-    if bad is not None:
-        out |= {"example_low": F.min(F.when(bad, text)), "example_high": F.max(F.when(bad, text))}
-    fixed = {
-        "staging_column": meta.staging,
-        "sql_type": kind,
-        "level": ctx.levels().get(meta.staging, meta.level),
-        "max_length": meta.max_length,
-        "precision": meta.precision,
-        "scale": meta.scale,
-        "domain": domain,
-    }
-    named = [F.lit(v).cast("int" if k in ("max_length", "precision", "scale") else "string").alias(k) for k, v in fixed.items()]
-    return named + [
-        (out[k] if k in out else F.lit(None)).cast(kind_).alias(k) for k, kind_ in METRIC_TYPES.items()
-    ]
+    return out
 
 
+# The bit a column must have for a metric to say anything about it.
+APPLIES = {
+    "digit_overflow": DECIMAL, "int32_overflow": INT32, "longest": SIZED, "too_long": SIZED, "off_domain": DOMAIN,
+    "mojibake": TEXT, "control": TEXT, "dates": DATE, "dates_impossible": DATE, "dates_epoch": DATE, "dates_far_future": DATE,
+    "dates_outside": WINDOWED, "shapes": DATE, "numbers": NUMERIC, "zeros": NUMERIC, "negatives": NUMERIC,
+    "bad_type": DATE | TIME | WHOLE | DECIMAL,
+}
 # Every column of a file gives all of these; null where the type has no such metric.
 METRIC_TYPES = dict.fromkeys(
     [
@@ -161,7 +234,7 @@ METRIC_TYPES = dict.fromkeys(
     ],
     "bigint",
 ) | {
-    "example_low": "string", "example_high": "string", "first_date": "date", "last_date": "date", "smallest": "double",
+    "first_date": "date", "last_date": "date", "smallest": "double",
     "largest": "double", "mean": "double", "deviation": "double", "shapes": "array<bigint>",
 }
 
@@ -171,13 +244,42 @@ def mapped(df: DataFrame, ctx: Context) -> list[ColumnMeta]:
 
 
 def profile(df: DataFrame, ctx: Context) -> DataFrame:
-    """One row per mapped column of ``df``; ``ctx.columns`` says what each should hold."""
-    charge = charge_scope(df, ctx, fallback="none")
-    structs = [
-        F.struct(*_metrics(m, charge if m.staging in rules.CHARGE_ONLY_COLUMNS else F.lit(True), ctx))
-        for m in mapped(df, ctx)
-    ]
-    return df.agg(F.array(*structs).alias("c")).select(F.inline("c"))
+    """One row per mapped column of ``df``; ``ctx.columns`` says what each should hold.
+
+    Cells become rows inside the scan's stage and are folded there, one group per
+    column, so what is shuffled is one row per column and task.
+    """
+    metas = mapped(df, ctx)
+    levels = ctx.levels()
+    measured = _metrics(metas, ctx)
+    folded = _cells(df, metas, ctx).groupBy("i").agg(*[e.alias(k) for k, e in measured.items()])
+    folded = folded.withColumn("flags", _per_column([_flags(m, ctx) for m in metas], "int"))
+    fixed = {
+        "staging_column": ([m.staging for m in metas], "string"),
+        "sql_type": ([m.sql_type.lower() for m in metas], "string"),
+        "level": ([levels.get(m.staging, m.level) for m in metas], "string"),
+        "max_length": ([m.max_length for m in metas], "int"),
+        "precision": ([m.precision for m in metas], "int"),
+        "scale": ([m.scale for m in metas], "int"),
+        "domain": ([rules.DOMAIN_COLUMNS.get(m.staging) for m in metas], "string"),
+    }
+
+    def metric(name: str) -> Column:
+        value = F.col(name) if name in measured else F.lit(None)
+        return F.when(_has(APPLIES[name]), value) if name in APPLIES and name in measured else value
+
+    return folded.select(
+        *[_per_column(*spec).alias(name) for name, spec in fixed.items()],
+        *[metric(name).cast(kind).alias(name) for name, kind in METRIC_TYPES.items()],
+    )
+
+
+def bad_examples(df: DataFrame, ctx: Context) -> DataFrame:
+    """``staging_column, example_low, example_high`` over malformed cells only."""
+    metas = mapped(df, ctx)
+    bad, off = _wrong(metas, ctx)
+    wrong = _cells(df, metas, ctx).where(bad | off).groupBy("i").agg(F.min("t").alias("example_low"), F.max("t").alias("example_high"))
+    return wrong.select(_per_column([m.staging for m in metas], "string").alias("staging_column"), "example_low", "example_high")
 
 
 def _long(df: DataFrame, columns: list[str], value, name: str = "value") -> DataFrame:
@@ -212,8 +314,10 @@ def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def placeholder_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``staging_column, value, n`` of dummy values; at most one row per literal and spelling."""
-    found = _long(df, columns, strip).where(F.lower("value").isin(rules.PLACEHOLDERS))
-    return found.groupBy("staging_column", "value").agg(F.count("*").alias("n"))
-
+    """``staging_column, value, n`` of dummy values; at most one row per literal and spelling.
 
+    Cells are tested before they become rows, so a clean table yields no rows to shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("staging_column"), strip(F.col(f"`{c}`")).alias("value")) for c in columns])
+    dummy = F.filter(cells, lambda cell: F.lower(cell["value"]).isin(rules.PLACEHOLDERS))
+    return df.select(F.inline(dummy)).groupBy("staging_column", "value").agg(F.count("*").alias("n"))

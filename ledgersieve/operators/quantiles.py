@@ -1,7 +1,7 @@
 """Exact quantiles with linear interpolation, without a group in one task.
 
 Values are first collapsed to counts (combined on the map side), then split into
-buckets of about 4 % of their magnitude.  Running totals over buckets show which
+buckets of less than a tenth of a percent of their magnitude.  Running totals over buckets show which
 buckets hold a wanted rank; only those are sorted, one bucket per task.
 """
 
@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving: by sign, then by 16 steps per power of two."""
+    """Order-preserving: by sign, then by 1024 steps per power of two."""
     value = value.cast("double")
-    step = F.floor(F.log2(F.abs(value)) * 16) + 20000
+    step = F.floor(F.log2(F.abs(value)) * 1024) + 1200000
     return F.coalesce(F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * step).cast("int"), F.lit(0))
 
 

@@ -243,7 +243,8 @@ def _file_checks(df: DataFrame, ctx: Context, coverage: DataFrame) -> list[Calla
     """The checks of one file: coverage, the three groups that read values, and its source's own."""
     def by_value() -> DataFrame:
         profile = prof.profile(df, ctx)
-        return conformance.datatype_findings(profile, ctx).unionByName(universal.profile_findings(profile, ctx))
+        datatypes = conformance.datatype_findings(profile, ctx, prof.bad_examples(df, ctx))
+        return datatypes.unionByName(universal.profile_findings(profile, ctx))
 
     builders = [
         lambda: catalog.coverage_findings(coverage, ctx), by_value,

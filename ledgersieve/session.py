@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM leaves methods above 8000 bytes uncompiled; wide profiles would run interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Recording the Python line of every column expression costs more than the plans themselves.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
