@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgersieve.llm import quality
+from ledgersieve.llm import mixing, quality
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -52,3 +52,8 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "failed_bits",
     )
+
+
+@query("op10_source_mix")
+def source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents", "doc_id", "text", "source"))
