@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import decontaminate
+from ledgersieve.llm import decontaminate, simhash
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -50,3 +50,9 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@query("op3_simhash")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.components(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
