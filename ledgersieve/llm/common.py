@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,3 +50,15 @@ def bucket_of(n: int, *columns: Column) -> Column:
 def null_safe_key(column: Column) -> Column:
     """A text that is empty for null and starts with ``=`` otherwise, for joins and windows."""
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit(""))
+
+
+def slices(batches, at: int, limit: int = 1 << 20):
+    """Arrow batches cut so that the texts of one piece hold about ``limit`` bytes; longer texts stand alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        start = 0
+        while start < batch.num_rows:
+            held = np.cumsum(sizes[start:])
+            stop = start + max(1, int(np.searchsorted(held, limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import decontaminate, simhash
+from ledgersieve.llm import decontaminate, language, simhash
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -56,3 +56,12 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(table(spark, folder, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op2_language_mixture")
+def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = language.fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.filter(~held_out))
+    found = language.identified(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
