@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import decontaminate, language, simhash
+from ledgersieve.llm import decontaminate, language, simhash, toxicity
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -65,3 +65,11 @@ def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.filter(~held_out))
     found = language.identified(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+@query("op8_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    held_out = language.fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels", "doc_id", "toxic").filter(~held_out)
+    return toxicity.scored(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
