@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgersieve.llm import mixing, quality
+from ledgersieve.llm import mixing, quality, secrets
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -57,3 +58,56 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_source_mix")
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
+def _span_sql(kind: str, place: int, pattern: str, keep: str) -> str:
+    """Spans of one kind: the pieces between the matches and the matches give the places."""
+    p = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, {place} AS place, s AS start, s + length(m) AS "end"
+  FROM (
+    SELECT doc_id, found[i] AS m,
+           CAST(list_sum(list_transform(pieces[1:i], lambda x: length(x)))
+             + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+    FROM (
+      SELECT doc_id, found, pieces, unnest(range(1, len(found) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS found, string_split_regex(text, '{p}') AS pieces
+            FROM documents WHERE regexp_matches(text, '{p}'))
+    )
+  ) WHERE {keep}"""
+
+
+def _secrets_sql() -> str:
+    rules = secrets.RULES[secrets.CURRENT]
+    parts = []
+    for place, rule in enumerate(rules):
+        p = rule.pattern.replace("'", "''")
+        measured = f"regexp_extract(m, '{p}', {rule.group})" if rule.group else "m"
+        parts.append(_span_sql(rule.kind, place, rule.pattern, f"length({measured}) >= {rule.least}"))
+    base = "kind IN ('assign', 'access', 'hex')"
+    text = "kind || ':' || start || ':' || \"end\""
+    return f"""
+WITH s AS ({' UNION ALL '.join(parts)}
+), g AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg({text}, ',' ORDER BY start, place) FILTER ({base}) AS base,
+         string_agg({text}, ',' ORDER BY start, place) AS spans
+  FROM s GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
+@query("op9_secrets", _secrets_sql())
+def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = secrets.findings(docs, secrets.updated(docs))
+    count = {k: F.size(secrets.of_kinds(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in secrets.BASE}
+    base = secrets.listed(secrets.of_kinds(F.col("spans"), *secrets.BASE))
+    return found.select(
+        F.col("path").alias("doc_id"), *count.values(), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"),
+    )
