@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import mixing, quality, secrets
+from ledgersieve.llm import mixing, pii, quality, secrets
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -111,3 +111,8 @@ def secret_spans(spark: SparkSession, folder: str) -> DataFrame:
         F.col("path").alias("doc_id"), *count.values(), F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query("op6_surrogates")
+def surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replaced(table(spark, folder, "documents", "doc_id", "text"), count_col="n_entities")
