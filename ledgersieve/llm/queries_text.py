@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import decontaminate, language, simhash, toxicity
+from ledgersieve.llm import decontaminate, html, language, simhash, toxicity
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -73,3 +73,8 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
     held_out = language.fold(F.col("doc_id"), 5) == 0
     labels = table(spark, folder, "labels", "doc_id", "toxic").filter(~held_out)
     return toxicity.scored(docs, toxicity.fit(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_html")
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
