@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import decontaminate, html, language, simhash, toxicity
+from ledgersieve.llm import decontaminate, html, language, repeats, simhash, toxicity
 from ledgersieve.llm.common import table
 from ledgersieve.llm.registered import query
 
@@ -78,3 +78,8 @@ def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_html")
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op5_repeated_strings")
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
