@@ -294,7 +294,8 @@ def decontaminate(
     """
     text_col = options.get("text_col", "text")
     found = match(docs, benchmark, **options)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -304,9 +305,9 @@ def decontaminate(
             for text, start, end in zip(texts, starts, ends, strict=True):
                 spans = [s for s in zip(start.as_py(), end.as_py(), strict=True) if s[1] - s[0] >= min_span]
                 cleaned.append(_without(text.as_py(), spans) if spans else text.as_py())
-            columns = [batch.column(i) for i in range(len(docs.columns))]
+            columns = [batch.column(i) for i in range(len(names))]
             columns[at] = pa.array(cleaned, texts.type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     hit = F.aggregate(
         F.zip_with("hit_ends", "hit_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda total, n: total + n

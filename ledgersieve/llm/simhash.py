@@ -262,13 +262,18 @@ def component_of(made: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component: that with the smallest id, once.
 
-    Documents without an id stay only where no document of their component has one.
+    Of documents without an id one stays per fingerprint, where no document of their component has an id.
     """
+    names = docs.columns
+    made = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    made = stored(made.select("doc_id", "fp"), "simhash-prints")
+    of = component_of(made)
     kept = (
-        components(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id"))
-        .select(F.col("doc_id").alias("kept_id")).distinct()
+        made.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     )
     chosen = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
-    names = docs.columns
-    once = chosen.withColumn("kept_row", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    return once.filter("kept_row = 1").select(*names)
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    once = chosen.withColumn("kept_row", F.row_number().over(order)).filter("kept_row = 1").select(*names)
+    nameless = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, "kept_print")
+    alone = of.filter(F.col("component_id").isNull()).select(F.col("fp").alias("kept_print"))
+    return once.unionByName(nameless.join(alone, "kept_print", "left_semi").dropDuplicates(["kept_print"]).select(*names))
