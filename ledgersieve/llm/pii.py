@@ -43,16 +43,18 @@ GIVEN = {
 
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _NAMES = "|".join(n for g in GIVEN.values() for n in g)
+#: Titles and names start with one of these; most places of a text fail here at once.
+_INITIAL = "(?=[A-ZÀ-ÞА-Яа-я])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d|\.\d)|\+\d{8,15}(?!\d)"
              r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "person": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+|(?:{_NAMES})(?![\p{{L}}\p{{N}}]))",
+    "person": rf"{_INITIAL}(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+|(?:{_NAMES})(?![\p{{L}}\p{{N}}]))",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -209,7 +211,7 @@ def _written(kind: Column, found: Column, norm: Column) -> Column:
 
 def _maybe(text: Column) -> Column:
     """Texts that could hold an entity: a cheap test that most texts fail."""
-    return text.rlike(rf"[@0-9]|(?:{_TITLE})\.? \p{{Lu}}|(?:{_NAMES})")
+    return text.rlike(rf"[@0-9]|{_INITIAL}(?:(?:{_TITLE})\.? \p{{Lu}}|{_NAMES})")
 
 
 def _holds(text: Column) -> Column:
