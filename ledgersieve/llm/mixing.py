@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ledgersieve.llm.common import bucket_of, null_safe_key, stored, words
 
-BLOCK_WORDS = 16
+#: Words per block.  A quota is off by half a block per shard, so small blocks bring small sources near their targets too.
+BLOCK_WORDS = 4
 SHARD_WORDS = 1_000_000
 BUCKETS = 4096
 CAP = 3
