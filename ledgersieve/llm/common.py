@@ -43,6 +43,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front of those that the columns have already (in any case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bucket_of(n: int, *columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 

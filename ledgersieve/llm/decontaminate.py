@@ -23,10 +23,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgersieve.llm.common import unused
+
 WINDOW = 10
 #: Words of the benchmark that one broadcast automaton holds.
 PART_WORDS = 200_000
@@ -41,7 +43,8 @@ _FOLD = bytes(
 )
 _WORD_BYTES = re.compile(rb"[^\x20]+")
 
-HITS = "n_words bigint, hit_starts array<int>, hit_ends array<int>, hit_items array<string>"
+HITS = ("n_words", "hit_starts", "hit_ends", "hit_items")
+_HIT_TYPES = ("bigint", "array<int>", "array<int>", "array<string>")
 
 
 def tokens(text: bytes | str | None) -> list[bytes]:
@@ -223,20 +226,27 @@ def _parts(benchmark: DataFrame, window: int, id_col: str, text_col: str, part_w
         yield Automaton(batch, window)
 
 
-def _hit_schema(df: DataFrame) -> T.StructType:
-    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(HITS).fields])
+def _hit_schema(df: DataFrame, names: list[str]) -> T.StructType:
+    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in zip(names, _HIT_TYPES, strict=True)))
+    return T.StructType([*df.schema.fields, *added.fields])
+
+
+def n_hit(names: list[str] | tuple[str, ...] = HITS) -> Column:
+    """Number of hit words."""
+    lengths = F.zip_with(names[2], names[1], lambda end, start: end - start)
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
 def match(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id_col: str = "item_id",
-    item_text_col: str = "text", part_words: int = PART_WORDS,
+    item_text_col: str = "text", part_words: int = PART_WORDS, names: list[str] | tuple[str, ...] = HITS,
 ) -> DataFrame:
     """The documents with ``n_words`` and the hits: word ranges (end exclusive) and sorted item ids.
 
     Works in the tasks that read the documents; nothing is shuffled.  Columns of the input that
     have one of these names are replaced.
     """
-    names = [f.name for f in T.StructType.fromDDL(HITS).fields]
+    names = list(names)
     docs = docs.drop(*[c for c in docs.columns if c in names])
     at = docs.columns.index(text_col)
     out = docs
@@ -269,7 +279,7 @@ def match(
                     names=[*kept_names, *names],
                 )
 
-        out = out.mapInArrow(run, _hit_schema(docs))
+        out = out.mapInArrow(run, _hit_schema(docs, names))
     return out
 
 
@@ -293,8 +303,9 @@ def decontaminate(
     The columns are those of the input.
     """
     text_col = options.get("text_col", "text")
-    found = match(docs, benchmark, **options)
     names = docs.columns
+    hits = unused(names, *HITS)
+    found = match(docs, benchmark, names=hits, **options)
     at = names.index(text_col)
 
     def run(batches):
@@ -309,8 +320,5 @@ def decontaminate(
             columns[at] = pa.array(cleaned, texts.type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    hit = F.aggregate(
-        F.zip_with("hit_ends", "hit_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda total, n: total + n
-    )
-    light = found.filter((F.size("hit_starts") == 0) | (hit <= max_coverage * F.col("n_words")))
+    light = found.filter((F.size(hits[1]) == 0) | (n_hit(hits) <= max_coverage * F.col(hits[0])))
     return light.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgersieve.llm.common import slices
+from ledgersieve.llm.common import slices, unused
 
 BUCKETS = 1 << 16
 #: Labelled rows per language that training reads, in expectation.
@@ -196,10 +196,14 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
     return Model(languages, counts.reshape(len(languages), BUCKETS))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+ADDED = ("lang_pred", "score", "languages", "shares", "fit")
+_TYPES = ("string", "double", "array<string>", "array<double>", "double")
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text", names: list[str] | tuple[str, ...] = ADDED) -> DataFrame:
     """Adds ``lang_pred``, ``score`` (share of that language), ``languages`` and ``shares`` (the chosen set), ``fit``."""
-    added = T.StructType.fromDDL("lang_pred string, score double, languages array<string>, shares array<double>, fit double")
-    names = [f.name for f in added.fields]
+    names = list(names)
+    added = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in zip(names, _TYPES, strict=True)))
     docs = docs.drop(*[c for c in docs.columns if c in names])
     at = docs.columns.index(text_col)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -210,18 +214,21 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
             texts = batch.column(at)
             share, fitted = model.mixtures(texts)
             letters = [_has_letter(t.as_py()) for t in texts.cast(pa.binary())]
-            out = {n: [] for n in names}
+            pred, score, chosen, shares, fits = [], [], [], [], []
             for row, letter, value in zip(share, letters, fitted, strict=True):
                 if letter and not row.any() and model.languages:
                     row = np.full(len(row), 1 / len(row))
                 known = letter and row.any()
                 order = [int(i) for i in np.argsort(-row, kind="stable") if row[i] > 0] if known else []
-                out["lang_pred"].append(model.languages[order[0]] if known else UNKNOWN)
-                out["score"].append(float(min(row[order[0]], 1.0)) if known else 0.0)
-                out["languages"].append([model.languages[i] for i in order])
-                out["shares"].append([float(row[i]) for i in order])
-                out["fit"].append(float(value) if known else None)
-            arrays = [pa.array(out[f.name], t) for f, t in zip(added.fields, (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64()), strict=True)]
+                pred.append(model.languages[order[0]] if known else UNKNOWN)
+                score.append(float(min(row[order[0]], 1.0)) if known else 0.0)
+                chosen.append([model.languages[i] for i in order])
+                shares.append([float(row[i]) for i in order])
+                fits.append(float(value) if known else None)
+            arrays = [
+                pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.list_(pa.string())),
+                pa.array(shares, pa.list_(pa.float64())), pa.array(fits, pa.float64()),
+            ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
@@ -234,5 +241,6 @@ def fold(id_col: Column, folds: int) -> Column:
 
 def accepted(docs: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents, with their own columns, that have a language which makes up ``least`` of them."""
-    found = identified(docs, model, text_col)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    names = unused(docs.columns, *ADDED)
+    found = identified(docs, model, text_col, names)
+    return found.filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)

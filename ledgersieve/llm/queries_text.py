@@ -43,9 +43,7 @@ FROM lower_d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text")
     found = decontaminate.match(docs, table(spark, folder, "benchmark", "item_id", "text"))
-    n_hit = F.aggregate(
-        F.zip_with("hit_ends", "hit_starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda total, n: total + n
-    )
+    n_hit = decontaminate.n_hit()
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),

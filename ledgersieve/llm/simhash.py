@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgersieve.llm.common import stored
+from ledgersieve.llm.common import stored, unused
 from ledgersieve.llm.components import connected
 
 RADIUS = 3
@@ -268,12 +268,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     made = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     made = stored(made.select("doc_id", "fp"), "simhash-prints")
     of = component_of(made)
-    kept = (
-        made.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    )
-    chosen = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+    kept_id, row, mark = unused(names, "kept_id", "kept_row", "kept_print")
+    kept = made.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_id)).distinct()
+    chosen = docs.join(kept, docs[id_col] == kept[kept_id], "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    once = chosen.withColumn("kept_row", F.row_number().over(order)).filter("kept_row = 1").select(*names)
-    nameless = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, "kept_print")
-    alone = of.filter(F.col("component_id").isNull()).select(F.col("fp").alias("kept_print"))
-    return once.unionByName(nameless.join(alone, "kept_print", "left_semi").dropDuplicates(["kept_print"]).select(*names))
+    once = chosen.withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*names)
+    nameless = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, mark)
+    alone = of.filter(F.col("component_id").isNull()).select(F.col("fp").alias(mark))
+    return once.unionByName(nameless.join(alone, mark, "left_semi").dropDuplicates([mark]).select(*names))
