@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgersieve.llm import decontaminate, language, mixing, pii, simhash
-from ledgersieve.llm.common import stored, table
+from ledgersieve.llm.common import stored, table, unused
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -43,7 +43,9 @@ def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mixed(docs, carry=True).filter(F.col("taken") > 0)
-    return mixed.select("doc.*", *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken")])
+    figures = ("size", "source_size", "target", "taken")
+    names = unused(docs.columns, *[f"mix_{c}" for c in figures])
+    return mixed.select("doc.*", *[F.col(c).alias(n) for c, n in zip(figures, names, strict=True)])
 
 
 STAGES: list[tuple[str, Stage]] = [
