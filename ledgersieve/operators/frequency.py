@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.classify import Rules, classify
 from ..functions.text import as_col, present, strip
+from ..rules import ID_LIKE_SHARE
 
 
 def frequencies(df: DataFrame, value: Column | str, *, blanks: bool = False) -> DataFrame:
@@ -61,18 +62,19 @@ def shape_facts(df: DataFrame, value: str) -> DataFrame:
     )
 
 
-def id_like(df: DataFrame, value: str) -> DataFrame:
-    """One row: shares of the three code shapes among filled values, and the verdict."""
-    text = strip(value)
-    no_blank = ~text.contains(" ")
-    filled = present(value)
-    shares = df.agg(
-        F.count_if(filled).alias("filled"),
-        F.count_if(filled & text.rlike(r"^\d[\d\-.]*$")).alias("code_rows"),
-        F.count_if(filled & (F.length(text) <= 12) & no_blank & text.rlike(r"[\d_\-.]")).alias("short_rows"),
-        F.count_if(filled & no_blank & text.contains("_") & text.rlike(r"\d")).alias("compound_rows"),
-    )
-    best = F.greatest("code_rows", "short_rows", "compound_rows")
-    from ..rules import ID_LIKE_SHARE
+def id_like_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column (``raw``) the shares of the three code shapes among filled values, and the verdict; one aggregate."""
+    def facts(column: str) -> Column:
+        text, filled = strip(as_col(column)), present(as_col(column))
+        no_blank = ~text.contains(" ")
+        return F.struct(
+            F.lit(column).alias("raw"),
+            F.count_if(filled).alias("filled"),
+            F.count_if(filled & text.rlike(r"^\d[\d\-.]*$")).alias("code_rows"),
+            F.count_if(filled & (F.length(text) <= 12) & no_blank & text.rlike(r"[\d_\-.]")).alias("short_rows"),
+            F.count_if(filled & no_blank & text.contains("_") & text.rlike(r"\d")).alias("compound_rows"),
+        )
 
-    return shares.withColumn("id_like", F.coalesce(F.try_divide(best, "filled") >= ID_LIKE_SHARE, F.lit(False)))
+    rows = df.agg(F.array(*[facts(c) for c in columns]).alias("facts")).select(F.inline("facts"))
+    best = F.greatest("code_rows", "short_rows", "compound_rows")
+    return rows.withColumn("id_like", F.coalesce(F.try_divide(best, "filled") >= ID_LIKE_SHARE, F.lit(False)))

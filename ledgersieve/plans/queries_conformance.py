@@ -280,11 +280,7 @@ def id_like_columns(spark, folder) -> DataFrame:
     part = b.table(spark, folder, "part").select(
         "p_name", "p_brand", b.text("p_partkey").alias("p_partkey"), F.concat("p_type", F.lit("_"), "p_brand", F.lit("_0000000000")).alias("p_code")
     )
-    out = None
-    for c in part.columns:
-        one = frequency.id_like(part, c).select(F.lit(c).alias("staging_column"), "filled", "code_rows", "short_rows", "compound_rows", "id_like")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return frequency.id_like_columns(part, part.columns).withColumnRenamed("raw", "staging_column")
 
 
 # Formulas over one column, and the same in plain SQL.

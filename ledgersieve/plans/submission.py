@@ -8,7 +8,6 @@ costs one check at most.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -65,7 +64,6 @@ class Review:
     findings: DataFrame
     tables: dict[str, DataFrame]
     contexts: dict[str, Context]
-    cached: list[DataFrame] = field(default_factory=list)
 
     @property
     def issues(self) -> DataFrame:
@@ -96,10 +94,6 @@ class Review:
     def providers(self) -> DataFrame:
         return rollups.providers(self.tables, self.contexts)
 
-    def close(self) -> None:
-        for df in self.cached:
-            df.unpersist()
-
 
 def _settled(metadata: DataFrame) -> DataFrame:
     """Run a metadata query once (a row per file or per header) and keep its rows as a local table."""
@@ -109,10 +103,12 @@ def _settled(metadata: DataFrame) -> DataFrame:
 THREADS = 8  # jobs submitted at a time; Spark shares the executors among them
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names for checkpoints; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/review-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="review-")
+def work_folder(spark: SparkSession, shared: str | None) -> str:
+    """A new folder below one that driver and executors share: the given one, or that of ``spark.checkpoint.dir``."""
+    base = shared or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("a review needs a folder that all executors share: pass work=, or set spark.checkpoint.dir")
+    return f"{base.rstrip('/')}/review-{uuid.uuid4().hex}"
 
 
 def store(spark: SparkSession, builders: list[Callable[[], DataFrame]], folder: str) -> DataFrame:
@@ -120,7 +116,7 @@ def store(spark: SparkSession, builders: list[Callable[[], DataFrame]], folder:
     def write(numbered: tuple[int, Callable[[], DataFrame]]) -> str:
         i, build = numbered
         path = f"{folder}/{i:04d}"
-        build().coalesce(1).write.mode("overwrite").parquet(path)
+        build().write.mode("overwrite").parquet(path)
         return path
 
     with ThreadPoolExecutor(THREADS) as pool:
@@ -154,15 +150,12 @@ def map_columns(spark: SparkSession, files: dict, sources: DataFrame, refs: Refe
     columns = extracts.columns_table(spark, infos).join(sources, "file").withColumn("staging_table", catalog.staging_table(F.col("source")))
     mapping = catalog.map_headers(columns, refs.aliases)
     org = [*rules.ORG_NAME_TO_ID, *rules.ORG_NAME_TO_ID.values()]
-    probes = mapping.where(F.col("staging").isin(org)).select("file", "raw").collect()  # at most six per file
-    facts = [
-        frequency.id_like(files[r.file][1].select(F.col(f"`{r.raw}`").alias("v")), "v").select(
-            F.lit(r.file).alias("file"), F.lit(r.raw).alias("raw"), "id_like"
-        )
-        for r in probes
-    ]
+    probes: dict[str, list[str]] = {}
+    for r in mapping.where(F.col("staging").isin(org)).select("file", "raw").distinct().collect():  # at most six per file
+        probes.setdefault(r.file, []).append(r.raw)
+    facts = [frequency.id_like_columns(files[file][1], raws).withColumn("file", F.lit(file)) for file, raws in probes.items()]
     if facts:
-        mapping = catalog.reroute(mapping, reduce(DataFrame.unionByName, facts))
+        mapping = catalog.reroute(mapping, reduce(DataFrame.unionByName, facts).select("file", "raw", "id_like"))
     by_header = _header_mapping(columns).select("file", "raw", "headers")
     mapping = mapping.join(by_header, ["file", "raw"], "left").withColumn(
         "staging_cols", F.coalesce("headers", "staging_cols")
@@ -173,26 +166,26 @@ def map_columns(spark: SparkSession, files: dict, sources: DataFrame, refs: Refe
 
 def review(
     spark: SparkSession, directory: str, refs: References, client: str, round_: str = "v1",
-    window: tuple[date, date] | None = None, test_month: str | None = None, cache: bool = False,
+    window: tuple[date, date] | None = None, test_month: str | None = None, work: str | None = None,
 ) -> Review:
     """Read, map and check every file of a submission.
 
-    ``window`` is the expected date range, if one was agreed; ``cache`` keeps the
-    renamed tables for the jobs that read them again.
+    ``window`` is the expected date range, if one was agreed; ``work`` is a folder that driver and
+    executors share, where the parsed files and the findings are written.
     """
-    files = extracts.read_submission(spark, directory)
+    folder = work_folder(spark, work)
+    files = extracts.read_submission(spark, directory, folder, reading=config.reading_options(spark, directory))
     infos = [info for info, _ in files.values()]
     inventory = extracts.files_table(spark, infos, client, round_)
     headers = extracts.columns_table(spark, infos)
     folders = spark.createDataFrame([(i.name, i.folder) for i in infos], "file string, folder string")
-    sources = _settled(catalog.detect_sources(headers, catalog.fingerprints(spark), folders, config.source_overrides(spark, directory)))
+    sources = _settled(catalog.detect_sources(headers, catalog.fingerprints(spark), folders, config.source_overrides(spark, directory, list(files))))
     column_map = _settled(map_columns(spark, files, sources, refs))
     transforms = config.transform_rules(spark, directory)
 
     by_file: dict[str, list] = {}
     for r in column_map.orderBy("file", "position").collect():
         by_file.setdefault(r.file, []).append(r)
-    cached: list[DataFrame] = []
     tables: dict[str, DataFrame] = {}
     contexts: dict[str, Context] = {}
     per_file: list[tuple[Context, DataFrame]] = []
@@ -205,9 +198,6 @@ def review(
         if source == "gl" and "Account Type" in targets:
             targets["Account Type"].append("AcctType")  # no staging column, but the classification reads it
         df = apply_transforms(extracts.rename_to_staging(raw, targets), transforms)
-        if cache:
-            df = df.persist()
-            cached.append(df)
         ctx = Context(
             source, client, round_, name, test_month, window, _column_meta(rows), refs.types, refs.ref_cpt, refs.ref_pos,
         )
@@ -232,10 +222,10 @@ def review(
             tables["billing_charges"], tables["billing_transactions"], contexts["billing_transactions"]
         ))
     builders += cross_source.cross_checks(tables, contexts)
-    findings = store(spark, builders, work_folder(spark))
+    findings = store(spark, builders, f"{folder}/findings")
     return Review(
         client, round_, inventory, sources, column_map, catalog.billing_format(sources), months, coverage,
-        catalog.unrecognised(column_map, refs.structure), findings, tables, contexts, cached,
+        catalog.unrecognised(column_map, refs.structure), findings, tables, contexts,
     )
 
 

@@ -20,14 +20,32 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     return df.select(*[strip(F.col(f"`{c}`").cast("string")).alias(c.strip().lstrip("﻿")) for c in df.columns])
 
 
-def source_overrides(spark: SparkSession, directory: str) -> DataFrame:
-    """``file, source`` from sources.csv; unknown sources are left out."""
+def source_overrides(spark: SparkSession, directory: str, files: list[str]) -> DataFrame:
+    """``file, source`` from sources.csv, for files named there with or without their folder; unknown sources are left out."""
     table = _read(spark, f"{directory.rstrip('/')}/sources.csv")
     if table is None:
         return spark.createDataFrame([], "file string, source string")
-    return table.select(F.col("Filename").alias("file"), F.col("Source").alias("source")).where(
-        present("file") & F.col("source").isin(rules.SOURCES)
-    )
+    known = spark.createDataFrame([(f, n) for f in files for n in {f, f.rsplit("/", 1)[-1]}], "file string, Filename string")
+    named = table.select("Filename", F.col("Source").alias("source")).where(present("Filename") & F.col("source").isin(rules.SOURCES))
+    return known.join(named, "Filename").groupBy("file").agg(F.max_by("source", F.length("Filename")).alias("source"))
+
+
+def reading_options(spark: SparkSession, directory: str) -> dict[str, dict]:
+    """Per file of sources.csv the ``encoding`` and ``multi_line`` to read it with, where the table has these columns."""
+    table = _read(spark, f"{directory.rstrip('/')}/sources.csv")
+    if table is None:
+        return {}
+    out: dict[str, dict] = {}
+    for row in table.collect():  # one row per file
+        named = row.asDict()
+        options: dict = {}
+        if named.get("Encoding"):
+            options["encoding"] = named["Encoding"]
+        if (named.get("MultiLine") or "").lower() in ("y", "yes", "true", "1"):
+            options["multi_line"] = True
+        if named.get("Filename") and options:
+            out[named["Filename"]] = options
+    return out
 
 
 def transform_rules(spark: SparkSession, directory: str) -> list[tuple[str, str]]:

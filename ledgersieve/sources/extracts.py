@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,7 +16,7 @@ from ..functions.text import missing, present
 CONFIG_FILES = ("sources.csv", "column_transforms.csv")
 # Tried in this order; the first that gives at least two columns is used.
 DELIMITERS = [("|", "pipe"), (",", "comma"), ("\t", "tab")]
-_BLOCK, _ROW, _BAD = "__block", "__row", "__bad"
+_BLOCK, _ROW, _BAD, _OPEN = "__block", "__row", "__bad", "__open"
 
 
 @dataclass(frozen=True)
@@ -34,60 +36,119 @@ class ExtractFile:
     issues: tuple[str, ...] = field(default_factory=tuple)
 
 
+_PATH = re.compile(r"^(?:(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*):)?(?://(?P<authority>[^/]*))?(?P<path>/.*)?$")
+
+
+def below(root: str, path: str) -> list[str] | None:
+    """The parts of ``path`` below ``root``; None if it is not below it.
+
+    Both are paths as file systems print them.  A scheme or authority that the root leaves open
+    matches any, so ``/in`` covers ``hdfs://host:8020/in`` and ``file:/in``.
+    """
+    top, one = _PATH.match(root), _PATH.match(path)
+    if not top or not one:
+        return None
+    for part in ("scheme", "authority"):
+        if top[part] and top[part] != one[part]:
+            return None
+    start = (top["path"] or "/").rstrip("/") + "/"
+    inner = one["path"] or ""
+    return inner[len(start):].split("/") if inner.startswith(start) else None
+
+
+def _qualified(spark: SparkSession, directory: str) -> str:
+    """The directory with the scheme and authority of its file system, relative paths resolved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def list_files(spark: SparkSession, directory: str) -> list[tuple[str, str, str | None]]:
     """``name, path, folder`` of .txt and .csv files in the folder and one level below.
 
+    A file's name is its path below the folder, so equal names in two folders stay two files.
     Only file names are read: the content column of the listing is never asked for.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-        .select("path", F.regexp_replace("path", r"^[a-z]+:/+", "/").alias("plain"))
-    )
-    root = "/" + directory.split(":", 1)[-1].strip("/") + "/"
-    inner = F.split(F.replace("plain", F.lit(root), F.lit("")), "/")
-    rows = (
-        listing.select("path", inner.alias("parts"))
-        .where((F.size("parts") <= 2) & F.lower(F.element_at("parts", -1)).rlike(r"\.(txt|csv)$"))
-        .select(
-            F.element_at("parts", -1).alias("name"), "path",
-            F.when(F.size("parts") == 2, F.get("parts", F.lit(0))).alias("folder"),
-        )
-        .where(F.col("folder").isNotNull() | ~F.lower("name").isin(*CONFIG_FILES))
-        .orderBy(F.col("folder").isNotNull(), "folder", "name")
-    )
-    return [(r.name, r.path, r.folder) for r in rows.collect()]  # one row per extract of the submission
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    root, found = _qualified(spark, directory), []
+    for row in listing.toLocalIterator():  # one row per extract of the submission
+        parts = below(root, row.path)
+        if parts is None:
+            raise ValueError(f"{row.path} was listed but is not below {root}")
+        if len(parts) > 2 or not parts[-1].lower().endswith((".txt", ".csv")):
+            continue
+        folder = parts[0] if len(parts) == 2 else None
+        if folder is not None or parts[-1].lower() not in CONFIG_FILES:
+            found.append(("/".join(parts), row.path, folder))
+    return sorted(found, key=lambda f: (f[2] is not None, f[0]))
 
 
-def header_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str | None, str | None, tuple[str, ...]]:
-    """Delimiter, its label and the trimmed, unique header names; reads the first line only."""
-    text = spark.read.option("encoding", encoding).text(path).head(1)
-    line = text[0].value.lstrip("﻿") if text else ""
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Lines of a file with their place: ``value``, the start of their split and their row in it.
+
+    Splits are not handed out in file order, but a split's start and a row's place in it are known.
+    """
+    options = {"sep": "\x01", "quote": "", "escape": "", "encoding": encoding, "header": "false", "maxColumns": "1000000"}
+    lines = spark.read.schema("value string").options(**options).csv(path)
+    return lines.withColumns({_BLOCK: F.col("_metadata.file_block_start"), _ROW: F.monotonically_increasing_id()})
+
+
+def split_header(line: str, spark: SparkSession) -> tuple[str | None, str | None, tuple[str, ...]]:
+    """Delimiter, its label and the header's names, trimmed and unique.  Blank names keep their place."""
+    line = line.lstrip("\ufeff")
     for delimiter, label in DELIMITERS:
         if delimiter not in line:
             continue
         names = spark.createDataFrame([(line,)], "value string").select(
             F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(line.count(delimiter) + 1))), {"sep": delimiter}).alias("h")
         ).select("h.*").first()
+        # Delimiters inside quotes leave fields behind the last one unfilled; those are no columns.
+        quoted = line.count('"') >= 2
+        names = list(names)
+        while quoted and names and names[-1] is None:
+            names.pop()
         seen: dict[str, int] = {}
         unique = []
-        for name in (n.strip() if n else "" for n in names if n is not None or delimiter == "|"):
+        for place, name in enumerate((n or "").strip() for n in names):
             again = seen.get(name, 0)
             seen[name] = again + 1
-            unique.append(f"{name}.{again}" if again else name or f"Unnamed: {len(unique)}")
+            unique.append(f"Unnamed: {place}" if not name else f"{name}.{again}" if again else name)
         return delimiter, label, tuple(unique)
     return None, None, ()
 
 
-def _scan(spark: SparkSession, path: str, delimiter: str, columns: tuple[str, ...], encoding: str) -> DataFrame:
+def header_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[str | None, str | None, tuple[str, ...]]:
+    """Delimiter, its label and the header names; reads the first line only."""
+    text = read_lines(spark, path, encoding).select("value").head(1)
+    return split_header(text[0].value or "", spark) if text else (None, None, ())
+
+
+def parse_lines(lines: DataFrame, delimiter: str, columns: tuple[str, ...]) -> DataFrame:
+    """Data lines (``value`` and their place) as text columns; lines of another width keep themselves in the bad column."""
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = ", ".join(f"{n} string" for n in [*names, _BAD])
+    options = {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+    parsed = lines.withColumn("__line", F.from_csv("value", F.lit(schema), options))
+    return parsed.select(
+        *[F.col("__line")[n].alias(c) for n, c in zip(names, columns, strict=True)], F.col("__line")[_BAD].alias(_BAD),
+        _open_quote(F.col("value")).alias(_OPEN), _BLOCK, _ROW,
+    )
+
+
+def _scan(spark: SparkSession, path: str, delimiter: str, columns: tuple[str, ...], encoding: str, multi_line: bool) -> DataFrame:
+    if not multi_line:
+        lines = read_lines(spark, path, encoding)
+        header = (F.col(_BLOCK) == 0) & (F.col(_ROW).bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+        return parse_lines(lines.where(~header), delimiter, columns)
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns) + f", `{_BAD}` string"
     rows = (
         spark.read.schema(schema)
-        .options(sep=delimiter, header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD,
+        .options(sep=delimiter, header="true", mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, multiLine="true",
                  encoding=encoding, enforceSchema="true")
         .csv(path)
     )
-    # Splits are not handed out in file order, but a split's start and a row's place in it are known.
-    return rows.withColumns({_BLOCK: F.col("_metadata.file_block_start"), _ROW: F.monotonically_increasing_id()})
+    return rows.withColumns({
+        _OPEN: F.lit(False), _BLOCK: F.col("_metadata.file_block_start"), _ROW: F.monotonically_increasing_id(),
+    })
 
 
 def _too_long(delimiter: str, columns: tuple[str, ...]) -> Column:
@@ -100,64 +161,127 @@ def _quoted(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
+def _open_quote(line: Column) -> Column:
+    """A line that ends inside quotes: a line break within a field, or a stray quote."""
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return F.coalesce(quotes % 2 == 1, F.lit(False))
+
+
+def _is_footer(columns: tuple[str, ...]) -> Column:
+    return F.coalesce(_quoted(columns[0]).rlike(f"(?i){rules.FOOTER}"), F.lit(False))
+
+
+def _kept(delimiter: str, columns: tuple[str, ...]) -> Column:
+    return ~_too_long(delimiter, columns) & ~reduce(Column.__and__, [missing(_quoted(c)) for c in columns])
+
+
+def line_facts(parsed: DataFrame, delimiter: str, columns: tuple[str, ...]) -> DataFrame:
+    """One row about the parsed lines: bad and kept ones, open quotes, where the footer starts, filled and odd columns."""
+    kept, footer = _kept(delimiter, columns), _is_footer(columns)
+    return parsed.agg(
+        F.count_if(_too_long(delimiter, columns)).alias("bad"),
+        F.count_if(F.col(_OPEN)).alias("open_quotes"),
+        F.count_if(kept).alias("rows"),
+        F.count_if(kept & footer).alias("footer_like"),
+        F.max(F.when(kept & ~footer, F.struct(_BLOCK, _ROW))).alias("last"),
+        F.coalesce(F.max(F.when(kept, F.coalesce(_quoted(columns[0]).rlike(rules.MOJIBAKE), F.lit(False)))), F.lit(False)).alias("garbled"),
+        F.array(*[F.count_if(kept & present(_quoted(c))) for c in columns]).alias("filled"),
+        F.array(*[
+            F.coalesce(F.max(F.when(kept, F.coalesce(_quoted(c).contains("|"), F.lit(False)))), F.lit(False)) for c in columns
+        ]).alias("pipes"),
+    )
+
+
+def clean_rows(parsed: DataFrame, delimiter: str, columns: tuple[str, ...], last: DataFrame | tuple | None) -> DataFrame:
+    """Rows without over-long and blank lines and without the footer: what looks like one behind the last other row.
+
+    ``last`` is that row's place, or the one-row table of facts that holds it.
+    """
+    rows = parsed.where(_kept(delimiter, columns))
+    behind = _is_footer(columns)
+    if isinstance(last, DataFrame):
+        rows = rows.join(last.select("last"))  # one row
+        return rows.where(~(behind & F.coalesce(F.struct(_BLOCK, _ROW) > F.col("last"), F.lit(True)))).drop("last")
+    if last is None:
+        return rows.where(~behind)
+    place = F.struct(F.lit(last[0]).alias(_BLOCK), F.lit(last[1]).alias(_ROW))
+    return rows.where(~(behind & (F.struct(_BLOCK, _ROW) > place)))
+
+
 def read_extract(
-    spark: SparkSession, path: str, name: str | None = None, folder: str | None = None, encoding: str = "UTF-8",
+    spark: SparkSession, path: str, work: str, name: str | None = None, folder: str | None = None, encoding: str = "UTF-8",
+    multi_line: bool = False,
 ) -> tuple[ExtractFile, DataFrame | None]:
     """Facts of one file and its cleaned rows, all text.
 
-    One aggregate over the file gives the row count, the filled columns, embedded
-    pipes, garbled text, over-long lines and where the footer starts.
+    The parsed lines are written once as columns below ``work``, a folder that all executors
+    share, so the text is parsed once, places of rows stay what they are, and every later
+    pass reads the columns it needs.
     """
     name = name or path.rstrip("/").rsplit("/", 1)[-1]
     delimiter, label, columns = header_columns(spark, path, encoding)
     if delimiter is None:
-        return ExtractFile(name, path, folder, None, encoding=encoding,
-                           issues=("Could not parse with pipe, comma, or tab delimiter",)), None
-    raw = _scan(spark, path, delimiter, columns, encoding)
-    too_long = _too_long(delimiter, columns)
-    blank = reduce(Column.__and__, [missing(_quoted(c)) for c in columns])
-    first = _quoted(columns[0])
-    footer = F.coalesce(first.rlike(f"(?i){rules.FOOTER}"), F.lit(False))
-    kept = ~too_long & ~blank
-    at = F.struct(_BLOCK, _ROW)
-    facts = raw.agg(
-        F.count_if(too_long).alias("bad"),
-        F.count_if(kept).alias("rows"),
-        F.count_if(kept & footer).alias("footer_like"),
-        F.max(F.when(kept & ~footer, at)).alias("last"),
-        F.max(F.when(kept, F.coalesce(first.rlike(rules.MOJIBAKE), F.lit(False)))).alias("garbled"),
-        *[F.count_if(kept & present(_quoted(c))).alias(f"f{i}") for i, c in enumerate(columns)],
-        *[F.max(F.when(kept, F.coalesce(_quoted(c).contains("|"), F.lit(False)))).alias(f"p{i}") for i, c in enumerate(columns)],
-    ).first()
-    rows = raw.where(kept)
+        return ExtractFile(name, path, folder, None, encoding=encoding, issues=(issue_text("no_delimiter"),)), None
+    numbered = tuple(f"c{i}" for i in range(len(columns)))
+    target = f"{work.rstrip('/')}/extract-{uuid.uuid4().hex}"
+    parsed = _scan(spark, path, delimiter, columns, encoding, multi_line).toDF(*numbered, _BAD, _OPEN, _BLOCK, _ROW)
+    parsed.write.parquet(target)
+    parsed = spark.read.schema(parsed.schema).parquet(target)
+    facts = line_facts(parsed, delimiter, numbered).first()
+    rows = clean_rows(parsed, delimiter, numbered, tuple(facts.last) if facts.last else None)
     stripped = 0
     if facts.footer_like:
-        if facts.last is None:
-            rows, stripped = rows.where(F.lit(False)), facts.rows
-        else:
-            after = F.struct(_BLOCK, _ROW) > F.struct(F.lit(facts.last[0]).alias(_BLOCK), F.lit(facts.last[1]).alias(_ROW))
-            stripped = rows.where(footer & after).count()
-            rows = rows.where(~(footer & after))
-    filled = tuple(c for i, c in enumerate(columns) if facts[f"f{i}"])
+        stripped = facts.rows - rows.count()
+    kept = [(n, c) for n, c, filled in zip(numbered, columns, facts.filled, strict=True) if filled]
     issues = []
     if label != "pipe":
-        issues.append(f"Pipe-delimited parse failed; used {label} delimiter as fallback")
+        issues.append(issue_text("other_delimiter", label))
     if facts.bad:
-        issues.append(f"{facts.bad} line(s) with too many fields skipped")
+        issues.append(issue_text("long_lines", facts.bad))
+    if facts.open_quotes and not multi_line:
+        issues.append(issue_text("open_quotes", facts.open_quotes))
     if stripped:
-        issues.append(f"{stripped} footer row(s) stripped")
+        issues.append(issue_text("footer", stripped))
     if facts.garbled:
-        issues.append("Possible encoding issues detected (garbled characters)")
-    issues += [f"Column '{c}' contains embedded pipe characters" for i, c in enumerate(columns) if facts[f"p{i}"]]
-    info = ExtractFile(name, path, folder, delimiter, filled, facts.rows - stripped, len(filled), stripped, facts.bad, encoding, tuple(issues))
-    return info, rows.select(*[F.coalesce(_quoted(c), F.lit("")).alias(c) for c in filled])
+        issues.append(issue_text("garbled"))
+    issues += [issue_text("pipes", c) for c, odd in zip(columns, facts.pipes, strict=True) if odd]
+    info = ExtractFile(
+        name, path, folder, delimiter, tuple(c for _, c in kept), facts.rows - stripped, len(kept), stripped, facts.bad, encoding, tuple(issues)
+    )
+    return info, rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(c) for n, c in kept])
+
+
+_ISSUES = {
+    "no_delimiter": "No pipe, comma or tab in the header line",
+    "other_delimiter": "Fields are separated by {}, not by pipes",
+    "long_lines": "{} line(s) have more fields than the header and were left out",
+    "open_quotes": "{} line(s) end inside quotes; read the file with MultiLine if fields hold line breaks",
+    "footer": "{} footer line(s) at the end were left out",
+    "garbled": "The first column holds characters of a wrong encoding",
+    "pipes": "Values of '{}' hold pipe characters",
+}
 
 
-def read_submission(spark: SparkSession, directory: str, only: list[str] | None = None) -> dict[str, tuple[ExtractFile, DataFrame | None]]:
-    """Every file of a submission, or the named ones."""
+def issue_text(kind: str, *values) -> str:
+    return _ISSUES[kind].format(*values)
+
+
+def read_submission(
+    spark: SparkSession, directory: str, work: str, only: list[str] | None = None, reading: dict[str, dict] | None = None,
+) -> dict[str, tuple[ExtractFile, DataFrame | None]]:
+    """Every file of a submission, or the named ones, by its path below the folder.
+
+    ``reading`` gives ``encoding`` and ``multi_line`` by file, named with or without its folder.
+    """
     wanted = [f for f in list_files(spark, directory) if only is None or f[0] in only]
-    with ThreadPoolExecutor(8) as pool:  # one short job per file
-        read = list(pool.map(lambda f: read_extract(spark, f[1], f[0], f[2]), wanted))
+    how = reading or {}
+
+    def one(file: tuple[str, str, str | None]):
+        options = how.get(file[0]) or how.get(file[0].rsplit("/", 1)[-1]) or {}
+        return read_extract(spark, file[1], work, file[0], file[2], **options)
+
+    with ThreadPoolExecutor(8) as pool:  # two short jobs per file
+        read = list(pool.map(one, wanted))
     return {info.name: (info, rows) for info, rows in read}
 
 

@@ -10,7 +10,7 @@ from ledgersieve.functions import day, number, pad_code, strip_zeros
 from ledgersieve.functions.formula import apply_transforms, is_valid, to_sql
 from ledgersieve.functions.similarity import composite, ratio, token_sort
 from ledgersieve.operators import fuzzy, issues, keys, profile as prof, quantiles, star
-from ledgersieve.sources.extracts import read_extract
+from ledgersieve.sources import config, extracts
 
 
 def values(df):
@@ -107,15 +107,73 @@ def test_dimension_load_is_idempotent(rows):
 
 def test_footers_bad_lines_and_blank_columns(spark, tmp_path):
     body = ["id , name,empty"] + [f"{i},n{i}," for i in range(30)] + ["total,,", "7,seven,", "Grand Total,,", "1,2,3,4,5", ",,", "EOF,,"]
-    path = tmp_path / "x.csv"
+    path, work = tmp_path / "x.csv", str(tmp_path / "work")
     path.write_text("\n".join(body) + "\n")
-    info, df = read_extract(spark, str(path))
+    info, df = extracts.read_extract(spark, str(path), work)
     assert info.columns == ("id", "name") and df.columns == ["id", "name"]
     assert (info.row_count, info.footer_rows, info.bad_lines) == (32, 2, 1)  # "total" inside the data stays
     assert df.count() == 32
+    # Later passes read columns, and only those they ask for.
+    text = df.select("name")._jdf.queryExecution().toString()
+    assert "parquet" in text and "csv" not in text.lower() and "ReadSchema: struct<c0:string,c1:string,c2:string,__bad:string" in text
     only = tmp_path / "one.txt"
     only.write_text("single\nvalue\n")
-    assert read_extract(spark, str(only))[0].issues[0].startswith("Could not parse")
+    assert extracts.read_extract(spark, str(only), work)[0].issues == (extracts.issue_text("no_delimiter"),)
+
+
+@pytest.mark.parametrize("body,columns,first", [
+    ("Cost Center Number,,Cost Center Name,Account #\n1,x,one,2\n3,,four,5\n", ("Cost Center Number", "Unnamed: 1", "Cost Center Name", "Account #"), ["1", "x", "one", "2"]),
+    ("a,b,\n1,2,\n3,4,\n", ("a", "b"), ["1", "2"]),
+    ("a\ta\t\n1\t2\t3\n", ("a", "a.1", "Unnamed: 2"), ["1", "2", "3"]),
+    ("a|b|\n1|2\n", ("a", "b"), ["1", "2"]),
+])
+def test_blank_headers_keep_their_place(spark, tmp_path, body, columns, first):
+    path = tmp_path / "x.txt"
+    path.write_text(body)
+    info, df = extracts.read_extract(spark, str(path), str(tmp_path / "work"))
+    assert info.columns == columns and info.bad_lines == 0 and info.row_count == body.count("\n") - 1
+    assert list(df.first()) == first
+
+
+def test_encoding_and_line_breaks(spark, tmp_path):
+    (tmp_path / "latin.txt").write_bytes("a|b\né|1\n".encode("latin-1"))
+    _, df = extracts.read_extract(spark, str(tmp_path / "latin.txt"), str(tmp_path / "work"), encoding="ISO-8859-1")
+    assert df.first().a == "é"
+    (tmp_path / "broken.csv").write_text('a,b,c\n1,"two\nlines",3\n4,5,6\n')
+    info, _ = extracts.read_extract(spark, str(tmp_path / "broken.csv"), str(tmp_path / "work"))
+    assert extracts.issue_text("open_quotes", 2) in info.issues
+    info, df = extracts.read_extract(spark, str(tmp_path / "broken.csv"), str(tmp_path / "work"), multi_line=True)
+    assert info.row_count == 2 and sorted(r.b for r in df.collect()) == ["5", "two\nlines"]
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder in ("gl", "payroll"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "data.txt").write_text(f"a|b\n{folder}|1\n")
+    files = extracts.read_submission(spark, str(tmp_path / "in"), str(tmp_path / "work"))
+    assert {name: df.first().a for name, (_, df) in files.items()} == {"gl/data.txt": "gl", "payroll/data.txt": "payroll"}
+    named = {r.file: r.source for r in config_overrides(spark, tmp_path, list(files))}
+    assert named == {"gl/data.txt": "payroll", "payroll/data.txt": "gl"}
+
+
+def config_overrides(spark, tmp_path, files):
+    (tmp_path / "in" / "sources.csv").write_text("Filename,Source\ndata.txt,payroll\npayroll/data.txt,gl\n")
+    return config.source_overrides(spark, str(tmp_path / "in"), files).collect()
+
+
+@pytest.mark.parametrize("root,path,parts", [
+    ("file:/in/acme", "file:/in/acme/gl/x.txt", ["gl", "x.txt"]),
+    ("/in/acme/", "file:/in/acme/x.txt", ["x.txt"]),
+    ("hdfs://nn:8020/shared/in/acme", "hdfs://nn:8020/shared/in/acme/gl/x.txt", ["gl", "x.txt"]),
+    ("/shared/in/acme", "hdfs://nn:8020/shared/in/acme/gl/x.txt", ["gl", "x.txt"]),
+    ("hdfs:///in", "hdfs://nn:8020/in/x.txt", ["x.txt"]),
+    ("s3a://bucket/in", "s3a://bucket/in/gl/x.txt", ["gl", "x.txt"]),
+    ("s3a://bucket", "s3a://bucket/gl/x.txt", ["gl", "x.txt"]),
+    ("s3a://bucket/in", "s3a://other/in/x.txt", None),
+    ("/in/ac", "/in/acme/x.txt", None),
+])
+def test_paths_below_a_folder(root, path, parts):
+    assert extracts.below(root, path) == parts
 
 
 def test_next_round_and_verdicts(rows):

@@ -97,35 +97,41 @@ def folders(tmp_path_factory):
     return str(root / "in"), str(refs), str(root / "out")
 
 
+def test_review_needs_a_shared_folder(spark, folders):
+    if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="work="):
+            review(spark, folders[0], References.read(spark, folders[1]), "acme", "v1")
+
+
 @pytest.fixture(scope="module")
 def result(spark, folders):
-    found = review(spark, folders[0], References.read(spark, folders[1]), "acme", "v1")
+    found = review(spark, folders[0], References.read(spark, folders[1]), "acme", "v1", work=folders[2] + "-work")
 
     return found
 
 
 def test_files_and_sources(result):
     files = {r.file: r for r in result.files.collect()}
-    assert files["charges.txt"].row_count == 3 and files["charges.txt"].footer_rows == 1
+    assert files["billing_charges/charges.txt"].row_count == 3 and files["billing_charges/charges.txt"].footer_rows == 1
     assert files["ledger.csv"].delimiter == ","
     assert any("comma" in i for i in files["ledger.csv"].issues)
     sources = {r.file: r.source for r in result.sources.collect()}
     assert sources == {
-        "charges.txt": "billing_charges", "txn.txt": "billing_transactions", "ledger.csv": "gl", "pay.txt": "payroll", "q.txt": "quality",
+        "billing_charges/charges.txt": "billing_charges", "txn.txt": "billing_transactions", "ledger.csv": "gl", "pay.txt": "payroll", "q.txt": "quality",
     }
     assert result.billing_format.first().format == "separate"
 
 
 def test_mapping(result):
     rows = {(r.file, r.raw): r for r in result.column_map.collect()}
-    assert rows["charges.txt", "Charge ID"].confidence == "EXACT"
+    assert rows["billing_charges/charges.txt", "Charge ID"].confidence == "EXACT"
     assert rows["txn.txt", "Charge ID"].confidence == "NORMALIZED"
     assert rows["txn.txt", "Payment Amount"].confidence == "FUZZY"
-    assert rows["charges.txt", "Dept_Extra"].confidence == "UNMAPPED"
+    assert rows["billing_charges/charges.txt", "Dept_Extra"].confidence == "UNMAPPED"
     # five-digit codes under a name column go to the id column
-    assert rows["charges.txt", "Cost Center"].staging == "BillDepartmentId"
-    assert rows["charges.txt", "Patient MRN"].staging_cols == ["PatientId", "PatientMrn"]
-    assert rows["charges.txt", "Post Date"].level == "required" and rows["charges.txt", "Post Date"].sql_type == "date"
+    assert rows["billing_charges/charges.txt", "Cost Center"].staging == "BillDepartmentId"
+    assert rows["billing_charges/charges.txt", "Patient MRN"].staging_cols == ["PatientId", "PatientMrn"]
+    assert rows["billing_charges/charges.txt", "Post Date"].level == "required" and rows["billing_charges/charges.txt", "Post Date"].sql_type == "date"
 
 
 def test_findings(result):
