@@ -302,7 +302,8 @@ def charge_balances(spark, folder) -> DataFrame:
     return rows.select("charge_id", *[F.col(c).cast("double").alias(c) for c in ("charged", "settled", "outstanding")])
 
 
-_ORG = f"""{b.CHARGES}, {b.LEDGER}, refs AS (SELECT DISTINCT lower(center) AS v FROM ledger WHERE ym < 200701 UNION SELECT DISTINCT lower(center_name) FROM ledger WHERE ym < 200701),
+_ORG = f"""{b.CHARGES}, {b.LEDGER}, refs AS (SELECT DISTINCT CASE WHEN CAST(center AS INTEGER) % 3 = 0 THEN 'z' ELSE '' END || lower(center) AS v FROM ledger
+ UNION SELECT DISTINCT CASE WHEN CAST(center AS INTEGER) % 3 = 0 THEN 'z' ELSE '' END || lower(center_name) FROM ledger),
  long AS (SELECT 'BillDepartmentId' AS c, BillDepartmentId AS v, greatest(coalesce(charged, 0), 0) AS a FROM charges UNION ALL SELECT 'BillDepartmentName', BillDepartmentName, greatest(coalesce(charged, 0), 0) FROM charges
  UNION ALL SELECT 'BillLocationName', BillLocationName, greatest(coalesce(charged, 0), 0) FROM charges),
  g AS (SELECT c, lower(v) AS v, min(v) AS shown, count(*) AS n, sum(a) AS a FROM long GROUP BY 1, 2),
@@ -310,8 +311,11 @@ _ORG = f"""{b.CHARGES}, {b.LEDGER}, refs AS (SELECT DISTINCT lower(center) AS v
  m AS (SELECT c, count(*) FILTER (v <> '') AS t, count(*) FILTER (v <> '' AND NOT hit) AS u, CAST(sum(a) AS DOUBLE) AS d, CAST(coalesce(sum(a) FILTER (v <> '' AND NOT hit), 0) AS DOUBLE) AS ud FROM k GROUP BY 1)"""
 
 
-def _ledger_part(spark, folder) -> DataFrame:
-    return b.ledger(spark, folder).where("YearMonth < '200701'")
+def _renamed_ledger(spark, folder) -> DataFrame:
+    """The ledger with every third cost center under another number and name."""
+    odd = F.col("CostCenterNumberOrig").cast("int") % 3 == 0
+    names = ("CostCenterNumberOrig", "CostCenterNameOrig")
+    return b.ledger(spark, folder).withColumns({c: F.when(odd, F.concat(F.lit("Z"), c)).otherwise(F.col(c)) for c in names})
 
 
 @query("org_match_dollars", found(
@@ -320,12 +324,12 @@ def _ledger_part(spark, folder) -> DataFrame:
         dollars="d", lost_dollars="ud", lost_dollar_pct="ud / d * 100"),
 ))
 def org_match_dollars(spark, folder) -> DataFrame:
-    return report(cross.org_match(b.charges(spark, folder), _ledger_part(spark, folder), BILLING), "dollars", "lost_dollars", "lost_dollar_pct")
+    return report(cross.org_match(b.charges(spark, folder), _renamed_ledger(spark, folder), BILLING), "dollars", "lost_dollars", "lost_dollar_pct")
 
 
 @query("org_unmatched_top", f"WITH {_ORG} SELECT c AS staging_column, shown AS value, n AS rows, CAST(a AS DOUBLE) AS amount FROM k WHERE v <> '' AND NOT hit ORDER BY a DESC, c, shown LIMIT 20")
 def org_unmatched_top(spark, folder) -> DataFrame:
-    return cross.unmatched_org_values(b.charges(spark, folder), _ledger_part(spark, folder), BILLING)
+    return cross.unmatched_org_values(b.charges(spark, folder), _renamed_ledger(spark, folder), BILLING)
 
 
 _PROVIDERS = f"""{b.TRANSACTIONS}, {b.PAYROLL}, pn AS (SELECT DISTINCT EmployeeNpi AS id FROM payroll WHERE EmployeeNpi <> ''),
@@ -469,29 +473,33 @@ def dept_match(spark, folder) -> DataFrame:
 
 # Reconciliation against a second set of figures.
 
-@query("wrvu_recon", """WITH a AS (SELECT l_suppkey AS k, sum(CAST(l_quantity AS DECIMAL(20,4))) AS x FROM lineitem GROUP BY 1),
- e AS (SELECT l_suppkey AS k, sum(CAST(l_quantity AS DECIMAL(20,4))) AS y FROM lineitem WHERE l_tax < 0.08 OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1),
- j AS (SELECT CAST(coalesce(a.k, e.k) AS VARCHAR) AS npi, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN e ON a.k = e.k)
+_THEIR_RVU = "CASE WHEN l_tax < 0.08 OR s_acctbal > 0 THEN l_quantity ELSE l_quantity * 0.5 END"
+
+
+@query("wrvu_recon", f"""WITH a AS (SELECT CAST(l_suppkey AS VARCHAR) AS k, sum(CAST(l_quantity AS DECIMAL(20,4))) AS x FROM lineitem GROUP BY 1),
+ e AS (SELECT CASE WHEN l_suppkey % 10 = 0 THEN 'X' ELSE '' END || l_suppkey AS k, sum(CAST({_THEIR_RVU} AS DECIMAL(20,4))) AS y FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1),
+ j AS (SELECT coalesce(a.k, e.k) AS npi, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN e ON a.k = e.k)
  SELECT npi, CAST(x AS DOUBLE) AS ours, CAST(y AS DOUBLE) AS theirs, CAST(x - y AS DOUBLE) AS difference, CAST(least(x, y) AS DOUBLE) / CAST(greatest(x, y) AS DOUBLE) * 100 AS agreement_pct,
  CAST(least(x, y) AS DOUBLE) / CAST(greatest(x, y) AS DOUBLE) * 100 > 98 AS reconciled FROM j""")
 def wrvu_recon(spark, folder) -> DataFrame:
+    """The second set has half the value on some lines and every tenth provider under another id."""
     line = b.table(spark, folder, "lineitem")
     supplier = b.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_acctbal")
     ours = line.select(b.text("l_suppkey").alias("npi"), b.text("l_quantity").alias("wrvu"))
-    theirs = line.join(supplier, "l_suppkey").where((F.col("l_tax") < 0.08) | (F.col("s_acctbal") > 0)).select(
-        b.text("l_suppkey").alias("npi"), b.text("l_quantity").alias("expected")
-    )
+    prefix = F.when(F.col("l_suppkey") % 10 == 0, "X").otherwise("")
+    theirs = line.join(supplier, "l_suppkey").select(F.concat(prefix, b.text("l_suppkey")).alias("npi"), b.text(F.expr(_THEIR_RVU)).alias("expected"))
     return cross.reconciliation(ours, theirs, ["npi"], "wrvu", "expected")
 
 
-@query("gl_recon", f"""WITH {b.LEDGER}, a AS (SELECT center, account, sum(amount) AS x FROM ledger GROUP BY 1, 2), e AS (SELECT center, account, sum(amount) AS y FROM ledger WHERE ym < 201106 GROUP BY 1, 2),
+@query("gl_recon", f"""WITH {b.LEDGER}, a AS (SELECT center, account, sum(amount) AS x FROM ledger GROUP BY 1, 2),
+ e AS (SELECT center, CASE WHEN ym < 201106 THEN '' ELSE 'LATE-' END || account AS account, sum(amount) AS y FROM ledger GROUP BY 1, 2),
  j AS (SELECT center, account, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN e USING (center, account))
  SELECT center AS CostCenterNumberOrig, account AS AcctNumber, CAST(x AS DOUBLE) AS ours, CAST(y AS DOUBLE) AS theirs, CAST(x - y AS DOUBLE) AS difference,
  CAST(least(abs(x), abs(y)) AS DOUBLE) / NULLIF(CAST(greatest(abs(x), abs(y)) AS DOUBLE), 0) * 100 AS agreement_pct,
  coalesce(CAST(least(abs(x), abs(y)) AS DOUBLE) / NULLIF(CAST(greatest(abs(x), abs(y)) AS DOUBLE), 0) * 100 > 98, false) AS reconciled FROM j""")
 def gl_recon(spark, folder) -> DataFrame:
+    """The second set books the later months on other accounts."""
     rows = b.ledger(spark, folder)
-    theirs = rows.where("YearMonth < '201106'").withColumnRenamed("AmountOrig", "Expected")
+    late = F.when(F.col("YearMonth") < "201106", "").otherwise("LATE-")
+    theirs = rows.withColumn("AcctNumber", F.concat(late, "AcctNumber")).withColumnRenamed("AmountOrig", "Expected")
     return cross.reconciliation(rows, theirs, ["CostCenterNumberOrig", "AcctNumber"], "AmountOrig", "Expected")
-
-

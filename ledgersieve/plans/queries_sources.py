@@ -200,16 +200,17 @@ def id_shape_facts(spark, folder) -> DataFrame:
 
 
 def _procedures(spark, folder) -> tuple[DataFrame, Context]:
-    """Lines coded by part; the code set lacks dear parts, retires promo ones and publishes the part size."""
+    """Lines coded by part; the code set has dear parts under another code, retires promo ones and publishes the part size."""
     df = b.table(spark, folder, "lineitem").select(b.text("l_partkey").alias("CptCode"), b.text(b.cents("l_quantity")).alias("WorkRvuOriginal"))
-    ref = b.table(spark, folder, "part").where("p_retailprice < 995").select(
-        b.text("p_partkey").alias("CptCode"), b.text("p_size").alias("WorkRvu"), F.when(F.col("p_type") == "PROMO", "D").otherwise("A").alias("StatusIndicator")
+    ref = b.table(spark, folder, "part").select(
+        F.when(F.col("p_retailprice") < 995, b.text("p_partkey")).otherwise(F.concat(F.lit("X"), b.text("p_partkey"))).alias("CptCode"),
+        b.text("p_size").alias("WorkRvu"), F.when(F.col("p_type") == "PROMO", "D").otherwise("A").alias("StatusIndicator")
     )
     return df, Context("billing_charges", ref_cpt=ref)
 
 
-_CODES = """r AS (SELECT p_partkey AS k, p_size AS w, p_type = 'PROMO' AS dead FROM part WHERE p_retailprice < 995),
- c AS (SELECT l_partkey AS k, count(*) AS n, median(l_quantity) AS q FROM lineitem GROUP BY 1),
+_CODES = """r AS (SELECT CASE WHEN p_retailprice < 995 THEN '' ELSE 'X' END || p_partkey AS k, p_size AS w, p_type = 'PROMO' AS dead FROM part),
+ c AS (SELECT CAST(l_partkey AS VARCHAR) AS k, count(*) AS n, median(l_quantity) AS q FROM lineitem GROUP BY 1),
  j AS (SELECT c.*, w, dead, r.k IS NOT NULL AS known, CASE WHEN w > 0 THEN abs(q - w) / w * 100 END AS v FROM c LEFT JOIN r ON c.k = r.k),
  m AS (SELECT count(*) AS codes, count(*) FILTER (NOT known) AS u, count(*) FILTER (dead) AS dead, sum(n) FILTER (dead) AS dead_rows,
  count(*) FILTER (known) AS known, count(*) FILTER (v > 20) AS off FROM j)"""
@@ -226,7 +227,7 @@ def code_set_check(spark, folder) -> DataFrame:
     return _run(df, ctx, ["B13"], "rows")
 
 
-@query("code_value_variance", f"WITH {_CODES} SELECT CAST(k AS VARCHAR) AS code, q AS client_rvu, CAST(w AS DOUBLE) AS published_rvu, v AS variance_pct FROM j WHERE known")
+@query("code_value_variance", f"WITH {_CODES} SELECT k AS code, q AS client_rvu, CAST(w AS DOUBLE) AS published_rvu, v AS variance_pct FROM j WHERE known")
 def code_value_variance(spark, folder) -> DataFrame:
     df, ctx = _procedures(spark, folder)
     return billing.rvu_variance(df, ctx).select("code", "client_rvu", "published_rvu", "variance_pct")
@@ -241,13 +242,14 @@ def median_per_key(spark, folder) -> DataFrame:
 def _places(spark, folder) -> tuple[DataFrame, Context]:
     df = b.table(spark, folder, "customer").select(b.text("c_nationkey").alias("PlaceOfServiceCode"), b.case("c_mktsegment", {"BUILDING": "other"}, "").alias("PlaceOfServiceDesc"))
     ref = b.table(spark, folder, "nation").select(
-        b.text("n_nationkey").alias("PosCode"), F.col("n_name").alias("PosName"), F.when(F.col("n_regionkey") == 1, "2020-01-01").otherwise("").alias("TerminatedDate"), "n_regionkey",
+        b.text(F.when(F.col("n_regionkey") < 4, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + 60)).alias("PosCode"),
+        F.col("n_name").alias("PosName"), F.when(F.col("n_regionkey") == 1, "2020-01-01").otherwise("").alias("TerminatedDate"),
     )
-    return df, Context("billing_charges", ref_pos=ref.where("n_regionkey < 4"))
+    return df, Context("billing_charges", ref_pos=ref)
 
 
 _POS = """c AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS k, count(*) AS n FROM customer WHERE c_nationkey <> 0 GROUP BY 1),
- r AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS k, n_name AS name FROM nation WHERE n_regionkey < 4),
+ r AS (SELECT lpad(CAST(CASE WHEN n_regionkey < 4 THEN n_nationkey ELSE n_nationkey + 60 END AS VARCHAR), 2, '0') AS k, n_name AS name FROM nation),
  j AS (SELECT c.*, name, r.k IS NOT NULL AS known FROM c LEFT JOIN r ON c.k = r.k),
  m AS (SELECT count(*) AS codes, count(*) FILTER (NOT known) AS bc, coalesce(sum(n) FILTER (NOT known), 0) AS br, sum(n) AS f,
  coalesce(sum(n) FILTER (k = '21'), 0) AS inp, count(*) FILTER (k = '11') AS office, (SELECT count(*) FROM customer) AS t FROM j)"""
