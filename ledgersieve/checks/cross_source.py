@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules
 from ..context import Context
-from ..findings import emit, finding, over, percent, union
+from ..findings import emit, finding, over, percent, samples_per, union, with_samples
 from ..functions import amount, key, present, strip, strip_zeros
 from ..operators import fuzzy, keys
 from ..operators.profile import charge_rows, charge_scope, transaction_rows
@@ -157,12 +157,14 @@ def org_match(billing: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
     if not any(c in billing.columns for c in rules.BILLING_ORG_COLUMNS):
         return _note(billing, ctx, "C1", "C1: No billing org columns (dept/location/practice) found in billing file")
     named, lost = present("value"), present("value") & ~F.col("hit")
-    m = org_values(billing, ledger, ctx).groupBy("staging_column").agg(
+    values = org_values(billing, ledger, ctx)
+    m = values.groupBy("staging_column").agg(
         F.count_if(named).alias("values"),
         F.count_if(lost).alias("lost"),
         F.sum("amount").cast("double").alias("dollars"),
         F.coalesce(F.sum(F.when(lost, F.col("amount"))), F.lit(0)).cast("double").alias("lost_dollars"),
     ).where("values > 0")
+    m = m.join(samples_per(values.where(lost), "staging_column", "shown", count="rows", by="amount"), "staging_column", "left")
     dollar_pct = F.when(F.col("dollars") > 0.01, F.col("lost_dollars") / F.col("dollars") * 100).otherwise(0.0)
     many = F.col("lost") > F.col("values") * 0.2
     severity = F.when(F.col("lost") == 0, "PASS").when(many & (dollar_pct > 5), "HIGH").otherwise("MEDIUM")
@@ -173,58 +175,76 @@ def org_match(billing: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
                         "staging_column", percent(matched, F.col("values")), matched, "values", dollar_pct),
         affected=F.col("lost"), total=F.col("values"), pct=percent(matched, F.col("values")), column=F.col("staging_column"),
         metrics={"dollars": F.col("dollars"), "lost_dollars": F.col("lost_dollars"), "lost_dollar_pct": dollar_pct},
+        samples=F.col("which"),
     )], phase=4)
 
 
 # C2: providers.
 
-def provider_match(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None = None) -> DataFrame:
-    """C2: billing providers in payroll, by NPI where payroll has them, else by name."""
+def _providers(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None) -> tuple[DataFrame, Column] | None:
+    """Billing providers with rows, dollars, whether payroll has them and their most similar name; and whether NPIs decide.
+
+    Which of the two ids decides is a value of the plan, found while it runs.
+    """
     rows = billing.where(charge_scope(billing, ctx))
-    if by_npi is None:
-        by_npi = (
-            "EmployeeNpi" in payroll.columns and "RenderingProviderNpi" in rows.columns
-            and npi_population(payroll) > rules.NPI_PRESENT_PCT
-        )
+    npis = "EmployeeNpi" in payroll.columns and "RenderingProviderNpi" in rows.columns
     named = "EmployeeFullName" in payroll.columns and "RenderingProviderFullName" in rows.columns
-    if not by_npi and not named:
-        return _note(billing, ctx, "C2", "C2 skipped - neither NPI nor provider name present on both sides")
-    if by_npi:
-        left = rows.groupBy(strip("RenderingProviderNpi").alias("id")).agg(
-            (F.min(key("RenderingProviderFullName")) if named else F.lit(None).cast("string")).alias("text")
-        )
-        right, threshold = payroll.select(strip("EmployeeNpi").alias("id")), rules.NPI_NAME_FUZZY
-    else:
-        left = rows.select(key("RenderingProviderFullName").alias("id")).distinct().withColumn("text", F.col("id"))
-        right, threshold = payroll.select(key("EmployeeFullName").alias("id")), rules.NAME_FUZZY
-    left = left.where(present("id"))
-    right = right.where(present("id")).distinct()
+    if not (npis if by_npi else named if by_npi is False else npis or named):
+        return None
+    by = F.lit(npis if by_npi is None else by_npi)
+    if by_npi is None and npis:
+        by = npi_population(payroll).scalar() > rules.NPI_PRESENT_PCT
+    none = F.lit(None).cast("string")
+
+    def ids(npi: str, name: str) -> Column:
+        return F.when(by, strip(npi) if npis else none).otherwise(key(name) if named else none)
+
+    text = key("RenderingProviderFullName") if named else none
+    left = rows.select(ids("RenderingProviderNpi", "RenderingProviderFullName").alias("id"), text.alias("text"), _positive(rows).alias("dollars"))
+    left = left.where(present("id")).groupBy("id").agg(F.min("text").alias("text"), F.count("*").alias("n"), F.sum("dollars").alias("dollars"))
+    right = payroll.select(ids("EmployeeNpi", "EmployeeFullName").alias("id")).where(present("id")).distinct()
     marked = left.join(right.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    if named:
-        names = payroll.select(key("EmployeeFullName").alias("text")).where(present("text"))
-        similar = fuzzy.best_match(marked.where(~F.col("hit") & present("text")).select("text"), names, threshold)
-        marked = marked.join(similar.select("text", "score"), "text", "left")
-    else:
-        marked = marked.withColumn("score", F.lit(None).cast("double"))
+    if not named:
+        return marked.withColumns({"best": none, "score": F.lit(None).cast("double")}), by
+    names = payroll.select(key("EmployeeFullName").alias("text")).where(present("text"))
+    lowest = min(rules.NPI_NAME_FUZZY, rules.NAME_FUZZY)
+    similar = fuzzy.best_match(marked.where(~F.col("hit") & present("text")).select("text"), names, lowest)
+    similar = similar.where(F.col("score") >= F.when(by, rules.NPI_NAME_FUZZY).otherwise(rules.NAME_FUZZY))
+    return marked.join(similar.select("text", "best", "score"), "text", "left"), by
+
+
+def provider_candidates(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None = None) -> DataFrame | None:
+    """Billing providers that payroll lacks, with the payroll name most like theirs."""
+    found = _providers(billing, payroll, ctx, by_npi)
+    return found and found[0].where(~F.col("hit") & F.col("score").isNotNull()).select("id", "text", "best", "score", F.col("n").alias("rows"))
+
+
+def provider_match(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None = None) -> DataFrame:
+    """C2: billing providers in payroll, by NPI where payroll has them, else by name."""
+    found = _providers(billing, payroll, ctx, by_npi)
+    if found is None:
+        return _note(billing, ctx, "C2", "C2: no provider id or name is filled on both sides, nothing to compare")
+    marked, by = found
+    lost = ~F.col("hit")
     m = marked.agg(
-        F.count("*").alias("providers"), F.count_if("hit").alias("found"),
-        F.count_if(~F.col("hit") & F.col("score").isNotNull()).alias("similar"),
+        F.count("*").alias("providers"), F.count_if("hit").alias("found"), F.count_if(lost & F.col("score").isNotNull()).alias("similar"),
     )
+    shown = F.concat_ws(" ~ ", "id", "best")
+    m = with_samples(m.withColumn("by", by), marked.where(lost).withColumn("shown", shown), "shown", by="dollars")
     lost_pct = percent(F.col("providers") - F.col("found"), F.greatest("providers", F.lit(1)))
-    if by_npi:
-        severity = (
-            F.when((lost_pct > 30) & (F.col("similar") == 0), "HIGH").when(lost_pct > 10, "MEDIUM")
-            .when(F.col("similar") > 0, "INFO").otherwise("PASS")
-        )
-    else:
-        severity = F.when((lost_pct > 50) & (F.col("similar") == 0), "HIGH").when(lost_pct > 0, "MEDIUM").otherwise("PASS")
-    mode = "NPI" if by_npi else "name-only"
+    by_id = (
+        F.when((lost_pct > 30) & (F.col("similar") == 0), "HIGH").when(lost_pct > 10, "MEDIUM")
+        .when(F.col("similar") > 0, "INFO").otherwise("PASS")
+    )
+    by_name = F.when((lost_pct > 50) & (F.col("similar") == 0), "HIGH").when(lost_pct > 0, "MEDIUM").otherwise("PASS")
     pct = percent(F.col("found"), F.greatest("providers", F.lit(1)))
     return emit(m, ctx, [finding(
-        "C2", severity,
-        F.format_string(f"Billing <-> Payroll {mode} match: %.1f%% (%d/%d distinct billing providers found in payroll)", pct, "found", "providers"),
+        "C2", F.when(F.col("by"), by_id).otherwise(by_name),
+        F.format_string("C2: payroll has %d of %d billing providers (%.1f%%), compared by %s", "found", "providers", pct,
+                        F.when(F.col("by"), "NPI").otherwise("name")),
         affected=F.col("found"), total=F.col("providers"), pct=pct,
-        column="RenderingProviderNpi" if by_npi else "RenderingProviderFullName", metrics={"similar": F.col("similar")},
+        column=F.when(F.col("by"), "RenderingProviderNpi").otherwise("RenderingProviderFullName"), metrics={"similar": F.col("similar")},
+        samples=F.col("which"),
     )], phase=4)
 
 
@@ -263,11 +283,14 @@ def place_match(
         marked.where(~F.col("hit")).select(F.col("value").alias("text")),
         reference.select(F.col("value").alias("text")), rules.LOCATION_FUZZY,
     )
-    m = marked.join(similar.select(F.col("text").alias("value"), "score"), "value", "left").groupBy("staging_column").agg(
+    marked = marked.join(similar.select(F.col("text").alias("value"), "best", "score"), "value", "left")
+    missed = marked.where(~F.col("hit")).withColumn("shown", F.concat_ws(" ~ ", "shown", "best"))
+    m = marked.groupBy("staging_column").agg(
         F.count("*").alias("values"),
         F.count_if("hit").alias("found"),
         F.count_if(~F.col("hit") & F.col("score").isNotNull()).alias("similar"),
     )
+    m = m.join(samples_per(missed, "staging_column", "shown", count="rows"), "staging_column", "left")
     lost = F.col("values") - F.col("found")
     severity = (
         F.when(percent(lost - F.col("similar"), F.col("values")) > high_pct, "HIGH").when(lost > 0, "MEDIUM").otherwise("PASS")
@@ -277,6 +300,7 @@ def place_match(
         check, severity,
         F.format_string(f"{check} %s: %.1f%% of %d values found (%d unmatched, %d similar)", "staging_column", pct, "values", lost, "similar"),
         affected=F.col("found"), total=F.col("values"), pct=pct, column=F.col("staging_column"), metrics={"similar": F.col("similar")},
+        samples=F.col("which"),
     )], phase=4)
 
 
@@ -394,63 +418,62 @@ def _center_keys(ledger: DataFrame) -> DataFrame:
     return rows.where(present("key")).distinct()
 
 
-def extraction_offset(departments: DataFrame, centers: DataFrame) -> DataFrame:
-    """The substring ``start, size`` (from 0) of department ids that hits a center most often.
+def _probes(norm: Column, sizes: Column) -> Column:
+    """What is looked up for a department: the id itself (``start`` -1) and every part of it as long as some center number."""
+    def probe(kind: str, text: Column, start: Column, size: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("key"), start.alias("start"), size.alias("size"))
 
-    All substrings as long as some center number are looked up by equality.  At
-    least five ids, and four in five of them, must hit.  No row if none does.
-    """
-    numbers = centers.where(F.col("kind") == "number")
-    sizes = numbers.agg(F.collect_set(F.length("key")).alias("sizes"))  # at most one per length
-    dept = F.lower("dept")
-    ids = departments.select(dept.alias("dept")).withColumn("sizes", sizes.scalar())
-    cuts = ids.select("dept", F.explode("sizes").alias("size")).where(F.length("dept") >= F.col("size")).select(
-        "dept", "size", F.explode(F.sequence(F.lit(0), F.length("dept") - F.col("size"))).alias("start")
-    ).withColumn("cut", F.col("dept").substr(F.col("start") + 1, F.col("size")))
-    probes = cuts.select(
-        "dept", "start", "size",
-        F.explode(F.array(
-            F.struct(F.lit("number").alias("kind"), F.col("cut").alias("key")),
-            F.struct(F.lit("bare").alias("kind"), strip_zeros("cut").alias("key")),
-        )).alias("p"),
-    ).select("dept", "start", "size", "p.*")
-    hits = probes.join(centers, ["kind", "key"], "left_semi").select("dept", "start", "size").distinct()
-    total = departments.agg(F.count("*")).scalar()
-    scored = hits.groupBy("start", "size").agg(F.count("*").alias("hits")).withColumn("ids", total)
-    return scored.where(
-        (F.col("ids") >= rules.OFFSET_MIN_IDS) & (F.col("hits") >= F.col("ids") * rules.OFFSET_SHARE)
-    ).orderBy(F.desc("hits"), "size", "start").limit(1)
-
-
-def _hits(departments: DataFrame, centers: DataFrame, probes: list[tuple[str, Column]]) -> DataFrame:
-    """Departments with any probe key among the centers: an equality join instead of an OR."""
-    cells = F.array(*[F.struct(F.lit(kind).alias("kind"), probe.alias("key")) for kind, probe in probes])
-    exploded = departments.select("dept", F.explode(cells).alias("p")).select("dept", "p.*")
-    return exploded.where(F.col("key").isNotNull()).join(centers, ["kind", "key"], "left_semi").select("dept").distinct()
+    none = F.lit(-1)
+    whole = F.array(probe("exact", norm, none, none), probe("bare", strip_zeros(norm), none, none))
+
+    def cut(size: Column, start: Column) -> Column:
+        part = F.substr(norm, start + 1, size)
+        return F.array(probe("number", part, start, size), probe("bare", strip_zeros(part), start, size))
+
+    def of_size(size: Column) -> Column:
+        last = F.length(norm) - size
+        return F.when(last >= 0, F.flatten(F.transform(F.sequence(F.lit(0), last), lambda start: cut(size, start)))).otherwise(F.array())
+
+    return F.concat(whole, F.flatten(F.transform(sizes, of_size)))
 
 
 def department_match(payroll: DataFrame, ledger: DataFrame, offset: bool = True) -> DataFrame:
-    """``dept, name, rows, matched, start, size`` of every payroll department."""
+    """``dept, name, rows, matched, start, size`` of every payroll department.
+
+    Ids and all their parts are looked up by one equality join.  A cut (``start``, from 0, and
+    ``size``) counts for all departments if four in five of at least five ids hit a center with
+    it, ids are longer than center numbers, and few ids match as they are; of such cuts the one
+    with the most hits, then the shortest and the first.  What follows the join sees one row per
+    department and cut.
+    """
     departments, centers = department_rows(payroll), _center_keys(ledger)
-    norm = F.lower("dept")
-    plain = [("exact", norm), ("bare", strip_zeros(norm))]
-    direct = _hits(departments, centers, plain).withColumn("direct", F.lit(True))
-    marked = departments.join(direct, "dept", "left").withColumn("direct", F.coalesce("direct", F.lit(False)))
+    length = F.length("key").cast("int")
+    numbers = centers.where(F.col("kind") == "number").agg(
+        F.struct(F.collect_set(length).alias("sizes"), F.avg(length).alias("length")).alias("s")  # at most one size per length
+    ).scalar() if offset else None
+    sizes = numbers["sizes"] if offset else F.array().cast("array<int>")
+    probes = departments.withColumn("sizes", sizes).withColumn("p", F.explode(_probes(F.lower("dept"), F.col("sizes")))).select("dept", "name", "rows", "p.*")
+    hit, whole = F.col("found").isNotNull(), F.col("start") == -1
+    looked_up = probes.join(centers.withColumn("found", F.lit(True)), ["kind", "key"], "left").groupBy("dept", "name", "rows").agg(
+        F.bool_or(hit & whole).alias("direct"), F.collect_set(F.when(hit & ~whole, F.struct("start", "size"))).alias("cuts"),
+    )
     if not offset:
-        return marked.withColumnRenamed("direct", "matched")
-    # Worth a search only if ids are longer than center numbers and few match as they are.
-    need = marked.agg(
-        (F.avg(F.length("dept")) > F.coalesce(centers.where(F.col("kind") == "number").agg(F.avg(F.length("key"))).scalar(), F.lit(1e9)) + 1)
-        & (F.avg(F.col("direct").cast("double")) < rules.OFFSET_SHARE)
-    ).scalar()
-    best = extraction_offset(departments, centers).where(need).select(F.struct("start", "size")).scalar()
-    departments, marked = departments.withColumn("at", best), marked.withColumn("at", best)
-    start, size = F.col("at.start"), F.col("at.size")
-    cut = F.when(F.length("dept") >= start + size, norm.substr((start + 1).cast("int"), size.cast("int")))
-    by_cut = _hits(departments.where(start.isNotNull()), centers, [("number", cut), ("bare", strip_zeros(cut))])
-    return marked.join(by_cut.withColumn("cut_hit", F.lit(True)), "dept", "left").select(
-        "dept", "name", "rows", (F.col("direct") | F.coalesce("cut_hit", F.lit(False))).alias("matched"),
-        start.alias("start"), size.alias("size"),
+        return looked_up.select("dept", "name", "rows", F.col("direct").alias("matched"))
+    everyone, same_cut = Window.partitionBy(F.lit(0)), Window.partitionBy("cut.start", "cut.size")
+    spread = looked_up.withColumns({
+        "ids": F.count("*").over(everyone),
+        "worth": (F.avg(F.length("dept")).over(everyone) > F.coalesce(numbers["length"], F.lit(1e9)) + 1)
+        & (F.avg(F.col("direct").cast("double")).over(everyone) < rules.OFFSET_SHARE),
+    }).withColumn("cut", F.explode_outer("cuts"))
+    hits = F.when(F.col("cut").isNotNull(), F.count("*").over(same_cut))
+    enough = F.col("worth") & (F.col("ids") >= rules.OFFSET_MIN_IDS) & (F.col("hits") >= F.col("ids") * rules.OFFSET_SHARE)
+    order = F.struct(F.col("hits").alias("hits"), (-F.col("cut.size")).alias("size"), (-F.col("cut.start")).alias("start"))
+    best = F.max(F.when(enough, order)).over(everyone)
+    chosen = spread.withColumn("hits", hits).withColumn("best", best)
+    start, size = -F.col("best.start"), -F.col("best.size")
+    here = F.coalesce((F.col("cut.start") == start) & (F.col("cut.size") == size), F.lit(False))
+    return chosen.groupBy("dept", "name", "rows").agg(
+        F.bool_or(F.col("direct") | here).alias("matched"), F.max(start).alias("start"), F.max(size).alias("size"),
     )
 
 
@@ -461,10 +484,12 @@ def payroll_ledger_departments(payroll: DataFrame, ledger: DataFrame, ctx: Conte
     if not {"CostCenterNumberOrig", "CostCenterNameOrig"} & set(ledger.columns):
         return _note(payroll, ctx, "C4", "C4: GL file has no CostCenterNumber or CostCenterName data")
     lost = ~F.col("matched")
-    m = department_match(payroll, ledger).agg(
+    matched = department_match(payroll, ledger)
+    m = matched.agg(
         F.count("*").alias("departments"), F.count_if("matched").alias("found"),
         F.count_if(lost & (F.col("rows") > 100)).alias("large"), F.max("start").alias("start"), F.max("size").alias("size"),
     )
+    m = with_samples(m, matched.where(lost), "dept", count="rows")
     severity = (
         F.when(F.col("large") > 0, "HIGH").when(F.col("found") < F.col("departments"), "MEDIUM").otherwise("PASS")
     )
@@ -478,6 +503,7 @@ def payroll_ledger_departments(payroll: DataFrame, ledger: DataFrame, ctx: Conte
     return emit(m, ctx, [finding(
         "C4", severity, text, affected=F.col("found"), total=F.col("departments"), pct=pct, column="DepartmentId",
         metrics={"large_unmatched": F.col("large"), "offset_start": F.col("start"), "offset_size": F.col("size")},
+        samples=F.col("which"),
     )], phase=4)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SCHEMA = {
     "client": "string",
@@ -142,14 +142,34 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def samples_of(values: DataFrame, value: str, n: int = 5, count: str = "n") -> DataFrame:
-    """The ``n`` most frequent values as one row with one sample array; ties by value."""
-    top = values.orderBy(F.desc(count), F.asc(value)).limit(n)
-    return top.agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col(count)).alias("r"), F.col(value).alias("v")))),
-            lambda s: F.struct(s["v"].cast("string").alias("value"), (-s["r"]).cast("bigint").alias("count")),
-        ).alias("samples")
+def _listed(rows: Column) -> Column:
+    """Sorted ``at, value, count`` structs as samples."""
+    return F.transform(F.array_sort(rows), lambda r: F.struct(r["value"].cast("string").alias("value"), r["count"].cast("bigint").alias("count")))
+
+
+def _sample(at: Column, value: str, count: str) -> Column:
+    return F.struct(at.alias("at"), F.col(value).alias("value"), F.col(count).alias("count"))
+
+
+def with_samples(measures: DataFrame, values: DataFrame, value: str, n: int = 20, count: str = "n", by: str | None = None, name: str = "which") -> DataFrame:
+    """Adds the ``n`` values with the most rows (or the most of ``by``) as samples; ties by value."""
+    at = -F.col(by or count).cast("double")
+    top = values.select(_sample(at, value, count).alias("s")).orderBy("s.at", "s.value").limit(n)
+    return measures.withColumn(name, top.agg(_listed(F.collect_list("s"))).scalar())
+
+
+def samples_per(values: DataFrame, group: str, value: str, n: int = 20, count: str = "n", by: str | None = None, name: str = "which") -> DataFrame:
+    """``group`` and its ``n`` values with the most rows (or the most of ``by``) as samples; ties by value."""
+    at = -F.col(by or count).cast("double")
+    order = Window.partitionBy(group).orderBy(at, value)
+    top = values.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= n)
+    return top.groupBy(group).agg(_listed(F.collect_list(_sample(at, value, count))).alias(name))
+
+
+def sample_rows(findings: DataFrame) -> DataFrame:
+    """``check_id, staging_column, place, value, n``: the samples of findings, one per row."""
+    return findings.where(F.size("samples") > 0).select("check_id", "staging_column", F.posexplode("samples").alias("place", "s")).select(
+        "check_id", "staging_column", "place", F.col("s.value").alias("value"), F.col("s.count").alias("n")
     )
 
 

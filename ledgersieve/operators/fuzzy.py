@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.similarity import plain, similarity, sorted_tokens
 
-SALTS = 16
-HOT = 10_000
-
 
 def _grams(text: Column, size: int) -> Column:
     """Numbered grams, so a repeated gram counts as often as it occurs."""
@@ -43,18 +40,6 @@ def _prefix_length(n: Column, threshold: float, size: int) -> Column:
     return F.greatest(F.lit(1), grams - F.greatest(needed, F.lit(1)) + 1).cast("int")
 
 
-def _spread(signed_left: DataFrame, signed_right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Salt the signatures that many right values share: the left picks a salt, the right gets them all."""
-    hot = signed_left.groupBy(*keys).count().where(F.col("count") > HOT).select(*keys, F.lit(True).alias("hot"))
-    left = signed_left.join(hot, keys, "left").withColumn(
-        "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("l"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    )
-    right = signed_right.join(hot, keys, "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    return left.drop("hot"), right.drop("hot")
-
-
 def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs ``scope, l, r`` that can reach the threshold.
 
@@ -85,10 +70,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
         first = F.transform(kept, lambda g: g["gram"])
         return ranked.select("scope", name, f"{name}_match", f"{name}_len", F.explode(first).alias("gram"))
 
-    signed_left, signed_right = _spread(prefix(grams_left, "l"), prefix(grams_right, "r"), ["scope", "gram"])
+    signed_left, signed_right = prefix(grams_left, "l"), prefix(grams_right, "r")
     close = 200.0 * F.least("l_len", "r_len") >= threshold * (F.col("l_len") + F.col("r_len"))
     pairs = (
-        signed_left.join(signed_right, ["scope", "gram", "salt"])
+        signed_left.join(signed_right, ["scope", "gram"])
         .where(close)
         .groupBy("scope", "l", "r").agg(F.first("l_match").alias("l_match"), F.first("r_match").alias("r_match"))
     )
@@ -115,9 +100,9 @@ def _shared_gram_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
             "scope", F.col("text").alias(name), match.alias(f"{name}_match"), F.explode(grams).alias("gram")
         )
 
-    signed_left, signed_right = _spread(signed(left, "l"), signed(right, "r"), ["scope", "gram"])
+    signed_left, signed_right = signed(left, "l"), signed(right, "r")
     return (
-        signed_left.join(signed_right, ["scope", "gram", "salt"])
+        signed_left.join(signed_right, ["scope", "gram"])
         .groupBy("scope", "l", "r").agg(F.first("l_match").alias("l_match"), F.first("r_match").alias("r_match"))
     )
 

@@ -85,24 +85,23 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-WIDE = 12
+def _same_text(df: DataFrame, name: str) -> Column:
+    """Text that is equal for values that group together: zero has no sign."""
+    c = F.col(f"`{name}`")
+    if dict(df.dtypes)[name] in ("float", "double"):
+        c = F.when(c == 0, F.lit(0).cast("double")).otherwise(c)
+    return c.cast("string")
 
 
 def full_row_duplicates(df: DataFrame) -> DataFrame:
     """Rows that have an identical twin, every member counted.
 
-    A wide row is reduced to the SHA-256 of its length-prefixed values before the
-    shuffle, so 32 bytes travel instead of the row; copies collapse on the map side.
+    A row is reduced to the SHA-256 of its length-prefixed values before the shuffle, so
+    32 bytes travel instead of the row; copies collapse on the map side.
     """
-    if len(df.columns) <= WIDE:
-        counts = df.groupBy(*df.columns).agg(F.count("*").alias("n"))
-    else:
-        parts = [
-            F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-"))
-            for c in (F.col(f"`{name}`").cast("string") for name in df.columns)
-        ]
-        digest = F.unhex(F.sha2(F.concat_ws("\x1f", *parts), 256))
-        counts = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
+    parts = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in (_same_text(df, name) for name in df.columns)]
+    digest = F.unhex(F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256))
+    counts = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
     return counts.agg(
         F.count_if(F.col("n") > 1).alias("groups"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"),

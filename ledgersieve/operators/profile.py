@@ -57,20 +57,20 @@ def charge_scope(df: DataFrame, ctx: Context, fallback: str = "all") -> Column:
     """Charge rows of a combined file.
 
     When no row is a charge: ``all`` rows, ``none``, or those matching the charge ``keyword``.
-    The test stops at the first charge row.
+    Whether there is one is a value of the plan, found while it runs.
     """
     if ctx.source != "billing_combined":
         return F.lit(True)
-    mask = charge_rows(df, ctx)
-    if mask is not None and not df.where(mask).isEmpty():
-        return mask
-    if fallback == "none":
-        return F.lit(False)
+    other = F.lit(fallback == "all")
     if fallback == "keyword":
         named = [c for c in ("TransactionType", "TransactionTypeDesc") if c in df.columns]
         tests = [F.coalesce(F.col(c).rlike(f"(?i){rules.CHARGE_KEYWORDS}"), F.lit(False)) for c in named]
-        return reduce(Column.__or__, tests, F.lit(False))
-    return F.lit(True)
+        other = reduce(Column.__or__, tests, F.lit(False))
+    mask = charge_rows(df, ctx)
+    if mask is None:
+        return other
+    some = F.coalesce(df.agg(F.bool_or(mask)).scalar(), F.lit(False))
+    return F.when(some, mask).otherwise(other)
 
 
 # What holds for a column's type, as bits of one small number.

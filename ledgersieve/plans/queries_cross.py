@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import rules, templates
 from ..checks import cross_source as cross
 from ..context import Context
-from ..findings import report
+from ..findings import report, sample_rows
 
 from ..operators import catalog, fuzzy, keys, star
 from . import bindings as b
@@ -410,6 +410,12 @@ def key_overlap(spark, folder) -> DataFrame:
     return keys.overlap(found_keys).select("left_keys", "right_keys", "shared_keys", "left_rows", "left_rows_matched", "right_rows", "right_rows_matched")
 
 
+@query("provider_candidates", f"WITH {_BY_NAME} SELECT text AS id, text, best, score, n AS rows FROM best JOIN (SELECT lower(RenderingProviderFullName) AS text, count(*) AS n FROM transactions GROUP BY 1) USING (text)")
+def provider_candidates(spark, folder) -> DataFrame:
+    pay = b.payroll(spark, folder).withColumn("EmployeeFullName", F.replace("EmployeeFullName", F.lit("Supplier#0000000"), F.lit("Supplier ")))
+    return cross.provider_candidates(b.transactions(spark, folder), pay, BILLING, by_npi=False)
+
+
 # Places.
 
 def _place_sql(left: str, right: str, check: str, column: str, high: int) -> str:
@@ -503,3 +509,29 @@ def gl_recon(spark, folder) -> DataFrame:
     late = F.when(F.col("YearMonth") < "201106", "").otherwise("LATE-")
     theirs = rows.withColumn("AcctNumber", F.concat(late, "AcctNumber")).withColumnRenamed("AmountOrig", "Expected")
     return cross.reconciliation(rows, theirs, ["CostCenterNumberOrig", "AcctNumber"], "AmountOrig", "Expected")
+
+
+# The values that findings name.
+
+@query("department_samples", f"""WITH {_DEPT} SELECT 'C4' AS check_id, 'DepartmentId' AS staging_column, CAST(row_number() OVER (ORDER BY n DESC, dept) - 1 AS INTEGER) AS place,
+ dept AS value, n FROM x WHERE NOT hit ORDER BY n DESC, dept LIMIT 20""")
+def department_samples(spark, folder) -> DataFrame:
+    return sample_rows(cross.payroll_ledger_departments(*_departments(spark, folder), Context("payroll")))
+
+
+@query("organisation_samples", f"""WITH {_ORG} SELECT * FROM (SELECT 'C1' AS check_id, c AS staging_column, CAST(row_number() OVER (PARTITION BY c ORDER BY CAST(a AS DOUBLE) DESC, shown) - 1 AS INTEGER) AS place,
+ shown AS value, n FROM k WHERE v <> '' AND NOT hit) WHERE place < 20""")
+def organisation_samples(spark, folder) -> DataFrame:
+    return sample_rows(cross.org_match(b.charges(spark, folder), _renamed_ledger(spark, folder), BILLING))
+
+
+@query("place_samples", f"""WITH v AS (SELECT text, count(*) AS n, min(shown) AS shown FROM (SELECT {_TYPO} AS text, {_TYPO} AS shown FROM part) GROUP BY 1),
+ v2 AS (SELECT '' AS scope, text, {sorted_sql('text')} AS m FROM v), g AS (SELECT DISTINCT '' AS scope, text, {sorted_sql('text')} AS m FROM (SELECT p_name AS text FROM part UNION SELECT lower(p_brand) FROM part)),
+ lost AS (SELECT * FROM v2 WHERE text NOT IN (SELECT text FROM g)), best AS ({best_sql('lost', 'g', 80)}),
+ j AS (SELECT concat_ws(' ~ ', shown, best) AS value, n FROM v LEFT JOIN best ON v.text = best.text WHERE v.text NOT IN (SELECT text FROM g))
+ SELECT * FROM (SELECT 'C3a' AS check_id, 'BillLocationName' AS staging_column, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS place, value, n FROM j) WHERE place < 20""")
+def place_samples(spark, folder) -> DataFrame:
+    part = b.table(spark, folder, "part")
+    billing = part.select(_typo().alias("BillLocationName"))
+    sched = part.select(F.col("p_name").alias("BillLocNameOrig"), F.col("p_brand").alias("DeptNameOrig"))
+    return sample_rows(cross.billing_scheduling_places(billing, sched, BILLING))

@@ -8,7 +8,7 @@ from .. import rules
 from ..checks import billing, ledger, payroll, quality, scheduling
 from ..checks.registry import run_checks
 from ..context import Context, TransactionTypes
-from ..findings import report
+from ..findings import report, sample_rows
 from ..operators import frequency, keys, quantiles
 from . import bindings as b
 from .registered import found, over, pct, query, row, when
@@ -227,6 +227,20 @@ def code_set_check(spark, folder) -> DataFrame:
     return _run(df, ctx, ["B13"], "rows")
 
 
+@query("code_samples", f"""WITH {_CODES} SELECT * FROM (
+ SELECT 'B13' AS check_id, 'CptCode' AS staging_column, CAST(row_number() OVER (PARTITION BY dead IS NOT NULL ORDER BY n DESC, k) - 1 AS INTEGER) AS place, k AS value, n
+ FROM j WHERE NOT known OR dead) WHERE place < 20""")
+def code_samples(spark, folder) -> DataFrame:
+    df, ctx = _procedures(spark, folder)
+    return sample_rows(run_checks(df, ctx, ["B13"]))
+
+
+@query("unmatched_codes", f"WITH {_CODES} SELECT k AS code, n AS row_count FROM j WHERE NOT known ORDER BY n DESC, k LIMIT 20")
+def unmatched_codes(spark, folder) -> DataFrame:
+    df, ctx = _procedures(spark, folder)
+    return billing.unmatched_codes(df, ctx)
+
+
 @query("code_value_variance", f"WITH {_CODES} SELECT k AS code, q AS client_rvu, CAST(w AS DOUBLE) AS published_rvu, v AS variance_pct FROM j WHERE known")
 def code_value_variance(spark, folder) -> DataFrame:
     df, ctx = _procedures(spark, folder)
@@ -255,6 +269,13 @@ _POS = """c AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS k, count(*)
  coalesce(sum(n) FILTER (k = '21'), 0) AS inp, count(*) FILTER (k = '11') AS office, (SELECT count(*) FROM customer) AS t FROM j)"""
 
 
+@query("pos_samples", f"""WITH {_POS} SELECT * FROM (SELECT 'B14' AS check_id, 'PlaceOfServiceCode' AS staging_column,
+ CAST(row_number() OVER (ORDER BY n DESC, k) - 1 AS INTEGER) AS place, k AS value, n FROM j) WHERE place < 15""")
+def pos_samples(spark, folder) -> DataFrame:
+    df, ctx = _places(spark, folder)
+    return sample_rows(run_checks(df, ctx, ["B14"]))
+
+
 @query("pos_check", found(
     _POS,
     row("B14", over(pct("br", "t"), (5, "HIGH"), above_zero="MEDIUM", otherwise="INFO"), "PlaceOfServiceCode", "br", "t", bad_codes="bc"),

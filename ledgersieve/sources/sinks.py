@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import rules
+from ..checks import billing, cross_source, ledger, payroll
 from ..checks.conformance import compatibility, overall_compatibility
 from ..operators import catalog, issues as iss
 
@@ -45,11 +47,33 @@ def report_tables(review) -> dict[str, DataFrame]:
         "cost_centers": review.cost_centers,
         "providers": review.providers,
     }
-    if "gl" in review.tables:
-        from ..checks.ledger import cost_center_pl
+    return tables | _value_tables(review)
 
-        tables["cost_center_pl"] = cost_center_pl(review.tables["gl"], review.contexts["gl"])
-    return tables
+
+def _value_tables(review) -> dict[str, DataFrame]:
+    """The values behind the findings, for the sources that are there."""
+    tables, contexts = review.tables, review.contexts
+    out: dict[str, DataFrame | None] = {}
+    source = next((s for s in ("billing_combined", "billing_charges") if s in tables), None)
+    if "gl" in tables:
+        out["cost_center_pl"] = ledger.cost_center_pl(tables["gl"], contexts["gl"])
+    if source:
+        df, ctx = tables[source], contexts[source]
+        if ctx.ref_cpt is not None and "CptCode" in df.columns:
+            out["unmatched_codes"] = billing.unmatched_codes(df, ctx)
+        if ctx.ref_pos is not None and "PlaceOfServiceCode" in df.columns:
+            out["place_distribution"] = billing.place_distribution(df, ctx)
+        if "gl" in tables and any(c in df.columns for c in rules.BILLING_ORG_COLUMNS):
+            out["unmatched_org_values"] = cross_source.unmatched_org_values(df, tables["gl"], ctx)
+        if "payroll" in tables:
+            by_npi = {"EmployeeNpi"} <= set(tables["payroll"].columns) and "RenderingProviderNpi" in df.columns
+            out["top_providers"] = cross_source.top_providers(df, tables["payroll"], ctx, by_npi=by_npi)
+            out["provider_candidates"] = cross_source.provider_candidates(df, tables["payroll"], ctx)
+    if "payroll" in tables and "JobCodeDesc" in tables["payroll"].columns:
+        out["staff_totals"] = payroll.staff_totals(tables["payroll"])
+    if {"payroll", "gl"} <= set(tables) and "DepartmentId" in tables["payroll"].columns:
+        out["unmatched_departments"] = cross_source.unmatched_departments(tables["payroll"], tables["gl"])
+    return {name: df for name, df in out.items() if df is not None}
 
 
 def write_tables(review, path: str, names: list[str] | None = None, format: str = "parquet") -> list[str]:
