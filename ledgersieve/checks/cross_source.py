@@ -46,13 +46,13 @@ def transaction_match_rate(charges: DataFrame, transactions: DataFrame, ctx: Con
     """C0a: share of transaction rows whose id belongs to a charge."""
     a, b = link_column(charges), link_column(transactions)
     if a is None or b is None:
-        return _note(charges, ctx, "C0a", "C0a skipped - no ChargeId or InvoiceNumber column in charges or transactions")
+        return _note(charges, ctx, "C0a", "C0a: skipped, since charges or transactions have no linking id")
     m = keys.overlap(keys.presence(transactions, strip(b), charges, strip(a)))
     pct = percent(F.col("left_rows_matched"), F.col("left_rows"))
     severity = F.when(pct < 75, "HIGH").when(pct < 90, "MEDIUM").when(pct.isNull(), "INFO").otherwise("PASS")
     return emit(m, ctx, [finding(
         "C0a", severity,
-        F.format_string("Transactions-to-charges match: %.1f%% (%,d/%,d transaction records link to a charge)", pct, "left_rows_matched", "left_rows"),
+        F.format_string("C0a: %.1f%% of the transactions (%,d of %,d) belong to a charge", pct, "left_rows_matched", "left_rows"),
         affected=F.col("left_rows_matched"), total=F.col("left_rows"), column=b,
         metrics={"charge_ids": F.col("right_keys"), "transaction_ids": F.col("left_keys")},
     )], phase=4)
@@ -82,7 +82,7 @@ def charge_balances(charges: DataFrame, transactions: DataFrame) -> DataFrame:
 def payment_balance(charges: DataFrame, transactions: DataFrame, ctx: Context) -> DataFrame:
     """C0b: share of charges paid to zero, and what is still open."""
     if link_column(charges) is None or link_column(transactions) is None or "ChargeAmountOriginal" not in charges.columns:
-        return _note(charges, ctx, "C0b", "C0b skipped - required columns not found")
+        return _note(charges, ctx, "C0b", "C0b: skipped, since amounts or linking ids are missing")
     m = charge_balances(charges, transactions).agg(
         F.count("*").alias("charges"),
         F.count_if(F.abs("outstanding") < 0.01).alias("zero"),
@@ -98,7 +98,7 @@ def payment_balance(charges: DataFrame, transactions: DataFrame, ctx: Context) -
     return emit(m, ctx, [finding(
         "C0b", severity,
         F.format_string(
-            "Payment balance: %.1f%% of charges are zero-balance (threshold: 65%%); outstanding balance rate: %.1f%% (threshold: 15%%)",
+            "C0b: %.1f%% of the charges are settled (65%% wanted); %.1f%% of the charged dollars are open (15%% allowed)",
             zero_pct, rate,
         ),
         affected=F.col("zero"), total=F.col("charges"), column="ChargeAmountOriginal",
@@ -155,7 +155,7 @@ def unmatched_org_values(billing: DataFrame, ledger: DataFrame, ctx: Context, k:
 def org_match(billing: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
     """C1: every billing organisation column against the ledger's cost centers."""
     if not any(c in billing.columns for c in rules.BILLING_ORG_COLUMNS):
-        return _note(billing, ctx, "C1", "C1: No billing org columns (dept/location/practice) found in billing file")
+        return _note(billing, ctx, "C1", "C1: skipped, since billing has no organisation column")
     named, lost = present("value"), present("value") & ~F.col("hit")
     values = org_values(billing, ledger, ctx)
     m = values.groupBy("staging_column").agg(
@@ -171,7 +171,7 @@ def org_match(billing: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
     matched = F.col("values") - F.col("lost")
     return emit(m, ctx, [finding(
         "C1", severity,
-        F.format_string("Billing %s: %.1f%% match (%d/%d distinct values); %.1f%% of charge dollars are unmatched",
+        F.format_string("C1: of the values of %s the ledger knows %.1f%% (%d of %d); the others hold %.1f%% of the charged dollars",
                         "staging_column", percent(matched, F.col("values")), matched, "values", dollar_pct),
         affected=F.col("lost"), total=F.col("values"), pct=percent(matched, F.col("values")), column=F.col("staging_column"),
         metrics={"dollars": F.col("dollars"), "lost_dollars": F.col("lost_dollars"), "lost_dollar_pct": dollar_pct},
@@ -277,7 +277,7 @@ def place_match(
     """Distinct values of each column in the reference list, similar ones counted as half found."""
     here = [c for c in columns if c in left.columns]
     if not here:
-        return _note(left, ctx, check, f"{check}: No location/dept/practice columns found")
+        return _note(left, ctx, check, f"{check}: skipped, since there is no column that names a place")
     marked = _marked(column_values(left, here).where(present("value")), reference)
     similar = fuzzy.best_match(
         marked.where(~F.col("hit")).select(F.col("value").alias("text")),
@@ -298,7 +298,7 @@ def place_match(
     pct = percent(F.col("found"), F.col("values"))
     return emit(m, ctx, [finding(
         check, severity,
-        F.format_string(f"{check} %s: %.1f%% of %d values found (%d unmatched, %d similar)", "staging_column", pct, "values", lost, "similar"),
+        F.format_string(f"{check}: of the values of %s, %.1f%% of %d are known on the other side; %d are not, of which %d resemble one", "staging_column", pct, "values", lost, "similar"),
         affected=F.col("found"), total=F.col("values"), pct=pct, column=F.col("staging_column"), metrics={"similar": F.col("similar")},
         samples=F.col("which"),
     )], phase=4)
@@ -316,7 +316,7 @@ def billing_scheduling_places(billing: DataFrame, scheduling: DataFrame, ctx: Co
         severity = F.when(lost > 30, "HIGH").when(lost > 0, "MEDIUM").otherwise("PASS")
         parts.append(emit(m.where("left_keys > 0 and right_keys > 0"), ctx, [finding(
             "C3a", severity,
-            F.format_string("C3a BillDepartmentId vs DeptId (direct ID match): %.1f%% of %d billing dept IDs found in scheduling", "left_coverage", "left_keys"),
+            F.format_string("C3a: scheduling knows %.1f%% of %d billing department ids", "left_coverage", "left_keys"),
             affected=F.col("shared_keys"), total=F.col("left_keys"), column="BillDepartmentId",
         )], phase=4))
     return union(parts)
@@ -327,7 +327,7 @@ def _coverage(m: DataFrame, ctx: Context, check: str, what: str, high: float, me
     fine = F.when(note, "INFO").otherwise("PASS") if note is not None else F.lit("PASS")
     severity = F.when(least.isNull(), "INFO").when(least < high, "HIGH").when(least < medium, "MEDIUM").otherwise(fine)
     text = F.format_string(
-        f"{check} {what}: %.1f%% of billing found in scheduling; %.1f%% of scheduling found in billing", "left_coverage", "right_coverage"
+        f"{check}: {what}: scheduling knows %.1f%% of those in billing, billing knows %.1f%% of those in scheduling", "left_coverage", "right_coverage"
     )
     return emit(m, ctx, [finding(
         check, severity, text, affected=F.col("shared_keys"), total=F.col("left_keys"), pct=F.col("left_coverage"), column=column,
@@ -338,7 +338,7 @@ def _coverage(m: DataFrame, ctx: Context, check: str, what: str, high: float, me
 def npi_coverage(billing: DataFrame, scheduling: DataFrame, ctx: Context) -> DataFrame:
     """C3b: provider NPIs both ways."""
     if "RenderingProviderNpi" not in billing.columns or "ApptProvNPI" not in scheduling.columns:
-        return _note(billing, ctx, "C3b", "C3b skipped - provider NPI not found on both sides")
+        return _note(billing, ctx, "C3b", "C3b: skipped, since one side has no provider NPI")
     rows = billing.where(charge_scope(billing, ctx))
     m = keys.overlap(keys.presence(rows, key("RenderingProviderNpi"), scheduling, key("ApptProvNPI")))
     return _coverage(m, ctx, "C3b", "Provider NPI", 50, 80, "RenderingProviderNpi")
@@ -351,7 +351,7 @@ def patient_coverage(billing: DataFrame, scheduling: DataFrame, ctx: Context) ->
     rewrite happens on distinct ids.
     """
     if "PatientId" not in billing.columns or "PatIdOrig" not in scheduling.columns:
-        return _note(billing, ctx, "C3c", "C3c skipped - patient id not found on both sides")
+        return _note(billing, ctx, "C3c", "C3c: skipped, since one side has no patient id")
     rows = billing.where(charge_scope(billing, ctx))
     ids = keys.presence(rows, key("PatientId"), scheduling, key("PatIdOrig"))
     zero = F.col("key").rlike(r"^0\d+")
@@ -480,9 +480,9 @@ def department_match(payroll: DataFrame, ledger: DataFrame, offset: bool = True)
 def payroll_ledger_departments(payroll: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
     """C4: payroll departments among cost centers."""
     if "DepartmentId" not in payroll.columns:
-        return _note(payroll, ctx, "C4", "C4: Payroll DepartmentId column not found")
+        return _note(payroll, ctx, "C4", "C4: skipped, since payroll has no department id")
     if not {"CostCenterNumberOrig", "CostCenterNameOrig"} & set(ledger.columns):
-        return _note(payroll, ctx, "C4", "C4: GL file has no CostCenterNumber or CostCenterName data")
+        return _note(payroll, ctx, "C4", "C4: skipped, since the ledger has no cost centers")
     lost = ~F.col("matched")
     matched = department_match(payroll, ledger)
     m = matched.agg(
@@ -495,10 +495,10 @@ def payroll_ledger_departments(payroll: DataFrame, ledger: DataFrame, ctx: Conte
     )
     pct = percent(F.col("found"), F.col("departments"))
     text = F.concat(
-        F.format_string("C4 Payroll <-> GL: %.1f%% of %d payroll departments match GL cost centers; %d department(s) with >100 rows are unmatched",
+        F.format_string("C4: the ledger knows %.1f%% of %d payroll departments; %d of the others have more than 100 rows",
                         pct, "departments", "large"),
         F.when(F.col("start").isNotNull(),
-               F.format_string(" [AUTO-EXTRACTED: middle chars [%d:%d] match GL cost center format]", F.col("start"), F.col("start") + F.col("size"))).otherwise(""),
+               F.format_string("; the center is found in the characters %d to %d of the id", F.col("start"), F.col("start") + F.col("size"))).otherwise(""),
     )
     return emit(m, ctx, [finding(
         "C4", severity, text, affected=F.col("found"), total=F.col("departments"), pct=pct, column="DepartmentId",

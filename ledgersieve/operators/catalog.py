@@ -75,12 +75,12 @@ def billing_format(sources: DataFrame) -> DataFrame:
         .when(either, "unknown").otherwise("none")
     )
     note = (
-        F.when(F.col("combined") & either, "Combined billing detected; charges/transactions files found too - verify intent")
-        .when(F.col("combined"), "Combined billing detected")
-        .when(F.col("charges") & F.col("transactions"), "Separate billing detected")
-        .when(F.col("charges"), "Billing Charges file(s) found but no Transactions file - flag for manual review")
-        .when(F.col("transactions"), "Billing Transactions file(s) found but no Charges file - flag for manual review")
-        .otherwise("No billing files detected in submission")
+        F.when(F.col("combined") & either, "one combined billing file, beside separate ones")
+        .when(F.col("combined"), "one combined billing file")
+        .when(F.col("charges") & F.col("transactions"), "charges and transactions in separate files")
+        .when(F.col("charges"), "charges without a transactions file")
+        .when(F.col("transactions"), "transactions without a charges file")
+        .otherwise("no billing file")
     )
     return flags.select(kind.alias("format"), note.alias("notes"))
 
@@ -127,7 +127,7 @@ def map_headers(columns: DataFrame, aliases: DataFrame, threshold: float = rules
         F.when(fuzzy_only, F.col("score")).alias("fuzzy_score"),
         F.concat_ws(
             "; ",
-            F.when(fuzzy_only, F.format_string("Best alias match: '%s'", "best")),
+            F.when(fuzzy_only, F.format_string("resembles the alias '%s'", "best")),
             F.when(F.size(targets) > 1, F.concat(F.lit("DUAL: "), F.array_join(targets, " + "))),
         ).alias("notes"),
     )
@@ -144,8 +144,8 @@ def reroute(mapping: DataFrame, value_facts: DataFrame) -> DataFrame:
         to_name = F.when(F.col("staging") == id_, name).otherwise(to_name)
     facts = mapping.join(value_facts.select("file", "raw", "id_like"), ["file", "raw"], "left")
     moved = F.when(F.col("id_like"), to_id).when(~F.col("id_like"), to_name)
-    note = F.when(F.col("id_like"), "AUTO-ROUTED to *Id: values appear to be codes/IDs").otherwise(
-        "AUTO-ROUTED to *Name: values appear to be descriptive names"
+    note = F.when(F.col("id_like"), "moved to the id column, since most values are codes").otherwise(
+        "moved to the name column, since few values are codes"
     )
     return facts.withColumn("moved", moved).withColumns({
         "staging_cols": F.when(F.col("moved").isNotNull(), F.array("moved")).otherwise(F.col("staging_cols")),
@@ -259,11 +259,11 @@ def schema_coverage(files: DataFrame, mapping: DataFrame, fields: DataFrame | No
         .otherwise(usual)
     )
     note = (
-        F.when(F.col("targets") == 0, "No staging column - field not checked")
-        .when(gone & billing & (F.col("header") == "Cost Center") & any_org, "Cost Center missing - at least one org field is present; GL crosswalk will be required")
-        .when(gone & billing & (F.col("header") == "Cost Center"), "Cost Center missing AND no org fields found - cannot link to GL")
-        .when(gone & linked & (F.col("header") == _CHARGE) & F.col("has_invoice"), "Charge ID missing but Invoice Number is present")
-        .when(gone & linked & (F.col("header") == _INVOICE) & F.col("has_charge"), "Invoice Number missing but Charge ID is present")
+        F.when(F.col("targets") == 0, "not checked, since nothing stores it")
+        .when(gone & billing & (F.col("header") == "Cost Center") & any_org, "no cost center; another organisation field must lead to the ledger")
+        .when(gone & billing & (F.col("header") == "Cost Center"), "no cost center and no other organisation field, so nothing leads to the ledger")
+        .when(gone & linked & (F.col("header") == _CHARGE) & F.col("has_invoice"), "no charge id; the invoice number links instead")
+        .when(gone & linked & (F.col("header") == _INVOICE) & F.col("has_charge"), "no invoice number; the charge id links instead")
         .otherwise("")
     )
     return status.select(
@@ -320,13 +320,13 @@ def unrecognised(mapping: DataFrame, structure: DataFrame) -> DataFrame:
     lost = unmapped.join(near, ["staging_table", "norm"], "left").select(
         "file", "raw", "nearest", "score",
         F.when(F.col("score") >= rules.HEADER_FUZZY, "HIGH").when(F.col("score") >= rules.NEAR_MISS, "MEDIUM").otherwise("LOW").alias("severity"),
-        F.when(F.col("score") >= rules.HEADER_FUZZY, F.format_string("Very close to staging column '%s' - confirm or add alias", "nearest"))
-        .when(F.col("score").isNotNull(), F.format_string("Possible match to '%s' - confirm with client", "nearest"))
-        .when(system_field("raw"), "No close match found - likely a system/internal field")
-        .otherwise("No close match found - client-specific or extra column").alias("notes"),
+        F.when(F.col("score") >= rules.HEADER_FUZZY, F.format_string("nearly the same as '%s'; an alias would settle it", "nearest"))
+        .when(F.col("score").isNotNull(), F.format_string("may be '%s'", "nearest"))
+        .when(system_field("raw"), "resembles no column; named like a field of the source system")
+        .otherwise("resembles no column").alias("notes"),
     )
     review = mapping.where(F.col("confidence") == "FUZZY").select(
         "file", "raw", F.col("staging").alias("nearest"), F.col("fuzzy_score").alias("score"), F.lit("REVIEW").alias("severity"),
-        F.format_string("Fuzzy match - confirm '%s' contains data for '%s'", "raw", "staging").alias("notes"),
+        F.format_string("taken by resemblance: does '%s' hold '%s'?", "raw", "staging").alias("notes"),
     )
     return lost.unionByName(review)

@@ -134,7 +134,7 @@ _READY = f"""{_MISSING}, t AS (SELECT client, round, {_SEV_COUNTS} FROM dd WHERE
  rd AS (SELECT client, round, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(low, 0) AS low, coalesce(info, 0) AS info, missing_sources FROM t FULL JOIN ab USING (client, round)),
  ready AS (SELECT *, CASE WHEN critical > 0 OR missing_sources IS NOT NULL THEN 'Needs Revision (Round ' || CASE round WHEN 'v1' THEN 'v2' ELSE 'v3' END || ')' WHEN high > 0 THEN 'Conditionally Ready' ELSE 'Ready for Historical Extract' END AS overall,
  CASE WHEN critical > 0 OR missing_sources IS NOT NULL THEN concat_ws('; ', CASE WHEN critical > 0 THEN critical || ' CRITICAL issue(s)' END, CASE WHEN missing_sources IS NOT NULL THEN 'missing source(s): ' || missing_sources END)
- WHEN high > 0 THEN high || ' HIGH issue(s) require review before historical extract' ELSE 'All checks passed with no CRITICAL or HIGH issues' END AS reason FROM rd)"""
+ WHEN high > 0 THEN high || ' HIGH issue(s) are open' ELSE 'nothing CRITICAL or HIGH is open' END AS reason FROM rd)"""
 
 
 @query("readiness", f"WITH {_FINDINGS}, {_READY} SELECT * FROM ready")

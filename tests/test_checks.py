@@ -148,7 +148,7 @@ def test_department_offset(rows):
     assert match["8818748000"].matched and (match["8818748000"].start, match["8818748000"].size) == (2, 5)
     assert not match["lost"].matched and match["lost"].rows == 101
     found = cross.payroll_ledger_departments(payroll, ledger, Context("payroll")).first()
-    assert found.severity == "HIGH" and "[2:7]" in found.message
+    assert found.severity == "HIGH" and "2 to 7" in found.message
     few = rows("DepartmentId", *[(i,) for i in ids[:3]])
     assert cross.payroll_ledger_departments(few, ledger, Context("payroll")).first().severity == "MEDIUM"
 

@@ -180,7 +180,7 @@ def test_paths_below_a_folder(root, path, parts):
 def test_next_round_and_verdicts(rows):
     df = rows("round", ("v1",), ("v3",), ("pilot",))
     assert [r[0] for r in values(df.select(issues.next_round(F.col("round"))))] == [
-        "v2", "v4 (additional rounds may incur charges per contract)", "pilot+1"]
+        "v2", "v4 (beyond the rounds agreed)", "pilot+1"]
 
 
 def test_dedup_keeps_schema_issue(spark):
