@@ -236,32 +236,43 @@ def _surroundings(batches):
         )
 
 
-def _agreements(parts: list[bytes]) -> tuple[list[int], list[int]]:
-    """Per part the longest prefix shared with another one, and all lengths at which neighbours in order part."""
+def _shared(x: bytes, y: bytes) -> int:
+    """Length of the longest common prefix."""
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return n
+    differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _agreements(parts: list[bytes]) -> list[set[int]]:
+    """Per part all lengths at which some other part ceases to agree with it.
+
+    In sorted order these are the running minima of the neighbours' common prefixes, to either
+    side; a stack holds them for one side at a time.  Where two parts agree, they have the same cuts.
+    """
     order = sorted(range(len(parts)), key=parts.__getitem__)
-    longest, lengths = [0] * len(parts), []
-    for a, b in zip(order, order[1:], strict=False):
-        x, y = parts[a], parts[b]
-        n = min(len(x), len(y))
-        if x[:n] != y[:n]:
-            differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
-            n -= (differ.bit_length() + 7) // 8
-        lengths.append(n)
-        longest[a] = max(longest[a], n)
-        longest[b] = max(longest[b], n)
-    return longest, lengths
+    common = [_shared(parts[a], parts[b]) for a, b in zip(order, order[1:], strict=False)]
+    cuts: list[set[int]] = [set() for _ in parts]
+    for places, between in ((order, common), (order[::-1], common[::-1])):
+        stack: list[int] = []
+        for place, length in zip(places[1:], between, strict=True):
+            while stack and stack[-1] >= length:
+                stack.pop()
+            stack.append(length)
+            cuts[place].update(stack)
+    return cuts
 
 
 def _sequences(around: list[bytes], left: list[int]):
-    """Per member its cells: (offset from the anchor, length, content), cut where any two members cease to agree."""
-    back, back_cuts = _agreements([a[:n][::-1] for a, n in zip(around, left, strict=True)])
-    ahead, ahead_cuts = _agreements([a[n:] for a, n in zip(around, left, strict=True)])
-    cuts = sorted({-c for c in back_cuts} | set(ahead_cuts) | {0})
+    """Per member its cells: (offset from the anchor, length, content), cut where another member begins or ceases to agree."""
+    back = _agreements([a[:n][::-1] for a, n in zip(around, left, strict=True)])
+    ahead = _agreements([a[n:] for a, n in zip(around, left, strict=True)])
     for member, (a, n) in enumerate(zip(around, left, strict=True)):
-        low, high = -back[member], ahead[member]
+        low, high = -max(back[member]), max(ahead[member])
         if high - low < LENGTH:
             continue
-        edges = [low, *(c for c in cuts if low < c < high), high]
+        edges = sorted({-c for c in back[member]} | ahead[member] | {0})
         yield member, [(start, end - start, a[n + start: n + end]) for start, end in zip(edges, edges[1:], strict=False)]
 
 
@@ -280,11 +291,17 @@ def _repeated(batches):
         lengths = np.array([c[2] if c else 0 for c in cells] + [0])
         sums = np.concatenate(([0], np.cumsum(lengths)))
         at = np.flatnonzero(sums[np.arange(len(shared)) + shared] - sums[:-1] >= LENGTH)
-        out = []
+        # Ranges of one member stand in order of their start; those that touch become one.
+        out, last = [], -1
         for i in at.tolist():
             owner, start, _ = cells[i]
             k1, k2, place = owners[owner]
-            out.append((k1, k2, place + start, int(place + start + sums[i + shared[i]] - sums[i])))
+            start, end = place + start, int(place + start + sums[i + shared[i]] - sums[i])
+            if owner == last and start <= out[-1][3]:
+                out[-1] = (k1, k2, out[-1][2], max(out[-1][3], end))
+            else:
+                out.append((k1, k2, start, end))
+            last = owner
         symbols.clear()
         cells.clear()
         owners.clear()
