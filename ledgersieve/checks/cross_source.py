@@ -14,7 +14,7 @@ from .. import rules
 from ..context import Context
 from ..findings import emit, finding, over, percent, samples_per, union, with_samples
 from ..functions import amount, key, present, strip, strip_zeros
-from ..operators import fuzzy, keys
+from ..operators import frequency, fuzzy, keys
 from ..operators.profile import charge_rows, charge_scope, transaction_rows
 from .billing import link_column
 from .payroll import npi_population
@@ -382,6 +382,21 @@ def patient_coverage(billing: DataFrame, scheduling: DataFrame, ctx: Context) ->
     return _coverage(m, ctx, "C3c", "Patient IDs", 30, 65, "PatientId", F.col("stripped"))
 
 
+def patient_id_forms(billing: DataFrame, scheduling: DataFrame, ctx: Context) -> DataFrame:
+    """S5 across sources: whether patient ids are numbers on one side only."""
+    if "PatientId" not in billing.columns or "PatIdOrig" not in scheduling.columns:
+        return _note(billing, ctx, "S5", "S5: forms were not compared, since one side has no patient id")
+    ours = frequency.shape_facts(billing, "PatientId").select(F.col("format").alias("ours"), F.col("all_digits").alias("our_digits"))
+    theirs = frequency.shape_facts(scheduling, "PatIdOrig").select(F.col("format").alias("theirs"), F.col("all_digits").alias("their_digits"))
+    m = ours.join(theirs)  # one row each
+    differ = F.col("our_digits") != F.col("their_digits")
+    return emit(m, ctx, [finding(
+        "S5", F.when(differ, "HIGH").when(differ.isNotNull(), "INFO"),
+        F.format_string("S5: patient ids have the form '%s' in billing and '%s' in scheduling", "ours", "theirs"), column="PatientId",
+        metrics={"numbers_in_billing": F.col("our_digits").cast("int"), "numbers_in_scheduling": F.col("their_digits").cast("int")},
+    )], phase=4)
+
+
 def scheduling_ledger_places(scheduling: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
     """C5: scheduling places among cost-center names and numbers."""
     reference = reference_values(ledger, ["CostCenterNameOrig", "CostCenterNumberOrig"])
@@ -535,7 +550,7 @@ def cross_checks(tables: dict[str, DataFrame], contexts: dict[str, Context]) ->
             scheduling = tables["scheduling"]
             out += [
                 lambda: billing_scheduling_places(billing, scheduling, ctx), lambda: npi_coverage(billing, scheduling, ctx),
-                lambda: patient_coverage(billing, scheduling, ctx),
+                lambda: patient_coverage(billing, scheduling, ctx), lambda: patient_id_forms(billing, scheduling, ctx),
             ]
     if "payroll" in tables and "gl" in tables:
         out.append(lambda: payroll_ledger_departments(tables["payroll"], tables["gl"], contexts["payroll"]))

@@ -214,6 +214,13 @@ def decimal_overflow(spark, folder) -> DataFrame:
     return _judged(df, Context(columns=(ColumnMeta("ChargeAmountOriginal", sql_type="decimal", precision=7, scale=2),)))
 
 
+@query("int_overflow", "WITH m AS (SELECT count(*) AS t, count(*) FILTER (o_orderkey * 100000 > 2147483647) AS big FROM orders) "
+       + _judged_sql("Units", "CASE WHEN big > 0 THEN 'CRITICAL' END"))
+def int_overflow(spark, folder) -> DataFrame:
+    df = b.table(spark, folder, "orders").select(b.text(F.col("o_orderkey") * 100000).alias("Units"))
+    return _judged(df, Context(columns=(ColumnMeta("Units", sql_type="int"),)))
+
+
 @query("length_overflow", "WITH m AS (SELECT count(*) AS t, count(*) FILTER (length(text) > 2000) AS l FROM documents) "
        + _judged_sql("CptCodeDesc", f"CASE WHEN {pct('l', 't')} >= 5 THEN 'HIGH' WHEN l > 0 THEN 'MEDIUM' END", too_long="l"))
 def length_overflow(spark, folder) -> DataFrame:

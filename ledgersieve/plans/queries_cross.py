@@ -402,6 +402,22 @@ def patient_coverage(spark, folder) -> DataFrame:
     return report(cross.patient_coverage(b.charges(spark, folder, org=False), b.scheduling(spark, folder), BILLING), "other_keys", "other_coverage")
 
 
+_FORMS = """m AS (SELECT (SELECT bool_and(regexp_full_match({ours}, '[0-9]+')) FROM orders) AS a, (SELECT bool_and(regexp_full_match(lpad(CAST(user_id AS VARCHAR), 6, '0'), '[0-9]+')) FROM events) AS c)"""
+_FORM_ROW = row("S5", "CASE WHEN a <> c THEN 'HIGH' ELSE 'INFO' END", "PatientId", numbers_in_billing="CAST(a AS INTEGER)", numbers_in_scheduling="CAST(c AS INTEGER)")
+
+
+@query("patient_id_forms", found(_FORMS.format(ours="CAST(o_custkey AS VARCHAR)"), _FORM_ROW))
+def patient_id_forms(spark, folder) -> DataFrame:
+    rows = cross.patient_id_forms(b.charges(spark, folder, org=False), b.scheduling(spark, folder), BILLING)
+    return report(rows, "numbers_in_billing", "numbers_in_scheduling")
+
+
+@query("patient_id_forms_differ", found(_FORMS.format(ours="'P-' || o_custkey"), _FORM_ROW))
+def patient_id_forms_differ(spark, folder) -> DataFrame:
+    named = b.charges(spark, folder, org=False).withColumn("PatientId", F.concat(F.lit("P-"), "PatientId"))
+    return report(cross.patient_id_forms(named, b.scheduling(spark, folder), BILLING), "numbers_in_billing", "numbers_in_scheduling")
+
+
 @query("key_overlap", """WITH a AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1), j AS (SELECT a.n AS l, c.n AS r FROM a FULL JOIN c USING (id))
  SELECT count(l) AS left_keys, count(r) AS right_keys, count(*) FILTER (l > 0 AND r > 0) AS shared_keys, CAST(sum(l) AS BIGINT) AS left_rows, CAST(sum(l) FILTER (r > 0) AS BIGINT) AS left_rows_matched,
  CAST(sum(r) AS BIGINT) AS right_rows, CAST(sum(r) FILTER (l > 0) AS BIGINT) AS right_rows_matched FROM j""")

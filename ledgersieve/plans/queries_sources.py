@@ -235,6 +235,14 @@ def code_samples(spark, folder) -> DataFrame:
     return sample_rows(run_checks(df, ctx, ["B13"]))
 
 
+@query("billing_window", found(
+    "m AS (SELECT count(*) AS t, count(*) FILTER (CAST(o_orderdate AS DATE) < DATE '1996-05-15' OR CAST(o_orderdate AS DATE) > DATE '1996-06-14') AS o FROM orders)",
+    row("B11", over(pct("o", "t"), (10, "HIGH"), above_zero="MEDIUM", otherwise="INFO"), "PostDate", "o", "t"),
+))
+def billing_window(spark, folder) -> DataFrame:
+    return _run(b.charges(spark, folder, org=False), Context("billing_charges", test_month="1996-06"), ["B11"])
+
+
 @query("unmatched_codes", f"WITH {_CODES} SELECT k AS code, n AS row_count FROM j WHERE NOT known ORDER BY n DESC, k LIMIT 20")
 def unmatched_codes(spark, folder) -> DataFrame:
     df, ctx = _procedures(spark, folder)
