@@ -144,14 +144,20 @@ def build_fact(df: DataFrame, fact: Fact, dimensions: dict[str, DataFrame], sour
     """Rows with foreign keys and measures: one left equality join per role.
 
     Small dimensions are broadcast by Spark on their measured size; a dimension as
-    long as the fact is joined by shuffle.
+    long as the fact is joined by shuffle.  A role of which the rows have no column is
+    the same member for all of them, so its key is looked up once.
     """
+    bare = df.select()
     specs = {d.name: d for d in fact.dimensions}
     rows = df.withColumns({name: expression(df) for name, expression in fact.measures.items()})
     keep = list(fact.measures)
     for fk, (name, role) in fact.links.items():
         spec = specs[name]
         attributes = spec.roles[role]
+        if all(str(expression(df)) == str(expression(bare)) for expression in attributes.values()):
+            same = reduce(Column.__and__, [F.col(a) == expression(df) for a, expression in attributes.items()])
+            rows = rows.withColumn(fk, dimensions[name].where(same).agg(F.min(spec.key)).scalar())
+            continue
         side = dimensions[name].select(F.col(spec.key).alias(fk), *[F.col(a).alias(f"__{a}") for a in attributes])
         on = reduce(Column.__and__, [expression(df) == F.col(f"__{a}") for a, expression in attributes.items()])
         rows = rows.join(side, on, "left").drop(*[f"__{a}" for a in attributes])
@@ -249,7 +255,8 @@ def _provider(role: str) -> dict[str, Expression]:
 
 
 def _service_year(df: DataFrame) -> Column:
-    return F.coalesce(F.year(day(plain(df, "DateOfService"))), F.year(F.current_date()))
+    """Year of service, or of posting where that is blank, so that a later load of the same rows finds the same member."""
+    return F.coalesce(F.year(day(plain(df, "DateOfService"))), F.year(day(plain(df, "PostDate"))))
 
 
 _PAYER = Dimension("Payer", "PayerUnbr", _one(

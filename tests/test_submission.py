@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgersieve.operators import issues as iss
+from ledgersieve.plans.star_load import load_star
 from ledgersieve.plans.submission import References, review
 from ledgersieve.sources import sinks
 
@@ -176,6 +177,21 @@ def test_written_tables_keep_other_rounds(spark, result, folders):
     assert back.where("client = 'acme' and round = 'v1'").count() == result.findings.count()
 
 
+def test_star_load_twice(spark, result, folders):
+    star_folder = folders[2] + "-star"
+    first = load_star(result, star_folder)
+    fact = spark.read.parquet(f"{star_folder}/fact/PayFact")
+    staff = spark.read.parquet(f"{star_folder}/dim/PayEmployee")
+    joined = fact.join(staff, fact.PayEmpFnbr == staff.PayEmpUnbr)
+    assert {(r.PayEmpId, float(r.PayHoursOrig)) for r in joined.collect()} == {("e1", 80.0), ("e2", -40.0)}
+    assert first["PayEmployee"] == 2 and first["CostCenter"] == 2
+    again = load_star(result, star_folder)
+    assert set(again.values()) == {0}
+    assert spark.read.parquet(f"{star_folder}/fact/PayFact").count() == 2
+    assert {r.source: r.RowsAffected for r in spark.read.parquet(f"{star_folder}/log").collect()} == {
+        "payroll": 2, "gl": 3, "billing_charges": 3, "billing_transactions": 2}
+
+
 def test_second_round(result):
     before = iss.issues(result.findings)
     after = before.where(F.col("check_id") != "B7").withColumn("round", F.lit("v2"))
