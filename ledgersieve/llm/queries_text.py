@@ -80,4 +80,4 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_repeated_strings")
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.deduplicated(table(spark, folder, "documents", "doc_id", "text")).drop("kept")
+    return repeats.deduplicated(table(spark, folder, "documents", "doc_id", "text"), with_kept=False)

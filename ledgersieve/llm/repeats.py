@@ -24,6 +24,7 @@ are copies of each other; an empty table gives no rows; other columns are ignore
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of text that are hashed at a time; longer texts are taken in overlapping pieces.
 PIECE = 4 << 20
+#: Bytes of texts that a task holds as arrays, and as it passes them on.
+SLICE, PASSED = 1 << 18, 1 << 21
 #: Numbers that one suffix array holds at least; surroundings of one anchor are never divided.
-BATCH_SYMBOLS = 20_000
+BATCH_SYMBOLS = 5_000
 
 _MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -128,7 +131,7 @@ def anchors(texts: DataFrame) -> DataFrame:
     """``h, around, k1, k2, place`` of all anchors of ``k1, k2, text``."""
 
     def run(batches):
-        for batch in slices(batches, 2):
+        for batch in slices(batches, 2, SLICE):
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             whole, rows = [], []
             for row, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
@@ -214,7 +217,7 @@ def _compare(batches):
 def _surroundings(batches):
     """``h, k1, k2, place, around`` for the anchors of a text that must be compared; copies of the text send nothing."""
     seen: set[tuple[int, int]] = set()
-    for batch in batches:
+    for batch in slices(batches, 2, PASSED):
         out = {n: [] for n in ("h", "k1", "k2", "place", "around")}
         for k1, k2, text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()),
                                       batch.column(3).to_pylist(), strict=True):
@@ -245,7 +248,7 @@ def _shared(x: bytes, y: bytes) -> int:
     return n - (differ.bit_length() + 7) // 8
 
 
-def _agreements(parts: list[bytes]) -> list[set[int]]:
+def _agreements(parts: list[bytes]) -> list[tuple[int, ...]]:
     """Per part all lengths at which some other part ceases to agree with it.
 
     In sorted order these are the running minima of the neighbours' common prefixes, to either
@@ -253,14 +256,14 @@ def _agreements(parts: list[bytes]) -> list[set[int]]:
     """
     order = sorted(range(len(parts)), key=parts.__getitem__)
     common = [_shared(parts[a], parts[b]) for a, b in zip(order, order[1:], strict=False)]
-    cuts: list[set[int]] = [set() for _ in parts]
+    cuts: list[tuple[int, ...]] = [()] * len(parts)
     for places, between in ((order, common), (order[::-1], common[::-1])):
         stack: list[int] = []
         for place, length in zip(places[1:], between, strict=True):
             while stack and stack[-1] >= length:
                 stack.pop()
             stack.append(length)
-            cuts[place].update(stack)
+            cuts[place] = tuple({*cuts[place], *stack})
     return cuts
 
 
@@ -272,38 +275,44 @@ def _sequences(around: list[bytes], left: list[int]):
         low, high = -max(back[member]), max(ahead[member])
         if high - low < LENGTH:
             continue
-        edges = sorted({-c for c in back[member]} | ahead[member] | {0})
+        edges = sorted({0, *(-c for c in back[member]), *ahead[member]})
         yield member, [(start, end - start, a[n + start: n + end]) for start, end in zip(edges, edges[1:], strict=False)]
 
 
 def _repeated(batches):
     """Ranges of the texts whose windows occur in other surroundings of the same anchor."""
-    symbols: list[int] = []
-    cells: list[tuple[int, int, int] | None] = []
+    symbols, cell_owner, cell_start, cell_length = (array("q") for _ in range(4))
     owners: list[tuple[int, int, int]] = []
     numbers = 0
 
+    def add(symbol: int, owner: int, start: int, length: int) -> None:
+        symbols.append(symbol)
+        cell_owner.append(owner)
+        cell_start.append(start)
+        cell_length.append(length)
+
     def solve():
         # Separators all differ, and the last symbol is the least.
         sequence = [s if s >= 0 else numbers - s for s in symbols]
         sequence.append(-1)
         shared = common_prefixes(sequence, suffix_array(sequence))
-        lengths = np.array([c[2] if c else 0 for c in cells] + [0])
+        lengths = np.array([*cell_length, 0])
         sums = np.concatenate(([0], np.cumsum(lengths)))
         at = np.flatnonzero(sums[np.arange(len(shared)) + shared] - sums[:-1] >= LENGTH)
         # Ranges of one member stand in order of their start; those that touch become one.
         out, last = [], -1
         for i in at.tolist():
-            owner, start, _ = cells[i]
+            owner = cell_owner[i]
             k1, k2, place = owners[owner]
-            start, end = place + start, int(place + start + sums[i + shared[i]] - sums[i])
+            start = place + cell_start[i]
+            end = int(start + sums[i + shared[i]] - sums[i])
             if owner == last and start <= out[-1][3]:
                 out[-1] = (k1, k2, out[-1][2], max(out[-1][3], end))
             else:
                 out.append((k1, k2, start, end))
             last = owner
-        symbols.clear()
-        cells.clear()
+        for held in (symbols, cell_owner, cell_start, cell_length):
+            del held[:]
         owners.clear()
         return pa.RecordBatch.from_arrays(
             [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
@@ -326,10 +335,8 @@ def _repeated(batches):
                     if number is None:
                         number = known[start, content] = numbers
                         numbers += 1
-                    symbols.append(number)
-                    cells.append((len(owners) - 1, start, length))
-                symbols.append(-len(owners))
-                cells.append(None)
+                    add(number, len(owners) - 1, start, length)
+                add(-len(owners), -1, 0, 0)
             if len(symbols) >= BATCH_SYMBOLS:
                 yield solve()
                 numbers = 0
@@ -337,9 +344,9 @@ def _repeated(batches):
         yield solve()
 
 
-def _cut(batches):
+def _cut(batches, with_kept: bool):
     """Applies the ranges to the texts."""
-    for batch in batches:
+    for batch in slices(batches, 1, PASSED):
         out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
         kept_texts = []
         columns = (batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
@@ -358,20 +365,20 @@ def _cut(batches):
                 last = end
             kept.append(text[last:])
             left = b"".join(kept)
-            kept_texts.append(left)
+            if with_kept:
+                kept_texts.append(left)
             out["n_bytes"].append(n)
             out["n_removed"].append(n - len(left))
             out["n_spans"].append(len(merged))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()),
-             pa.array(kept_texts, pa.binary())],
-            names=["doc_id", *out, "kept"],
-        )
+        columns = [batch.column(0), *(pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string())]
+        if with_kept:
+            columns.append(pa.array(kept_texts, pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *out, "kept"][: len(columns)])
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes) of every document."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed(docs, id_col, text_col)
@@ -398,11 +405,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     result = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType),
-        *T.StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields,
+        *T.StructType.fromDDL("n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept).fields,
     ])
     return (
         texts.join(stored(known, "repeat-known").hint("shuffle_hash"), once, "left")
-        .select("doc_id", "text", "spans", "copies").mapInArrow(_cut, result)
+        .select("doc_id", "text", "spans", "copies").mapInArrow(lambda batches: _cut(batches, with_kept), result)
     )
 
 
