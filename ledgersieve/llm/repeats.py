@@ -293,7 +293,7 @@ def _repeated(batches):
 
     def solve():
         # Separators all differ, and the last symbol is the least.
-        sequence = [s if s >= 0 else numbers - s for s in symbols]
+        sequence = array("q", (s if s >= 0 else numbers - s for s in symbols))
         sequence.append(-1)
         shared = common_prefixes(sequence, suffix_array(sequence))
         lengths = np.array([*cell_length, 0])

@@ -157,7 +157,7 @@ def test_suffix_arrays():
         s = [rng.randint(1, kinds) for _ in range(n)]
         s = ((s[: rng.randint(1, 4)] * 20)[:n] if turn % 3 == 0 else s) + [0]
         order = suffix_array(s)
-        assert order == sorted(range(len(s)), key=lambda i: s[i:])
+        assert list(order) == sorted(range(len(s)), key=lambda i: s[i:])
         shared = common_prefixes(s, order)
         for i in range(len(s)):
             best = 0
