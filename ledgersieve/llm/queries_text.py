@@ -80,4 +80,6 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_repeated_strings")
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    # Texts go to Python three times; batches of fewer rows keep what the JVM holds outside its heap small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return repeats.deduplicated(table(spark, folder, "documents", "doc_id", "text"), with_kept=False)
