@@ -71,7 +71,7 @@ _FORMATS = {"one": "combined", "both": "combined", "two": "separate", "charges":
     f"SELECT '{name}' AS case_name, CASE WHEN count(DISTINCT r_regionkey % 2) = 2 THEN '{_FORMATS[name]}' END AS format FROM region" for name in _CASES
 ))
 def billing_formats(spark, folder) -> DataFrame:
-    region = spark.read.parquet(f"{folder}/region.parquet")
+    region = spark.read.schema("r_regionkey int, r_name string").parquet(f"{folder}/region.parquet")
     parts = []
     for name, (even, odd) in _CASES.items():
         sources = region.select(F.when(F.col("r_regionkey") % 2 == 0, even).otherwise(odd).alias("source"))
