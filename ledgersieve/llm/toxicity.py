@@ -2,11 +2,15 @@
 
 Two zstandard dictionaries are made, one from toxic and one from ordinary labelled text.  A window
 is compressed once with each; the two lengths, and the window's own length, tell how toxic it is.
-Windows are single words with their borders, and each letter is written as three fixed bytes, so
+Windows are single words (or parts of long ones) with their borders, and each letter is written as three fixed bytes, so
 that a match of a whole short word outweighs the cost of a match in zstandard's format.  What a
 triple of lengths is worth (its log-likelihood ratio), the threshold and the document's score are
 calibrated on the training rows.
 
+A word of more than ``LONG`` bytes (a line of Chinese, Japanese or Thai text, or words run together)
+is cut into overlapping windows that cover all of it, in fitting and in scoring alike; to the
+dictionaries it gives its runs of ``GRAMS`` characters, since such a word as a whole hardly occurs twice.
+
 The dictionaries hold the words that training text of one class has and the other has not, in raw
 content: dictionaries from zstandard's own sampler keep what is frequent in both classes and told
 the classes apart less well (AUC 0.91 against 0.96 on held-out rows of the test tables).
@@ -44,6 +48,12 @@ LEAST_ODDS, LEAST_Z, LEAST_DOCS = 1.5, 3.0, 3
 THRESHOLD = 2.0
 LEVEL = 3
 LETTER_BYTES = 3
+#: Longer words are cut into windows of so many bytes at every so many bytes: what has up to 17 bytes is whole in one of them.
+LONG, CUT, STEP = 64, 24, 8
+#: Stands for the length of such a window.
+PART = 25
+#: Lengths, in characters, of the parts that a long word gives to the dictionaries.
+GRAMS = (2, 4, 8)
 #: Remembered windows per Python worker.
 REMEMBERED = 300_000
 
@@ -54,6 +64,38 @@ def _wide(window: bytes) -> bytes:
     return _LETTERS[np.frombuffer(window, dtype=np.uint8)].tobytes()
 
 
+def _cut(word: bytes) -> list[bytes]:
+    """Overlapping windows over the whole word, which begin and end between characters; a space in front, which no word has, marks them."""
+
+    def between(i: int) -> int:
+        if i >= len(word):
+            return len(word)
+        while i and word[i] & 0xC0 == 0x80:
+            i -= 1
+        return i
+
+    return [b" " + word[between(i):between(i + CUT)] for i in range(0, len(word) - CUT + STEP, STEP)]
+
+
+def windows(text: bytes | None) -> list[bytes]:
+    """The words of the text, long ones as the windows that cover them."""
+    found = tokens(text)
+    if max(map(len, found), default=0) <= LONG:
+        return found
+    return [w for word in found for w in ((word,) if len(word) <= LONG else _cut(word))]
+
+
+def _kinds(text: bytes | None) -> set[bytes]:
+    """What a text gives to the dictionaries: its words, of long ones the parts."""
+    kinds = set(tokens(text))
+    for word in [w for w in kinds if len(w) > LONG]:
+        kinds.remove(word)
+        letters = word.decode()
+        for n in GRAMS:
+            kinds.update(letters[i:i + n].encode() for i in range(len(letters) - n + 1))
+    return kinds
+
+
 class Lengths:
     """Compresses windows with both dictionaries."""
 
@@ -76,9 +118,15 @@ class Lengths:
 
     def cell(self, word: bytes) -> int:
         """Length of the window and its two compressed lengths, as one number."""
-        window = _wide(b" " + word[:64] + b" ")
+        part = word[:1] == b" "
+        window = _wide(word[1:] if part else b" " + word + b" ")
         toxic, ordinary = self.compress
-        return (min(len(word), 24) << 20) | (len(ordinary(window)) // 2 << 10) | len(toxic(window))
+        return ((PART if part else min(len(word), 24)) << 20) | (len(ordinary(window)) // 2 << 10) | len(toxic(window))
+
+
+def _gain(cell: int) -> int:
+    """Key of all cells in which the toxic dictionary saves as much: tells what a part is worth where training saw none of its cell."""
+    return -1 - (max(0, 512 + 2 * (cell >> 10 & 1023) - (cell & 1023)) >> 1)
 
 
 class _Worth(dict):
@@ -91,7 +139,8 @@ class _Worth(dict):
     def __missing__(self, word: bytes) -> float:
         if len(self) >= REMEMBERED:
             self.clear()
-        ratio = self.ratios.get(self.lengths.cell(word), 0.0)
+        cell = self.lengths.cell(word)
+        ratio = self.ratios.get(cell, self.ratios.get(_gain(cell), 0.0) if cell >> 20 == PART else 0.0)
         self[word] = worth = ratio if ratio > THRESHOLD else 0.0
         return worth
 
@@ -143,7 +192,7 @@ def _dictionaries(taught: DataFrame, n: dict[int, int]) -> Lengths:
         for batch in batches:
             labels, found = [], []
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                kinds = list(set(tokens(text)))
+                kinds = list(_kinds(text))
                 labels += [label] * len(kinds)
                 found += kinds
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.binary())], names=["toxic", "word"])
@@ -174,7 +223,7 @@ def _ratios(taught: DataFrame, lengths: Lengths) -> dict[int, float]:
         lengths, cells, seen = shipped.value, {}, {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                for word in tokens(text):
+                for word in windows(text):
                     cell = seen.get(word)
                     if cell is None:
                         if len(seen) >= REMEMBERED:
@@ -189,12 +238,15 @@ def _ratios(taught: DataFrame, lengths: Lengths) -> dict[int, float]:
     for row in rows:
         by.setdefault(row["key"] >> 1, [0, 0])[row["key"] & 1] += row["n"]
     ordinary, toxic = (max(1, sum(v[i] for v in by.values())) for i in (0, 1))
+    for cell, seen in list(by.items()):
+        pooled = by.setdefault(_gain(cell), [0, 0])
+        pooled[0], pooled[1] = pooled[0] + seen[0], pooled[1] + seen[1]
     return {c: math.log((t + 0.5) / toxic) - math.log((o + 1) / ordinary) for c, (o, t) in by.items()}
 
 
 def _totals(model: Model, column: pa.Array, worth: _Worth):
     for text in column.cast(pa.binary()).to_pylist():
-        found = tokens(text)
+        found = windows(text)
         yield sum(map(worth.__getitem__, found)), len(found)
 
 

@@ -254,6 +254,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+def test_windows_cover_long_words():
+    word = "".join(chr(0x4E00 + i % 40) for i in range(100)).encode()
+    for long in (word, b"x" * 65, b"ab" * 300):
+        parts = [p[1:] for p in toxicity.windows(long)]
+        assert parts[0] == long[:len(parts[0])] and parts[-1] == long[-len(parts[-1]):] and all(p.decode() for p in parts)
+        assert all(any(long[i:i + 12] in p for p in parts) for i in range(len(long) - 11))
+    assert toxicity.windows(b"a" * 64 + b" b") == [b"a" * 64, b"b"]
+
+
+def test_toxicity_behind_64_bytes_of_a_word(spark):
+    """A line without spaces is one word; what is toxic stands behind its first 64 bytes."""
+    rng = random.Random(6)
+    plain = ["".join(chr(rng.randint(0x4E00, 0x4F00)) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+    rude = ["".join(chr(c) for c in cs) for cs in ((0x6000, 0x6101, 0x6202), (0x6303, 0x6404, 0x6505), (0x6606, 0x6707))]
+    rows, labels = [], []
+    for i in range(400):
+        words = [rng.choice(plain) for _ in range(rng.randint(40, 80))]
+        toxic = int(i % 3 == 0)
+        for _ in range(3 * toxic):
+            words[rng.randrange(30, len(words))] = rng.choice(rude)
+        rows.append((i, "".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs, toxicity.fit(docs, known.filter("doc_id % 5 <> 0"))).collect()}
+    held = [(got[i], t) for i, t in labels if i % 5 == 0]
+    assert sum(p == t for p, t in held) / len(held) > 0.9
+
+
 def plain_pipeline_survivors(rows, accepted):
     """Smallest id of each group of the accepted documents, by the definition of the fingerprint."""
     kept = [r for r in rows if r.doc_id in accepted]
