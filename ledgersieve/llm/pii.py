@@ -5,7 +5,7 @@ one entity are one), and given a keyed surrogate of the same kind: digits for di
 punctuation, length, country code and check digit kept, letters of the same script and case,
 given names of the same gender and script.  The mapping is made once over all distinct entities:
 a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again
-until none is left, so distinct entities stay distinct and one entity has one surrogate
+until none is left (a later draw is longer, where the place has no more of the length), so distinct entities stay distinct and one entity has one surrogate
 everywhere.
 
 Only texts that hold an entity take part in a join; all others pass through.  What is shuffled per
@@ -26,8 +26,8 @@ from ledgersieve.llm.common import stored
 from ledgersieve.llm.spans import matches
 
 KEY = "ledgersieve-surrogates-1"
-#: Draws after which a kind's space of surrogates counts as full.
-MAX_DRAWS = 64
+#: Numbers keep their length in so many draws after the first; later ones have more digits at their end.
+SAME_LENGTH = 8
 
 # Titles by gender, common given names by gender and script.
 TITLES = {
@@ -165,6 +165,13 @@ def _middle(h: Column, script: str):
     return lambda i: F.get(values, F.pmod(_byte(h, i + 2), F.lit(len(_MIDDLE[script]))))
 
 
+def _more(h: Column, draw: Column, alphabet: str) -> Column:
+    """Two symbols per draw, 24 at most, which no corpus can fill; none for draws below 1."""
+    again = F.sha2(F.concat(h, F.lit("/more")).cast("binary"), 256)
+    symbols = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda i: _letter(again, i, alphabet))
+    return F.array_join(F.slice(symbols, F.lit(1), F.least(F.greatest(draw, F.lit(0)) * 2, F.lit(24))), "")
+
+
 def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     """The draw-th surrogate of an entity, in normal form."""
     h = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, draw.cast("string")).cast("binary"), 256)
@@ -174,15 +181,18 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     kept = F.concat(F.lit("example."), F.element_at(labels, -1))
     below = F.array_join(F.slice(labels, F.lit(1), F.greatest(n - 2, F.lit(0))), ".")
     host = F.when(n > 2, F.concat(_scrambled(below, F.sha2(h.cast("binary"), 256)), F.lit("."), kept)).otherwise(kept)
+    # Later draws have longer labels in front of the host, so addresses never run out.
+    host = F.when(draw > 0, F.concat(_more(h, draw, "abcdefghijklmnopqrstuvwxyz"), F.lit("."), host)).otherwise(host)
+    digits = _more(h, draw - SAME_LENGTH, "0123456789")
     octets = [(F.pmod(_byte(h, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)]
     head, tail = F.substring_index(norm, "/", 1), F.substring_index(norm, "/", -1)
     return (
         F.when(kind == "email", F.concat(_scrambled(local, h), F.lit("@"), host))
-        .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _scrambled(F.substr(norm, F.lit(3)), h)))
-        .when(kind == "phone", F.concat(head, F.lit("/"), _scrambled(tail, h)))
-        .when(kind == "card", _with_check_digit(_scrambled(norm, h), F.pmod(_luhn(norm), F.lit(10)) == 0))
-        .when(kind == "ssn", _scrambled(norm, h))
+        .when(kind == "ip", F.concat(F.concat_ws(".", *octets), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(F.lit(""))))
+        .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _scrambled(F.substr(norm, F.lit(3)), h), digits))
+        .when(kind == "phone", F.concat(head, F.lit("/"), _scrambled(tail, h), digits))
+        .when(kind == "card", _with_check_digit(F.concat(_scrambled(norm, h), digits), F.pmod(_luhn(norm), F.lit(10)) == 0))
+        .when(kind == "ssn", F.concat(_scrambled(norm, h), digits))
         .otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(3)), F.lower(_name(norm, h, draw))))
     )
 
@@ -198,6 +208,7 @@ def _written(kind: Column, found: Column, norm: Column) -> Column:
     def cased(c: Column, i: Column) -> Column:
         return F.when(F.substr(found, i + 1, F.lit(1)).rlike(r"^\p{Lu}"), F.upper(c)).otherwise(c)
 
+    longer = F.substr(symbols, F.length(F.regexp_replace(found, r"[^0-9A-Za-z]", "")) + 1)
     local = F.array_join(F.transform(F.split(F.substring_index(norm, "@", 1), ""), cased), "")
     name = F.substr(norm, F.lit(4))
     shouted = F.substr(found, F.length(_title(found)) + 1).rlike(r"^\p{Lu}{2,}$")
@@ -205,7 +216,7 @@ def _written(kind: Column, found: Column, norm: Column) -> Column:
         F.when(kind == "email", F.concat(local, F.lit("@"), F.substring_index(norm, "@", -1)))
         .when(kind == "ip", norm)
         .when(kind == "person", F.concat(_title(found), F.when(shouted, F.upper(name)).otherwise(F.initcap(name))))
-        .otherwise(F.array_join(F.transform(F.split(found, ""), placed), ""))
+        .otherwise(F.concat(F.array_join(F.transform(F.split(found, ""), placed), ""), longer))
     )
 
 
@@ -222,12 +233,13 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, norm, surrogate`` with one row per distinct entity and no surrogate twice or real.
 
     Each round ranks the entities that share a surrogate; the first keeps it and the others, with
-    those whose surrogate is an entity of the corpus, draw again.
+    those whose surrogate is an entity of the corpus, draw again.  Later draws are longer, for every
+    kind, so there is room for all and the rounds end.
     """
     drawn = stored(entities.select("kind", "norm").distinct().withColumn("draw", F.lit(0)), "pii-entities")
     real = drawn.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     same = Window.partitionBy("kind", "surrogate").orderBy("draw", "norm")
-    for _ in range(MAX_DRAWS):
+    while True:
         made = drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key))
         checked = stored(
             made.join(real, ["kind", "surrogate"], "left")
@@ -237,7 +249,6 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
         if checked.filter("clash").isEmpty():
             return checked.select("kind", "norm", "surrogate")
         drawn = checked.select("kind", "norm", (F.col("draw") + F.col("clash").cast("int")).alias("draw"))
-    raise RuntimeError(f"no free surrogates after {MAX_DRAWS} draws")
 
 
 def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:

@@ -188,3 +188,15 @@ def test_surrogates_stay_distinct(spark):
     entities = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(60)], "kind string, norm string")
     known = {r.norm: r.surrogate for r in pii.mapping(entities).collect()}
     assert len(set(known.values())) == 60 and not set(known) & set(known.values())
+
+
+def test_surrogates_never_run_out(spark):
+    """More short addresses and numbers than there are of their length."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [("email", f"{a}{b}@{h}.com") for a in letters for b in letters for h in ("a", "b")]
+    short = [("ssn", str(i)) for i in range(10)] + [("phone", f"+1/{i}") for i in range(10)] + [("card", str(i)) for i in range(10)]
+    known = {(r.kind, r.norm): r.surrogate for r in pii.mapping(spark.createDataFrame(mails + short, "kind string, norm string")).collect()}
+    assert len(known) == len(mails) + 30 == len({(k, s) for (k, _), s in known.items()})
+    assert not set(known) & {(k, s) for (k, _), s in known.items()}
+    made = spark.createDataFrame([("phone", "+49 12 34", "+49/123456"), ("ssn", "123-45-6789", "98765432101")], "kind string, found string, norm string")
+    assert {r[0] for r in made.select(pii._written(F.col("kind"), F.col("found"), F.col("norm"))).collect()} == {"+49 12 3456", "987-65-432101"}
