@@ -3,7 +3,9 @@
 Entities are found by one pattern over whole texts, reduced to a normal form (so that spellings of
 one entity are one), and given a keyed surrogate of the same kind: digits for digits with the
 punctuation, length, country code and check digit kept, letters of the same script and case,
-given names of the same gender and script.  The mapping is made once over all distinct entities:
+names of the same gender and script.  Of a person every capitalised word after the title or given
+name is replaced, each name by itself, so that a surname has one surrogate with and without the given
+name; titles and initials stay.  The mapping is made once over all distinct entities:
 a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again
 until none is left (a later draw is longer, where the place has no more of the length), so distinct entities stay distinct and one entity has one surrogate
 everywhere.
@@ -33,6 +35,7 @@ SAME_LENGTH = 8
 TITLES = {
     "m": ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "господин", "г-н"),
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Doña", "госпожа", "г-жа"),
+    "n": ("Dr", "Prof", "Professor", "Professorin", "Doctor", "Mx", "доктор", "профессор"),
 }
 GIVEN = {
     "m": ("James", "John", "Robert", "Michael", "William", "Hans", "Jürgen", "Klaus", "Pierre", "Jean", "José", "Carlos",
@@ -43,6 +46,10 @@ GIVEN = {
 
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _NAMES = "|".join(n for g in GIVEN.values() for n in g)
+_TITLES = rf"(?:(?:{_TITLE})\.? )"
+#: One capitalised word of a name, with parts after hyphen or apostrophe; and those that follow, with initials, up to the next title.
+_WORD = r"\p{Lu}(?:\p{L}+|['’]\p{Lu}\p{L}+)(?:['’-]\p{Lu}\p{L}+)*"
+_MORE = rf"(?: (?:\p{{Lu}}\. )*(?!(?:{_TITLE})(?![\p{{L}}\p{{N}}])){_WORD})*"
 #: Titles and names start with one of these; most places of a text fail here at once.
 _INITIAL = "(?=[A-ZÀ-ÞА-Яа-я])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -54,7 +61,7 @@ PATTERNS = {
     "phone": r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d|\.\d)|\+\d{8,15}(?!\d)"
              r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
     "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{1,7}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
-    "person": rf"{_INITIAL}(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+|(?:{_NAMES})(?![\p{{L}}\p{{N}}]))",
+    "person": rf"{_INITIAL}(?<![\p{{L}}\p{{N}}])(?:{_TITLES}+(?:\p{{Lu}}\. )*{_WORD}|(?:{_NAMES})(?![\p{{L}}\p{{N}}])){_MORE}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -67,18 +74,42 @@ def _kind(found: Column) -> Column:
 
 
 def _title(found: Column) -> Column:
-    return F.regexp_extract(found, rf"^((?:{_TITLE})\.? )", 1)
+    return F.regexp_extract(found, rf"^({_TITLES}+)", 1)
+
+
+def _names(found: Column) -> Column:
+    """The words after the title: names, and initials, which stay."""
+    return F.split(F.substr(found, F.length(_title(found)) + 1), " ")
 
 
 def _gender(found: Column) -> Column:
-    title, name = F.rtrim(F.regexp_replace(_title(found), r"\.", "")), found
-    return F.when(title.isin(*TITLES["m"]) | name.isin(*GIVEN["m"]), "m").otherwise("f")
+    """That of the first title that tells it, or else of the given name; ``n`` where neither does."""
+    gender, first = F.lit("n"), F.get(_names(found), F.lit(0))
+    for g in "fm":
+        gender = F.when(first.isin(*GIVEN[g]), g).otherwise(gender)
+    neutral = rf"(?:(?:{'|'.join(TITLES['n'])})\.? )*"
+    for g in "fm":
+        gender = F.when(found.rlike(rf"^{neutral}(?:{'|'.join(TITLES[g])})\.? "), g).otherwise(gender)
+    return gender
+
+
+def _name_norm(gender: Column, name: Column) -> Column:
+    return F.concat(gender, F.when(name.rlike(r"\p{IsCyrillic}"), "c").otherwise("l"), F.lit("/"), F.lower(name))
+
+
+def _is_initial(name: Column) -> Column:
+    return name.endswith(".")
+
+
+def _norms(kind: Column, found: Column) -> Column:
+    """Normal forms of what is replaced: each name of a person by itself, all else as a whole."""
+    gender = _gender(found)
+    names = F.transform(F.filter(_names(found), lambda n: ~_is_initial(n)), lambda n: _name_norm(gender, n))
+    return F.when(kind == "person", names).otherwise(F.array(_norm(kind, found)))
 
 
 def _norm(kind: Column, found: Column) -> Column:
-    """What the spellings of one entity have in common; names keep gender and script, phones their country code."""
-    name = F.substr(found, F.length(_title(found)) + 1)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "c").otherwise("l")
+    """What the spellings of one entity have in common, persons aside; phones keep their country code."""
     country = F.regexp_extract(found, r"^\+(\d{1,3})[^\d]", 1)
     digits = F.regexp_replace(found, r"[^0-9]", "")
     phone = F.concat(F.when(found.startswith("+"), F.lit("+")).otherwise(F.lit("")), country, F.lit("/"), F.substr(digits, F.length(country) + 1))
@@ -87,8 +118,7 @@ def _norm(kind: Column, found: Column) -> Column:
         .when(kind == "ip", found)
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
         .when(kind == "phone", phone)
-        .when(kind.isin("ssn", "card"), digits)
-        .otherwise(F.concat(_gender(found), script, F.lit("/"), F.lower(name)))
+        .otherwise(digits)
     )
 
 
@@ -146,14 +176,15 @@ _FIRST = {"l": ("Al", "Bel", "Cor", "Dan", "El", "Fer", "Gal", "Hen", "Il", "Jor
 _MIDDLE = {"l": ("a", "be", "di", "do", "ga", "le", "li", "ma", "mi", "na", "ne", "ra", "ri", "sa", "te", "vi"),
            "c": ("а", "бе", "ви", "го", "да", "ле", "ли", "ма", "ми", "на", "не", "ра", "ри", "са", "те", "ви")}
 _LAST = {"lm": ("ric", "nor", "den", "mund", "bert", "vin", "las", "ton"), "lf": ("na", "lia", "ra", "bella", "ta", "sia", "mina", "da"),
-         "cm": ("слав", "мир", "ан", "ор", "им", "ей", "ил", "ен"), "cf": ("на", "лия", "ра", "мила", "та", "сия", "мина", "да")}
+         "cm": ("слав", "мир", "ан", "ор", "им", "ей", "ил", "ен"), "cf": ("на", "лия", "ра", "мила", "та", "сия", "мина", "да"),
+         "ln": ("sen", "ley", "rick", "gard", "holm", "well", "ner", "dez"), "cn": ("ко", "дзе", "ук", "юк", "ян", "чук", "ец", "ых")}
 
 
 def _name(norm: Column, h: Column, draw: Column) -> Column:
-    """A given name of the entity's gender and script; later draws have more syllables, so names never run out."""
+    """A name of the entity's gender and script; later draws have more syllables, so names never run out."""
     made = F.lit(None).cast("string")
     for script in "lc":
-        for gender in "mf":
+        for gender in "mfn":
             middle = F.array_join(F.transform(F.sequence(F.lit(0), draw), _middle(h, script)), "")
             whole = F.concat(_pick(h, 0, _FIRST[script]), middle, _pick(h, 1, _LAST[script + gender]))
             made = F.when(norm.startswith(f"{gender}{script}/"), whole).otherwise(made)
@@ -210,16 +241,25 @@ def _written(kind: Column, found: Column, norm: Column) -> Column:
 
     longer = F.substr(symbols, F.length(F.regexp_replace(found, r"[^0-9A-Za-z]", "")) + 1)
     local = F.array_join(F.transform(F.split(F.substring_index(norm, "@", 1), ""), cased), "")
-    name = F.substr(norm, F.lit(4))
-    shouted = F.substr(found, F.length(_title(found)) + 1).rlike(r"^\p{Lu}{2,}$")
     return (
         F.when(kind == "email", F.concat(local, F.lit("@"), F.substring_index(norm, "@", -1)))
         .when(kind == "ip", norm)
-        .when(kind == "person", F.concat(_title(found), F.when(shouted, F.upper(name)).otherwise(F.initcap(name))))
         .otherwise(F.concat(F.array_join(F.transform(F.split(found, ""), placed), ""), longer))
     )
 
 
+def _person_written(found: Column, surrogate_of) -> Column:
+    """Title and initials as they are, every name as its surrogate."""
+    gender = _gender(found)
+
+    def one(name: Column) -> Column:
+        made = F.substr(surrogate_of(_name_norm(gender, name)), F.lit(4))
+        shown = F.when(name.rlike(r"^\p{Lu}{2,}$"), F.upper(made)).otherwise(F.initcap(made))
+        return F.when(_is_initial(name), name).otherwise(shown)
+
+    return F.concat(_title(found), F.array_join(F.transform(_names(found), one), " "))
+
+
 def _maybe(text: Column) -> Column:
     """Texts that could hold an entity: a cheap test that most texts fail."""
     return text.rlike(rf"[@0-9]|{_INITIAL}(?:(?:{_TITLE})\.? \p{{Lu}}|{_NAMES})")
@@ -256,14 +296,14 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col:
     text = F.col("doc")[text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
 
-    def entity(span: Column) -> Column:
+    def entities(span: Column) -> Column:
         kind = _kind(span["found"])
-        return F.struct(kind.alias("kind"), _norm(kind, span["found"]).alias("norm"), span["found"].alias("found"))
+        return F.transform(_norms(kind, span["found"]), lambda n: F.struct(kind.alias("kind"), n.alias("norm")))
 
     holding = rows.filter(_holds(text)).select("doc", F.sha2(text.cast("binary"), 256).alias("blob"))
-    per_text = holding.select("blob", F.explode(F.array_distinct(F.transform(
-        F.transform(matches(text, PATTERN), entity), lambda e: F.struct(e["kind"].alias("kind"), e["norm"].alias("norm"))
-    ))).alias("e")).select("blob", "e.kind", "e.norm").distinct()
+    per_text = holding.select("blob", F.explode(F.array_distinct(F.flatten(F.transform(
+        matches(text, PATTERN), entities
+    )))).alias("e")).select("blob", "e.kind", "e.norm").distinct()
     per_text = stored(per_text, "pii-found")
     known = mapping(per_text, key)
     lookup = (
@@ -271,10 +311,13 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col:
         .groupBy("blob").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "surrogate"))).alias("lookup"))
     )
 
+    def surrogate_of(kind: Column, norm: Column) -> Column:
+        return F.element_at(F.col("lookup"), F.concat_ws("\x1f", kind, norm))
+
     def written(span: Column) -> Column:
-        kind = _kind(span["found"])
-        norm = _norm(kind, span["found"])
-        return _written(kind, span["found"], F.element_at(F.col("lookup"), F.concat_ws("\x1f", kind, norm)))
+        kind, found = _kind(span["found"]), span["found"]
+        person = _person_written(found, lambda norm: surrogate_of(F.lit("person"), norm))
+        return F.when(kind == "person", person).otherwise(_written(kind, found, surrogate_of(kind, _norm(kind, found))))
 
     def counted(value: Column) -> list[Column]:
         return [value.cast("long").alias(count_col)] if count_col else []

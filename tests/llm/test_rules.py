@@ -200,3 +200,21 @@ def test_surrogates_never_run_out(spark):
     assert not set(known) & {(k, s) for (k, _), s in known.items()}
     made = spark.createDataFrame([("phone", "+49 12 34", "+49/123456"), ("ssn", "123-45-6789", "98765432101")], "kind string, found string, norm string")
     assert {r[0] for r in made.select(pii._written(F.col("kind"), F.col("found"), F.col("norm"))).collect()} == {"+49 12 3456", "987-65-432101"}
+
+
+def test_surrogates_of_full_names(spark):
+    texts = [
+        "Mr John Smith and Mr Smith, James Smith, John.", "Frau Anna-Lena Weber traf Frau Weber.", "Dr. Miller, Prof. O'Brien, Herr Dr. Hans Peter Vogel.",
+        "Mr John F. Kennedy Mrs Vogel", "Herr Vogel sagt nein. MR Vogel", "JAMES no; господин Иван Петров",
+    ]
+    rows = {r.doc_id: r for r in pii.replaced(table(spark, texts), count_col="n").collect()}
+    assert [rows[i].n for i in range(6)] == [4, 2, 3, 2, 1, 1]
+    whole = " ".join(rows[i].text for i in range(6))
+    assert not re.search(r"John|Smith|James|Anna|Lena|Weber|Miller|Brien|Hans|Peter|Kennedy|Mrs Vogel|Herr Vogel|Иван|Петров", whole)
+    john, smith, same, james, again, alone = re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+), (\w+) (\w+), (\w+)\.", rows[0].text).groups()
+    assert smith == same == again and john == alone and len({john, smith, james}) == 3
+    anna, weber, frau = re.fullmatch(r"Frau (\w+) (\w+) traf Frau (\w+)\.", rows[1].text).groups()
+    assert weber == frau != anna
+    names = re.fullmatch(r"Dr\. (\w+), Prof\. (\w+), Herr Dr\. (\w+) (\w+) (\w+)\.", rows[2].text).groups()
+    assert len(set(names)) == 5 and rows[4].text == f"Herr {names[4]} sagt nein. MR Vogel"
+    assert re.fullmatch(r"Mr \w+ F\. \w+ Mrs \w+", rows[3].text)
