@@ -7,10 +7,13 @@ under every node above the threshold the subtree with the largest sum is taken.
 lies in one ``article`` or ``main``, that element is the article as a whole.
 
 Navigation, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are told by element, role and class and never taken.
+and reader comments are told by element, role and class and not taken.  A class or a form may stand
+around the article as well: what holds most of the body's text outside links, and the largest
+``article`` or ``main`` where none stands elsewhere, is kept with all around it, and densities decide.
+This does not hold for comments, nor for what is hidden or told by a role or another element.
 
 Defined results: null and empty pages give an empty text, as do pages without text outside the
-parts named above; a page without tags is one block; unclosed elements end where their parent
+parts that are not taken; a page without tags is one block; unclosed elements end where their parent
 does; equal density sums go to the node that starts first; repeated rows give repeated results;
 columns other than the html pass through untouched, save those of the added names.
 """
@@ -55,38 +58,49 @@ _MARKS = re.compile(
     r"footer|header|masthead|topbar|toolbar|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|recommendations|"
     r"skip|search|copyright|disclaimer|paywall|teaser|teasers)$"
 )
+_COMMENTS = re.compile(r"^(?:comments?|commentlist|disqus|respond|replies|reply)$")
+#: Elements that may stand around a whole page.
+_AROUND = frozenset(("form", "fieldset"))
+#: Why a node is out by itself: a class or element that may also stand around the article, or for certain.
+_SOFT, _HARD = 1, 2
 _IGNORED_BEFORE = frozenset(("has", "no", "with", "without", "is", "not"))
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum", "link")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum", "link", "own")
 
-    def __init__(self, tag: str, parent: _Node | None, out: bool, link: bool):
-        self.tag, self.parent, self.out, self.link = tag, parent, out, link
+    def __init__(self, tag: str, parent: _Node | None, own: int, link: bool):
+        self.tag, self.parent, self.own, self.link = tag, parent, own, link
+        self.out = False
         self.children: list[_Node | str] = []
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
         self.density = self.sum = 0.0
 
 
-def _marked(attributes: str) -> bool:
-    """Whether class, id, role or style say that the element is no part of an article."""
+def _marked(attributes: str) -> int:
+    """How surely class, id, role or style say that the element is no part of an article."""
+    found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in _ROLES:
-            return True
+            return _HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return _HARD
         if name in ("class", "id"):
             for token in value.split():
                 parts = re.split(r"[-_]+", token)
-                if parts[0] not in _IGNORED_BEFORE and any(map(_MARKS.match, parts)):
-                    return True
-    return False
+                # Words after a negating one do not count: has-sidebar, content-with-sidebar.
+                parts = parts[:next((i for i, part in enumerate(parts) if part in _IGNORED_BEFORE), len(parts))]
+                if any(map(_COMMENTS.match, parts)):
+                    return _HARD
+                if any(map(_MARKS.match, parts)):
+                    found = _SOFT
+    return found
 
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:
-    root = _Node("#page", None, False, False)
+    root = _Node("#page", None, 0, False)
     nodes, at, last = [root], root, 0
     for token in _TOKEN.finditer(page):
         if token.start() > last:
@@ -118,25 +132,59 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
             while node is not root and node.tag in _SAME_ENDS[tag]:
                 at = node = node.parent
         attributes = token[4] or token[7] or ""
-        out = at.out or tag in _NEVER
+        own = (_SOFT if tag in _AROUND else _HARD) if tag in _NEVER else 0
         inside = tag in ("html", "body", "main", "article")
-        if not out and not inside:
-            if tag in _PAGE_EDGE or attributes and _marked(attributes):
-                # An article's own header stays, its footer and what is marked does not.
-                out = not (tag == "header" and _within(at, "article", "main"))
-        elif not out and tag == "article" and attributes:
+        if not inside:
+            marked = _marked(attributes) if attributes else 0
+            if tag in _PAGE_EDGE:
+                marked = _HARD
+            # An article's own header stays, its footer and what is marked does not.
+            if marked and not (tag == "header" and _within(at, "article", "main")):
+                own = max(own, marked)
+        elif tag == "article" and attributes and (_within(at, "article") or "comment" in attributes.lower()):
             # Comments are often articles of their own.
-            out = _within(at, "article") or "comment" in attributes.lower()
-        node = _Node(tag, at, out, at.link or tag == "a")
+            own = _HARD
+        node = _Node(tag, at, own, at.link or tag == "a")
         at.children.append(node)
         nodes.append(node)
         if tag not in _VOID:
             at = node
     if last < len(page):
         at.children.append(page[last:])
+    if any(node.own == _SOFT for node in nodes):
+        _keep_around(nodes)
+    for node in nodes:
+        node.out = node.own > 0 or node.parent is not None and node.parent.out
     return root, nodes
 
 
+def _keep_around(nodes: list[_Node]) -> None:
+    """Takes back the soft marks of what holds most of the text, and those around the article."""
+    plain = {id(node): 0 for node in nodes}
+    for node in reversed(nodes):
+        if node.own == _HARD:
+            plain[id(node)] = 0
+            continue
+        if not node.link:
+            plain[id(node)] += sum(sum(map(len, c.split())) for c in node.children if isinstance(c, str))
+        if node.parent is not None:
+            plain[id(node.parent)] += plain[id(node)]
+    # Parents stand before their children.
+    state: dict[int, int] = {}
+    for node in nodes:
+        state[id(node)] = max(node.own, state[id(node.parent)] if node.parent is not None else 0)
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    kept = [n for n in nodes if n.own == _SOFT and state[id(n)] == _SOFT and 2 * plain[id(n)] > plain[id(body)] and any(isinstance(c, _Node) for c in n.children)]
+    articles = [n for n in nodes if n.tag in ("article", "main") and state[id(n)] < _HARD and plain[id(n)]]
+    if any(not state[id(n)] for n in articles):
+        kept = []
+    elif articles:
+        kept.append(max(articles, key=lambda n: plain[id(n)]))
+    for node in kept:
+        while node is not None:
+            node.own, node = 0, node.parent
+
+
 def _within(node: _Node, *tags: str) -> bool:
     while node is not None:
         if node.tag in tags:

@@ -229,6 +229,29 @@ def test_main_text(spark):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+BODY = "<h2>Heading</h2><p>A paragraph that is long enough to count as text.</p><p>Another paragraph that is long enough, too.</p>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<div class='content-with-sidebar'>", "</div>"), ("<div id='page' class='sidebar-right'>", "</div>"), ("<div class='social-science'>", "</div>"),
+    ("<div class='search-article'><article>", "</article></div>"), ("<form action='x.aspx'><div>", "</div></form>"),
+    ("<div class='sidebar-right'><div class='search-area'><article>", "</article></div><p>Side</p></div>"),
+])
+def test_main_text_inside_marked_wrappers(before, after):
+    want = "Heading\n\nA paragraph that is long enough to count as text.\n\nAnother paragraph that is long enough, too."
+    nav = "<nav><a href='/'>Home</a></nav>"
+    assert html.main_text(f"<html><body>{nav}{before}{BODY}{after}<footer>Copyright</footer></body></html>") == want
+
+
+def test_marked_parts_stay_out():
+    article = f"<article>{BODY}</article>"
+    want = html.main_text(f"<body>{article}</body>")
+    for mark in ("comments", "related", "sidebar"):
+        assert html.main_text(f"<body>{article}<div class='{mark}'><article>{BODY * 5}</article></div></body>") == want
+    assert html.main_text(f"<body><div>{BODY}</div><div class='comments'><div>{BODY * 5}</div></div></body>") == want
+    assert html.main_text(f"<body><div hidden><article>{BODY}</article></div></body>") == ""
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(5)
     plain = ["".join(rng.choice("aeioustrn") for _ in range(rng.randint(3, 9))) for _ in range(400)]
