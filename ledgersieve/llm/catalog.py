@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgersieve.llm import queries_rules, queries_text  # noqa: F401
+from ledgersieve.llm import queries_models, queries_rules, queries_text  # noqa: F401
 from ledgersieve.llm.registered import ORACLES, QUERIES, Query
 
 
