@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgersieve.llm import infill
+from ledgersieve.llm import infill, katz, language, whitening
 from ledgersieve.llm.common import stored, table
 from ledgersieve.llm.registered import query
 
@@ -42,3 +42,16 @@ def infilled(spark: SparkSession, folder: str) -> DataFrame:
     frames = stored(infill.framed(table(spark, folder, "documents", "doc_id", "text")), "frames")
     found = infill.digests(infill.arranged(frames, infill.Policy(seed=7, rate=100, spm=50, unit="line")))
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op11_whitening")
+def whitened_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.scaled(table(spark, folder, "embeddings", "vec_id", "embedding"))
+    return whitening.whitened(rows, whitening.fit(rows, components=16))
+
+
+@query("op12_katz")
+def text_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    found = katz.scored(katz.fit(docs, train=language.fold(F.col("doc_id"), 10) != 0, order=2))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
