@@ -427,7 +427,7 @@ def _merged(buckets: int, lowest: bool, last: bool):
         number[seen] = ranks * _U(buckets) + _U(bucket + FIRST)
         number[~seen] = UNKNOWN
         few = np.stack([np.bincount(owner[total == r], minlength=len(owners)) for r in range(1, CUTOFF + 2)], axis=1)
-        sums = np.bincount(owner[seen], weights=below[seen], minlength=len(owners))
+        sums = np.bincount(owner[seen], weights=below[seen], minlength=len(owners)).astype(np.float64)
         least = np.where(few[:, :CUTOFF].any(axis=1), few[:, :CUTOFF].astype(bool).argmax(axis=1) + 1, CUTOFF + 1)
         answers = []
         for row, stop, size in zip(rows, ends, map(len, counts), strict=True):
