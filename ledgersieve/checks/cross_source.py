@@ -16,6 +16,7 @@ from ..findings import emit, finding, over, percent, samples_per, union, with_sa
 from ..functions import amount, key, present, strip, strip_zeros
 from ..operators import frequency, fuzzy, keys
 from ..operators.profile import charge_rows, charge_scope, transaction_rows
+from ..sources.steps import stored
 from .billing import link_column
 from .payroll import npi_population
 
@@ -181,35 +182,35 @@ def org_match(billing: DataFrame, ledger: DataFrame, ctx: Context) -> DataFrame:
 
 # C2: providers.
 
-def _providers(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None) -> tuple[DataFrame, Column] | None:
+def _providers(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None) -> tuple[DataFrame, bool] | None:
     """Billing providers with rows, dollars, whether payroll has them and their most similar name; and whether NPIs decide.
 
-    Which of the two ids decides is a value of the plan, found while it runs.
+    The lists are written to the shared folder once: the distinct ids with what payroll knows of
+    them, and payroll's names.  Everything after that reads these, not the extracts.
     """
     rows = billing.where(charge_scope(billing, ctx))
     npis = "EmployeeNpi" in payroll.columns and "RenderingProviderNpi" in rows.columns
     named = "EmployeeFullName" in payroll.columns and "RenderingProviderFullName" in rows.columns
     if not (npis if by_npi else named if by_npi is False else npis or named):
         return None
-    by = F.lit(npis if by_npi is None else by_npi)
+    by = npis if by_npi is None else by_npi
     if by_npi is None and npis:
-        by = npi_population(payroll).scalar() > rules.NPI_PRESENT_PCT
+        by = (npi_population(payroll).first()[0] or 0) > rules.NPI_PRESENT_PCT  # one row
     none = F.lit(None).cast("string")
 
     def ids(npi: str, name: str) -> Column:
-        return F.when(by, strip(npi) if npis else none).otherwise(key(name) if named else none)
+        return (strip(npi) if npis else none) if by else (key(name) if named else none)
 
     text = key("RenderingProviderFullName") if named else none
     left = rows.select(ids("RenderingProviderNpi", "RenderingProviderFullName").alias("id"), text.alias("text"), _positive(rows).alias("dollars"))
     left = left.where(present("id")).groupBy("id").agg(F.min("text").alias("text"), F.count("*").alias("n"), F.sum("dollars").alias("dollars"))
     right = payroll.select(ids("EmployeeNpi", "EmployeeFullName").alias("id")).where(present("id")).distinct()
-    marked = left.join(right.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    marked = stored(left.join(right.withColumn("hit", F.lit(True)), "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False))), "providers")
     if not named:
         return marked.withColumns({"best": none, "score": F.lit(None).cast("double")}), by
-    names = payroll.select(key("EmployeeFullName").alias("text")).where(present("text"))
-    lowest = min(rules.NPI_NAME_FUZZY, rules.NAME_FUZZY)
-    similar = fuzzy.best_match(marked.where(~F.col("hit") & present("text")).select("text"), names, lowest)
-    similar = similar.where(F.col("score") >= F.when(by, rules.NPI_NAME_FUZZY).otherwise(rules.NAME_FUZZY))
+    names = stored(payroll.select(key("EmployeeFullName").alias("text")).where(present("text")).distinct(), "names")
+    lost = marked.where(~F.col("hit") & present("text")).select("text")
+    similar = fuzzy.best_match(lost, names, rules.NPI_NAME_FUZZY if by else rules.NAME_FUZZY)
     return marked.join(similar.select("text", "best", "score"), "text", "left"), by
 
 
@@ -230,7 +231,7 @@ def provider_match(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi:
         F.count("*").alias("providers"), F.count_if("hit").alias("found"), F.count_if(lost & F.col("score").isNotNull()).alias("similar"),
     )
     shown = F.concat_ws(" ~ ", "id", "best")
-    m = with_samples(m.withColumn("by", by), marked.where(lost).withColumn("shown", shown), "shown", by="dollars")
+    m = with_samples(m, marked.where(lost).withColumn("shown", shown), "shown", by="dollars")
     lost_pct = percent(F.col("providers") - F.col("found"), F.greatest("providers", F.lit(1)))
     by_id = (
         F.when((lost_pct > 30) & (F.col("similar") == 0), "HIGH").when(lost_pct > 10, "MEDIUM")
@@ -239,11 +240,10 @@ def provider_match(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi:
     by_name = F.when((lost_pct > 50) & (F.col("similar") == 0), "HIGH").when(lost_pct > 0, "MEDIUM").otherwise("PASS")
     pct = percent(F.col("found"), F.greatest("providers", F.lit(1)))
     return emit(m, ctx, [finding(
-        "C2", F.when(F.col("by"), by_id).otherwise(by_name),
-        F.format_string("C2: payroll has %d of %d billing providers (%.1f%%), compared by %s", "found", "providers", pct,
-                        F.when(F.col("by"), "NPI").otherwise("name")),
+        "C2", by_id if by else by_name,
+        F.format_string(f"C2: payroll has %d of %d billing providers (%.1f%%), compared by {'NPI' if by else 'name'}", "found", "providers", pct),
         affected=F.col("found"), total=F.col("providers"), pct=pct,
-        column=F.when(F.col("by"), "RenderingProviderNpi").otherwise("RenderingProviderFullName"), metrics={"similar": F.col("similar")},
+        column="RenderingProviderNpi" if by else "RenderingProviderFullName", metrics={"similar": F.col("similar")},
         samples=F.col("which"),
     )], phase=4)
 
@@ -278,7 +278,8 @@ def place_match(
     here = [c for c in columns if c in left.columns]
     if not here:
         return _note(left, ctx, check, f"{check}: skipped, since there is no column that names a place")
-    marked = _marked(column_values(left, here).where(present("value")), reference)
+    reference = stored(reference, "places")
+    marked = stored(_marked(column_values(left, here).where(present("value")), reference), "place-values")
     similar = fuzzy.best_match(
         marked.where(~F.col("hit")).select(F.col("value").alias("text")),
         reference.select(F.col("value").alias("text")), rules.LOCATION_FUZZY,

@@ -9,8 +9,11 @@ above the indel distance) thin the candidates before any score is computed.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import rules
 from ..functions.similarity import plain, similarity, sorted_tokens
 
 
@@ -82,29 +85,135 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return pairs.where(F.levenshtein("l_match", "r_match") <= distance)
 
 
-def _shared_gram_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs for the composite score: it rewards a shared token or part, so one shared gram is enough.
+# The composite score.  Every text gives keys of several kinds, and two texts are compared that share a key of one kind.
 
-    Texts of up to eight characters also give their single characters, because a
-    one-character text can be part of them.
-    """
+_TOKENS = "filter(split({0}, '\\\\s+'), t -> t <> '')"
+_SORTED = f"array_join(array_sort({_TOKENS}), ' ')"
+_UNIQUE = f"array_sort(array_distinct({_TOKENS}))"
 
-    def signed(df: DataFrame, name: str) -> DataFrame:
-        match = F.col("match")
-        singles = F.when(F.length(match) <= 8, F.array_remove(F.split(match, ""), " "))
-        grams = F.array_distinct(F.concat(
-            F.transform(_grams(match, 2), lambda g: F.substring(g, 1, 2)),
-            F.coalesce(singles, F.array().cast("array<string>")),
-        ))
-        return df.select(
-            "scope", F.col("text").alias(name), match.alias(f"{name}_match"), F.explode(grams).alias("gram")
+
+def _forms(df: DataFrame) -> DataFrame:
+    """``scope, text, whole, sorted, tokens, once``: the plain form, its tokens in order, and each token once."""
+    rows = df.where("length(match) > 0").selectExpr("scope", "text", "match AS whole", f"{_SORTED.format('match')} AS sorted", f"{_UNIQUE.format('match')} AS tokens")
+    return rows.withColumn("once", F.array_join("tokens", " "))
+
+
+def _ranked_keys(left: DataFrame, right: DataFrame, grams: dict[str, float], tokens: float | None) -> list[DataFrame]:
+    """``kind, key`` of both sides for the scores that compare whole texts.
+
+    Of the grams of a form, rarest first, as many are keys as a partner at the threshold cannot all
+    lack.  Of the tokens, a side looks up the rarest ones that together take up more than it may
+    miss, among all tokens of the other side: the shared ones make up ``t / (200 - t)`` of a side
+    wherever they lift the score to ``t``.
+    """
+    size = {form: 2 if t >= 200 / 3 else 1 for form, t in grams.items()}
+
+    def of_kind(kind: str, texts: Column | str) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("item")))
+
+    def items(df: DataFrame) -> DataFrame:
+        parts = [of_kind(form, _grams(F.col(form), size[form])) for form in grams] + ([of_kind("token", "tokens")] if tokens else [])
+        return df.select("*", F.explode(F.concat(*parts)).alias("i")).select(*df.columns, "i.kind", "i.item")
+
+    sides = [items(left), items(right)]
+    rarity = sides[1].groupBy("scope", "kind", "item").agg(F.count("*").alias("rarity"))
+    length = reduce(lambda rest, form: F.when(F.col("kind") == form, _prefix_length(F.length(form), grams[form], size[form])).otherwise(rest), grams, F.lit(0))
+    out = []
+    for own, other, rows in (("l", "r", sides[0]), ("r", "l", sides[1])):
+        texts = [c for c in rows.columns if c not in ("kind", "item")]
+        ranked = rows.join(rarity, ["scope", "kind", "item"], "left").groupBy(*texts, "kind").agg(
+            F.array_sort(F.collect_list(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "item"))).alias("items")  # a text's own
         )
+        first = F.transform(F.slice("items", F.lit(1), length), lambda i: F.struct(F.col("kind").alias("kind"), i["item"].alias("key")))
+        if tokens:
+            share = tokens / (200.0 - tokens)
+            slack = F.length("once") * (1 - share) + 1e-9
+            before = lambda n: F.aggregate(F.slice("items", 1, n), F.lit(0), lambda a, u: a + F.length(u["item"]) + 1)
+            looked = F.filter("items", lambda i, n: before(n) <= slack)
+            tagged = lambda array, tag: F.transform(array, lambda i: F.struct(F.lit(f"token_{tag}").alias("kind"), i["item"].alias("key")))
+            first = F.when(F.col("kind") == "token", F.concat(tagged(looked, own), tagged(F.col("items"), other))).otherwise(first)
+        out.append(ranked.select(*texts, F.explode(first).alias("k")).select(*texts, "k.kind", "k.key"))
+    return out
+
+
+def _segment_keys(df: DataFrame, own: str, other: str, kind: str, form: str, threshold: float) -> DataFrame:
+    """``kind, key`` for a part of the longer form against the shorter form.
+
+    At the threshold the shorter form, of ``m`` characters, and the best part differ by at most
+    ``k = 2 m (100 - threshold) / 100`` insertions and deletions.  Cut into ``k + 1`` segments, one
+    of them is untouched, so it stands in the longer form: a text gives its segments, as the shorter
+    one, and its substrings of the sizes that segments have, as the longer one.
+    """
+    cuts = lambda m: f"CAST(least(floor({m} * {2.0 * (100.0 - threshold) / 100.0!r}D + 1e-9D) + 1, {m}) AS INT)"
+    m, n = f"length({form})", cuts(f"length({form})")
+    start = lambda i: f"CAST(floor({i} * {m} / {n}) AS INT)"
+    segments = f"transform(sequence(0, {n} - 1), i -> substr({form}, {start('i')} + 1, {start('(i + 1)')} - {start('i')}))"
+    sizes = f"array_distinct(flatten(transform(sequence(1, {m}), m -> array(CAST(floor(m / {cuts('m')}) AS INT), CAST(ceil(m / {cuts('m')}) AS INT)))))"
+    substrings = f"flatten(transform({sizes}, s -> transform(sequence(1, {m} - s + 1), i -> substr({form}, i, s))))"
+    keys = [f"transform(array_distinct({texts}), x -> named_struct('kind', '{kind}_{tag}', 'key', x))" for texts, tag in ((segments, own), (substrings, other))]
+    columns = df.columns
+    return df.where(f"length({form}) > 0").selectExpr("*", f"explode(concat({keys[0]}, {keys[1]})) AS k").select(*columns, "k.kind", "k.key")
+
+
+def _first_sharing_a_token(left: DataFrame, right: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Per left text the first right text, in order, that shares a token and is ``lo`` to ``hi`` times as long or short.
+
+    A shared token gives all such pairs one and the same score, so only the first can be the best
+    by it; right texts are folded by token and length, and no pair of them is ever made.
+    """
+    folded = right.selectExpr("scope", "text AS r", "length(whole) AS r_len", "explode(tokens) AS token").groupBy("scope", "token", "r_len").agg(F.min("r").alias("r"))
+    wanted = left.selectExpr("scope", "text AS l", "length(whole) AS l_len", "explode(tokens) AS token")
+    return wanted.join(folded, ["scope", "token"]).where(_apart("l_len", "r_len", lo, hi)).groupBy("scope", "l").agg(F.min("r").alias("r"))
 
-    signed_left, signed_right = signed(left, "l"), signed(right, "r")
-    return (
-        signed_left.join(signed_right, ["scope", "gram"])
-        .groupBy("scope", "l", "r").agg(F.first("l_match").alias("l_match"), F.first("r_match").alias("r_match"))
-    )
+
+def _apart(a: str, b: str, lo: float, hi: float) -> str:
+    """Whether one length is ``lo`` to ``hi`` times the other; ``lo`` itself counts for the first step only."""
+    longer = f"greatest({a}, {b}) / least({a}, {b})"
+    return f"{longer} {'>=' if lo == rules.PARTIAL_FROM else '>'} {lo!r}D" + (f" AND {longer} <= {hi!r}D" if hi != float("inf") else "")
+
+
+def composite_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs among which the best composite match at the threshold is, for every left text.
+
+    Each part of the score has keys of its own that lose none of the pairs for which that part
+    reaches the threshold: whole texts and sorted tokens by grams, shared tokens by their share of
+    a side, parts of longer texts by segments.  Only pairs whose sole merit is a shared token, which
+    all score the same, are represented by the first of them.
+    """
+    left, right = _forms(left), _forms(right)
+    by_token = threshold / rules.TOKEN_WEIGHT
+    whole = by_token <= 100
+    keys = _ranked_keys(left, right, {"whole": threshold} | ({"sorted": by_token, "once": by_token} if whole else {}), by_token if whole else None)
+    near = f"greatest(length(l.whole), length(r.whole)) < {rules.PARTIAL_FROM!r}D * least(length(l.whole), length(r.whole))"
+
+    def within(a: str, b: str, limit: float) -> str:
+        total = f"(length({a}) + length({b}))"
+        close = f"200.0D * least(length({a}), length({b})) >= {limit!r}D * {total}"
+        return f"{close} AND levenshtein({a}, {b}) <= CAST(floor({(100.0 - limit) / 100.0!r}D * {total} + 1e-9D) AS INT)"
+
+    common = "array_intersect(l.tokens, r.tokens)"
+    in_front = [f"array_join(concat({common}, array_except({side}.tokens, {common})), ' ')" for side in ("l", "r")]
+    tests = {"whole": within("l.whole", "r.whole", threshold)}
+    if whole:
+        share = by_token / (200.0 - by_token)
+        tests |= {"sorted": f"{near} AND {within('l.sorted', 'r.sorted', by_token)}", "once": f"{near} AND {within(*in_front, by_token)}"}
+        tests |= {f"token_{s}": f"{near} AND length(array_join({common}, ' ')) >= length({s}.once) * {share!r}D - 1e-9D" for s in ("l", "r")}
+    shared = []
+    for i, (lo, hi, weight) in enumerate(rules.PARTIAL_WEIGHTS):
+        for form, needed in (("whole", threshold / weight), ("sorted", by_token / weight)):
+            if needed <= 100:
+                keys = [k.unionByName(_segment_keys(df, own, other, f"{form}_{i}", form, needed)) for k, df, own, other in ((keys[0], left, "l", "r"), (keys[1], right, "r", "l"))]
+                apart = _apart("length(l.whole)", "length(r.whole)", lo, hi)
+                tests |= {f"{form}_{i}_{a}": f"length({a}.{form}) <= length({b}.{form}) AND {apart}" for a, b in (("l", "r"), ("r", "l"))}
+        if by_token / weight <= 100:
+            shared.append(_first_sharing_a_token(left, right, lo, hi))
+    test = " ".join(f"WHEN '{kind}' THEN {condition}" for kind, condition in tests.items())
+    met = keys[0].alias("l").join(keys[1].alias("r"), ["scope", "kind", "key"]).where(F.expr(f"CASE kind {test} END"))
+    pairs = met.groupBy("scope", F.col("l.text").alias("l"), F.col("r.text").alias("r")).agg(F.first("l.whole").alias("l_match"), F.first("r.whole").alias("r_match"))
+    for firsts in shared:
+        named = firsts.join(left.selectExpr("scope", "text AS l", "whole AS l_match"), ["scope", "l"]).join(right.selectExpr("scope", "text AS r", "whole AS r_match"), ["scope", "r"])
+        pairs = pairs.unionByName(named)
+    return pairs
 
 
 def best_match(left: DataFrame, right: DataFrame, threshold: float, scorer: str = "token_sort") -> DataFrame:
@@ -123,7 +232,7 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float, scorer: str
 
     left, right = prepare(left), prepare(right)
     if scorer == "composite":
-        pairs = _shared_gram_pairs(left, right)
+        pairs = composite_pairs(left, right, threshold)
     else:
         pairs = candidate_pairs(left, right, threshold)
     score = similarity("l_match", "r_match", "composite" if scorer == "composite" else "ratio")

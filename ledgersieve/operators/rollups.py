@@ -14,6 +14,7 @@ from .. import rules
 from ..checks.payroll import job_class
 from ..context import Context
 from ..functions import amount, classify, present, strip
+from ..sources.steps import stored
 from . import fuzzy
 from .profile import charge_scope
 
@@ -144,7 +145,8 @@ def appointment_places(scheduling: DataFrame, centers: DataFrame | None, scorer:
     own = F.concat(F.lit("SCH:"), F.col("place"))
     if centers is None:
         return places.select(own.alias("id"), F.col("place"), "CompletedAppointments")
-    names = centers.where(present("gl_name")).groupBy(F.col("gl_name").alias("best")).agg(F.min("id").alias("center"))
+    places = stored(places, "places")
+    names = stored(centers.where(present("gl_name")).groupBy(F.col("gl_name").alias("best")).agg(F.min("id").alias("center")), "centers")
     best = fuzzy.best_match(
         places.select(F.col("place").alias("text")), names.select(F.col("best").alias("text")), rules.LOCATION_FUZZY, scorer
     ).select(F.col("text").alias("place"), "best")
@@ -161,7 +163,7 @@ def cost_centers(tables: dict[str, DataFrame], contexts: dict[str, Context], sco
         _billing(df, ctx, strip("BillDepartmentId"), "BillDepartmentName", "bill_name")
         for df, ctx in billing if "BillDepartmentId" in df.columns
     ]
-    ledger = ledger_centers(tables["gl"]) if "gl" in tables else None
+    ledger = stored(ledger_centers(tables["gl"]), "ledger-centers") if "gl" in tables else None
     if ledger is not None:
         parts.append(ledger)
     if "payroll" in tables:

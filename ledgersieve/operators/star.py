@@ -11,48 +11,76 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import day
 from ..functions.formula import apply_transforms
 from ..rules import NULL_KEY
+from ..sources.steps import stored
 
-BUCKETS = 256
-
-Expression = Callable[[DataFrame], Column]
-
+BUCKETS = 1024
 
 def keyed(df: DataFrame, *names: str) -> Column:
     """First of the columns that exists, or its calculated twin, with the null key for nulls."""
-    for name in names:
-        for candidate in (name, f"{name}_Calculated"):
-            if candidate in df.columns:
-                return F.coalesce(F.col(candidate).cast("string"), F.lit(NULL_KEY))
-    return F.lit(NULL_KEY)
+    found = _present(df, names)
+    return F.coalesce(F.col(found).cast("string"), F.lit(NULL_KEY)) if found else F.lit(NULL_KEY)
 
 
 def plain(df: DataFrame, *names: str) -> Column:
     """The same without the null key, for dates and measures."""
-    for name in names:
-        for candidate in (name, f"{name}_Calculated"):
-            if candidate in df.columns:
-                return F.col(candidate)
-    return F.lit(None).cast("string")
+    found = _present(df, names)
+    return F.col(found) if found else F.lit(None).cast("string")
+
+
+def _present(df: DataFrame, names: tuple[str, ...]) -> str | None:
+    here = df.columns
+    return next((c for name in names for c in (name, f"{name}_Calculated") if c in here), None)
+
+
+@dataclass(frozen=True)
+class Expression:
+    """A column of the fact or of a member, made from the columns ``names``; equal ones are computed once."""
+
+    build: Callable[..., Column]
+    names: tuple[str, ...] = ()
+    extra: tuple = ()
+
+    def __call__(self, df: DataFrame) -> Column:
+        return self.build(df, *self.names, *self.extra)
+
+    def constant(self, df: DataFrame) -> bool:
+        return not any(_present(df, (name,)) for name in self.names)
+
+
+def _constant(df: DataFrame, text: str) -> Column:
+    return F.lit(text)
+
+
+def _joined(df: DataFrame, first: str, second: str, separator: str) -> Column:
+    return F.concat_ws(separator, keyed(df, first), keyed(df, second))
+
+
+def _prefix(df: DataFrame, name: str, size: int) -> Column:
+    return F.left(keyed(df, name), F.lit(size))
+
+
+def _day(df: DataFrame, *names: str) -> Column:
+    return day(plain(df, *names))
 
 
 def col(*names: str) -> Expression:
-    return lambda df: keyed(df, *names)
+    return Expression(keyed, names)
 
 
 def const(text: str = NULL_KEY) -> Expression:
-    return lambda df: F.lit(text)
+    return Expression(_constant, (), (text,))
 
 
-def joined(separator: str, *names: str) -> Expression:
-    return lambda df: F.concat_ws(separator, *[keyed(df, n) for n in names])
+def joined(separator: str, first: str, second: str) -> Expression:
+    return Expression(_joined, (first, second), (separator,))
 
 
 def prefix(name: str, size: int) -> Expression:
-    return lambda df: F.left(keyed(df, name), F.lit(size))
+    return Expression(_prefix, (name,), (size,))
 
 
 def a_date(*names: str) -> Expression:
-    return lambda df: day(plain(df, *names))
+    return Expression(_day, names)
 
 
 @dataclass(frozen=True)
@@ -64,6 +92,7 @@ class Dimension:
     roles: dict[str, dict[str, Expression]]
     derived: dict[str, Callable[[], Column]] = field(default_factory=dict)
     required: bool = False  # leave out members whose attributes are all null (dates, periods)
+    kinds: dict[str, str] = field(default_factory=dict)  # types of the attributes that are no texts
 
     @property
     def attributes(self) -> list[str]:
@@ -120,10 +149,82 @@ def upsert(existing: DataFrame | None, candidates: DataFrame, dimension: Dimensi
     return new if existing is None else existing.unionByName(new.select(*existing.columns))
 
 
-def load_dimensions(df: DataFrame, dimensions: list[Dimension], existing: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """All dimensions of a source after the load.  Write them before building the fact."""
-    existing = existing or {}
-    return {d.name: upsert(existing.get(d.name), members(df, d), d) for d in dimensions}
+# All dimensions of a source together: their members are one table, ``dimension, natural, attributes, key``.
+
+LOOKUP_ROWS = 200_000  # members of all dimensions that a fact looks up in memory, together; larger dimensions are joined
+
+
+def _natural(columns: list[str]) -> str:
+    """One text for several attributes, different ones for different attributes: every one behind its length, nulls as a dash."""
+    return f"concat({', '.join(f"coalesce(concat(length(string({c})), ':', string({c})), '-')" for c in columns)})"
+
+
+def _computed(df: DataFrame, expressions: list[Expression]) -> tuple[DataFrame, dict[Expression, str]]:
+    """Every different expression once, as a column of its own, and the names."""
+    names = {e: f"e{i}" for i, e in enumerate(dict.fromkeys(expressions))}
+    return df.select(*[e(df).alias(n) for e, n in names.items()]), names
+
+
+def stacked_members(df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """Distinct ``dimension, natural, attributes`` over all roles of all dimensions, in one pass over the rows."""
+    rows, at = _computed(df, [e for d in dimensions for role in d.roles.values() for e in role.values()])
+    # A role without columns is one member: the first row of a partition stands for all of them.
+    rows = rows.withColumn("first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
+    width = max(len(d.attributes) for d in dimensions)
+    cells, some = [], ["dimension IS NOT NULL"]
+    for d in dimensions:
+        for role in d.roles.values():
+            columns = [at[e] for e in role.values()]
+            name = f"CASE WHEN first THEN '{d.name}' END" if all(e.constant(df) for e in role.values()) else f"'{d.name}'"
+            cells.append(", ".join([name, *[f"string({c})" for c in columns], *["CAST(NULL AS STRING)"] * (width - len(columns))]))
+        if d.required:
+            some.append(f"dimension <> '{d.name}' OR " + " OR ".join(f"a{i} IS NOT NULL" for i in range(len(d.attributes))))
+    cells, names = list(dict.fromkeys(cells)), [f"a{i}" for i in range(width)]
+    found = rows.selectExpr(f"stack({len(cells)}, {', '.join(cells)}) AS (dimension, {', '.join(names)})")
+    for condition in some:
+        found = found.where(condition)
+    found = found.distinct()
+    sizes = " ".join(f"WHEN '{d.name}' THEN {len(d.attributes)}" for d in dimensions)
+    one = "array_join(transform(attributes, a -> coalesce(concat(length(a), ':', a), '-')), '')"
+    found = found.selectExpr("dimension", f"slice(array({', '.join(names)}), 1, CASE dimension {sizes} END) AS attributes")
+    return found.selectExpr("dimension", f"{one} AS natural", "attributes")
+
+
+def new_members(existing: DataFrame | None, df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """The members that ``existing`` lacks, with dense keys after each dimension's last one.
+
+    They are written to the shared folder before they are numbered: sizes and places are both
+    taken from that list, and the source is read once.
+    """
+    fresh = stacked_members(df, dimensions)
+    if existing is not None:
+        fresh = fresh.join(existing.select("dimension", "natural"), ["dimension", "natural"], "left_anti")
+    fresh = stored(fresh.withColumn("bucket", F.pmod(F.xxhash64("dimension", "natural"), F.lit(BUCKETS))), "new-members")
+    sizes = fresh.groupBy("dimension", "bucket").agg(F.count("*").alias("size"))
+    in_order = Window.partitionBy("dimension").orderBy("bucket")  # at most BUCKETS rows per dimension
+    before = sizes.select("dimension", "bucket", (F.sum("size").over(in_order) - F.col("size")).alias("before"))
+    if existing is not None:
+        last = existing.groupBy("dimension").agg(F.max("key").alias("last"))
+        before = before.join(last, "dimension", "left").withColumn("before", F.col("before") + F.coalesce("last", F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("dimension", "bucket").orderBy("natural"))
+    return fresh.withColumn("inside", inside).join(F.broadcast(before), ["dimension", "bucket"]).select(
+        "dimension", "natural", "attributes", (F.col("before") + F.col("inside")).cast("bigint").alias("key")
+    )
+
+
+def load_members(df: DataFrame, dimensions: list[Dimension], existing: DataFrame | None = None) -> DataFrame:
+    """All members of a source's dimensions after the load; new ones are written to the shared folder first."""
+    fresh = stored(new_members(existing, df, dimensions).sortWithinPartitions("dimension"), "members")
+    return fresh if existing is None else existing.select(*fresh.columns).unionByName(fresh)
+
+
+def dimension_table(members: DataFrame, dimension: Dimension) -> DataFrame:
+    """One dimension with its columns: key, attributes in their types, and what is derived from them."""
+    kinds = {a: dimension.kinds.get(a, "string") for a in dimension.attributes}
+    rows = members.where(F.col("dimension") == dimension.name).select(
+        F.col("key").alias(dimension.key), *[F.get("attributes", F.lit(i)).cast(kinds[a]).alias(a) for i, a in enumerate(kinds)]
+    )
+    return rows.withColumns({k: build() for k, build in dimension.derived.items()})
 
 
 def _date_parts(c: str = "date") -> dict[str, Callable[[], Column]]:
@@ -140,28 +241,50 @@ class Fact:
     measures: dict[str, Expression]
 
 
-def build_fact(df: DataFrame, fact: Fact, dimensions: dict[str, DataFrame], source_id: int = 1, file_id: int = 1) -> DataFrame:
-    """Rows with foreign keys and measures: one left equality join per role.
+def build_fact(df: DataFrame, fact: Fact, members: DataFrame, source_id: int = 1, file_id: int = 1, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Rows with foreign keys and measures; ``members`` is a written table, as :func:`load_members` gives it.
 
-    Small dimensions are broadcast by Spark on their measured size; a dimension as
-    long as the fact is joined by shuffle.  A role of which the rows have no column is
-    the same member for all of them, so its key is looked up once.
+    The smallest dimensions, of ``lookup_rows`` members together at most, are one table in memory
+    that all their roles look up: it is read and sent once.  Each larger dimension is joined by
+    its natural key; one as long as the fact moves the fact.  A role for which the rows have no
+    column is the same member for all rows.
     """
-    bare = df.select()
-    specs = {d.name: d for d in fact.dimensions}
-    rows = df.withColumns({name: expression(df) for name, expression in fact.measures.items()})
-    keep = list(fact.measures)
-    for fk, (name, role) in fact.links.items():
-        spec = specs[name]
-        attributes = spec.roles[role]
-        if all(str(expression(df)) == str(expression(bare)) for expression in attributes.values()):
-            same = reduce(Column.__and__, [F.col(a) == expression(df) for a, expression in attributes.items()])
-            rows = rows.withColumn(fk, dimensions[name].where(same).agg(F.min(spec.key)).scalar())
-            continue
-        side = dimensions[name].select(F.col(spec.key).alias(fk), *[F.col(a).alias(f"__{a}") for a in attributes])
-        on = reduce(Column.__and__, [expression(df) == F.col(f"__{a}") for a, expression in attributes.items()])
-        rows = rows.join(side, on, "left").drop(*[f"__{a}" for a in attributes])
-    return rows.select(F.lit(source_id).alias("SourceFnbr"), F.lit(file_id).alias("FileFnbr"), *fact.links, *keep)
+    spark, specs = df.sparkSession, {d.name: d for d in fact.dimensions}
+    roles = {place: specs[place[0]].roles[place[1]] for place in fact.links.values()}
+    sizes = {r["dimension"]: r["count"] for r in members.groupBy("dimension").count().collect()}  # one row per dimension
+    small, held = set(), 0
+    for name in sorted(specs, key=lambda n: (sizes.get(n, 0), n)):
+        held += sizes.get(name, 0)
+        if held <= lookup_rows:
+            small.add(name)
+
+    rows, at = _computed(df, [*fact.measures.values(), *[e for role in roles.values() for e in role.values()]])
+    fixed = {place for place, role in roles.items() if all(e.constant(df) for e in role.values())}
+    text = {place: f"concat('{place[0]}/', {_natural([at[e] for e in role.values()])})" for place, role in roles.items()}
+    known = {}
+    if fixed:
+        bare, names = _computed(spark.range(1), [e for place in fixed for e in roles[place].values()])
+        wanted = bare.selectExpr("explode(array(" + ", ".join(
+            f"named_struct('role', '{role}', 'dimension', '{name}', 'natural', {_natural([names[e] for e in roles[name, role].values()])})" for name, role in fixed
+        ) + ")) AS m").select("m.*")
+        found = wanted.join(members.select("dimension", "natural", "key"), ["dimension", "natural"]).collect()  # one row per role
+        known = {(r["dimension"], r["role"]): r["key"] for r in found}
+
+    # Equal joins are made once; the lookup is the same table for all of them, so it is sent once.
+    joins = {t: f"k{i}" for i, t in enumerate(dict.fromkeys(text[p] for p in roles if p not in fixed))}
+    owner = {text[p]: p[0] for p in roles}
+    tables = {"lookup": members.where(F.col("dimension").isin(sorted(small))).selectExpr("concat(dimension, '/', natural) AS member", "key")}
+    tables |= {f"large_{n}": members.where(F.col("dimension") == n).selectExpr("concat(dimension, '/', natural) AS member", "key") for n in {owner[t] for t in joins} - small}
+    sides = {alias: "lookup" if owner[t] in small else f"large_{owner[t]}" for t, alias in joins.items()}
+    in_memory = ", ".join(alias for alias, table in sides.items() if table == "lookup")
+    keys = {p: f"{joins[text[p]]}.key" if p not in fixed else f"CAST({known.get(p, 'NULL')} AS BIGINT)" for p in roles}
+    wanted = [f"{source_id} AS SourceFnbr", f"{file_id} AS FileFnbr", *[f"{keys[p]} AS {fk}" for fk, p in fact.links.items()]]
+    wanted += [f"r.{at[e]} AS {name}" for name, e in fact.measures.items()]
+    texts = rows.selectExpr("*", *[f"{t} AS t_{alias}" for t, alias in joins.items()])
+    steps = " ".join(f"LEFT JOIN {{{sides[alias]}}} {alias} ON r.t_{alias} = {alias}.member" for alias in joins.values())
+    hint = f"/*+ BROADCAST({in_memory}) */ " if in_memory else ""
+    used = {name: table for name, table in tables.items() if name in sides.values()}
+    return spark.sql(f"SELECT {hint}{', '.join(wanted)} FROM {{rows}} r {steps}", rows=texts, **used)
 
 
 def load_log(fact: DataFrame, source_id: int, file: str) -> DataFrame:
@@ -171,12 +294,17 @@ def load_log(fact: DataFrame, source_id: int, file: str) -> DataFrame:
     )
 
 
+def _sized(df: DataFrame, *names_and_kind: str) -> Column:
+    *names, kind = names_and_kind
+    return plain(df, *names).try_cast(kind)
+
+
 def money(*names: str) -> Expression:
-    return lambda df: plain(df, *names).try_cast("decimal(14,2)")
+    return sized("decimal(14,2)", *names)
 
 
 def sized(kind: str, *names: str) -> Expression:
-    return lambda df: plain(df, *names).try_cast(kind)
+    return Expression(_sized, names, (kind,))
 
 
 def _one(**attributes: Expression) -> dict[str, dict[str, Expression]]:
@@ -184,7 +312,7 @@ def _one(**attributes: Expression) -> dict[str, dict[str, Expression]]:
 
 
 def _dates(name: str, key: str, **roles: str) -> Dimension:
-    return Dimension(name, key, {role: {"date": a_date(column)} for role, column in roles.items()}, _date_parts(), required=True)
+    return Dimension(name, key, {role: {"date": a_date(column)} for role, column in roles.items()}, _date_parts(), required=True, kinds={"date": "date"})
 
 
 PAYROLL = Fact(
@@ -217,7 +345,7 @@ LEDGER = Fact(
             CostCenterNumberOrig=col("CostCenterNumberOrig"), CostCenterNameOrig=col("CostCenterNameOrig"))),
         Dimension("Account", "AcctUnbr", _one(AcctNumber=col("AcctNumber"), AcctDesc=col("AcctDesc"))),
         Dimension("SubAccount", "SubAcctUnbr", _one(SubAcctNumber=col("SubAcctNumber"), SubAcctDesc=col("SubAcctDesc"))),
-        Dimension("ReportPeriod", "ReportPeriodUnbr", _one(YearMonth=lambda df: plain(df, "YearMonth")), {
+        Dimension("ReportPeriod", "ReportPeriodUnbr", _one(YearMonth=Expression(plain, ("YearMonth",))), {
             "year": lambda: F.left("YearMonth", F.lit(4)), "month": lambda: F.right("YearMonth", F.lit(2))}, required=True),
     ],
     {
@@ -225,7 +353,7 @@ LEDGER = Fact(
         "ReportPeriodFnbr": ("ReportPeriod", "row"),
     },
     {"AmountOrig": money("AmountOrig", "AmountClean"), "AmountClean": money("AmountOrig", "AmountClean"),
-     "ReportPeriod": lambda df: plain(df, "YearMonth")},
+     "ReportPeriod": Expression(plain, ("YearMonth",))},
 )
 SCHEDULING = Fact(
     "SchdApptFact",
@@ -254,9 +382,13 @@ def _provider(role: str) -> dict[str, Expression]:
     }
 
 
-def _service_year(df: DataFrame) -> Column:
-    """Year of service, or of posting where that is blank, so that a later load of the same rows finds the same member."""
-    return F.coalesce(F.year(day(plain(df, "DateOfService"))), F.year(day(plain(df, "PostDate"))))
+def _year(df: DataFrame, first: str, second: str) -> Column:
+    """Year of the first date, or of the second where that is blank."""
+    return F.coalesce(F.year(day(plain(df, first))), F.year(day(plain(df, second))))
+
+
+#: Of service, or of posting, so that a later load of the same rows finds the same member.
+_service_year = Expression(_year, ("DateOfService", "PostDate"))
 
 
 _PAYER = Dimension("Payer", "PayerUnbr", _one(
@@ -288,7 +420,8 @@ CHARGES = Fact(
         Dimension("Pos", "PosUnbr", _one(PosCode=col("PlaceOfServiceCode"), PosName=const(), PosDesc=const())),
         Dimension("CptCodes", "CptUnbr", _one(
             CptCodeOrig=col("CptCode"), CptCodeDescOrig=prefix("CptCodeDesc", 250), CptServiceYear=_service_year,
-            Modifier1=col("Modifier1"), Modifier2=col("Modifier2"), Modifier3=col("Modifier3"), Modifier4=col("Modifier4"))),
+            Modifier1=col("Modifier1"), Modifier2=col("Modifier2"), Modifier3=col("Modifier3"), Modifier4=col("Modifier4")),
+            kinds={"CptServiceYear": "int"}),
         Dimension("ProviderSpecialty", "ProvSpecialtyUnbr", {
             role: {"ProvSpecialty": col(f"{role}ProviderSpecialty")} for role in ("Rendering", "Billing", "Referring")}),
         Dimension("Provider", "ProvUnbr", {role: _provider(role) for role in ("Rendering", "Billing", "Referring")}),

@@ -77,7 +77,40 @@ def fuzzy_names_loose(spark, folder) -> DataFrame:
     return fuzzy.best_match(*_names(spark, folder), rules.NEAR_MISS).select("text", "best", "score")
 
 
-@query("fuzzy_names_composite")
+def composite_sql(left: str, right: str) -> str:
+    """CTEs ending in ``scored (l, r, score)``: the composite score of all pairs of two relations with ``text, m`` (m: the plain form)."""
+    tokens = lambda c: f"list_filter(string_split({c}, ' '), lambda t: t <> '')"
+    short, long = "CASE WHEN len({0}) > len({1}) THEN {1} ELSE {0} END", "CASE WHEN len({0}) > len({1}) THEN {0} ELSE {1} END"
+
+    def windows(a: str, c: str, weight: str, where: str) -> str:
+        s, g = short.format(a, c), long.format(a, c)
+        return (f"SELECT l, r, {weight} AS w, s AS x, substr(g, greatest(e - len(s), 0) + 1, e - greatest(e - len(s), 0)) AS y FROM "
+                f"(SELECT l, r, weight, s, g, unnest(range(1, len(s) + len(g))) AS e FROM (SELECT l, r, weight, {s} AS s, {g} AS g FROM q WHERE {where}))")
+
+    return f"""p AS (SELECT l.text AS l, r.text AS r, l.m AS a, r.m AS b, greatest(len(l.m), len(r.m))::DOUBLE / least(len(l.m), len(r.m)) AS longer,
+ list_sort({tokens('l.m')}) AS sa, list_sort({tokens('r.m')}) AS sb, list_sort(list_distinct({tokens('l.m')})) AS ta, list_sort(list_distinct({tokens('r.m')})) AS tb
+ FROM {left} l, {right} r WHERE l.m <> '' AND r.m <> ''),
+q AS (SELECT *, array_to_string(sa, ' ') AS wa, array_to_string(sb, ' ') AS wb, list_filter(ta, lambda t: list_contains(tb, t)) AS common,
+ trim(array_to_string(list_filter(ta, lambda t: list_contains(tb, t)) || list_filter(ta, lambda t: NOT list_contains(tb, t)), ' ')) AS ua,
+ trim(array_to_string(list_filter(ta, lambda t: list_contains(tb, t)) || list_filter(tb, lambda t: NOT list_contains(ta, t)), ' ')) AS ub,
+ CASE WHEN longer <= 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS weight FROM p),
+c AS (SELECT l, r, 1::DOUBLE AS w, a AS x, b AS y FROM q UNION ALL SELECT l, r, 0.95::DOUBLE, wa, wb FROM q WHERE longer < 1.5
+ UNION ALL SELECT l, r, 0.95::DOUBLE, ua, ub FROM q WHERE longer < 1.5
+ UNION ALL SELECT l, r, 0.95::DOUBLE, array_to_string(common, ' '), ua FROM q WHERE longer < 1.5 AND len(common) > 0
+ UNION ALL SELECT l, r, 0.95::DOUBLE, array_to_string(common, ' '), ub FROM q WHERE longer < 1.5 AND len(common) > 0
+ UNION ALL {windows('a', 'b', 'weight', 'longer >= 1.5')} UNION ALL {windows('wa', 'wb', '0.95::DOUBLE * weight', 'longer >= 1.5 AND len(common) = 0')}),
+d AS (SELECT x, y, {ratio_sql('x', 'y')} AS s FROM (SELECT DISTINCT x, y FROM c)),
+scored AS (SELECT l, r, max(s) AS score FROM (SELECT l, r, w * s AS s FROM c JOIN d USING (x, y)
+ UNION ALL SELECT l, r, 95::DOUBLE FROM q WHERE longer < 1.5 AND len(common) > 0 AND (len(common) = len(ta) OR len(common) = len(tb))
+ UNION ALL SELECT l, r, 0.95::DOUBLE * weight * 100 FROM q WHERE longer >= 1.5 AND len(common) > 0) GROUP BY ALL)"""
+
+
+_PLAIN = "trim(lower(regexp_replace(text, '[^a-zA-Z0-9]', ' ', 'g')))"
+
+
+@query("fuzzy_names_composite", f"""WITH t AS (SELECT text, {_PLAIN} AS m FROM (SELECT DISTINCT {_TYPO} AS text FROM part)),
+ n AS (SELECT text, {_PLAIN} AS m FROM (SELECT DISTINCT p_name AS text FROM part)), {composite_sql('t', 'n')}
+ SELECT l AS text, r AS best, score FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS o FROM scored WHERE score >= 80) WHERE o = 1""")
 def fuzzy_names_composite(spark, folder) -> DataFrame:
     return fuzzy.best_match(*_names(spark, folder), rules.LOCATION_FUZZY, "composite").select("text", "best", "score")
 
@@ -343,7 +376,7 @@ _PROVIDERS = f"""{b.TRANSACTIONS}, {b.PAYROLL}, pn AS (SELECT DISTINCT EmployeeN
     _PROVIDERS,
     row("C2", f"CASE WHEN {pct('(t - n)', 't')} > 30 AND s = 0 THEN 'HIGH' WHEN {pct('(t - n)', 't')} > 10 THEN 'MEDIUM' WHEN s > 0 THEN 'INFO' ELSE 'PASS' END",
         "RenderingProviderNpi", "n", "t", similar="s"),
-))
+), stores=True)
 def provider_match(spark, folder) -> DataFrame:
     return report(cross.provider_match(b.transactions(spark, folder), b.payroll(spark, folder), BILLING), "similar")
 
@@ -357,7 +390,7 @@ _BY_NAME = f"""{b.TRANSACTIONS}, {b.PAYROLL}, pm AS (SELECT '' AS scope, text, {
 @query("provider_match_by_name", found(
     _BY_NAME,
     row("C2", f"CASE WHEN {pct('(t - n)', 't')} > 50 AND s = 0 THEN 'HIGH' WHEN t > n THEN 'MEDIUM' ELSE 'PASS' END", "RenderingProviderFullName", "n", "t", similar="s"),
-))
+), stores=True)
 def provider_match_by_name(spark, folder) -> DataFrame:
     pay = b.payroll(spark, folder).withColumn("EmployeeFullName", F.replace("EmployeeFullName", F.lit("Supplier#0000000"), F.lit("Supplier ")))
     return report(cross.provider_match(b.transactions(spark, folder), pay, BILLING, by_npi=False), "similar")
@@ -426,7 +459,7 @@ def key_overlap(spark, folder) -> DataFrame:
     return keys.overlap(found_keys).select("left_keys", "right_keys", "shared_keys", "left_rows", "left_rows_matched", "right_rows", "right_rows_matched")
 
 
-@query("provider_candidates", f"WITH {_BY_NAME} SELECT text AS id, text, best, score, n AS rows FROM best JOIN (SELECT lower(RenderingProviderFullName) AS text, count(*) AS n FROM transactions GROUP BY 1) USING (text)")
+@query("provider_candidates", f"WITH {_BY_NAME} SELECT text AS id, text, best, score, n AS rows FROM best JOIN (SELECT lower(RenderingProviderFullName) AS text, count(*) AS n FROM transactions GROUP BY 1) USING (text)", stores=True)
 def provider_candidates(spark, folder) -> DataFrame:
     pay = b.payroll(spark, folder).withColumn("EmployeeFullName", F.replace("EmployeeFullName", F.lit("Supplier#0000000"), F.lit("Supplier ")))
     return cross.provider_candidates(b.transactions(spark, folder), pay, BILLING, by_npi=False)
@@ -443,7 +476,7 @@ def _place_sql(left: str, right: str, check: str, column: str, high: int) -> str
     )
 
 
-@query("billing_places", _place_sql(f"SELECT {_TYPO} AS text FROM part", "SELECT p_name AS text FROM part UNION SELECT lower(p_brand) FROM part", "C3a", "BillLocationName", 50))
+@query("billing_places", _place_sql(f"SELECT {_TYPO} AS text FROM part", "SELECT p_name AS text FROM part UNION SELECT lower(p_brand) FROM part", "C3a", "BillLocationName", 50), stores=True)
 def billing_places(spark, folder) -> DataFrame:
     part = b.table(spark, folder, "part")
     billing = part.select(_typo().alias("BillLocationName"))
@@ -453,7 +486,7 @@ def billing_places(spark, folder) -> DataFrame:
 
 @query("scheduling_places", f"WITH {b.SCHEDULING}, {b.LEDGER}, " + _place_sql(
     "SELECT lower(BillLocNameOrig) AS text FROM scheduling", "SELECT lower(center) AS text FROM ledger UNION SELECT lower(center_name) FROM ledger", "C5", "BillLocNameOrig", 30,
-).replace("WITH ", "", 1))
+).replace("WITH ", "", 1), stores=True)
 def scheduling_places(spark, folder) -> DataFrame:
     return report(cross.scheduling_ledger_places(b.scheduling(spark, folder), b.ledger(spark, folder), Context("scheduling")), "similar")
 
@@ -545,7 +578,7 @@ def organisation_samples(spark, folder) -> DataFrame:
  v2 AS (SELECT '' AS scope, text, {sorted_sql('text')} AS m FROM v), g AS (SELECT DISTINCT '' AS scope, text, {sorted_sql('text')} AS m FROM (SELECT p_name AS text FROM part UNION SELECT lower(p_brand) FROM part)),
  lost AS (SELECT * FROM v2 WHERE text NOT IN (SELECT text FROM g)), best AS ({best_sql('lost', 'g', 80)}),
  j AS (SELECT concat_ws(' ~ ', shown, best) AS value, n FROM v LEFT JOIN best ON v.text = best.text WHERE v.text NOT IN (SELECT text FROM g))
- SELECT * FROM (SELECT 'C3a' AS check_id, 'BillLocationName' AS staging_column, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS place, value, n FROM j) WHERE place < 20""")
+ SELECT * FROM (SELECT 'C3a' AS check_id, 'BillLocationName' AS staging_column, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS place, value, n FROM j) WHERE place < 20""", stores=True)
 def place_samples(spark, folder) -> DataFrame:
     part = b.table(spark, folder, "part")
     billing = part.select(_typo().alias("BillLocationName"))

@@ -148,8 +148,9 @@ def leave_hours(spark, folder) -> DataFrame:
 
 def _named(rows: DataFrame, fact: star.Fact, wanted: dict[str, tuple[str, str]], measure: str) -> DataFrame:
     """Rows and sum of a fact per natural key; ``wanted`` names the foreign key's attribute."""
-    dims = star.load_dimensions(rows, fact.dimensions)
-    sums = star.build_fact(rows, fact, dims).groupBy(*wanted).agg(F.count("*").alias("rows"), F.sum(measure).alias("amount"))
+    members = star.load_members(rows, fact.dimensions)
+    dims = {d.name: star.dimension_table(members, d) for d in fact.dimensions}
+    sums = star.build_fact(rows, fact, members).groupBy(*wanted).agg(F.count("*").alias("rows"), F.sum(measure).alias("amount"))
     keys = {d.name: d.key for d in fact.dimensions}
     for fk, (attribute, shown) in wanted.items():
         name = fact.links[fk][0]
@@ -160,7 +161,7 @@ def _named(rows: DataFrame, fact: star.Fact, wanted: dict[str, tuple[str, str]],
 
 
 @query("payroll_by_member", f"""WITH {b.PAYROLL} SELECT EmployeeId AS employee, DepartmentId AS department, CAST(period_end AS VARCHAR) AS period_end,
- count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(10,2))) AS DOUBLE) AS amount FROM payroll GROUP BY ALL""")
+ count(*) AS rows, CAST(sum(CAST(amount AS DECIMAL(10,2))) AS DOUBLE) AS amount FROM payroll GROUP BY ALL""", stores=True)
 def payroll_by_member(spark, folder) -> DataFrame:
     wanted = {"PayEmpFnbr": ("PayEmpId", "employee"), "PayDeptFnbr": ("PayDeptId", "department"), "PayPeriodEndDateFnbr": ("date", "period_end")}
     return _named(b.payroll(spark, folder), star.PAYROLL, wanted, "AmountOrig")

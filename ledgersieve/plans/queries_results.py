@@ -10,6 +10,7 @@ from ..context import Context
 from ..findings import SCHEMA
 from ..operators import issues as iss, rollups, star
 from . import bindings as b
+from .queries_cross import composite_sql
 from .registered import query
 
 # Findings bound to events: the user is the client, the event type the source, the value picks the check.
@@ -236,7 +237,7 @@ _CENTER_PARTS = " UNION ALL ".join([
  gn AS (SELECT name, min(id) AS id FROM (SELECT center AS id, min(center_name) AS name FROM ledger GROUP BY 1) GROUP BY 1),
  np AS (SELECT RenderingProviderNpi AS npi, min(BillDepartmentId) AS id FROM charges WHERE BillDepartmentId <> '' AND length(RenderingProviderNpi) = 10 GROUP BY 1),
  u AS ({_CENTER_PARTS}) SELECT id AS CostCenterNumber, coalesce(min(gl), min(bill), min(pay), min(pl), '') AS CostCenterName, """
-       + ", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in rollups.COST_CENTER_MEASURES) + " FROM u WHERE id <> '' GROUP BY id")
+       + ", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in rollups.COST_CENTER_MEASURES) + " FROM u WHERE id <> '' GROUP BY id", stores=True)
 def cost_center_rollup(spark, folder) -> DataFrame:
     return rollups.cost_centers(*_tables(spark, folder))
 
@@ -266,6 +267,28 @@ def provider_rollup(spark, folder) -> DataFrame:
     return rollups.providers(*_tables(spark, folder))
 
 
+# Places whose names carry a slip of the pen, on the center whose name is most like theirs.
+
+_SLIP = """CASE WHEN k % 5 = 0 THEN replace(name, 'N', 'M') WHEN k % 5 = 1 THEN lower(name) || ' clinic' WHEN k % 5 = 2 THEN substr(name, 2)
+ WHEN k % 5 = 3 THEN 'Out Station ' || k ELSE replace(name, ' ', '-') END"""
+_SLIPPED = f"""slipped AS (SELECT {_SLIP} AS place FROM (SELECT CAST(props->>'$.k' AS INTEGER) AS k, (CAST(props->>'$.k' AS INTEGER) % 25) AS n, event_type FROM events) e
+ JOIN (SELECT n_nationkey, n_name AS name FROM nation) ON n = n_nationkey WHERE event_type = 'purchase')"""
+
+
+@query("places_on_centers", f"""WITH {_SLIPPED}, t AS (SELECT text, trim(lower(regexp_replace(text, '[^a-zA-Z0-9]', ' ', 'g'))) AS m FROM (SELECT DISTINCT place AS text FROM slipped)),
+ centers AS (SELECT n_name AS text, min(CAST(n_nationkey AS VARCHAR)) AS id, trim(lower(regexp_replace(n_name, '[^a-zA-Z0-9]', ' ', 'g'))) AS m FROM nation GROUP BY 1),
+ {composite_sql('t', 'centers')}, best AS (SELECT l, r FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY score DESC, r) AS o FROM scored WHERE score >= 80) WHERE o = 1)
+ SELECT coalesce(centers.id, 'SCH:' || place) AS id, CASE WHEN centers.id IS NULL THEN place END AS place, count(*) AS CompletedAppointments
+ FROM slipped LEFT JOIN best ON l = place LEFT JOIN centers ON centers.text = r GROUP BY slipped.place, centers.id""", stores=True)
+def places_on_centers(spark, folder) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    nation = b.table(spark, folder, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("name"))
+    events = b.table(spark, folder, "events").where("event_type = 'purchase'").select(k.alias("k"), (k % 25).alias("n"))
+    visits = events.join(nation, "n").select(F.expr(_SLIP).alias("BillLocNameOrig"), F.lit("completed").alias("ApptStatus"))
+    centers = nation.select(F.col("n").cast("string").alias("id"), F.col("name").alias("gl_name"))
+    return rollups.appointment_places(visits, centers)
+
+
 # Star schema.
 
 _PATIENT = star.Dimension("Patient", "PatUnbr", {"row": {"PatIdOrig": star.col("PatientId"), "PatCity": star.col("PatientCity")}})
@@ -312,11 +335,12 @@ def dim_pay_codes(spark, folder) -> DataFrame:
     return star.members(rows, spec)
 
 
-@query("fact_build", f"""WITH {b.LEDGER} SELECT center, account, CAST(ym AS VARCHAR) AS ym, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger GROUP BY ALL""")
+@query("fact_build", f"""WITH {b.LEDGER} SELECT center, account, CAST(ym AS VARCHAR) AS ym, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger GROUP BY ALL""", stores=True)
 def fact_build(spark, folder) -> DataFrame:
     rows = b.ledger(spark, folder)
-    dims = star.load_dimensions(rows, star.LEDGER.dimensions)
-    fact = star.build_fact(rows, star.LEDGER, dims)
+    members = star.load_members(rows, star.LEDGER.dimensions)
+    fact = star.build_fact(rows, star.LEDGER, members)
+    dims = {d.name: star.dimension_table(members, d) for d in star.LEDGER.dimensions}
     sums = fact.groupBy("CostCenterFnbr", "AcctFnbr", "ReportPeriodFnbr").agg(F.count("*").alias("rows"), F.sum("AmountOrig").alias("amount"))
     named = (
         sums.join(dims["CostCenter"], F.col("CostCenterFnbr") == F.col("CostCenterUnbr"))
@@ -329,40 +353,40 @@ def fact_build(spark, folder) -> DataFrame:
 
 
 def _fact_totals(rows: DataFrame, fact: star.Fact, measure: str) -> DataFrame:
-    built = star.build_fact(rows, fact, star.load_dimensions(rows, fact.dimensions))
+    built = star.build_fact(rows, fact, star.load_members(rows, fact.dimensions))
     linked = F.lit(True)
     for fk in fact.links:
         linked = linked & F.col(fk).isNotNull()
     return built.agg(F.count("*").alias("rows"), F.count_if(linked).alias("linked"), F.sum(measure).cast("double").alias("amount"))
 
 
-@query("fact_charges", f"WITH {b.CHARGES} SELECT count(*) AS rows, count(*) AS linked, CAST(sum(charged) AS DOUBLE) AS amount FROM charges")
+@query("fact_charges", f"WITH {b.CHARGES} SELECT count(*) AS rows, count(*) AS linked, CAST(sum(charged) AS DOUBLE) AS amount FROM charges", stores=True)
 def fact_charges(spark, folder) -> DataFrame:
     return _fact_totals(b.charges(spark, folder), star.CHARGES, "ChargeAmtOrig")
 
 
-@query("fact_payroll", f"WITH {b.PAYROLL} SELECT count(*) AS rows, count(*) AS linked, CAST(sum(amount) AS DOUBLE) AS amount FROM payroll")
+@query("fact_payroll", f"WITH {b.PAYROLL} SELECT count(*) AS rows, count(*) AS linked, CAST(sum(amount) AS DOUBLE) AS amount FROM payroll", stores=True)
 def fact_payroll(spark, folder) -> DataFrame:
     return _fact_totals(b.payroll(spark, folder), star.PAYROLL, "AmountOrig")
 
 
-@query("fact_transactions", "SELECT count(*) AS rows, count(*) AS linked, CAST(sum(CAST(-(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(14,2))) AS DOUBLE) AS amount FROM lineitem")
+@query("fact_transactions", "SELECT count(*) AS rows, count(*) AS linked, CAST(sum(CAST(-(CAST(l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(14,2))) AS DOUBLE) AS amount FROM lineitem", stores=True)
 def fact_transactions(spark, folder) -> DataFrame:
     rows = b.transactions(spark, folder).withColumn("DateOfService", F.col("PostDate"))
     return _fact_totals(rows, star.TRANSACTIONS, "PaymentOrig")
 
 
-@query("fact_appointments", f"WITH {b.SCHEDULING} SELECT ApptStatus, count(*) AS rows, count(DISTINCT ApptProvNPI) AS providers FROM scheduling GROUP BY 1")
+@query("fact_appointments", f"WITH {b.SCHEDULING} SELECT ApptStatus, count(*) AS rows, count(DISTINCT ApptProvNPI) AS providers FROM scheduling GROUP BY 1", stores=True)
 def fact_appointments(spark, folder) -> DataFrame:
     rows = b.scheduling(spark, folder)
-    fact = star.build_fact(rows, star.SCHEDULING, star.load_dimensions(rows, star.SCHEDULING.dimensions))
+    fact = star.build_fact(rows, star.SCHEDULING, star.load_members(rows, star.SCHEDULING.dimensions))
     return fact.groupBy("ApptStatus").agg(F.count("*").alias("rows"), F.count_distinct("SchdProvFnbr").alias("providers"))
 
 
-@query("load_log", "SELECT CAST(7 AS BIGINT) AS SourceFnbr, 'ledger.txt' AS FileName, 'Load' AS EventDesc, count(*) AS RowsAffected FROM lineitem")
+@query("load_log", "SELECT CAST(7 AS BIGINT) AS SourceFnbr, 'ledger.txt' AS FileName, 'Load' AS EventDesc, count(*) AS RowsAffected FROM lineitem", stores=True)
 def load_log(spark, folder) -> DataFrame:
     rows = b.ledger(spark, folder)
-    fact = star.build_fact(rows, star.LEDGER, star.load_dimensions(rows, star.LEDGER.dimensions), source_id=7)
+    fact = star.build_fact(rows, star.LEDGER, star.load_members(rows, star.LEDGER.dimensions), source_id=7)
     return star.load_log(fact, 7, "ledger.txt").withColumn("SourceFnbr", F.col("SourceFnbr").cast("bigint"))
 
 

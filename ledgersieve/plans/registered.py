@@ -10,11 +10,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries that write a step to the shared folder while they are built; all others run nothing before they are read.
+STORING: set[str] = set()
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, stores: bool = False):
     def register(run: Query) -> Query:
         QUERIES[name] = run
+        if stores:
+            STORING.add(name)
         if sql is not None:
             ORACLES[name] = sql
         return run

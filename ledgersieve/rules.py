@@ -112,6 +112,10 @@ NEAR_MISS = 60
 NPI_NAME_FUZZY = 85
 NAME_FUZZY = 80
 LOCATION_FUZZY = 80
+# The composite score: weight of token scores, from which ratio of lengths parts are compared, and their weights up to a ratio.
+TOKEN_WEIGHT = 0.95
+PARTIAL_FROM = 1.5
+PARTIAL_WEIGHTS = [(1.5, 8.0, 0.9), (8.0, float("inf"), 0.6)]
 
 SYSTEM_FRAGMENTS = [
     "rowid", "row_id", "rownum", "seq", "sequence", "lastupdated", "lastupdatedby", "lastmodified",

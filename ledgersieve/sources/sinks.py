@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rules
 from ..checks import billing, cross_source, ledger, payroll
 from ..checks.conformance import compatibility, overall_compatibility
 from ..operators import catalog, issues as iss
+from .publish import Publication, drop_superseded, in_force
 
 
 def report_tables(review) -> dict[str, DataFrame]:
@@ -24,7 +25,8 @@ def report_tables(review) -> dict[str, DataFrame]:
         "column_map": review.column_map,
         "mapping_gaps": catalog.mapping_gaps(review.sources, review.column_map),
         "billing_format": review.billing_format,
-        "date_ranges": review.months,
+        "file_months": review.months,
+        "date_ranges": iss.date_ranges(review.months),
         "schema_coverage": review.coverage,
         "coverage_summary": catalog.coverage_summary(review.coverage),
         "datatype_findings": findings.where("check_id = 'datatype'"),
@@ -76,17 +78,25 @@ def _value_tables(review) -> dict[str, DataFrame]:
     return {name: df for name, df in out.items() if df is not None}
 
 
+SCOPE = ("client", "round")
+
+
 def write_tables(review, path: str, names: list[str] | None = None, format: str = "parquet") -> list[str]:
-    """Write the tables under ``path/<name>``; only this client's round is replaced."""
-    written = []
+    """Write the tables under ``path/<name>``; only this client's round is replaced.
+
+    All tables of a call are one batch: they are in force together, with the commit after the last
+    one.  A write that fails half-way leaves the former tables in force for :func:`read_table`.
+    """
+    batch = Publication(review.files.sparkSession, path)
     for name, df in report_tables(review).items():
-        if names is not None and name not in names:
-            continue
-        for column, value in (("client", review.client), ("round", review.round)):
-            df = df.withColumn(column, F.lit(value))
-        (
-            df.write.format(format).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("client", "round").save(f"{path.rstrip('/')}/{name}")
-        )
-        written.append(name)
-    return written
+        if names is None or name in names:
+            batch.write(df.withColumns({"client": F.lit(review.client), "round": F.lit(review.round)}), name, *SCOPE, format=format)
+    batch.commit()
+    for name in batch.tables:
+        drop_superseded(batch.spark, path, name, *SCOPE, format=format)
+    return batch.tables
+
+
+def read_table(spark: SparkSession, path: str, name: str, format: str = "parquet") -> DataFrame | None:
+    """A written table: of every client and round the rows of the last committed batch."""
+    return in_force(spark, path, name, *SCOPE, format=format)

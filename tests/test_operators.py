@@ -10,6 +10,7 @@ from ledgersieve.functions import day, number, pad_code, strip_zeros
 from ledgersieve.functions.formula import apply_transforms, is_valid, to_sql
 from ledgersieve.functions.similarity import composite, ratio, token_sort
 from ledgersieve.operators import fuzzy, issues, keys, profile as prof, quantiles, star
+from ledgersieve.plans.registered import STORING
 from ledgersieve.sources import config, extracts
 
 
@@ -205,9 +206,44 @@ def test_planning_starts_no_job(spark):
 
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("planning", "planning")
-    skipped = {n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()} | {"pipeline"}
+    skipped = {n for n in entry.queries() if n.startswith("op") and n[2:3].isdigit()} | {"pipeline"} | STORING
     for name, build in entry.queries().items():
         if name not in skipped:
             build(spark, "/root/testdata/sf0.001")
             assert not tracker.getJobIdsForGroup("planning"), name
     spark.sparkContext.setJobGroup("other", "other")
+
+
+@pytest.mark.parametrize("threshold", [45, 80, 97])
+def test_composite_match_loses_no_pair(spark, threshold):
+    """The best composite match against all pairs, with tokens that many texts share."""
+    rng = random.Random(threshold)
+    words = ["north", "clinic", "clinic", "clinic", "east", "st", "a", "medical", "center", "centre", "of", "ortho", "orthopedics", "x1"]
+
+    def text():
+        t = " ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 7])))
+        for _ in range(rng.randint(0, 2)):
+            i = rng.randint(0, len(t))
+            t = t[:i] + rng.choice(["", "e", "q", " ", "-"]) + t[i + rng.randint(0, 1):]
+        return t
+
+    lefts, rights = sorted({text() for _ in range(60)}), sorted({text() for _ in range(60)})
+    left, right = (spark.createDataFrame([(t,) for t in side], "text string") for side in (lefts, rights))
+    form = lambda t: "".join(c if c.isalnum() else " " for c in t).strip(" ").lower()
+    want = {}
+    for a in lefts:
+        score, best = max(((composite(form(a), form(b)), b) for b in rights), key=lambda p: (p[0], [-ord(c) for c in p[1]] + [1]))
+        best = min(b for b in rights if composite(form(a), form(b)) == score)
+        if score >= threshold:
+            want[a] = (best, round(score, 9))
+    got = {r.text: (r.best, round(r.score, 9)) for r in fuzzy.best_match(left, right, threshold, "composite").collect()}
+    assert got == want
+
+
+def test_composite_match_makes_few_pairs(spark):
+    """A token that all texts share makes no pairs of all with all."""
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    lefts, rights = [[f"clinic {name()} {name()}" for _ in range(n)] for n in (400, 500)]
+    prepared = [spark.createDataFrame([("", t, t) for t in side], "scope string, text string, match string") for side in (lefts, rights)]
+    assert fuzzy.composite_pairs(*prepared, 80).count() < 0.1 * len(lefts) * len(rights)

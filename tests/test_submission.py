@@ -198,3 +198,55 @@ def test_second_round(result):
     status = {r.dedupe_key: r.status for r in iss.round_difference(before, after).collect()}
     assert status["billing|B7|CptCode"] == "resolved"
     assert "persistent" in status.values() and "new" not in status.values()
+
+
+def test_star_load_that_stopped_adds_nothing(spark, result, folders, monkeypatch):
+    """A load that fails between members and facts leaves no trace, and the next one gives the same numbers."""
+    from ledgersieve.operators import star
+    from ledgersieve.plans.star_load import read_dimension, read_fact
+
+    clean, torn = folders[2] + "-clean", folders[2] + "-torn"
+    first = load_star(result, clean)
+    build = star.build_fact
+
+    def fails(rows, fact, *args, **more):
+        if fact.name == "GlFact":
+            raise RuntimeError("lost")
+        return build(rows, fact, *args, **more)
+
+    monkeypatch.setattr(star, "build_fact", fails)
+    with pytest.raises(RuntimeError):
+        load_star(result, torn)
+    assert read_dimension(spark, torn, "PayEmployee") is None and read_fact(spark, torn, "PayFact") is None
+    monkeypatch.setattr(star, "build_fact", build)
+    assert load_star(result, torn) == first
+    for name in ("PayEmployee", "CostCenter", "Date"):
+        assert sorted(map(str, read_dimension(spark, torn, name).collect())) == sorted(map(str, read_dimension(spark, clean, name).collect()))
+    assert read_fact(spark, torn, "PayFact").count() == 2
+    assert set(load_star(result, torn).values()) == {0} and read_fact(spark, torn, "GlFact").count() == 3
+
+
+def test_tables_of_a_failed_write_are_not_in_force(spark, result, folders, monkeypatch):
+    from ledgersieve.sources import publish
+
+    path = folders[2] + "-published"
+    names = ["files", "findings", "readiness"]
+    sinks.write_tables(result, path, names)
+    before = {n: sorted(map(str, sinks.read_table(spark, path, n).collect())) for n in names}
+    write, done = publish.Publication.write, []
+
+    def fails(self, df, name, *scope, **more):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(name)
+        write(self, df, name, *scope, **more)
+
+    monkeypatch.setattr(publish.Publication, "write", fails)
+    with pytest.raises(RuntimeError):
+        sinks.write_tables(result, path, names)
+    assert len(done) == 2
+    assert {n: sorted(map(str, sinks.read_table(spark, path, n).collect())) for n in names} == before
+    monkeypatch.setattr(publish.Publication, "write", write)
+    sinks.write_tables(result, path, names)
+    assert {n: sorted(map(str, sinks.read_table(spark, path, n).collect())) for n in names} == before
+    assert sinks.read_table(spark, path, "issues") is None
