@@ -64,11 +64,6 @@ def overlap(keys: DataFrame, *more: Column) -> DataFrame:
     })
 
 
-def unmatched(keys: DataFrame) -> DataFrame:
-    """Left keys that the right side does not have."""
-    return keys.where(_left() & ~_right())
-
-
 def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: groups that share all columns, rows in them, and rows looked at.
 
@@ -85,23 +80,18 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def _same_text(df: DataFrame, name: str) -> Column:
-    """Text that is equal for values that group together: zero has no sign."""
-    c = F.col(f"`{name}`")
-    if dict(df.dtypes)[name] in ("float", "double"):
-        c = F.when(c == 0, F.lit(0).cast("double")).otherwise(c)
-    return c.cast("string")
-
-
 def full_row_duplicates(df: DataFrame) -> DataFrame:
     """Rows that have an identical twin, every member counted.
 
-    A row is reduced to the SHA-256 of its length-prefixed values before the shuffle, so
-    32 bytes travel instead of the row; copies collapse on the map side.
+    A row is reduced to 128 bits before the shuffle, two hashes of its values as they are: one in
+    the order of the columns, one against it.  Both start from which values are null, since a hash
+    passes over nulls.  Copies collapse on the map side; unlike rows fall together by chance once
+    in 10^18 tables of ten billion rows.
     """
-    parts = [F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in (_same_text(df, name) for name in df.columns)]
-    digest = F.unhex(F.sha2(F.concat_ws("\x1f", *parts).cast("binary"), 256))
-    counts = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"))
+    columns = [F.col(f"`{name}`").cast("string") if kind.startswith("map") else F.col(f"`{name}`") for name, kind in df.dtypes]
+    nulls = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    marked = df.select(F.xxhash64(nulls, *columns).alias("a"), F.xxhash64(*reversed(columns), nulls, F.lit(1)).alias("b"))
+    counts = marked.groupBy("a", "b").agg(F.count("*").alias("n"))
     return counts.agg(
         F.count_if(F.col("n") > 1).alias("groups"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows"),
@@ -117,10 +107,3 @@ def several_dependents(df: DataFrame, determinant: str, dependent: str) -> DataF
         .agg(F.min(dependent).alias("first"), F.max(dependent).alias("last"))
         .where(F.col("first") != F.col("last"))
     )
-
-
-def zero_stripped_keys(k: Column, own_zeros: Column, other_zeros: Column) -> Column:
-    """Strip leading zeros only where this side has them and the other side has none."""
-    from ..functions.text import strip_zeros
-
-    return F.when(own_zeros & ~other_zeros, strip_zeros(k)).otherwise(k)

@@ -2,7 +2,9 @@
 
 Values are first collapsed to counts (combined on the map side), then split into
 buckets of less than a tenth of a percent of their magnitude.  Running totals over buckets show which
-buckets hold a wanted rank; only those are sorted, one bucket per task.
+buckets hold a wanted rank.  Those are cut by their own range of values into ``PARTS`` parts, and
+only the parts that hold a rank are sorted, so values that all lie in one bucket (time stamps,
+scores) are no one task's.
 """
 
 from __future__ import annotations
@@ -10,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+PARTS = 4096  # of a bucket's range
+
+
 def _bucket(value: Column) -> Column:
     """Order-preserving: by sign, then by 1024 steps per power of two."""
     value = value.cast("double")
@@ -29,12 +34,6 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def from_counts(counts: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """One row per key with a column per named probability, plus ``total``."""
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
-    buckets = (
-        counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("held"))
-        .withColumn("before", F.sum("held").over(in_order) - F.col("held"))
-        .withColumn("total", F.sum("held").over(Window.partitionBy(*keys)))
-    )
     ranks = {name: F.lit(p) * (F.col("total") - 1) for name, p in probabilities.items()}
 
     def inside(rank: Column, start: Column, size: Column) -> Column:
@@ -44,10 +43,24 @@ def from_counts(counts: DataFrame, keys: list[str], value: str, probabilities: d
     for rank in ranks.values():
         wanted |= inside(F.floor(rank), F.col("before"), F.col("held"))
         wanted |= inside(F.ceil(rank), F.col("before"), F.col("held"))
-    within = Window.partitionBy(*keys, "bucket").orderBy(value)
-    held = counts.join(buckets.where(wanted), [*keys, "bucket"]).withColumn(
-        "start", F.col("before") + F.sum("n").over(within) - F.col("n")
-    )
+
+    number = F.col(value).cast("double")
+    sums = [F.sum("n").alias("held"), F.min(number).alias("least"), F.max(number).alias("most")]
+    place, in_order = [*keys, "bucket"], Window.partitionBy(*keys).orderBy("bucket")
+    buckets = counts.groupBy(*place).agg(*sums).withColumns({
+        "before": F.sum("held").over(in_order) - F.col("held"), "total": F.sum("held").over(Window.partitionBy(*keys)),
+    })
+    found = ["before", "total", "least", "most"]
+    held = counts.join(buckets.where(wanted).select(*place, *found), place)
+    share = F.when(F.col("most") > F.col("least"), (number - F.col("least")) / (F.col("most") - F.col("least")) * PARTS).otherwise(0)
+    held = held.withColumn("part", F.floor(share).cast("int")).drop("least", "most")
+    along = Window.partitionBy(*place).orderBy("part")  # at most PARTS rows
+    parts = held.groupBy(*place, "part").agg(F.sum("n").alias("held"), F.first("before").alias("base"), F.first("total").alias("total"))
+    parts = parts.withColumn("before", F.col("base") + F.sum("held").over(along) - F.col("held")).where(wanted)
+    place = [*place, "part"]
+    held = held.drop("before", "total").join(parts.select(*place, "before", "total"), place)
+    within = Window.partitionBy(*place).orderBy(value)
+    held = held.withColumn("start", F.col("before") + F.sum("n").over(within) - F.col("n"))
     picks = []
     for name, rank in ranks.items():
         for end, at in (("low", F.floor(rank)), ("high", F.ceil(rank))):

@@ -247,3 +247,40 @@ def test_composite_match_makes_few_pairs(spark):
     lefts, rights = [[f"clinic {name()} {name()}" for _ in range(n)] for n in (400, 500)]
     prepared = [spark.createDataFrame([("", t, t) for t in side], "scope string, text string, match string") for side in (lefts, rights)]
     assert fuzzy.composite_pairs(*prepared, 80).count() < 0.1 * len(lefts) * len(rights)
+
+
+def test_quantiles_of_values_that_share_a_bucket(spark):
+    """Time stamps lie in one magnitude bucket: what is sorted is a small part of them."""
+    start = 1_700_000_000
+    df = spark.range(0, 40_000, 1, 8).select(F.lit("k").alias("key"), (F.lit(start) + F.col("id") * 7 % 39_989).cast("double").alias("v"))
+    counts = quantiles.value_counts(df, ["key"], "v")
+    assert counts.select("bucket").distinct().count() == 1
+    values_ = sorted(start + i * 7 % 39_989 for i in range(40_000))
+    got = quantiles.from_counts(counts, ["key"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.99}).first()
+    for name, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.99)):
+        low = int(p * 39_999)
+        assert got[name] == pytest.approx(values_[low] + (values_[low + 1] - values_[low]) * (p * 39_999 - low), abs=1e-6)
+    sorted_rows = [m for m in _rows_into_sorts(quantiles.from_counts(counts, ["key"], "v", {"q2": 0.5}))]
+    assert sorted_rows and min(sorted_rows) < 100
+
+
+def _rows_into_sorts(df):
+    """Rows that each window of the plan that ran took in, by its input's metric."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+            continue
+        metrics = node.metrics()
+        if "Join" in node.nodeName() and metrics.contains("numOutputRows"):
+            found.append(metrics.get("numOutputRows").get().value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
