@@ -11,6 +11,10 @@ and reader comments are told by element, role and class and not taken.  A class
 around the article as well: what holds most of the body's text outside links, and the largest
 ``article`` or ``main`` where none stands elsewhere, is kept with all around it, and densities decide.
 This does not hold for comments, nor for what is hidden or told by a role or another element.
+Inside an ``article`` or ``main`` a class counts only where all of it, or what it begins with, names
+no part of a text: an ``article-header`` or a ``related-work`` stays, a ``sidebar`` or an ``ad-slot``
+goes.  Several articles that lie side by side are taken together, as far as their densities reach
+the threshold.
 
 Defined results: null and empty pages give an empty text, as do pages without text outside the
 parts that are not taken; a page without tags is one block; unclosed elements end where their parent
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +37,7 @@ from ledgersieve.llm.common import slices
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<[!?][^>]*+>"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -49,7 +54,9 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - {"body", "html"}
 _SAME_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _CONTAINERS = frozenset(("ul", "ol", "dl", "table", "menu", "select"))
-_NEVER = frozenset("nav aside form button select option dialog head title input label fieldset object".split())
+_NEVER = frozenset("nav aside form button select option dialog head title input fieldset object".split())
+#: Elements of which nothing is text, up to their closing tag; one that is never closed is only a tag.
+_CLOSED = frozenset("noscript template textarea iframe svg".split())
 _PAGE_EDGE = frozenset(("header", "footer"))
 _ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 _MARKS = re.compile(
@@ -59,6 +66,13 @@ _MARKS = re.compile(
     r"skip|search|copyright|disclaimer|paywall|teaser|teasers)$"
 )
 _COMMENTS = re.compile(r"^(?:comments?|commentlist|disqus|respond|replies|reply)$")
+#: First parts of a class that name no part of a text, also inside an article.
+_CERTAIN = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo sidebar nav navbar navigation menu menus breadcrumb breadcrumbs "
+    "pagination pager cookie cookies gdpr newsletter subscribe subscription signup login popup modal overlay widget widgets footer".split()
+)
+#: Classes that inside an article may stand for its own heading.
+_OWN_HEADING = frozenset(("header", "masthead", "banner", "banners"))
 #: Elements that may stand around a whole page.
 _AROUND = frozenset(("form", "fieldset"))
 #: Why a node is out by itself: a class or element that may also stand around the article, or for certain.
@@ -67,10 +81,12 @@ _IGNORED_BEFORE = frozenset(("has", "no", "with", "without", "is", "not"))
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum", "link", "own")
+    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum", "link", "own", "article", "main")
 
     def __init__(self, tag: str, parent: _Node | None, own: int, link: bool):
         self.tag, self.parent, self.own, self.link = tag, parent, own, link
+        self.article = tag == "article" or parent is not None and parent.article
+        self.main = tag == "main" or parent is not None and parent.main
         self.out = False
         self.children: list[_Node | str] = []
         self.chars = self.link_chars = self.link_tags = 0
@@ -78,8 +94,8 @@ class _Node:
         self.density = self.sum = 0.0
 
 
-def _marked(attributes: str) -> int:
-    """How surely class, id, role or style say that the element is no part of an article."""
+def _marked(attributes: str, inside: bool) -> int:
+    """How surely class, id, role or style say that the element is no part of an article, or of the one it stands in."""
     found = 0
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -92,6 +108,12 @@ def _marked(attributes: str) -> int:
                 parts = re.split(r"[-_]+", token)
                 # Words after a negating one do not count: has-sidebar, content-with-sidebar.
                 parts = parts[:next((i for i, part in enumerate(parts) if part in _IGNORED_BEFORE), len(parts))]
+                if inside:
+                    if len(parts) == 1 and _COMMENTS.match(parts[0]) or parts and parts[0] in ("comment", "comments", "commentlist", "disqus"):
+                        return _HARD
+                    if parts and (parts[0] in _CERTAIN or len(parts) == 1 and parts[0] not in _OWN_HEADING and _MARKS.match(parts[0])):
+                        found = _SOFT
+                    continue
                 if any(map(_COMMENTS.match, parts)):
                     return _HARD
                 if any(map(_MARKS.match, parts)):
@@ -100,16 +122,31 @@ def _marked(attributes: str) -> int:
 
 
 def _tree(page: str) -> tuple[_Node, list[_Node]]:
+    """The page's nodes, parents first.
+
+    Open elements are counted by name, so a closing tag without an open element, of which a broken
+    page may have any number, is passed over without a look at what is open.
+    """
     root = _Node("#page", None, 0, False)
-    nodes, at, last = [root], root, 0
-    for token in _TOKEN.finditer(page):
+    nodes, at, last, place, open_, never_closed = [root], root, 0, 0, Counter(), set()
+
+    def left(node: _Node, to: _Node) -> _Node:
+        while node is not to:
+            open_[node.tag] -= 1
+            node = node.parent
+        return to
+
+    while token := _TOKEN.search(page, place):
+        place = token.end()
         if token.start() > last:
             at.children.append(page[last:token.start()])
-        last = token.end()
+        last = place
         tag = (token[3] or token[6] or "").lower()
         if not tag:
             continue
         if token[2] or token[5]:
+            if not open_[tag]:
+                continue
             node = at
             while node is not root and node.tag != tag:
                 if node.tag in _CONTAINERS and tag in _SAME_ENDS:
@@ -117,31 +154,37 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
                     break
                 node = node.parent
             if node is not root:
-                at = node.parent
+                at = left(at, node.parent)
             continue
-        if tag in _ENDS_P:
+        if tag in _CLOSED and tag not in never_closed:
+            closing = re.compile(rf"</{tag}\s*+>", re.IGNORECASE).search(page, place)
+            if closing:
+                place = last = closing.end()
+                continue
+            never_closed.add(tag)
+        if tag in _ENDS_P and open_["p"]:
             node = at
             while node is not root and node.tag not in _BLOCK:
                 node = node.parent
             if node.tag == "p":
-                at = node.parent
-        if tag in _SAME_ENDS:
+                at = left(at, node.parent)
+        if tag in _SAME_ENDS and any(open_[t] for t in _SAME_ENDS[tag]):
             node = at
             while node is not root and node.tag not in _SAME_ENDS[tag] and node.tag not in _CONTAINERS:
                 node = node.parent
             while node is not root and node.tag in _SAME_ENDS[tag]:
-                at = node = node.parent
+                at = left(at, node.parent)
+                node = at
         attributes = token[4] or token[7] or ""
         own = (_SOFT if tag in _AROUND else _HARD) if tag in _NEVER else 0
-        inside = tag in ("html", "body", "main", "article")
-        if not inside:
-            marked = _marked(attributes) if attributes else 0
+        if tag not in ("html", "body", "main", "article"):
+            marked = _marked(attributes, at.article or at.main) if attributes else 0
             if tag in _PAGE_EDGE:
                 marked = _HARD
             # An article's own header stays, its footer and what is marked does not.
-            if marked and not (tag == "header" and _within(at, "article", "main")):
+            if marked and not (tag == "header" and (at.article or at.main)):
                 own = max(own, marked)
-        elif tag == "article" and attributes and (_within(at, "article") or "comment" in attributes.lower()):
+        elif tag == "article" and attributes and (at.article or "comment" in attributes.lower()):
             # Comments are often articles of their own.
             own = _HARD
         node = _Node(tag, at, own, at.link or tag == "a")
@@ -149,6 +192,7 @@ def _tree(page: str) -> tuple[_Node, list[_Node]]:
         nodes.append(node)
         if tag not in _VOID:
             at = node
+            open_[tag] += 1
     if last < len(page):
         at.children.append(page[last:])
     if any(node.own == _SOFT for node in nodes):
@@ -185,14 +229,6 @@ def _keep_around(nodes: list[_Node]) -> None:
             node.own, node = 0, node.parent
 
 
-def _within(node: _Node, *tags: str) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def _measure(nodes: list[_Node]) -> None:
     """Densities and density sums, children first.  A run of text beside elements counts as a child of its own."""
     own: list[list[int]] = []
@@ -264,10 +300,14 @@ def _article(nodes: list[_Node]) -> list[_Node]:
             taken.append(found)
         open_ += [c for c in node.children if isinstance(c, _Node)]
     for whole in ("article", "main"):
-        owners = {id(o): o for o in (_owner(n, whole) for n in taken) if o is not None}
         core_owner = _owner(core, whole)
-        if core_owner is not None and len(owners) == 1:
-            return [core_owner]
+        if core_owner is not None:
+            # Articles beside that of the core are taken with it where they are as dense as the path to the core.
+            beside = [n for n in core_owner.parent.children if isinstance(n, _Node) and n.tag == whole and not n.out and n.density >= threshold and 2 * n.link_chars < n.chars]
+            owners = {id(o) for o in (_owner(n, whole) for n in taken) if o is not None} | {id(core_owner)}
+            kept = [n for n in beside if n is core_owner or n.chars] or [core_owner]
+            if owners <= {id(n) for n in kept} | {id(core_owner)}:
+                return kept if core_owner in kept else [core_owner]
     chosen = {id(n) for n in taken}
     order = {id(n): i for i, n in enumerate(nodes)}
     return sorted((n for n in {id(n): n for n in taken}.values() if not _has_ancestor(n, chosen)), key=lambda n: order[id(n)])

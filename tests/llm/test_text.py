@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -344,3 +345,32 @@ def test_pipeline_stages(spark):
     mixed = corpus_pipeline.run(spark, FOLDER)
     assert set(docs.columns) < set(mixed.columns) and 0 < mixed.count() <= third.count()
     assert corpus_pipeline.STAGES[0][1](spark, docs.limit(0), FOLDER).count() == 0
+
+
+PARAGRAPH = "<p>This is an ordinary paragraph of the article with some words in it, long enough to be dense.</p>"
+
+
+@pytest.mark.parametrize("inner,kept,gone", [
+    ("<article><div class='article-header'><h1>Title</h1></div>{p}{p}</article>", ["Title", "ordinary"], ["Menu", "Copyright"]),
+    ("<article>{p}<h2 class='section-header'>Second</h2>{p}</article>", ["Second"], []),
+    ("<article>{p}{p}<section class='related-work'><p>Other work.</p></section></article>", ["Other work."], []),
+    ("<article>{p}<figure><img src=a><figcaption class='banner-caption'>Caption</figcaption></figure>{p}</article>", ["Caption"], []),
+    ("<article>{p}<p>Word <label>label</label> inside.</p>{p}</article>", ["Word label inside."], []),
+    ("<main><article>{p}{p}</article><article><p>Another text of the same page, about as long as the first one was.</p>{p}</article></main>", ["ordinary", "Another text"], []),
+    ("<article><p>Before</p><svg><path d='1'>{p}{p}</article>", ["Before", "ordinary"], []),
+    ("<article>{p}<svg><title>Icon</title></svg>{p}</article>", ["ordinary"], ["Icon"]),
+    ("<article>{p}<div class='ad'>Buy now</div>{p}<div class='ad-slot'>Deal</div></article>", ["ordinary"], ["Buy", "Deal"]),
+    ("<article>{p}{p}<section class='comments'><div>A reader wrote.</div></section></article>", ["ordinary"], ["reader"]),
+])
+def test_the_whole_article_is_kept(inner, kept, gone):
+    page = "<html><body><nav><a href=x>Menu one</a> <a href=y>Menu two</a></nav>" + inner.format(p=PARAGRAPH) + "<footer>Copyright us</footer></body></html>"
+    text = html.main_text(page)
+    assert all(k in text for k in kept) and not any(g in text for g in gone), text
+
+
+def test_broken_pages_take_linear_time():
+    n = 40_000
+    start = time.perf_counter()
+    for middle in ("<div>" * n + PARAGRAPH + "</span>" * n, "<svg>" * n + PARAGRAPH, "<b>" * n + "<hr>" * n + PARAGRAPH, "<p>a<b>" * n):
+        assert "a" in html.main_text(f"<body>{middle}</body>")
+    assert time.perf_counter() - start < 40
