@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgersieve.sources.steps import shared_folder
+
 SPACE = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,18 +25,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; where it is unset (tests) a new local folder is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", "")
-    if not folder:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgersieve-"))
-            set_before = spark.sparkContext.getCheckpointDir()
-        folder = set_before
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends, and lost executors cost nothing of it."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -28,8 +28,8 @@ from ledgersieve.llm.common import slices, unused
 BUCKETS = 1 << 16
 #: Labelled rows per language that training reads, in expectation.
 TRAIN_DOCS = 20_000
-#: A model holds at most so many languages, the most frequent ones.
-MAX_LANGUAGES = 128
+#: Bytes of text that are estimated together with up to 16 languages; fewer with more.
+SLICE_BYTES = 1 << 20
 ROUNDS = 12
 #: Overlapping trigrams repeat each letter three times, so the penalty per language is three times the usual one.
 PENALTY = 3.0
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", tra
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")
     )
     per_language = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    known = per_language.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    known = per_language.collect()  # a row per language
     sizes = {r["lang"]: r["n"] for r in sorted(known, key=lambda r: r["lang"])}
     languages = list(sizes)
     if not languages:
@@ -210,7 +210,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", names: lis
 
     def run(batches):
         model = shipped.value
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, SLICE_BYTES * 16 // max(16, len(model.languages))):
             texts = batch.column(at)
             share, fitted = model.mixtures(texts)
             letters = [_has_letter(t.as_py()) for t in texts.cast(pa.binary())]

@@ -219,11 +219,11 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     head, tail = F.substring_index(norm, "/", 1), F.substring_index(norm, "/", -1)
     return (
         F.when(kind == "email", F.concat(_scrambled(local, h), F.lit("@"), host))
-        .when(kind == "ip", F.concat(F.concat_ws(".", *octets), F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(F.lit(""))))
+        .when(kind == "ip", F.concat_ws(".", *octets))
         .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _scrambled(F.substr(norm, F.lit(3)), h), digits))
         .when(kind == "phone", F.concat(head, F.lit("/"), _scrambled(tail, h), digits))
         .when(kind == "card", _with_check_digit(F.concat(_scrambled(norm, h), digits), F.pmod(_luhn(norm), F.lit(10)) == 0))
-        .when(kind == "ssn", F.concat(_scrambled(norm, h), digits))
+        .when(kind == "ssn", _scrambled(norm, h))
         .otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(3)), F.lower(_name(norm, h, draw))))
     )
 
@@ -273,14 +273,17 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, norm, surrogate`` with one row per distinct entity and no surrogate twice or real.
 
     Each round ranks the entities that share a surrogate; the first keeps it and the others, with
-    those whose surrogate is an entity of the corpus, draw again.  Later draws are longer, for every
-    kind, so there is room for all and the rounds end.
+    those whose surrogate is an entity of the corpus, draw again.  Later draws are longer, so there is
+    room for all and the rounds end; addresses of computers and social security numbers keep their
+    form, of which there are four billion and one billion.
     """
     drawn = stored(entities.select("kind", "norm").distinct().withColumn("draw", F.lit(0)), "pii-entities")
     real = drawn.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
     same = Window.partitionBy("kind", "surrogate").orderBy("draw", "norm")
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        made = drawn.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key))
+        spread = drawn.repartition(parts, "kind", "norm")  # making a surrogate costs more than moving an entity
+        made = spread.withColumn("surrogate", surrogate(F.col("kind"), F.col("norm"), F.col("draw"), key))
         checked = stored(
             made.join(real, ["kind", "surrogate"], "left")
             .withColumn("clash", (F.row_number().over(same) > 1) | F.coalesce("real", F.lit(False))).drop("real"),

@@ -249,30 +249,37 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def component_of(made: DataFrame) -> DataFrame:
-    """``fp, component_id`` of every distinct fingerprint among ``doc_id, fp``."""
+    """``fp, component_id, root`` of every distinct fingerprint among ``doc_id, fp``; ``root`` tells components apart."""
     prints = stored(made.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     roots = connected(stored(links(prints), "simhash-links"))
     rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "doc_id", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return stored(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-components")
+    return stored(rooted.join(smallest, "root").select("fp", "component_id", "root"), "simhash-components")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each component: that with the smallest id, once.
 
-    Of documents without an id one stays per fingerprint, where no document of their component has an id.
+    Where the id stands on several rows, the fingerprint tells which of them is meant, and the text
+    of the smallest hash stays.  Of components without any id one document stays each.
     """
     names = docs.columns
     made = with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     made = stored(made.select("doc_id", "fp"), "simhash-prints")
-    of = component_of(made)
     kept_id, row, mark = unused(names, "kept_id", "kept_row", "kept_print")
-    kept = made.join(of, "fp").filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(kept_id)).distinct()
-    chosen = docs.join(kept, docs[id_col] == kept[kept_id], "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    once = chosen.withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1).select(*names)
-    nameless = with_fingerprint(docs.filter(F.col(id_col).isNull()), text_col, mark)
-    alone = of.filter(F.col("component_id").isNull()).select(F.col("fp").alias(mark))
-    return once.unionByName(nameless.join(alone, mark, "left_semi").dropDuplicates([mark]).select(*names))
+    of = component_of(made)
+    # One fingerprint per component among those that have its smallest id; or any, where there is no id.
+    chosen = made.join(of, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
+        F.first("doc_id").alias(kept_id), F.min("fp").alias(mark))
+    times = made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = stored(chosen.join(times, F.col(kept_id).eqNullSafe(F.col("doc_id"))).select(kept_id, mark, "n"), "simhash-kept")
+    single, several = chosen.filter((F.col("n") == 1) & F.col(kept_id).isNotNull()), chosen.filter((F.col("n") > 1) | F.col(kept_id).isNull())
+    alone = docs.join(single, docs[id_col] == single[kept_id], "left_semi")
+    repeated = docs.join(several.select(kept_id).distinct(), docs[id_col].eqNullSafe(F.col(kept_id)), "left_semi")
+    marked = with_fingerprint(repeated, text_col, mark)
+    same = marked[id_col].eqNullSafe(several[kept_id]) & (marked[mark] == several[mark])
+    order = Window.partitionBy(id_col, mark).orderBy(F.xxhash64(text_col))
+    once = marked.join(several, same, "left_semi").withColumn(row, F.row_number().over(order)).filter(F.col(row) == 1)
+    return alone.select(*names).unionByName(once.select(*names))

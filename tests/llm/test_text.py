@@ -374,3 +374,21 @@ def test_broken_pages_take_linear_time():
     for middle in ("<div>" * n + PARAGRAPH + "</span>" * n, "<svg>" * n + PARAGRAPH, "<b>" * n + "<hr>" * n + PARAGRAPH, "<p>a<b>" * n):
         assert "a" in html.main_text(f"<body>{middle}</body>")
     assert time.perf_counter() - start < 40
+
+
+def test_no_document_is_lost_where_ids_repeat(spark):
+    unlike = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black grey"]
+    docs = spark.createDataFrame([(5, unlike[0]), (5, unlike[1]), (6, unlike[2]), (7, unlike[1]), (5, unlike[0])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(5, unlike[0]), (5, unlike[1]), (6, unlike[2])])
+
+
+def test_every_language_is_learned(spark):
+    """Two hundred invented languages, each with letters of its own order."""
+    rng = random.Random(6)
+    syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(4000)]
+    text = lambda i: " ".join(rng.choice(syllables[20 * i:20 * i + 20]) + rng.choice(syllables[20 * i:20 * i + 20]) for _ in range(12))
+    rows = [(f"l{i:03d}", text(i)) for i in range(200) for _ in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "lang string, text string"))
+    assert len(model.languages) == 200
+    asked = spark.createDataFrame([(i, text(i)) for i in (3, 190)], "doc_id long, text string")
+    assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in language.identified(asked, model).collect())
