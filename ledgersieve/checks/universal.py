@@ -28,7 +28,7 @@ def missing_values(profile: DataFrame, ctx: Context) -> DataFrame:
     pct = percent(F.col("missing"), F.col("scoped_rows"))
     f = finding(
         "null_blank", null_severity(F.col("level"), pct),
-        F.format_string("%s field '%s' has %,d missing values (%.1f%%)", "level", "staging_column", "missing", pct),
+        F.format_string("'%s' (%s) is blank or null on %,d rows (%.1f%%)", "staging_column", "level", "missing", pct),
         affected=F.col("missing"), total=F.col("scoped_rows"), column=F.col("staging_column"), level=F.col("level"),
         metrics={"null_count": F.col("nulls"), "blank_count": F.col("missing") - F.col("nulls")},
     )
@@ -39,7 +39,7 @@ def duplicate_rows(df: DataFrame, ctx: Context) -> DataFrame:
     counts = keys.full_row_duplicates(df)
     return emit(counts, ctx, [finding(
         "full_row_duplicates", when(F.col("rows") > 0, "CRITICAL"),
-        F.format_string("%,d fully identical rows found (all columns match)", "rows"),
+        F.format_string("%,d rows have a twin, equal in every column", "rows"),
         affected=F.col("rows"), total=F.col("total"), metrics={"groups": F.col("groups")},
     )])
 
@@ -48,11 +48,11 @@ def logical_key_duplicates(df: DataFrame, ctx: Context, columns: list[str] | Non
     columns = columns or rules.LOGICAL_KEYS[ctx.source]
     absent = [c for c in columns if c not in df.columns]
     if absent:
-        text = f"Cannot check duplicates - key column '{absent[0]}' not mapped"
+        text = f"repeated keys are not counted, since no header leads to '{absent[0]}'"
         return emit(df.sparkSession.range(1), ctx, [finding("duplicate_records", "INFO", text)])
     return emit(keys.duplicate_groups(df, columns), ctx, [finding(
         "duplicate_records", when(F.col("rows") > 0, "HIGH"),
-        F.format_string(f"%,d duplicate rows found across %,d groups based on key [{', '.join(columns)}]", "rows", "groups"),
+        F.format_string(f"%,d rows share their key ({', '.join(columns)}) with others; %,d keys are repeated", "rows", "groups"),
         affected=F.col("rows"), total=F.col("total"), metrics={"groups": F.col("groups")},
     )])
 
@@ -65,22 +65,22 @@ def date_findings(profile: DataFrame, ctx: Context) -> DataFrame:
             "date_range",
             F.when((F.col("dates") > 0) & F.col("dates_outside").isNotNull(),
                    over(outside_pct, (5, "HIGH"), above_zero="MEDIUM", otherwise="INFO")),
-            F.format_string("'%s': %,d rows (%.1f%%) outside the expected window", column, "dates_outside", outside_pct),
+            F.format_string("'%s': %,d rows (%.1f%%) are dated before or after the agreed window", column, "dates_outside", outside_pct),
             affected=F.col("dates_outside"), total=F.col("rows"), column=column,
         ),
         finding(
             "invalid_dates", when(F.col("dates_impossible") > 0, "MEDIUM"),
-            F.format_string("'%s': %,d dates outside valid range (1900-2099)", column, "dates_impossible"),
+            F.format_string("'%s': %,d dates lie before 1900 or after 2099", column, "dates_impossible"),
             affected=F.col("dates_impossible"), total=F.col("dates"), column=column,
         ),
         finding(
             "epoch_dates", when(F.col("dates_epoch") > 0, "MEDIUM"),
-            F.format_string("'%s': %,d values equal to 1970-01-01 (likely parse failure)", column, "dates_epoch"),
+            F.format_string("'%s': %,d values are 1970-01-01, where clocks of computers start", column, "dates_epoch"),
             affected=F.col("dates_epoch"), total=F.col("dates"), column=column,
         ),
         finding(
             "future_dates", when(F.col("dates_far_future") > 0, "MEDIUM"),
-            F.format_string("'%s': %,d dates more than 10 years ahead", column, "dates_far_future"),
+            F.format_string("'%s': %,d dates lie over ten years from now", column, "dates_far_future"),
             affected=F.col("dates_far_future"), total=F.col("dates"), column=column,
         ),
     ]

@@ -46,6 +46,8 @@ class Context:
     types: TransactionTypes = field(default_factory=TransactionTypes)
     ref_cpt: DataFrame | None = None
     ref_pos: DataFrame | None = None
+    #: Whether a combined file has charge rows, where that was found when its parsed rows were written.
+    has_charges: bool | None = None
 
     @property
     def source_group(self) -> str:

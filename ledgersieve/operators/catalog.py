@@ -293,7 +293,7 @@ def coverage_findings(coverage: DataFrame, ctx) -> DataFrame:
     rows = coverage.where((F.col("status") == "MISSING") & (F.col("file") == ctx.file))
     return emit(rows, ctx, [finding(
         "schema_missing", F.col("severity"),
-        F.format_string("Missing %s field '%s'", "level", "header"),
+        F.format_string("no header gives '%s' (%s)", "header", "level"),
         column=F.col("staging"), field=F.col("header"), level=F.col("level"),
     )], phase=2)
 

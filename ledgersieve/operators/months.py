@@ -44,9 +44,9 @@ def month_of_ledger(df: DataFrame) -> DataFrame:
         F.min("ym").alias("low"), F.max("ym").alias("high"), _modal(F.col("ym"), F.col("n")).alias("mode"),
         F.bool_and("as_number").alias("as_number"),
     )
-    note = F.when(F.col("as_number"), "YearMonth (YYYYMM) format").when(
-        F.col("mode").isNotNull(), "GL Report Period is not in the requested YYYYMM format - converted to YYYYMM for analysis"
-    ).otherwise("No parseable date or YearMonth values")
+    note = F.when(F.col("as_number"), "given as year and month").when(
+        F.col("mode").isNotNull(), "given as dates, read as their months"
+    ).otherwise("neither dates nor months can be read")
     return row.select(
         month_label(F.col("low")).alias("min_date"), month_label(F.col("high")).alias("max_date"),
         month_label(F.col("mode")).alias("implied_month"), note.alias("note"),
@@ -57,7 +57,7 @@ def file_month(df: DataFrame, source: str, file: str = "") -> DataFrame:
     """``file, source, filter_field, min_date, max_date, implied_month, note``."""
     column = rules.FILTER_DATE[source]
     if column not in df.columns:
-        text = f"Filter date column not found (expected staging: {column})"
+        text = f"no header leads to {column}, by which files are dated"
         row = df.sparkSession.range(1).select(
             *[F.lit(None).cast("string").alias(c) for c in ("min_date", "max_date", "implied_month")], F.lit(text).alias("note")
         )
@@ -83,5 +83,5 @@ def consensus(months: DataFrame) -> DataFrame:
 
 def alignment_finding(months: DataFrame, ctx) -> DataFrame:
     return emit(consensus(months), ctx, [finding(
-        "month_alignment", F.when(~F.col("aligned"), "HIGH"), "Test month misalignment - not all files cover the same month"
+        "month_alignment", F.when(~F.col("aligned"), "HIGH"), "the files do not agree on one month"
     )], phase=1)

@@ -53,11 +53,18 @@ def transaction_rows(df: DataFrame, ctx: Context) -> Column:
     return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
 
 
+def with_charge_fact(df: DataFrame, ctx: Context) -> Context:
+    """The context of a combined file with the fact whether any of its rows is a charge: one pass, one row."""
+    mask = charge_rows(df, ctx) if ctx.source == "billing_combined" else None
+    return ctx if mask is None else ctx.for_file(has_charges=bool(df.agg(F.bool_or(mask)).first()[0]))
+
+
 def charge_scope(df: DataFrame, ctx: Context, fallback: str = "all") -> Column:
     """Charge rows of a combined file.
 
     When no row is a charge: ``all`` rows, ``none``, or those matching the charge ``keyword``.
-    Whether there is one is a value of the plan, found while it runs.
+    Whether there is one the context says, found once per file; without it, it is a value of the
+    plan, found while it runs.
     """
     if ctx.source != "billing_combined":
         return F.lit(True)
@@ -69,6 +76,8 @@ def charge_scope(df: DataFrame, ctx: Context, fallback: str = "all") -> Column:
     mask = charge_rows(df, ctx)
     if mask is None:
         return other
+    if ctx.has_charges is not None:
+        return mask if ctx.has_charges else other
     some = F.coalesce(df.agg(F.bool_or(mask)).scalar(), F.lit(False))
     return F.when(some, mask).otherwise(other)
 

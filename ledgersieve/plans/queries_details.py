@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rules
+from ..checks import cross_source as cross, quality
 from ..checks.registry import run_checks
-from ..context import ColumnMeta, Context
+from ..context import ColumnMeta, Context, TransactionTypes
 from ..findings import report
 from ..functions.classify import confidence
 from ..operators import catalog, issues, profile as prof, star
@@ -165,3 +166,49 @@ def _named(rows: DataFrame, fact: star.Fact, wanted: dict[str, tuple[str, str]],
 def payroll_by_member(spark, folder) -> DataFrame:
     wanted = {"PayEmpFnbr": ("PayEmpId", "employee"), "PayDeptFnbr": ("PayDeptId", "department"), "PayPeriodEndDateFnbr": ("date", "period_end")}
     return _named(b.payroll(spark, folder), star.PAYROLL, wanted, "AmountOrig")
+
+
+# Combined billing files, flags and ages.
+
+_COMBINED_TYPES = TransactionTypes(frozenset(), frozenset({"1-urgent", "2-high"}), frozenset(), frozenset({"5-low"}))
+
+
+def _combined(spark, folder) -> DataFrame:
+    return b.table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("TransactionTypeDesc"), b.text(b.cents("o_totalprice")).alias("ChargeAmountOriginal"))
+
+
+@query("combined_split", """SELECT part, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS amount FROM (SELECT o_totalprice,
+ CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'charges' WHEN o_orderpriority = '5-LOW' THEN 'transactions' END AS part FROM orders) WHERE part IS NOT NULL GROUP BY 1""")
+def combined_split(spark, folder) -> DataFrame:
+    parts = cross.split_combined(_combined(spark, folder), Context("billing_combined", types=_COMBINED_TYPES))
+    rows = [df.select(F.lit(name).alias("part"), F.col("ChargeAmountOriginal").cast("decimal(14,2)").alias("a")) for name, df in zip(("charges", "transactions"), parts)]
+    return rows[0].unionByName(rows[1]).groupBy("part").agg(F.count("*").alias("rows"), F.sum("a").cast("double").alias("amount"))
+
+
+@query("combined_keyword_scope", """SELECT count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS amount FROM orders WHERE o_orderstatus = 'F'""", stores=True)
+def combined_keyword_scope(spark, folder) -> DataFrame:
+    """No row has a type that is known as a charge, so the rows whose type is named like one are the charges."""
+    named = b.case("o_orderstatus", {"F": "New CHARGE", "O": "Pay"}, "Refund")
+    df = b.table(spark, folder, "orders").select(named.alias("TransactionTypeDesc"), b.cents("o_totalprice").alias("a"))
+    ctx = prof.with_charge_fact(df, Context("billing_combined", types=_COMBINED_TYPES))
+    return df.where(prof.charge_scope(df, ctx, "keyword")).agg(F.count("*").alias("rows"), F.sum("a").cast("double").alias("amount"))
+
+
+@query("inverse_flag_values", """SELECT flag AS value, CASE flag WHEN 'maybe' THEN 'unknown' WHEN 'N' THEN 'not inverse' ELSE 'inverse' END AS meaning, count(*) AS rows
+ FROM (SELECT CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN 'N' ELSE 'Y' END AS flag FROM labels JOIN documents USING (doc_id)) GROUP BY ALL""")
+def inverse_flag_values(spark, folder) -> DataFrame:
+    return quality.inverse_flag_values(b.quality(spark, folder))
+
+
+@query("patient_domains", found(
+    """m AS (SELECT count(*) AS t, count(*) FILTER (p_size % 3 = 0) AS g, count(*) FILTER (p_size > 40 OR p_size % 10 = 7) AS a FROM part)""",
+    row("gender_domain", when("g > 0", "MEDIUM"), "PatientGender", "g", "t"), row("age_domain", when("a > 0", "MEDIUM"), "PatientAge", "a", "t"),
+))
+def patient_domains(spark, folder) -> DataFrame:
+    size = F.col("p_size")
+    rows = b.table(spark, folder, "part").select(
+        F.when(size % 3 == 0, "n/a").when(size % 3 == 1, "Female").otherwise("").alias("PatientGender"),
+        F.when(size % 10 == 7, "abc").when(size > 40, b.text(size * 3)).when(size % 10 == 3, "").otherwise(b.text(size)).alias("PatientAge"),
+    )
+    return _run(rows, Context("billing_charges"), ["B.domains"])

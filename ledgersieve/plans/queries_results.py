@@ -157,10 +157,10 @@ _REMINDERS = ", ".join("('" + r.replace("'", "''") + "')" for r in rules.REMINDE
 
 
 @query("checklist", f"""WITH {_FINDINGS}, {_MISSING}, todo AS (SELECT client, round, priority, grp AS source, display AS source_display, CASE
- WHEN phase = 2 AND chk = 'schema_missing' THEN 'Add the ''' || field || ''' column to the ' || display || ' file (' || CASE severity WHEN 'CRITICAL' THEN 'required' ELSE 'recommended' END || ')'
- WHEN phase = 3 AND chk = 'null_blank' THEN 'Populate the ''' || field || ''' column in the ' || display || ' file (currently has missing values)'
- WHEN phase = 4 THEN 'Verify: ' || descr ELSE 'Fix ''' || field || ''' in ' || display || ': ' || descr END AS item, id AS finding_id FROM cl WHERE severity IN ('CRITICAL', 'HIGH'))
- SELECT * FROM todo UNION ALL SELECT client, round, 'MUST FIX', source_group, CASE source_group {_SENT} END, 'Submit ' || CASE source_group {_SENT} END || ' test file for the same month as other test files', '' FROM mi
+ WHEN phase = 2 AND chk = 'schema_missing' THEN display || ': deliver a column ''' || field || ''' (' || CASE severity WHEN 'CRITICAL' THEN 'required' ELSE 'recommended' END || ')'
+ WHEN phase = 3 AND chk = 'null_blank' THEN display || ': fill ''' || field || ''' on every row'
+ WHEN phase = 4 THEN 'Between sources: ' || descr ELSE display || ', ''' || field || ''': ' || descr END AS item, id AS finding_id FROM cl WHERE severity IN ('CRITICAL', 'HIGH'))
+ SELECT * FROM todo UNION ALL SELECT client, round, 'MUST FIX', source_group, CASE source_group {_SENT} END, CASE source_group {_SENT} END || ': no file yet, send one of the month of the others', '' FROM mi
  UNION ALL SELECT client, round, 'REMINDER', 'general', 'General', r, '' FROM (SELECT client, round FROM cl UNION SELECT client, round FROM mi), (VALUES {_REMINDERS}) v(r)""")
 def checklist(spark, folder) -> DataFrame:
     rows = iss.checklist(iss.client_issues(_marked(spark, folder)), _missing(_findings(spark, folder)))

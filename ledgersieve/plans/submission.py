@@ -201,7 +201,10 @@ def review(
         ctx = Context(
             source, client, round_, name, test_month, window, _column_meta(rows), refs.types, refs.ref_cpt, refs.ref_pos,
         )
+        ctx = prof.with_charge_fact(df, ctx)
         per_file.append((ctx, df))
+        if source in contexts and ctx.has_charges is not None:  # several files of one source are one table
+            ctx = ctx.for_file(has_charges=ctx.has_charges or contexts[source].has_charges)
         tables[source] = tables[source].unionByName(df, allowMissingColumns=True) if source in tables else df
         contexts[source] = ctx
 
@@ -215,7 +218,7 @@ def review(
     ]
     for ctx, df in per_file:
         ctx = ctx.for_file(test_month=test_month)
-        contexts[ctx.source] = ctx
+        contexts[ctx.source] = ctx.for_file(has_charges=contexts[ctx.source].has_charges)
         builders += _file_checks(df, ctx, coverage)
     if {"billing_charges", "billing_transactions"} <= set(tables):
         builders.append(lambda: charge_transaction_linkage(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import rules
-from ..checks import billing, cross_source, ledger, payroll
+from ..checks import billing, cross_source, ledger, payroll, quality
 from ..checks.conformance import compatibility, overall_compatibility
 from ..operators import catalog, issues as iss
 from .publish import Publication, drop_superseded, in_force
@@ -75,6 +75,8 @@ def _value_tables(review) -> dict[str, DataFrame]:
         out["staff_totals"] = payroll.staff_totals(tables["payroll"])
     if {"payroll", "gl"} <= set(tables) and "DepartmentId" in tables["payroll"].columns:
         out["unmatched_departments"] = cross_source.unmatched_departments(tables["payroll"], tables["gl"])
+    if "quality" in tables and "Is_Inverse" in tables["quality"].columns:
+        out["inverse_flag_values"] = quality.inverse_flag_values(tables["quality"])
     return {name: df for name, df in out.items() if df is not None}
 
 

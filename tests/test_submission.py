@@ -156,7 +156,7 @@ def test_verdict(result):
     assert ready.overall == "Needs Revision (Round v2)"
     assert ready.missing_sources == "scheduling"
     items = result.checklist.collect()
-    assert any(r.item == "Submit Scheduling test file for the same month as other test files" for r in items)
+    assert any(r.item == "Scheduling: no file yet, send one of the month of the others" for r in items)
     assert sum(r.priority == "REMINDER" for r in items) == 4
 
 
