@@ -51,7 +51,7 @@ from ledgersieve.llm.common import shared_folder, stored, unused
 ORDER = 2
 CUTOFF = 5
 PARTS = 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Numbers with a meaning of their own; seen n-grams are numbered above them.
 START, UNKNOWN, FIRST = 0, 1, 2
 END = np.uint64(1)
