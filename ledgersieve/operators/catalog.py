@@ -60,12 +60,12 @@ def staging_table(source: Column) -> Column:
     return name
 
 
-def billing_format(sources: DataFrame) -> DataFrame:
-    """One row: combined, separate, none or unknown, with a note."""
+def billing_format(sources: DataFrame, *keys: str) -> DataFrame:
+    """Combined, separate, none or unknown, with a note: one row, or one per value of ``keys`` (a client, a round)."""
     def has(name: str) -> Column:
         return F.coalesce(F.bool_or(F.col("source") == name), F.lit(False))
 
-    flags = sources.agg(
+    flags = sources.groupBy(*keys).agg(
         has("billing_combined").alias("combined"), has("billing_charges").alias("charges"),
         has("billing_transactions").alias("transactions"),
     )
@@ -82,7 +82,7 @@ def billing_format(sources: DataFrame) -> DataFrame:
         .when(F.col("transactions"), "transactions without a charges file")
         .otherwise("no billing file")
     )
-    return flags.select(kind.alias("format"), note.alias("notes"))
+    return flags.select(*keys, kind.alias("format"), note.alias("notes"))
 
 
 def _targets(aliases: DataFrame, by: Column, name: str) -> DataFrame:

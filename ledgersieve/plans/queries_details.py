@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from .. import rules
@@ -61,23 +59,19 @@ def value_patterns(spark, folder) -> DataFrame:
 
 # How billing was submitted.
 
-_CASES = {
-    "one": ("billing_combined", "gl"), "both": ("billing_combined", "billing_charges"), "two": ("billing_charges", "billing_transactions"),
-    "charges": ("billing_charges", "gl"), "transactions": ("billing_transactions", "gl"), "none": ("payroll", "gl"),
-}
-_FORMATS = {"one": "combined", "both": "combined", "two": "separate", "charges": "unknown", "transactions": "unknown", "none": "none"}
+# Every customer is a client, and what has become of its orders says which files it sent.
 
+_SENT = {"F": "billing_charges", "O": "billing_transactions", "P": "billing_combined"}
 
-@query("billing_formats", " UNION ALL ".join(
-    f"SELECT '{name}' AS case_name, CASE WHEN count(DISTINCT r_regionkey % 2) = 2 THEN '{_FORMATS[name]}' END AS format FROM region" for name in _CASES
-))
+
+@query("billing_formats", """SELECT CASE WHEN p THEN 'combined' WHEN f AND o THEN 'separate' WHEN f OR o THEN 'unknown' ELSE 'none' END AS format, p AND (f OR o) AS beside,
+ count(*) AS clients FROM (SELECT o_custkey, bool_or(o_orderstatus = 'F' AND o_totalprice > 150000) AS f, bool_or(o_orderstatus = 'O' AND o_totalprice > 150000) AS o,
+ bool_or(o_orderstatus = 'P' AND o_totalprice > 150000) AS p FROM orders GROUP BY 1) GROUP BY ALL""")
 def billing_formats(spark, folder) -> DataFrame:
-    region = spark.read.schema("r_regionkey int, r_name string").parquet(f"{folder}/region.parquet")
-    parts = []
-    for name, (even, odd) in _CASES.items():
-        sources = region.select(F.when(F.col("r_regionkey") % 2 == 0, even).otherwise(odd).alias("source"))
-        parts.append(catalog.billing_format(sources).select(F.lit(name).alias("case_name"), "format"))
-    return reduce(DataFrame.unionByName, parts)
+    sent = F.when(F.col("o_totalprice") > 150000, b.case("o_orderstatus", _SENT)).otherwise("payroll")
+    sources = b.table(spark, folder, "orders").select(F.col("o_custkey").alias("client"), sent.alias("source"))
+    found = catalog.billing_format(sources, "client")
+    return found.groupBy("format", F.col("notes").contains("beside").alias("beside")).agg(F.count("*").alias("clients"))
 
 
 @query("source_date_ranges", """WITH m AS (SELECT 'billing' AS g, min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders
