@@ -167,14 +167,16 @@ def map_columns(spark: SparkSession, files: dict, sources: DataFrame, refs: Refe
 def review(
     spark: SparkSession, directory: str, refs: References, client: str, round_: str = "v1",
     window: tuple[date, date] | None = None, test_month: str | None = None, work: str | None = None,
+    inventory: str | None = None,
 ) -> Review:
     """Read, map and check every file of a submission.
 
     ``window`` is the expected date range, if one was agreed; ``work`` is a folder that driver and
-    executors share, where the parsed files and the findings are written.
+    executors share, where the parsed files and the findings are written; ``inventory`` is a lasting
+    one, from which files that have not changed since an earlier review are opened without parsing.
     """
     folder = work_folder(spark, work)
-    files = extracts.read_submission(spark, directory, folder, reading=config.reading_options(spark, directory))
+    files = extracts.read_submission(spark, directory, folder, reading=config.reading_options(spark, directory), inventory=inventory)
     infos = [info for info, _ in files.values()]
     inventory = extracts.files_table(spark, infos, client, round_)
     headers = extracts.columns_table(spark, infos)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import rules
@@ -62,13 +63,13 @@ def _qualified(spark: SparkSession, directory: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def list_files(spark: SparkSession, directory: str) -> list[tuple[str, str, str | None]]:
-    """``name, path, folder`` of .txt and .csv files in the folder and one level below.
+def list_files(spark: SparkSession, directory: str) -> list[tuple[str, str, str | None, int, str]]:
+    """``name, path, folder, length, modified`` of .txt and .csv files in the folder and one level below.
 
     A file's name is its path below the folder, so equal names in two folders stay two files.
     Only file names are read: the content column of the listing is never asked for.
     """
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path", "length", F.col("modificationTime").cast("string").alias("modified"))
     root, found = _qualified(spark, directory), []
     for row in listing.toLocalIterator():  # one row per extract of the submission
         parts = below(root, row.path)
@@ -78,7 +79,7 @@ def list_files(spark: SparkSession, directory: str) -> list[tuple[str, str, str
             continue
         folder = parts[0] if len(parts) == 2 else None
         if folder is not None or parts[-1].lower() not in CONFIG_FILES:
-            found.append(("/".join(parts), row.path, folder))
+            found.append(("/".join(parts), row.path, folder, row.length, row.modified))
     return sorted(found, key=lambda f: (f[2] is not None, f[0]))
 
 
@@ -208,31 +209,61 @@ def clean_rows(parsed: DataFrame, delimiter: str, columns: tuple[str, ...], last
     return rows.where(~(behind & (F.struct(_BLOCK, _ROW) > place)))
 
 
-def read_extract(
+@dataclass(frozen=True)
+class ParsedFile:
+    """What is known of a file once its lines are written as columns: enough to open it again without its text."""
+
+    name: str
+    path: str
+    folder: str | None
+    encoding: str
+    multi_line: bool
+    delimiter: str | None = None
+    target: str | None = None  # the written columns; None for a file without a delimiter
+    columns: tuple[str, ...] = ()
+    filled: tuple[bool, ...] = ()
+    last: tuple[int, int] | None = None  # place of the last row that is no footer
+    row_count: int = 0
+    footer_rows: int = 0
+    bad_lines: int = 0
+    issues: tuple[str, ...] = ()
+
+    def opened(self, spark: SparkSession) -> tuple[ExtractFile, DataFrame | None]:
+        """Facts of the file and its cleaned rows, all text."""
+        if self.target is None:
+            return ExtractFile(self.name, self.path, self.folder, None, encoding=self.encoding, issues=self.issues), None
+        numbered = tuple(f"c{i}" for i in range(len(self.columns)))
+        kept = [(n, c) for n, c, filled in zip(numbered, self.columns, self.filled, strict=True) if filled]
+        info = ExtractFile(
+            self.name, self.path, self.folder, self.delimiter, tuple(c for _, c in kept), self.row_count, len(kept), self.footer_rows, self.bad_lines,
+            self.encoding, self.issues,
+        )
+        schema = ", ".join([*[f"{n} string" for n in numbered], f"{_BAD} string", f"{_OPEN} boolean", f"{_BLOCK} bigint", f"{_ROW} bigint"])
+        rows = clean_rows(spark.read.schema(schema).parquet(self.target), self.delimiter, numbered, self.last)
+        return info, rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(c) for n, c in kept])
+
+
+def parse_extract(
     spark: SparkSession, path: str, work: str, name: str | None = None, folder: str | None = None, encoding: str = "UTF-8",
     multi_line: bool = False,
-) -> tuple[ExtractFile, DataFrame | None]:
-    """Facts of one file and its cleaned rows, all text.
+) -> ParsedFile:
+    """Writes the parsed lines of one file once, as columns below ``work``.
 
-    The parsed lines are written once as columns below ``work``, a folder that all executors
-    share, so the text is parsed once, places of rows stay what they are, and every later
-    pass reads the columns it needs.
+    All executors share that folder, so the text is parsed once, places of rows stay what they
+    are, and every later pass reads the columns it needs.
     """
     name = name or path.rstrip("/").rsplit("/", 1)[-1]
     delimiter, label, columns = header_columns(spark, path, encoding)
     if delimiter is None:
-        return ExtractFile(name, path, folder, None, encoding=encoding, issues=(issue_text("no_delimiter"),)), None
+        return ParsedFile(name, path, folder, encoding, multi_line, issues=(issue_text("no_delimiter"),))
     numbered = tuple(f"c{i}" for i in range(len(columns)))
     target = f"{work.rstrip('/')}/extract-{uuid.uuid4().hex}"
     parsed = _scan(spark, path, delimiter, columns, encoding, multi_line).toDF(*numbered, _BAD, _OPEN, _BLOCK, _ROW)
     parsed.write.parquet(target)
     parsed = spark.read.schema(parsed.schema).parquet(target)
     facts = line_facts(parsed, delimiter, numbered).first()
-    rows = clean_rows(parsed, delimiter, numbered, tuple(facts.last) if facts.last else None)
-    stripped = 0
-    if facts.footer_like:
-        stripped = facts.rows - rows.count()
-    kept = [(n, c) for n, c, filled in zip(numbered, columns, facts.filled, strict=True) if filled]
+    last = tuple(facts.last) if facts.last else None
+    stripped = facts.rows - clean_rows(parsed, delimiter, numbered, last).count() if facts.footer_like else 0
     issues = []
     if label != "pipe":
         issues.append(issue_text("other_delimiter", label))
@@ -245,10 +276,18 @@ def read_extract(
     if facts.garbled:
         issues.append(issue_text("garbled"))
     issues += [issue_text("pipes", c) for c, odd in zip(columns, facts.pipes, strict=True) if odd]
-    info = ExtractFile(
-        name, path, folder, delimiter, tuple(c for _, c in kept), facts.rows - stripped, len(kept), stripped, facts.bad, encoding, tuple(issues)
+    return ParsedFile(
+        name, path, folder, encoding, multi_line, delimiter, target, tuple(columns), tuple(bool(f) for f in facts.filled), last, facts.rows - stripped,
+        stripped, facts.bad, tuple(issues),
     )
-    return info, rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(c) for n, c in kept])
+
+
+def read_extract(
+    spark: SparkSession, path: str, work: str, name: str | None = None, folder: str | None = None, encoding: str = "UTF-8",
+    multi_line: bool = False,
+) -> tuple[ExtractFile, DataFrame | None]:
+    """Facts of one file and its cleaned rows, parsed into ``work``."""
+    return parse_extract(spark, path, work, name, folder, encoding, multi_line).opened(spark)
 
 
 _ISSUES = {
@@ -266,23 +305,58 @@ def issue_text(kind: str, *values) -> str:
     return _ISSUES[kind].format(*values)
 
 
+_INVENTORY = (
+    "length bigint, modified string, seq bigint, name string, path string, folder string, encoding string, multi_line boolean, delimiter string, "
+    "target string, columns array<string>, filled array<boolean>, last array<bigint>, row_count bigint, footer_rows bigint, bad_lines bigint, issues array<string>"
+)
+
+
+def _known(spark: SparkSession, inventory: str) -> tuple[dict[tuple, ParsedFile], int]:
+    """The stored records by path, length, time and way of reading, the latest of each; and the last number given."""
+    try:
+        rows = spark.read.schema(_INVENTORY).parquet(f"{inventory}/files").orderBy("seq").collect()  # one row per file parsed so far
+    except AnalysisException:
+        return {}, 0
+    found = {}
+    for r in rows:
+        record = {f.name: r[f.name] for f in fields(ParsedFile)}
+        record |= {k: tuple(record[k]) for k in ("columns", "filled", "issues")} | {"last": tuple(r.last) if r.last else None}
+        found[r.path, r.length, r.modified, r.encoding, r.multi_line] = ParsedFile(**record)
+    return found, rows[-1].seq if rows else 0
+
+
 def read_submission(
-    spark: SparkSession, directory: str, work: str, only: list[str] | None = None, reading: dict[str, dict] | None = None,
+    spark: SparkSession, directory: str, work: str, only: list[str] | None = None, reading: dict[str, dict] | None = None, inventory: str | None = None,
 ) -> dict[str, tuple[ExtractFile, DataFrame | None]]:
     """Every file of a submission, or the named ones, by its path below the folder.
 
     ``reading`` gives ``encoding`` and ``multi_line`` by file, named with or without its folder.
+    ``inventory`` is a lasting folder for parsed files and their facts: a file whose path, length
+    and time are those of a record there is opened from its columns, and not parsed again.
     """
     wanted = [f for f in list_files(spark, directory) if only is None or f[0] in only]
-    how = reading or {}
+    how, kept = reading or {}, inventory and inventory.rstrip("/")
+    known, last = _known(spark, kept) if kept else ({}, 0)
 
-    def one(file: tuple[str, str, str | None]):
-        options = how.get(file[0]) or how.get(file[0].rsplit("/", 1)[-1]) or {}
-        return read_extract(spark, file[1], work, file[0], file[2], **options)
+    def one(file: tuple) -> tuple[ParsedFile, bool]:
+        name, path, folder, length, modified = file
+        options = {"encoding": "UTF-8", "multi_line": False} | (how.get(name) or how.get(name.rsplit("/", 1)[-1]) or {})
+        record = known.get((path, length, modified, options["encoding"], options["multi_line"]))
+        if record is not None:
+            return replace(record, name=name, folder=folder), False
+        return parse_extract(spark, path, f"{kept}/columns" if kept else work, name, folder, **options), True
 
     with ThreadPoolExecutor(8) as pool:  # two short jobs per file
-        read = list(pool.map(one, wanted))
-    return {info.name: (info, rows) for info, rows in read}
+        parsed = list(pool.map(one, wanted))
+    fresh = [(file, record) for file, (record, new) in zip(wanted, parsed, strict=True) if new]
+    if kept and fresh:
+        rows = [
+            (file[3], file[4], last + i, r.name, r.path, r.folder, r.encoding, r.multi_line, r.delimiter, r.target, list(r.columns), list(r.filled),
+             list(r.last) if r.last else None, r.row_count, r.footer_rows, r.bad_lines, list(r.issues))
+            for i, (file, r) in enumerate(fresh, 1)
+        ]
+        spark.createDataFrame(rows, _INVENTORY).coalesce(1).write.mode("append").parquet(f"{kept}/files")
+    return {record.name: record.opened(spark) for record, _ in parsed}
 
 
 def files_table(spark: SparkSession, files: list[ExtractFile], client: str, round_: str) -> DataFrame:

@@ -284,3 +284,27 @@ def _rows_into_sorts(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return found
+
+
+def test_unchanged_files_are_not_parsed_again(spark, tmp_path, monkeypatch):
+    folder, inventory = tmp_path / "in", str(tmp_path / "inventory")
+    folder.mkdir()
+    for i in range(9):
+        (folder / f"f{i}.txt").write_text(f"a|b|c\n1|x{i}|\n2|y|\nTotal: 2||\n")
+    (folder / "bare.txt").write_text("no delimiter here\n1\n")
+    scans = []
+    scan = extracts._scan
+    monkeypatch.setattr(extracts, "_scan", lambda *a: scans.append(a[1]) or scan(*a))
+
+    def read():
+        found = extracts.read_submission(spark, str(folder), str(tmp_path / "work"), inventory=inventory)
+        return {name: (info, df and sorted(map(tuple, df.collect()))) for name, (info, df) in found.items()}
+
+    first = read()
+    assert len(scans) == 9 and first["bare.txt"][1] is None
+    assert read() == first and len(scans) == 9
+    (folder / "new.txt").write_text("a|b\n7|8\n")
+    again = read()
+    assert len(scans) == 10 and again.pop("new.txt")[1] == [("7", "8")] and again == first
+    (folder / "f3.txt").write_text("a|b|c\n1|changed|\n")
+    assert read()["f3.txt"][1] == [("1", "changed")] and len(scans) == 11
