@@ -332,8 +332,10 @@ def replaced(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col:
         F.element_at(pieces, -1),
     )
     names = [c for c in docs.columns if c != count_col]
+    # Writing surrogates costs more than moving texts: they are dealt to all partitions, also where they are few bytes.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     changed = (
-        holding.join(lookup, "blob").withColumn("spans", matches(text, PATTERN))
+        holding.repartition(parts, "blob").join(lookup, "blob").withColumn("spans", matches(text, PATTERN))
         .select(*[rebuilt.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in names], *counted(F.size(spans)))
     )
     others = rows.filter(~_holds(text)).select(*[F.col("doc")[c].alias(c) for c in names], *counted(F.lit(0)))
