@@ -223,7 +223,7 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
         .when(kind == "iban", F.concat(F.substr(norm, F.lit(1), F.lit(2)), _scrambled(F.substr(norm, F.lit(3)), h), digits))
         .when(kind == "phone", F.concat(head, F.lit("/"), _scrambled(tail, h), digits))
         .when(kind == "card", _with_check_digit(F.concat(_scrambled(norm, h), digits), F.pmod(_luhn(norm), F.lit(10)) == 0))
-        .when(kind == "ssn", _scrambled(norm, h))
+        .when(kind == "ssn", F.concat(_scrambled(norm, h), digits))
         .otherwise(F.concat(F.substr(norm, F.lit(1), F.lit(3)), F.lower(_name(norm, h, draw))))
     )
 
@@ -274,8 +274,8 @@ def mapping(entities: DataFrame, key: str = KEY) -> DataFrame:
 
     Each round ranks the entities that share a surrogate; the first keeps it and the others, with
     those whose surrogate is an entity of the corpus, draw again.  Later draws are longer, so there is
-    room for all and the rounds end; addresses of computers and social security numbers keep their
-    form, of which there are four billion and one billion.
+    room for all and the rounds end; addresses of computers keep their form, of which there are four
+    billion.
     """
     drawn = stored(entities.select("kind", "norm").distinct().withColumn("draw", F.lit(0)), "pii-entities")
     real = drawn.select("kind", F.col("norm").alias("surrogate"), F.lit(True).alias("real"))
