@@ -8,6 +8,7 @@ scorers only ever see candidate pairs; see ``operators.fuzzy``.
 from __future__ import annotations
 
 import sys
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -43,6 +44,76 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(a, b) / total if total else 100.0
 
 
+class _Node:
+    """Sorted texts of one length, ``lo`` to ``hi``, that agree on their first ``end`` characters; ``first`` is their least name."""
+
+    __slots__ = ("lo", "hi", "end", "first", "children")
+
+    def __init__(self, texts: list[str], names: list[str], lo: int, hi: int, start: int):
+        a, b, end = texts[lo], texts[hi - 1], start
+        while end < len(a) and a[end] == b[end]:
+            end += 1
+        self.lo, self.hi, self.end, self.first, self.children = lo, hi, end, min(names[lo:hi]), None
+
+    def split(self, texts: list[str], names: list[str]) -> list[_Node]:
+        """The parts by the next character, made when first asked for."""
+        if self.children is None:
+            cuts = [i for i in range(self.lo, self.hi) if i == self.lo or texts[i][self.end] != texts[i - 1][self.end]]
+            self.children = [_Node(texts, names, i, j, self.end) for i, j in zip(cuts, [*cuts[1:], self.hi])]
+        return self.children
+
+
+class Nearest:
+    """The text with the best ``ratio``, and of equals the least name, among many that may be alike.
+
+    Texts of one length form a tree by their first characters.  The row of the common subsequence is
+    carried along it, so a beginning that many share is compared once.  What a beginning has matched
+    and what is left of both texts bound every score below it; the highest bound is opened next, and
+    the first whole text to come up is the best.
+    """
+
+    def __init__(self, pairs: list[tuple[str, str]], threshold: float):
+        least: dict[str, str] = {}
+        for text, name in pairs:
+            least[text] = min(name, least.get(text, name))
+        by_length: dict[int, list[str]] = {}
+        for text in sorted(least):
+            by_length.setdefault(len(text), []).append(text)
+        self.threshold, self.trees = threshold, []
+        for texts in by_length.values():
+            names = [least[t] for t in texts]
+            self.trees.append((texts, names, _Node(texts, names, 0, len(texts), 0)))
+
+    def best(self, a: str) -> tuple[str, float] | None:
+        m, masks, full = len(a), _positions(a), (1 << len(a)) - 1
+        heap: list[tuple] = []
+        pushed = 0
+        for tree, (texts, _, root) in enumerate(self.trees):
+            n = len(texts[0])
+            if 200.0 * min(m, n) >= self.threshold * (m + n):
+                pushed = self._push(heap, pushed, tree, root, 0, full, m, masks, full)
+        while heap:
+            score, name, _, tree, node, row = heappop(heap)
+            texts, names, _ = self.trees[tree]
+            if node.end == len(texts[0]):
+                return name, -score
+            for child in node.split(texts, names):
+                pushed = self._push(heap, pushed, tree, child, node.end, row, m, masks, full)
+        return None
+
+    def _push(self, heap: list[tuple], pushed: int, tree: int, node: _Node, start: int, row: int, m: int, masks: dict[str, int], full: int) -> int:
+        text = self.trees[tree][0][node.lo]
+        for ch in text[start:node.end]:
+            hit = row & masks.get(ch, 0)
+            row = (row + hit | row - hit) & full
+        open_ = max(0, m - len(text) + node.end)  # characters of the other text that the rest cannot all meet
+        bound, total = m - (row & (1 << open_) - 1).bit_count(), m + len(text)
+        score = 200.0 * bound / total if total else 100.0
+        if score >= self.threshold:
+            heappush(heap, (-score, node.first, pushed, tree, node, row))
+        return pushed + 1
+
+
 def token_sort(a: str, b: str) -> float:
     return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 

@@ -5,16 +5,18 @@ Two texts whose indel ratio reaches the threshold share enough character grams
 grams ordered rarest first, they must agree on one of the first few: that prefix
 is the join key.  A length test and Spark's own bounded ``levenshtein`` (never
 above the indel distance) thin the candidates before any score is computed.
+Where many values share a key, they are searched instead of paired.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import rules
-from ..functions.similarity import plain, similarity, sorted_tokens
+from ..functions.similarity import Nearest, plain, similarity, sorted_tokens
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -43,11 +45,11 @@ def _prefix_length(n: Column, threshold: float, size: int) -> Column:
     return F.greatest(F.lit(1), grams - F.greatest(needed, F.lit(1)) + 1).cast("int")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs ``scope, l, r`` that can reach the threshold.
+def signatures(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``scope, text, match, length, gram`` of both sides, named by ``l`` and ``r``: the grams of which a partner must share one.
 
     ``left`` and ``right`` hold distinct ``scope, text, match`` rows: the value, and
-    the form of it that is compared.  Only values of the same scope are paired.
+    the form of it that is compared.
     """
     size = 2 if threshold >= 200 / 3 else 1
 
@@ -73,7 +75,11 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
         first = F.transform(kept, lambda g: g["gram"])
         return ranked.select("scope", name, f"{name}_match", f"{name}_len", F.explode(first).alias("gram"))
 
-    signed_left, signed_right = prefix(grams_left, "l"), prefix(grams_right, "r")
+    return prefix(grams_left, "l"), prefix(grams_right, "r")
+
+
+def candidate_pairs(signed_left: DataFrame, signed_right: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs ``scope, l, r`` that share a signature and can reach the threshold; only values of the same scope are paired."""
     close = 200.0 * F.least("l_len", "r_len") >= threshold * (F.col("l_len") + F.col("r_len"))
     pairs = (
         signed_left.join(signed_right, ["scope", "gram"])
@@ -85,6 +91,58 @@ def candidate_pairs(left: DataFrame, right: DataFrame, threshold: float) -> Data
     return pairs.where(F.levenshtein("l_match", "r_match") <= distance)
 
 
+# Signatures that many right texts share are searched instead of paired: no row per pair is made.
+
+CROWDED = 200  # right texts with one gram, above which they are searched
+SEARCHED_RIGHT, SEARCHED_LEFT = 20_000, 5_000  # texts of either side in one search
+
+
+def _crowds(signed_right: DataFrame) -> DataFrame:
+    """``scope, gram, rights`` of the grams that many right texts have as signature."""
+    return signed_right.groupBy("scope", "gram").agg(F.count("*").alias("rights")).where(F.col("rights") > CROWDED)
+
+
+def search_crowds(signed_left: DataFrame, signed_right: DataFrame, crowds: DataFrame, threshold: float) -> DataFrame:
+    """``scope, l, r, score``: the best partner of every left text in every crowd that it has to look through.
+
+    The right texts of a gram are cut into parts of bounded size, and so are the left texts that
+    come for them.  A right text's first crowd, its largest, finds it for all left texts that share this
+    gram, so a left text leaves out a crowd whose members it meets in their first ones.
+    """
+    in_crowd = ["scope", "gram"]
+    right, left = signed_right.join(crowds, in_crowd), signed_left.join(crowds, in_crowd)
+    firsts = right.groupBy("scope", "r").agg(F.max_by("gram", F.struct("rights", "gram")).alias("first"))
+    met = right.select("scope", "gram", "r").join(firsts, ["scope", "r"]).groupBy("scope", "gram").agg(F.collect_set("first").alias("firsts"))  # of grams
+    own = left.groupBy("scope", "l").agg(F.collect_set("gram").alias("own"))  # a text's
+    coming = left.join(own, ["scope", "l"]).join(met, in_crowd).where(
+        F.exists("firsts", lambda f: (f == F.col("gram")) | ~F.array_contains("own", f))
+    )
+    lefts = coming.groupBy("scope", "gram").agg(F.count("*").alias("lefts"))
+
+    def parts(count: str, size: int) -> Column:
+        return F.ceil(F.col(count) / size).cast("int")
+
+    def dealt(df: DataFrame, name: str, own_part: str, own_parts: Column, other_part: str, other_parts: Column) -> DataFrame:
+        placed = df.select(*in_crowd, name, f"{name}_match", F.pmod(F.xxhash64(name), own_parts).cast("int").alias(own_part), other_parts.alias("n"))
+        return placed.withColumn(other_part, F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+
+    cuts = (parts("rights", SEARCHED_RIGHT), parts("lefts", SEARCHED_LEFT))
+    sides = [
+        dealt(coming.join(lefts, in_crowd), "l", "left_part", cuts[1], "right_part", cuts[0]),
+        dealt(right.join(lefts, in_crowd), "r", "right_part", cuts[0], "left_part", cuts[1]),
+    ]
+    by = [*in_crowd, "right_part", "left_part"]
+    tasks = int(signed_left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be merged
+
+    def search(wanted: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        tree = Nearest(list(zip(known["r_match"], known["r"])), threshold) if len(wanted) and len(known) else None
+        found = [(s, t, *best) for s, t, m in zip(wanted["scope"], wanted["l"], wanted["l_match"]) if tree and (best := tree.best(m))]
+        return pd.DataFrame(found, columns=["scope", "l", "r", "score"])
+
+    left_groups, right_groups = (side.repartition(tasks, *by).groupBy(*by) for side in sides)
+    return left_groups.cogroup(right_groups).applyInPandas(search, "scope string, l string, r string, score double")
+
+
 # The composite score.  Every text gives keys of several kinds, and two texts are compared that share a key of one kind.
 
 _TOKENS = "filter(split({0}, '\\\\s+'), t -> t <> '')"
@@ -234,9 +292,13 @@ def best_match(left: DataFrame, right: DataFrame, threshold: float, scorer: str
     if scorer == "composite":
         pairs = composite_pairs(left, right, threshold)
     else:
-        pairs = candidate_pairs(left, right, threshold)
+        signed_left, signed_right = signatures(left, right, threshold)
+        crowds = _crowds(signed_right)
+        pairs = candidate_pairs(signed_left, signed_right.join(crowds, ["scope", "gram"], "left_anti"), threshold)
     score = similarity("l_match", "r_match", "composite" if scorer == "composite" else "ratio")
     scored = pairs.select("scope", "l", "r", score.alias("score")).where(F.col("score") >= threshold)
+    if scorer != "composite":
+        scored = scored.unionByName(search_crowds(signed_left, signed_right, crowds, threshold))
     return (
         scored.groupBy("scope", F.col("l").alias("text"))
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r").alias("r"))).alias("top"))

@@ -70,6 +70,23 @@ def test_signatures_that_many_share(rows):
     assert {r.text: r.score for r in got.collect()} == {t: s for t, s in want.items() if s >= 80}
 
 
+@pytest.mark.parametrize("threshold", [80, 60])
+def test_crowds_are_searched_without_pairs(rows, monkeypatch, threshold):
+    """Names of one pattern share nearly all grams; cut into several parts, the best of them is found without a pair of each."""
+    monkeypatch.setattr(fuzzy, "CROWDED", 20)
+    monkeypatch.setattr(fuzzy, "SEARCHED_RIGHT", 50)
+    monkeypatch.setattr(fuzzy, "SEARCHED_LEFT", 30)
+    right = [f"supplier#{i:09d}" for i in range(0, 400, 3)] + [f"supplier {i}" for i in range(0, 300, 7)] + ["", "x"]
+    left = [f"supplier {i}{' jr' * (i % 2)}" for i in range(0, 500, 6)] + [f"supplier {i}" for i in range(1, 99, 9)] + ["", "zz", "supplier#00000001"]
+    sides = [rows("text", *[(t,) for t in side]).selectExpr("'' AS scope", "text", "array_join(array_sort(filter(split(text, ' '), t -> t <> '')), ' ') AS match") for side in (left, right)]
+    signed = fuzzy.signatures(*sides, threshold)
+    rest = signed[1].join(fuzzy._crowds(signed[1]), ["scope", "gram"], "left_anti")
+    got = {r.text: (r.best, round(r.score, 6)) for r in fuzzy.best_match(*sides, threshold).collect()}
+    best = {a: min((-token_sort(a, b), b) for b in right) for a in left}
+    assert got == {a: (b, round(-s, 6)) for a, (s, b) in best.items() if -s >= threshold}
+    assert signed[0].join(rest, ["scope", "gram"]).count() < 0.25 * len(left) * len(right) < signed[0].join(signed[1], ["scope", "gram"]).count()
+
+
 def test_quantiles_by_brute_force(spark):
     rng = random.Random(1)
     data = [("a", rng.choice([-5.0, 0.0, 3.25, 1e6]) + rng.randint(0, 9)) for _ in range(301)] + [("b", 7.0)] * 50 + [("c", 1.0), ("c", 2.0)]
