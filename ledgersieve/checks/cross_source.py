@@ -186,7 +186,8 @@ def _providers(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: boo
     """Billing providers with rows, dollars, whether payroll has them and their most similar name; and whether NPIs decide.
 
     The lists are written to the shared folder once: the distinct ids with what payroll knows of
-    them, and payroll's names.  Everything after that reads these, not the extracts.
+    them, payroll's names, and the ids with the names found.  Everything after that reads these, not
+    the extracts, and names are matched once.
     """
     rows = billing.where(charge_scope(billing, ctx))
     npis = "EmployeeNpi" in payroll.columns and "RenderingProviderNpi" in rows.columns
@@ -211,7 +212,7 @@ def _providers(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: boo
     names = stored(payroll.select(key("EmployeeFullName").alias("text")).where(present("text")).distinct(), "names")
     lost = marked.where(~F.col("hit") & present("text")).select("text")
     similar = fuzzy.best_match(lost, names, rules.NPI_NAME_FUZZY if by else rules.NAME_FUZZY)
-    return marked.join(similar.select("text", "best", "score"), "text", "left"), by
+    return stored(marked.join(similar.select("text", "best", "score"), "text", "left"), "provider-matches"), by
 
 
 def provider_candidates(billing: DataFrame, payroll: DataFrame, ctx: Context, by_npi: bool | None = None) -> DataFrame | None:
