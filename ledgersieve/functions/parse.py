@@ -70,6 +70,17 @@ def day(c: Column | str) -> Column:
     return moment(c).cast("date")
 
 
+def day_form(c: Column | str) -> Column:
+    """A text of the same day: of an ISO date and time only the date, everything else as it came.
+
+    It costs a fraction of :func:`day`, which may then read each different text once.
+    """
+    c = as_col(c).cast("string")
+    stamped = (F.length(c) > 10) & c.rlike(r"^\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
+    date = c.try_cast("timestamp").cast("date").cast("string")
+    return F.when(stamped, F.coalesce(F.when(F.length(date) == 10, date), c)).otherwise(c)
+
+
 def year_month(c: Column | str) -> Column:
     """Date or timestamp column to an integer YYYYMM."""
     c = as_col(c)

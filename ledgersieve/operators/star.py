@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import day
+from ..functions import day, day_form
 from ..functions.formula import apply_transforms
 from ..rules import NULL_KEY
 from ..sources.steps import stored
@@ -34,11 +34,17 @@ def _present(df: DataFrame, names: tuple[str, ...]) -> str | None:
 
 @dataclass(frozen=True)
 class Expression:
-    """A column of the fact or of a member, made from the columns ``names``; equal ones are computed once."""
+    """A column of the fact or of a member, made from the columns ``names``; equal ones are computed once.
+
+    Where a value is costly to read, ``form`` builds a text that stands for it and ``read`` makes the
+    value of that text; the members' forms are then read, not those of all rows.
+    """
 
     build: Callable[..., Column]
     names: tuple[str, ...] = ()
     extra: tuple = ()
+    form: Callable[..., Column] | None = None
+    read: Callable[[Column], Column] | None = None
 
     def __call__(self, df: DataFrame) -> Column:
         return self.build(df, *self.names, *self.extra)
@@ -63,6 +69,10 @@ def _day(df: DataFrame, *names: str) -> Column:
     return day(plain(df, *names))
 
 
+def _day_form(df: DataFrame, *names: str) -> Column:
+    return day_form(plain(df, *names))
+
+
 def col(*names: str) -> Expression:
     return Expression(keyed, names)
 
@@ -80,7 +90,7 @@ def prefix(name: str, size: int) -> Expression:
 
 
 def a_date(*names: str) -> Expression:
-    return Expression(_day, names)
+    return Expression(_day, names, form=_day_form, read=day)
 
 
 @dataclass(frozen=True)
@@ -165,8 +175,24 @@ def _computed(df: DataFrame, expressions: list[Expression]) -> tuple[DataFrame,
     return df.select(*[e(df).alias(n) for e, n in names.items()]), names
 
 
-def stacked_members(df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
-    """Distinct ``dimension, natural, attributes`` over all roles of all dimensions, in one pass over the rows."""
+def _readers(dimension: Dimension) -> dict[str, Callable[[Column], Column]]:
+    """Attributes that all roles give as a form, and what reads it."""
+    kinds = {a: {(role[a].form, role[a].read) for role in dimension.roles.values()} for a in dimension.attributes}
+    return {a: read for a, ((_, read), *others) in ((a, list(k)) for a, k in kinds.items()) if read and not others}
+
+
+def _in_forms(dimension: Dimension) -> Dimension:
+    """The dimension with forms for the attributes that have them."""
+    forms = _readers(dimension)
+    return replace(dimension, roles={
+        role: {a: Expression(e.form, e.names, e.extra) if a in forms else e for a, e in attributes.items()}
+        for role, attributes in dimension.roles.items()
+    })
+
+
+def stacked_forms(df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """Distinct ``dimension, forms`` over all roles of all dimensions, in one pass over the rows."""
+    dimensions = [_in_forms(d) for d in dimensions]
     rows, at = _computed(df, [e for d in dimensions for role in d.roles.values() for e in role.values()])
     # A role without columns is one member: the first row of a partition stands for all of them.
     rows = rows.withColumn("first", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0)
@@ -185,21 +211,52 @@ def stacked_members(df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
         found = found.where(condition)
     found = found.distinct()
     sizes = " ".join(f"WHEN '{d.name}' THEN {len(d.attributes)}" for d in dimensions)
-    one = "array_join(transform(attributes, a -> coalesce(concat(length(a), ':', a), '-')), '')"
-    found = found.selectExpr("dimension", f"slice(array({', '.join(names)}), 1, CASE dimension {sizes} END) AS attributes")
-    return found.selectExpr("dimension", f"{one} AS natural", "attributes")
+    return found.selectExpr("dimension", f"slice(array({', '.join(names)}), 1, CASE dimension {sizes} END) AS forms")
+
+
+def load_forms(df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """The forms of a source's members, written to the shared folder: for :func:`load_members` and :func:`build_fact` of the same rows."""
+    return stored(stacked_forms(df, dimensions).sortWithinPartitions("dimension"), "forms")
+
 
+def _listed(array: str) -> str:
+    """The natural key of a list of attributes, as :func:`_natural` gives it for columns."""
+    return f"array_join(transform({array}, a -> coalesce(concat(length(a), ':', a), '-')), '')"
 
-def new_members(existing: DataFrame | None, df: DataFrame, dimensions: list[Dimension]) -> DataFrame:
-    """The members that ``existing`` lacks, with dense keys after each dimension's last one.
 
-    They are written to the shared folder before they are numbered: sizes and places are both
-    taken from that list, and the source is read once.
+def _read_forms(forms: DataFrame, dimension: Dimension) -> DataFrame:
+    """``dimension, forms, attributes`` of one dimension whose forms must be read."""
+    readers = _readers(dimension)
+    cells = [F.get("forms", F.lit(i)) for i in range(len(dimension.attributes))]
+    values = [readers[a](c).cast("string") if a in readers else c for a, c in zip(dimension.attributes, cells)]
+    return forms.where(F.col("dimension") == dimension.name).select("dimension", "forms", F.array(*values).alias("attributes"))
+
+
+def _hashed(dimension: str, cells: list[str], width: int) -> str:
+    """64 bits for a member's form; a hash passes over nulls, so that their places are hashed as well."""
+    cells = cells + ["CAST(NULL AS STRING)"] * (width - len(cells))
+    return f"xxhash64({', '.join([dimension, *[part for c in cells for part in (f'string({c})', f'{c} IS NULL')]])})"
+
+
+def stacked_members(forms: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """Distinct ``dimension, natural, attributes`` of the members that the forms stand for."""
+    read = [d for d in dimensions if _readers(d)]
+    plain_ones = [d.name for d in dimensions if not _readers(d)]
+    found = forms.where(F.col("dimension").isin(plain_ones)).select("dimension", F.col("forms").alias("attributes"))
+    for d in read:
+        rows = _read_forms(forms, d).select("dimension", "attributes").distinct()
+        found = found.unionByName(rows.where(F.exists("attributes", lambda a: a.isNotNull())) if d.required else rows)
+    return found.selectExpr("dimension", f"{_listed('attributes')} AS natural", "attributes")
+
+
+def new_members(existing: DataFrame | None, forms: DataFrame, dimensions: list[Dimension]) -> DataFrame:
+    """The members of :func:`load_forms` that ``existing`` lacks, with dense keys after each dimension's last one.
+
+    Sizes and places are both taken from a list in the shared folder, and the source is read once.
     """
-    fresh = stacked_members(df, dimensions)
+    fresh = stacked_members(forms, dimensions).withColumn("bucket", F.pmod(F.xxhash64("dimension", "natural"), F.lit(BUCKETS)))
     if existing is not None:
-        fresh = fresh.join(existing.select("dimension", "natural"), ["dimension", "natural"], "left_anti")
-    fresh = stored(fresh.withColumn("bucket", F.pmod(F.xxhash64("dimension", "natural"), F.lit(BUCKETS))), "new-members")
+        fresh = stored(fresh.join(existing.select("dimension", "natural"), ["dimension", "natural"], "left_anti"), "new-members")
     sizes = fresh.groupBy("dimension", "bucket").agg(F.count("*").alias("size"))
     in_order = Window.partitionBy("dimension").orderBy("bucket")  # at most BUCKETS rows per dimension
     before = sizes.select("dimension", "bucket", (F.sum("size").over(in_order) - F.col("size")).alias("before"))
@@ -212,9 +269,9 @@ def new_members(existing: DataFrame | None, df: DataFrame, dimensions: list[Dime
     )
 
 
-def load_members(df: DataFrame, dimensions: list[Dimension], existing: DataFrame | None = None) -> DataFrame:
-    """All members of a source's dimensions after the load; new ones are written to the shared folder first."""
-    fresh = stored(new_members(existing, df, dimensions).sortWithinPartitions("dimension"), "members")
+def load_members(forms: DataFrame, dimensions: list[Dimension], existing: DataFrame | None = None) -> DataFrame:
+    """All members of a source's dimensions after the load, from :func:`load_forms`; new ones are written to the shared folder first."""
+    fresh = stored(new_members(existing, forms, dimensions).sortWithinPartitions("dimension"), "members")
     return fresh if existing is None else existing.select(*fresh.columns).unionByName(fresh)
 
 
@@ -241,26 +298,47 @@ class Fact:
     measures: dict[str, Expression]
 
 
-def build_fact(df: DataFrame, fact: Fact, members: DataFrame, source_id: int = 1, file_id: int = 1, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Rows with foreign keys and measures; ``members`` is a written table, as :func:`load_members` gives it.
+def build_fact(df: DataFrame, fact: Fact, members: DataFrame, forms: DataFrame, source_id: int = 1, file_id: int = 1, lookup_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Rows with foreign keys and measures; ``members`` and ``forms`` are written tables, as :func:`load_members` and :func:`load_forms` give them.
 
     The smallest dimensions, of ``lookup_rows`` members together at most, are one table in memory
-    that all their roles look up: it is read and sent once.  Each larger dimension is joined by
-    its natural key; one as long as the fact moves the fact.  A role for which the rows have no
-    column is the same member for all rows.
+    that all their roles look up: it is read and sent once.  Rows carry 64 bits per role to it, and
+    no text.  ``forms`` has what the rows can ask for, so no other row is taken for a member; a
+    dimension with two forms of equal bits is joined by text.  So is each larger one, after the lookups;
+    one as long as the fact moves the fact.  Rows look a member up by its form: dates are not read
+    again.  A role for which the rows have no column is the same member for all rows.
     """
     spark, specs = df.sparkSession, {d.name: d for d in fact.dimensions}
     roles = {place: specs[place[0]].roles[place[1]] for place in fact.links.values()}
-    sizes = {r["dimension"]: r["count"] for r in members.groupBy("dimension").count().collect()}  # one row per dimension
+    formed = {place: _in_forms(specs[place[0]]).roles[place[1]] for place in roles}
+    read = {name for name, d in specs.items() if _readers(d)}
+    plain_members = members.where(~F.col("dimension").isin(sorted(read)))
+    named = plain_members.selectExpr("dimension", "attributes AS cells", "key")
+    for name in sorted(read):
+        of_forms = _read_forms(forms, specs[name]).selectExpr("dimension", f"{_listed('attributes')} AS natural", "forms AS cells")
+        named = named.unionByName(of_forms.join(members.select("dimension", "natural", "key"), ["dimension", "natural"], "left").select(*named.columns))
+    listed = plain_members.select("dimension").unionByName(forms.where(F.col("dimension").isin(sorted(read))).select("dimension"))
+    sizes = {r["dimension"]: r["count"] for r in listed.groupBy("dimension").count().collect()}  # one row per dimension
     small, held = set(), 0
     for name in sorted(specs, key=lambda n: (sizes.get(n, 0), n)):
         held += sizes.get(name, 0)
         if held <= lookup_rows:
             small.add(name)
-
-    rows, at = _computed(df, [*fact.measures.values(), *[e for role in roles.values() for e in role.values()]])
+    width = max(len(d.attributes) for d in fact.dimensions)
+    hashed = named.selectExpr("dimension", f"{_hashed('dimension', [f'get(cells, {i})' for i in range(width)], width)} AS member", "key")
+    texts = named.selectExpr("dimension", f"concat(dimension, '/', {_listed('cells')}) AS member", "key")
+    alike = hashed.where(F.col("dimension").isin(sorted(small))).groupBy("member").agg(
+        F.count("*").alias("n"), F.collect_set("dimension").alias("dimensions")).where("n > 1")
+    small -= {name for r in alike.collect() for name in r["dimensions"]}  # as good as never a row
+
+    rows, at = _computed(df, [*fact.measures.values(), *[e for role in formed.values() for e in role.values()]])
     fixed = {place for place, role in roles.items() if all(e.constant(df) for e in role.values())}
-    text = {place: f"concat('{place[0]}/', {_natural([at[e] for e in role.values()])})" for place, role in roles.items()}
+    text = {}
+    for place, role in formed.items():
+        cells = [at[e] for e in role.values()]
+        text[place] = f"concat('{place[0]}/', {_natural(cells)})" if place[0] not in small else _hashed(f"'{place[0]}'", cells, width)
+        if specs[place[0]].required:
+            text[place] = f"CASE WHEN {' OR '.join(f'{c} IS NOT NULL' for c in cells)} THEN {text[place]} END"
     known = {}
     if fixed:
         bare, names = _computed(spark.range(1), [e for place in fixed for e in roles[place].values()])
@@ -273,18 +351,26 @@ def build_fact(df: DataFrame, fact: Fact, members: DataFrame, source_id: int = 1
     # Equal joins are made once; the lookup is the same table for all of them, so it is sent once.
     joins = {t: f"k{i}" for i, t in enumerate(dict.fromkeys(text[p] for p in roles if p not in fixed))}
     owner = {text[p]: p[0] for p in roles}
-    tables = {"lookup": members.where(F.col("dimension").isin(sorted(small))).selectExpr("concat(dimension, '/', natural) AS member", "key")}
-    tables |= {f"large_{n}": members.where(F.col("dimension") == n).selectExpr("concat(dimension, '/', natural) AS member", "key") for n in {owner[t] for t in joins} - small}
+    tables = {"lookup": hashed.where(F.col("dimension").isin(sorted(small))).select("member", "key")}
+    tables |= {f"large_{n}": texts.where(F.col("dimension") == n).select("member", "key") for n in {owner[t] for t in joins} - small}
     sides = {alias: "lookup" if owner[t] in small else f"large_{owner[t]}" for t, alias in joins.items()}
+    sides = dict(sorted(sides.items(), key=lambda side: side[1] != "lookup"))
     in_memory = ", ".join(alias for alias, table in sides.items() if table == "lookup")
     keys = {p: f"{joins[text[p]]}.key" if p not in fixed else f"CAST({known.get(p, 'NULL')} AS BIGINT)" for p in roles}
     wanted = [f"{source_id} AS SourceFnbr", f"{file_id} AS FileFnbr", *[f"{keys[p]} AS {fk}" for fk, p in fact.links.items()]]
     wanted += [f"r.{at[e]} AS {name}" for name, e in fact.measures.items()]
-    texts = rows.selectExpr("*", *[f"{t} AS t_{alias}" for t, alias in joins.items()])
-    steps = " ".join(f"LEFT JOIN {{{sides[alias]}}} {alias} ON r.t_{alias} = {alias}.member" for alias in joins.values())
+    asking = rows.selectExpr("*", *[f"{t} AS t_{alias}" for t, alias in joins.items()])
+    steps = " ".join(f"LEFT JOIN {{{sides[alias]}}} {alias} ON r.t_{alias} = {alias}.member" for alias in sides)
     hint = f"/*+ BROADCAST({in_memory}) */ " if in_memory else ""
     used = {name: table for name, table in tables.items() if name in sides.values()}
-    return spark.sql(f"SELECT {hint}{', '.join(wanted)} FROM {{rows}} r {steps}", rows=texts, **used)
+    return spark.sql(f"SELECT {hint}{', '.join(wanted)} FROM {{rows}} r {steps}", rows=asking, **used)
+
+
+def load_fact(df: DataFrame, fact: Fact, **more) -> tuple[DataFrame, DataFrame]:
+    """The members of all dimensions and the fact, as a first load gives them; ``more`` goes to :func:`build_fact`."""
+    forms = load_forms(df, fact.dimensions)
+    members = load_members(forms, fact.dimensions)
+    return members, build_fact(df, fact, members, forms, **more)
 
 
 def load_log(fact: DataFrame, source_id: int, file: str) -> DataFrame:

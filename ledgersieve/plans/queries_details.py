@@ -143,9 +143,9 @@ def leave_hours(spark, folder) -> DataFrame:
 
 def _named(rows: DataFrame, fact: star.Fact, wanted: dict[str, tuple[str, str]], measure: str) -> DataFrame:
     """Rows and sum of a fact per natural key; ``wanted`` names the foreign key's attribute."""
-    members = star.load_members(rows, fact.dimensions)
+    members, built = star.load_fact(rows, fact)
     dims = {d.name: star.dimension_table(members, d) for d in fact.dimensions}
-    sums = star.build_fact(rows, fact, members).groupBy(*wanted).agg(F.count("*").alias("rows"), F.sum(measure).alias("amount"))
+    sums = built.groupBy(*wanted).agg(F.count("*").alias("rows"), F.sum(measure).alias("amount"))
     keys = {d.name: d.key for d in fact.dimensions}
     for fk, (attribute, shown) in wanted.items():
         name = fact.links[fk][0]

@@ -338,8 +338,7 @@ def dim_pay_codes(spark, folder) -> DataFrame:
 @query("fact_build", f"""WITH {b.LEDGER} SELECT center, account, CAST(ym AS VARCHAR) AS ym, count(*) AS rows, CAST(sum(amount) AS DOUBLE) AS amount FROM ledger GROUP BY ALL""", stores=True)
 def fact_build(spark, folder) -> DataFrame:
     rows = b.ledger(spark, folder)
-    members = star.load_members(rows, star.LEDGER.dimensions)
-    fact = star.build_fact(rows, star.LEDGER, members)
+    members, fact = star.load_fact(rows, star.LEDGER)
     dims = {d.name: star.dimension_table(members, d) for d in star.LEDGER.dimensions}
     sums = fact.groupBy("CostCenterFnbr", "AcctFnbr", "ReportPeriodFnbr").agg(F.count("*").alias("rows"), F.sum("AmountOrig").alias("amount"))
     named = (
@@ -353,7 +352,7 @@ def fact_build(spark, folder) -> DataFrame:
 
 
 def _fact_totals(rows: DataFrame, fact: star.Fact, measure: str) -> DataFrame:
-    built = star.build_fact(rows, fact, star.load_members(rows, fact.dimensions))
+    _, built = star.load_fact(rows, fact)
     linked = F.lit(True)
     for fk in fact.links:
         linked = linked & F.col(fk).isNotNull()
@@ -379,14 +378,14 @@ def fact_transactions(spark, folder) -> DataFrame:
 @query("fact_appointments", f"WITH {b.SCHEDULING} SELECT ApptStatus, count(*) AS rows, count(DISTINCT ApptProvNPI) AS providers FROM scheduling GROUP BY 1", stores=True)
 def fact_appointments(spark, folder) -> DataFrame:
     rows = b.scheduling(spark, folder)
-    fact = star.build_fact(rows, star.SCHEDULING, star.load_members(rows, star.SCHEDULING.dimensions))
+    _, fact = star.load_fact(rows, star.SCHEDULING)
     return fact.groupBy("ApptStatus").agg(F.count("*").alias("rows"), F.count_distinct("SchdProvFnbr").alias("providers"))
 
 
 @query("load_log", "SELECT CAST(7 AS BIGINT) AS SourceFnbr, 'ledger.txt' AS FileName, 'Load' AS EventDesc, count(*) AS RowsAffected FROM lineitem", stores=True)
 def load_log(spark, folder) -> DataFrame:
     rows = b.ledger(spark, folder)
-    fact = star.build_fact(rows, star.LEDGER, star.load_members(rows, star.LEDGER.dimensions), source_id=7)
+    _, fact = star.load_fact(rows, star.LEDGER, source_id=7)
     return star.load_log(fact, 7, "ledger.txt").withColumn("SourceFnbr", F.col("SourceFnbr").cast("bigint"))
 
 

@@ -13,8 +13,7 @@ _NONE = "'zzNull'"
 
 def _by_role(rows: DataFrame, fact: star.Fact, measure: str, lookup_rows: int = star.LOOKUP_ROWS) -> DataFrame:
     """``fk, member, rows, amount``: the fact's rows per foreign key and the attributes of the member behind it."""
-    members = star.load_members(rows, fact.dimensions)
-    built = star.build_fact(rows, fact, members, lookup_rows=lookup_rows)
+    members, built = star.load_fact(rows, fact, lookup_rows=lookup_rows)
     links = F.array(*[F.struct(F.lit(fk).alias("fk"), F.lit(name).alias("dimension"), F.col(fk).alias("key")) for fk, (name, _) in fact.links.items()])
     sums = built.select(F.explode(links).alias("link"), F.col(measure).alias("amount")).groupBy("link.fk", "link.dimension", "link.key").agg(
         F.count("*").alias("rows"), F.sum("amount").alias("amount")

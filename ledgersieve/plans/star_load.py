@@ -39,10 +39,11 @@ def load_star(review, folder: str) -> dict[str, int]:
     for source, fact in facts:
         rows = review.tables[source]
         origin = {"client": F.lit(review.client), "round": F.lit(review.round), "source": F.lit(source)}
-        batch.write(star.new_members(known, rows, fact.dimensions).sortWithinPartitions("dimension"), "members")
+        forms = star.load_forms(rows, fact.dimensions)
+        batch.write(star.new_members(known, forms, fact.dimensions).sortWithinPartitions("dimension"), "members")
         fresh = batch.written("members").select("dimension", "natural", "attributes", "key")
         known = fresh if committed is None else committed.select(*fresh.columns).unionByName(fresh)
-        batch.write(star.build_fact(rows, fact, known).withColumns(origin), f"fact/{fact.name}", *ORIGIN)
+        batch.write(star.build_fact(rows, fact, known, forms).withColumns(origin), f"fact/{fact.name}", *ORIGIN)
         written = batch.written(f"fact/{fact.name}").where(F.col("source") == source)
         batch.write(star.load_log(written, 1, source).withColumns(origin), "log", *ORIGIN)
     if not facts:

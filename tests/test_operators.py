@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgersieve.context import ColumnMeta, Context
-from ledgersieve.functions import day, number, pad_code, strip_zeros
+from ledgersieve.functions import day, day_form, number, pad_code, strip_zeros
 from ledgersieve.functions.formula import apply_transforms, is_valid, to_sql
 from ledgersieve.functions.similarity import composite, ratio, token_sort
 from ledgersieve.operators import fuzzy, issues, keys, profile as prof, quantiles, star
@@ -325,3 +325,42 @@ def test_unchanged_files_are_not_parsed_again(spark, tmp_path, monkeypatch):
     assert len(scans) == 10 and again.pop("new.txt")[1] == [("7", "8")] and again == first
     (folder / "f3.txt").write_text("a|b|c\n1|changed|\n")
     assert read()["f3.txt"][1] == [("1", "changed")] and len(scans) == 11
+
+
+def _day_fact():
+    dates = star.Dimension("D", "DUnbr", {r: {"date": star.a_date(r)} for r in ("a", "b")}, required=True, kinds={"date": "date"})
+    names = star.Dimension("N", "NUnbr", {"row": {"first": star.Expression(star.plain, ("x",)), "last": star.Expression(star.plain, ("y",))}})
+    return star.Fact("F", [dates, names], {"aFnbr": ("D", "a"), "bFnbr": ("D", "b"), "nFnbr": ("N", "row")}, {"n": star.col("n")})
+
+
+@pytest.mark.parametrize("bits, lookup_rows", [(64, 200_000), (1, 200_000), (64, 0)])
+def test_fact_reads_each_date_once(rows, monkeypatch, bits, lookup_rows):
+    """Rows look dates up by their texts, which are read once each; members whose bits are alike are not mixed up."""
+    whole = star._hashed
+    monkeypatch.setattr(star, "_hashed", lambda *args: f"pmod({whole(*args)}, {2 ** bits if bits < 64 else 2 ** 62})")
+    df = rows(
+        "a b x y n", ("2024-01-02", "2024-01-02 10:11:12", None, "p", "1"), (" 2024-01-02", "1/2/2024", "p", None, "2"),
+        ("2024-02-30", "2024-01-03T23:59", "p", "p", "3"), (None, "soon", None, None, "4"), ("20240103", "2024-01-03 25:00", "", "p", "5"),
+        ("2024-01-1T 1:22:33", "+2024-01-03", None, "p", "6"),
+    )
+    fact = _day_fact()
+    # Reading all shapes of a date for every row made the code of the pass too long for the JVM to compile.
+    assert "gettimestamp" not in star.stacked_forms(df, fact.dimensions)._jdf.queryExecution().toString()
+    members, built = star.load_fact(df, fact, lookup_rows=lookup_rows)
+    at = {(r.dimension, r.key): tuple(r.attributes) for r in members.collect()}
+    assert sorted(at.values(), key=str) == sorted(
+        [("2024-01-02",), ("2024-01-03",), (None, "p"), ("p", None), ("p", "p"), (None, None), ("", "p")], key=str)
+    got = {r.n: (at.get(("D", r.aFnbr)), at.get(("D", r.bFnbr)), at[("N", r.nFnbr)]) for r in built.collect()}
+    second, third = ("2024-01-02",), ("2024-01-03",)
+    assert built.count() == 6 and got == {
+        "1": (second, second, (None, "p")), "2": (second, second, ("p", None)), "3": (None, third, ("p", "p")),
+        "4": (None, None, (None, None)), "5": (third, None, ("", "p")), "6": (None, None, (None, "p")),
+    }
+
+
+def test_form_of_a_date_is_read_as_the_same_day(rows):
+    texts = ["2024-01-02", "2024-01-02 10:11", "2024-01-02T10:11:12.5", "2024-01-02T23:30-05:00", "2024-1-2 10:11:12", "2024-01-02 1:02:33",
+             "2024-01-02 01:2:33.1", "0000-01-01 00:00+10:00", "9999-12-31 23:59-10:00", " 2024-01-02 10:11 ", "1/2/24", "20240102", "2024-13-02 10:11", "", None]
+    got = rows("t", *[(t,) for t in texts]).select("t", day("t").cast("string").alias("a"), day(day_form("t")).cast("string").alias("b"), day_form("t").alias("f")).collect()
+    assert [r.t for r in got if r.a != r.b] == []
+    assert {r.f for r in got if r.t and r.t.startswith("2024-01-02") and r.t[10:16] in ("", " 10:11", "T10:11")} == {"2024-01-02"}
