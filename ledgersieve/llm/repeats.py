@@ -10,7 +10,9 @@ one anchor in 85 bytes.  Then
 2. anchors that occur again in other surroundings send these bytes, once per kind of surroundings.
    They are cut where any two begin or cease to agree, the cuts give short sequences of numbers,
    and the suffix array of these sequences (:mod:`ledgersieve.llm.suffixes`) gives with its common
-   prefixes all windows that occur twice,
+   prefixes all windows that occur twice.  Anchors in more than ``MEMBERS`` surroundings are first
+   dealt by longer strings around them, one for each part of the distances at which a window can
+   begin; equal surroundings collapse again, and what is still too many is dealt by smaller parts,
 3. the ranges come back to their texts, which are cut and hashed.
 
 Texts are known by two hashes of their own, so exact copies are one text with a count, and a text
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ GRAM = 32
 PIECE = 4 << 20
 #: Bytes of texts that a task holds as arrays, and as it passes them on.
 SLICE, PASSED = 1 << 18, 1 << 21
-#: Numbers that one suffix array holds at least; surroundings of one anchor are never divided.
+#: Numbers that one suffix array holds at least; surroundings that are compared at once are never divided.
 BATCH_SYMBOLS = 5_000
+#: Kinds of surroundings of one string that are compared at once, parts that those of more are dealt to, and how many are dealt at a time.
+MEMBERS, FAN, DEALT = 1_000, 4, 2_000
 
 _MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -168,23 +173,6 @@ def _anchor_batch(k1, k2, place, h, around) -> pa.RecordBatch:
     )
 
 
-def _sorted_groups(batches, columns: int):
-    """Runs of whole groups of equal first column, from batches sorted by it."""
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        fresh = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        held = fresh if held is None else [np.concatenate(pair) for pair in zip(held, fresh, strict=True)]
-        if not len(held[0]):
-            continue
-        different = np.flatnonzero(held[0] != held[0][-1])
-        if len(different):
-            cut = int(different[-1]) + 1
-            yield [c[:cut] for c in held]
-            held = [c[cut:] for c in held]
-    if held is not None and len(held[0]):
-        yield held
-
-
 def _change(*columns: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it."""
     out = np.ones(len(columns[0]), dtype=bool)
@@ -194,31 +182,127 @@ def _change(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _compare(batches):
-    """Repeated anchors with what is known of them: ``covered`` by equal surroundings, and ``sent`` to be compared."""
-    for h, around, k1, k2, place in _sorted_groups(batches, 5):
-        own = _change(h, around, k1, k2, place)
-        h, around, k1, k2, place = (c[own] for c in (h, around, k1, k2, place))
-        if len(h) < 2:
+def _kinds(batches, columns: int, bytes_at: int | None = None):
+    """Distinct rows, whether a row is the first of its kind, and whether its kind has other rows.
+
+    Rows are sorted; the first two columns (and the bytes, if given) are the kind, the next three
+    tell the rows of a kind apart.  All that is held from batch to batch is the last row.
+    """
+    held, held_first = None, True
+    for batch in batches:
+        rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+        if not batch.num_rows:
             continue
-        new_h, new_kind = _change(h), _change(h, around)
-        kind = np.cumsum(new_kind) - 1
-        covered = np.bincount(kind)[kind] > 1
-        group = np.cumsum(new_h) - 1
-        several = np.bincount(group, weights=new_kind)[group] > 1
-        sent = several & new_kind
-        wanted = covered | sent
-        if wanted.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[wanted]) for c in (h, k1, k2, place, covered, sent)], names=["h", "k1", "k2", "place", "covered", "sent"]
-            )
+        if held is not None:
+            rows = [np.concatenate(pair) for pair in zip(held, rows, strict=True)]
+        own = _change(*rows[:5])
+        rows = [c[own] for c in rows]
+        first = _change(*rows[:2], *([] if bytes_at is None else [rows[bytes_at]]))
+        first[0] = held_first
+        covered = ~first
+        covered[:-1] |= ~first[1:]
+        yield [c[:-1] for c in rows], first[:-1], covered[:-1]
+        held, held_first = [c[-1:] for c in rows], bool(first[-1])
+    if held is not None:
+        yield held, np.array([held_first]), np.array([not held_first])
+
+
+class _Groups:
+    """Gathers rows that are sorted by their first column into whole groups of equal ones.
+
+    Groups of more than ``members`` rows are large; their rows are given out as they come.
+    """
+
+    def __init__(self, members: int):
+        self.members = members
+        self.held: list[np.ndarray] | None = None
+        self.over = None
+
+    def add(self, fresh: list[np.ndarray], last: bool = False):
+        """The rows that are complete, the sizes of their groups, and whether these are large."""
+        rows = fresh if self.held is None else [np.concatenate(pair) for pair in zip(self.held, fresh, strict=True)]
+        n = len(rows[0])
+        if not n:
+            return rows, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        sizes = np.diff(np.append(np.flatnonzero(_change(rows[0])), n))
+        large = sizes > self.members
+        large[0] |= self.over is not None and rows[0][0] == self.over
+        self.over = rows[0][-1] if large[-1] else None
+        kept = 0 if last or large[-1] else int(sizes[-1])
+        self.held = [c[n - kept:] for c in rows]
+        if kept:
+            sizes, large = sizes[:-1], large[:-1]
+        return [c[: n - kept] for c in rows], sizes, large
+
+
+def _compare(batches, members: int):
+    """Repeated anchors: those ``covered`` by equal surroundings, and apart from them one per kind to be compared.
+
+    ``large``: of more kinds than are compared at once.
+    """
+    groups = _Groups(members)
+
+    def out(covered: list[np.ndarray], firsts: list[np.ndarray], last: bool = False):
+        sent, sizes, large = groups.add(firsts, last)
+        several = np.repeat((sizes > 1) | large, sizes)
+        large = np.repeat(large, sizes)[several]
+        sent = [c[several] for c in sent]
+        n, m = len(covered[0]), len(sent[0])
+        if n + m:
+            columns = [np.concatenate(pair) for pair in zip(covered, sent, strict=True)]
+            columns += [np.arange(n + m) < n, np.concatenate((np.zeros(n, dtype=bool), large))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k1", "k2", "place", "covered", "large"])
+
+    none = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32)]
+    for (h, _, *member), first, covered in _kinds(batches, 5):
+        yield from out([c[covered] for c in (h, *member)], [c[first] for c in (h, *member)])
+    yield from out(none, none, last=True)
+
+
+_PARTS = "key bigint, hull bigint, k1 bigint, k2 bigint, place int, low short, high short, around binary"
+_PART_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary())
+
+
+def _dealt(key, k1, k2, place, low, high, around):
+    """Members of large groups, by ``key``: once for each of ``FAN`` parts of the distances ``low`` to ``high``.
+
+    A window begins at a distance before its anchor.  All windows of a part hold the bytes between
+    the last begin and the first end, so members that share such a window share these bytes, and
+    with them the new key.  ``hull`` is known by the bytes that the windows of the part can reach.
+    """
+    for at in range(0, len(key), DEALT):
+        some = slice(at, at + DEALT)
+        data = b"".join(around[some])
+        hashes = _Hashes(np.frombuffer(data, dtype=np.uint8))
+        length = np.fromiter(map(len, around[some]), dtype=np.int64)
+        first, last = low[some].astype(np.int64), high[some].astype(np.int64)
+        left = np.minimum(place[some], last)
+        anchor = np.cumsum(length) - length + left
+        right = length - left
+        for part in range(FAN):
+            a = first + (last - first + 1) * part // FAN
+            b = first + (last - first + 1) * (part + 1) // FAN - 1
+            # Near the ends of a text not every distance has a window.
+            has = np.flatnonzero(np.maximum(a, LENGTH - right) <= np.minimum(b, left))
+            if not len(has):
+                continue
+            a, b, mid, before, after = a[has], b[has], anchor[has], np.minimum(b, left)[has], np.minimum(LENGTH - a, right)[has]
+            distances = _mixed((a * LENGTH + b).astype(np.uint64))
+            parted = _mixed(key[some][has].view(np.uint64) ^ distances) ^ hashes.of(mid - a, mid + LENGTH - b)
+            hull = hashes.of(mid - before, mid + after) ^ _mixed(before.astype(np.uint64))
+            yield (parted.view(np.int64), hull.view(np.int64), k1[some][has], k2[some][has], place[some][has], a.astype(np.int16), b.astype(np.int16),
+                   [data[i:j] for i, j in zip((mid - before).tolist(), (mid + after).tolist(), strict=True)])
+
+
+def _part_batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PART_TYPES, strict=True)], names=[c.split()[0] for c in _PARTS.split(", ")])
 
 
 def _surroundings(batches):
-    """``h, k1, k2, place, around`` for the anchors of a text that must be compared; copies of the text send nothing."""
+    """The surroundings of a text's anchors that must be compared, those of large groups dealt; copies of the text send nothing."""
     seen: set[tuple[int, int]] = set()
     for batch in slices(batches, 2, PASSED):
-        out = {n: [] for n in ("h", "k1", "k2", "place", "around")}
+        out = {large: ([], [], [], [], []) for large in (False, True)}
         for k1, k2, text, sent in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()),
                                       batch.column(3).to_pylist(), strict=True):
             if (k1, k2) in seen:
@@ -227,16 +311,19 @@ def _surroundings(batches):
             text = text.as_py()
             for one in sent:
                 place = one["place"]
-                out["h"].append(one["h"])
-                out["k1"].append(k1)
-                out["k2"].append(k2)
-                out["place"].append(place)
-                out["around"].append(text[max(0, place + GRAM - LENGTH): place + LENGTH])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["h"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["k2"], pa.int64()),
-             pa.array(out["place"], pa.int32()), pa.array(out["around"], pa.binary())],
-            names=list(out),
-        )
+                around = text[max(0, place + GRAM - LENGTH): place + LENGTH]
+                for column, value in zip(out[one["large"]], (one["h"], k1, k2, place, around), strict=True):
+                    column.append(value)
+        for large, (h, k1, k2, place, around) in out.items():
+            low, high = np.zeros(len(h), dtype=np.int16), np.full(len(h), LENGTH - GRAM, dtype=np.int16)
+            h, k1, k2 = (np.array(c, dtype=np.int64) for c in (h, k1, k2))
+            place = np.array(place, dtype=np.int32)
+            if not large:
+                # Kinds are told apart already; equal bytes at another distance are none.
+                yield _part_batch(h, np.minimum(place, high).astype(np.int64), k1, k2, place, low, high, around)
+            else:
+                for columns in _dealt(h, k1, k2, place, low, high, around):
+                    yield _part_batch(*columns)
 
 
 def _shared(x: bytes, y: bytes) -> int:
@@ -279,11 +366,12 @@ def _sequences(around: list[bytes], left: list[int]):
         yield member, [(start, end - start, a[n + start: n + end]) for start, end in zip(edges, edges[1:], strict=False)]
 
 
-def _repeated(batches):
-    """Ranges of the texts whose windows occur in other surroundings of the same anchor."""
+def _repeated(batches, members: int):
+    """Ranges of the texts whose windows occur in other surroundings of the same bytes; members of large groups come back dealt."""
     symbols, cell_owner, cell_start, cell_length = (array("q") for _ in range(4))
     owners: list[tuple[int, int, int]] = []
     numbers = 0
+    groups = _Groups(members)
 
     def add(symbol: int, owner: int, start: int, length: int) -> None:
         symbols.append(symbol)
@@ -314,22 +402,27 @@ def _repeated(batches):
         for held in (symbols, cell_owner, cell_start, cell_length):
             del held[:]
         owners.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-            names=["k1", "k2", "start", "end"],
-        )
-
-    for columns in _sorted_groups(batches, 5):
-        own = _change(*columns[:4])
-        h, k1, k2, place, around = (c[own] for c in columns)
-        borders = np.concatenate((np.flatnonzero(_change(h)), [len(h)]))
-        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
-            if b - a < 2:
+        return _span_batch(*([o[i] for o in out] for i in range(4)))
+
+    def compared(firsts: list[np.ndarray], last: bool = False):
+        nonlocal numbers
+        rows, sizes, large = groups.add(firsts, last)
+        end = 0
+        for size, many in zip(sizes.tolist(), large.tolist(), strict=True):
+            begin, end = end, end + size
+            key, k1, k2, place, low, high, around = (c[begin:end] for c in rows)
+            if many:
+                # Windows of a single distance are whole kinds, and nothing is left to compare.
+                more = low < high
+                for columns in _dealt(key[more], k1[more], k2[more], place[more], low[more], high[more], list(around[more])):
+                    yield _more_batch(*columns)
                 continue
-            left = [min(p, LENGTH - GRAM) for p in place[a:b].tolist()]
+            if size < 2:
+                continue
+            left = np.minimum(place, high).tolist()
             known: dict[tuple[int, bytes], int] = {}
-            for member, sequence in _sequences(list(around[a:b]), left):
-                owners.append((int(k1[a + member]), int(k2[a + member]), int(place[a + member])))
+            for member, sequence in _sequences(list(around), left):
+                owners.append((int(k1[member]), int(k2[member]), int(place[member])))
                 for start, length, content in sequence:
                     number = known.get((start, content))
                     if number is None:
@@ -340,10 +433,37 @@ def _repeated(batches):
             if len(symbols) >= BATCH_SYMBOLS:
                 yield solve()
                 numbers = 0
+
+    none = None
+    for (key, _, *member), first, covered in _kinds(batches, 8, 7):
+        if covered.any():
+            k1, k2, place, _, high, around = (c[covered] for c in member)
+            start = place - np.minimum(place, high)
+            yield _span_batch(k1, k2, start, start + np.fromiter(map(len, around), dtype=np.int32, count=len(around)))
+        none = [c[:0] for c in (key, *member)]
+        yield from compared([c[first] for c in (key, *member)])
+    if none is not None:
+        yield from compared(none, last=True)
     if symbols:
         yield solve()
 
 
+#: Ranges and, where these are null, members that are dealt once more.
+_FOUND = f"start int, end int, {_PARTS}"
+
+
+def _span_batch(k1, k2, start, end) -> pa.RecordBatch:
+    none = [pa.nulls(len(k1), t) for t in _PART_TYPES]
+    none[2:4] = pa.array(k1, pa.int64()), pa.array(k2, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), *none], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
+def _more_batch(*columns) -> pa.RecordBatch:
+    batch = _part_batch(*columns)
+    nulls = [pa.nulls(batch.num_rows, pa.int32())] * 2
+    return pa.RecordBatch.from_arrays([*nulls, *batch.columns], names=[c.split()[0] for c in _FOUND.split(", ")])
+
+
 def _cut(batches, with_kept: bool):
     """Applies the ranges to the texts."""
     for batch in slices(batches, 1, PASSED):
@@ -377,7 +497,7 @@ def _cut(batches, with_kept: bool):
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *out, "kept"][: len(columns)])
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, members: int = MEMBERS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -385,22 +505,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = stored(texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "repeat-copies")
     compared = (
         anchors(texts).repartition(parts, "h").sortWithinPartitions("h", "around", "k1", "k2", "place")
-        .mapInArrow(_compare, "h bigint, k1 bigint, k2 bigint, place int, covered boolean, sent boolean")
+        .mapInArrow(lambda batches: _compare(batches, members), "h bigint, k1 bigint, k2 bigint, place int, covered boolean, large boolean")
     )
     compared = stored(compared, "repeat-anchors")
     once = ["k1", "k2"]
-    sent = compared.filter("sent").groupBy(*once).agg(F.collect_list(F.struct("h", "place")).alias("sent"))
-    around = (
-        texts.select("k1", "k2", "text").join(sent.hint("shuffle_hash"), once)
-        .mapInArrow(_surroundings, "h bigint, k1 bigint, k2 bigint, place int, around binary")
-        .repartition(parts, "h").sortWithinPartitions("h", "k1", "k2", "place")
-    )
-    spans = stored(around.mapInArrow(_repeated, "k1 bigint, k2 bigint, start int, end int"), "repeat-spans")
+    sent = compared.filter("not covered").groupBy(*once).agg(F.collect_list(F.struct("h", "place", "large")).alias("sent"))
+    around = texts.select("k1", "k2", "text").join(sent.hint("shuffle_hash"), once).mapInArrow(_surroundings, _PARTS)
+    spans = []
+    # Each round leaves a part of the distances at most, so there are few.
+    while not spans or not around.isEmpty():
+        found = around.repartition(parts, "key").sortWithinPartitions("key", "hull", "k1", "k2", "place").mapInArrow(lambda batches: _repeated(batches, members), _FOUND)
+        found = stored(found, "repeat-spans")
+        spans.append(found.filter("start IS NOT NULL").select(*once, "start", "end"))
+        around = found.filter("key IS NOT NULL").drop("start", "end")
     whole = compared.filter("covered").select(
         *once, (F.col("place") + GRAM - LENGTH).alias("start"), (F.col("place") + LENGTH).alias("end"), F.lit(None).cast("long").alias("copies")
     )
     known = (
-        whole.unionByName(spans, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True).groupBy(*once)
+        reduce(DataFrame.unionByName, spans).unionByName(whole, allowMissingColumns=True).unionByName(copies, allowMissingColumns=True).groupBy(*once)
         .agg(F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.max("copies").alias("copies"))
     )
     result = T.StructType([

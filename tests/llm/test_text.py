@@ -7,6 +7,7 @@ import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -210,6 +211,51 @@ def test_repeats_against_all_windows(spark, piece, monkeypatch):
     assert repeats.deduplicated(documents(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("members", [1, 2, 7])
+def test_repeats_of_strings_in_many_surroundings(spark, members):
+    rng = random.Random(11)
+    text = lambda n, of="abcde fgh": "".join(rng.choice(of) for _ in range(n))
+    passage, base, line = text(700), text(900), text(60)
+    texts = [text(rng.randint(0, 300), "ab") + passage[rng.choice([0, 0, 1, 90]):] + text(rng.randint(0, 300), "ab") for _ in range(30)]
+    texts += [text(3, "ab") + "-" * rng.randint(150, 420) + text(2, "ab") for _ in range(30)]
+    texts += [text(rng.randint(0, 150)) + line + text(rng.randint(0, 150), "xy") for _ in range(20)]
+    texts += ["a" * n for n in (199, 200, 250, 251, 300)] + ["ab" * 130, "ba" * 130, passage[:200], passage[-200:], passage[1:200]]
+    for _ in range(40):
+        at = rng.randrange(len(base))
+        texts.append(base[rng.choice([0, 0, 40]):at] + rng.choice("XYZ") + base[at + rng.choice([0, 1, 2]):rng.choice([850, 900])])
+    texts += texts[:3]
+    got = {r.doc_id: r for r in repeats.deduplicated(documents(spark, texts), members=members).collect()}
+    for i, want in enumerate(plain_repeats(texts, 200)):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
+
+
+def test_a_string_in_many_surroundings_is_not_held():
+    rng = random.Random(3)
+    gram, n, step = b"g" * repeats.GRAM, 20_000, 500
+
+    def read(columns, taken):
+        for at in range(0, n, step):
+            taken.append(at)
+            yield pa.RecordBatch.from_arrays([c[at:at + step] for c in columns], names=[f"c{i}" for i in range(len(columns))])
+
+    number, same = np.arange(n), np.zeros(n, dtype=np.int64)
+    anchors = [pa.array(same), pa.array(number), pa.array(number), pa.array(number), pa.array(same.astype(np.int32))]
+    parts = [pa.array(same), pa.array(same + 168), pa.array(number), pa.array(number), pa.array((same + 168).astype(np.int32)),
+             pa.array(same.astype(np.int16)), pa.array((same + 168).astype(np.int16)), pa.array([rng.randbytes(168) + gram + rng.randbytes(168) for _ in range(n)])]
+    taken = []
+    sent = repeats._compare(read(anchors, taken), repeats.MEMBERS)
+    first = next(sent)
+    assert len(taken) <= 5 and first.column("large").to_pylist() == [True] * first.num_rows
+    assert first.num_rows + sum(b.num_rows for b in sent) == n
+    taken = []
+    dealt = repeats._repeated(read(parts, taken), repeats.MEMBERS)
+    rows = [next(dealt)]
+    assert len(taken) <= 5
+    rows = [r for b in [*rows, *dealt] for r in b.select(["k1", "low", "high", "start"]).to_pylist()]
+    assert Counter(r["k1"] for r in rows) == {i: repeats.FAN for i in range(n)} and {r["start"] for r in rows} == {None}
+    assert {(r["low"], r["high"]) for r in rows} == {(0, 41), (42, 83), (84, 125), (126, 168)}
+
+
 PAGES = [
     ('<html><body><nav><a href="/">Home</a></nav><article><h1>Title</h1><p>First &amp; long   paragraph of text.<p>Second one,<br>with <b>marks</b>.</article>'
      '<footer>Copyright</footer></body></html>', "Title\n\nFirst & long paragraph of text.\n\nSecond one, with marks."),
